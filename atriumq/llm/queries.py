@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import langid, licenses, pieces, quality
 
 
 def queries() -> dict:
     return {
         "op2_license_scan": licenses.op2_license_scan,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op7_language_id": langid.op7_language_id,
         "op9_quality_rules": quality.op9_quality_rules,
     }
 
