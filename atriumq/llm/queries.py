@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, pieces, quality
+from . import langid, licenses, pieces, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_license_scan": licenses.op2_license_scan,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op7_language_id": langid.op7_language_id,
