@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, pieces, quality, toxicity
+from . import langid, licenses, minhash, pieces, quality, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op7_language_id": langid.op7_language_id,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
