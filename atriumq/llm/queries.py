@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, minhash, pieces, quality, toxicity
+from . import langid, licenses, minhash, pieces, quality, suffix, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_license_scan": licenses.op2_license_scan,
+        "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op7_language_id": langid.op7_language_id,
         "op9_quality_rules": quality.op9_quality_rules,
