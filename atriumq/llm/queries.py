@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, minhash, pieces, quality, suffix, toxicity
+from . import chat, langid, licenses, minhash, mixing, pieces, quality, suffix, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_license_scan": licenses.op2_license_scan,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_chat_format": chat.op6_chat_format,
         "op7_language_id": langid.op7_language_id,
+        "op8_mixing": mixing.op8_mixing,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_minhash": minhash.op10_minhash,
     }
