@@ -30,7 +30,7 @@ from .common import table
 #: Longer chunks use the heap: an array round costs as much as the chunk is long.
 LONG = 48
 #: Chunks kept in a worker; all are forgotten when it is full.
-CACHE = 300_000
+CACHE = 700_000
 BLANK = "▁"
 _NONE = np.int64(1) << 62
 
@@ -59,6 +59,7 @@ class Agenda:
         for piece in self.id_of:
             for c in piece:
                 self.symbol.setdefault(c, size + len(self.symbol))
+        self.symbol[" "] = self.symbol[BLANK]
         self.rank = np.full(max(self.symbol.values()) + 2, _NONE, np.int64)
         for i, s in self.score.items():
             self.rank[i] = ranks[s]
@@ -68,13 +69,31 @@ class Agenda:
         # A cut before every run of blanks, and around single characters that no piece joins to anything.
         alone = [c for c in map(chr, range(128)) if c != BLANK and not any(c in pair for pair in inside)]
         if any(a != BLANK and b == BLANK for a, b in inside):
-            self.chunks = re.compile(r"(?s).+").findall
+            self.chunks = re.compile(r"(?s).+").findall  # a piece reaches across: no cut is safe
         else:
-            lone = "".join(map(re.escape, alone))
-            word = f"{BLANK}*[^{BLANK}{lone}]+|{BLANK}+"
+            # Blanks stay as they are here: most texts are then one byte a character.
+            lone = "".join(map(re.escape, (c for c in alone if c in "\n\t\r")))
+            mark = "".join(map(re.escape, sorted(self._marks(inside))))
+            word = f" *[{mark}]+[^ {lone}{mark}]*| *[^ {lone}{mark}]+| +" if mark else f" *[^ {lone}]+| +"
             self.chunks = re.compile(f"{word}|[{lone}]" if lone else word).findall
         self.cache: dict[str, bytes] = {}
 
+    @staticmethod
+    def _marks(inside: set[str]) -> set[str]:
+        """Punctuation that no piece holds behind anything else than blanks and such punctuation, so that
+        a text may be cut between a word and the marks that follow it."""
+        marks, barred = {c for c in map(chr, range(33, 127)) if not c.isalnum()}, set()  # ASCII first
+        while True:
+            wrong = [(a, b) for a, b in inside if b in marks and a not in marks and a != BLANK]
+            if not wrong:
+                return marks
+            for a, b in wrong:
+                if a.isalpha() or a.isdecimal() or a in barred:
+                    marks.discard(b)
+                    barred.add(b)
+                else:
+                    marks.add(a)
+
     def _table(self, found: dict[tuple[int, int], int]) -> None:
         """Open addressing: pair to the symbol of its union."""
         self.bits = max(10, (4 * len(found)).bit_length())
@@ -98,11 +117,15 @@ class Agenda:
         """Symbol of a+b, -1 where the vocabulary has none."""
         keys = (a << 24) | b
         out = np.full(len(keys), -1, np.int64)
+        left = np.flatnonzero((a >= 0) & (b >= 0))
         for probe in range(self.probes):
-            at = self._slot(keys, probe)
-            hit = self.keys[at] == keys
-            out[hit] = self.unions[at[hit]]
-        out[(a < 0) | (b < 0)] = -1
+            at = self._slot(keys[left], probe)
+            found = self.keys[at]
+            hit = found == keys[left]
+            out[left[hit]] = self.unions[at[hit]]
+            left = left[~hit & (found >= 0)]  # an empty slot ends the search
+            if not len(left):
+                break
         return out
 
     def _ids(self, symbols: list[int], chunk: str) -> bytes:
@@ -120,7 +143,7 @@ class Agenda:
 
     @functools.cached_property
     def _text(self) -> dict[int, str]:
-        return {i: p for p, i in self.symbol.items()}
+        return {i: p for p, i in self.symbol.items() if p != " "}
 
     def merge_long(self, chunk: str) -> bytes:
         """One chunk through a heap of (rank, position)."""
@@ -155,38 +178,36 @@ class Agenda:
     def merge_short(self, chunks: list[str]) -> list[bytes]:
         """All chunks at once: each round merges the best pair of every chunk that still has one."""
         get = self.symbol.get
-        sym = np.array([get(c, -1) for chunk in chunks for c in chunk], np.int64)
-        sizes = np.array([len(c) for c in chunks], np.int64)
-        word = np.repeat(np.arange(len(chunks)), sizes)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        last = np.zeros(len(sym), bool)
-        last[np.cumsum(sizes) - 1] = True
+        sym = np.array([get(c, -1) for c in "".join(chunks)], np.int64)
+        counts = np.array([len(c) for c in chunks], np.int64)
+        alive = np.arange(len(chunks))
         union = np.full(len(sym), -1, np.int64)
-        inner = np.flatnonzero(~last)
-        union[inner] = self._union(sym[inner], sym[inner + 1])
-        while len(sym):
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            key = np.where(union >= 0, (self.rank[union] << 24) | np.arange(len(sym)), _NONE)
-            best = np.minimum.reduceat(key, first)
-            over = best == _NONE
-            counts = np.diff(np.concatenate((first, [len(sym)])))
+        union[:-1] = self._union(sym[:-1], sym[1:])
+        union[np.cumsum(counts) - 1] = -1
+        key = np.where(union >= 0, self.rank[union] << 24, _NONE)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def pair(at: np.ndarray) -> None:
+            union[at] = found = self._union(sym[at], sym[at + 1])
+            key[at] = np.where(found >= 0, self.rank[found] << 24, _NONE)
+
+        while len(alive):
+            first = np.cumsum(counts) - counts
+            best = np.minimum.reduceat(key | np.arange(len(key)), first)
+            at, on = best & 0xFFFFFF, best < _NONE
             keep = np.ones(len(sym), bool)
-            at = best[~over] & 0xFFFFFF
+            if not on.all():
+                rest = np.repeat(~on, counts)
+                done.append((np.repeat(alive[~on], counts[~on]), sym[rest]))
+                keep = ~rest
+                at, first, alive, counts = at[on], first[on], alive[on], counts[on]
             sym[at], keep[at + 1] = union[at], False
-            last[at] = last[at + 1]
-            if over.any():
-                rest = np.repeat(over, counts)
-                done.append((word[rest], sym[rest]))
-                keep &= ~rest
-            place = np.cumsum(keep) - 1
-            sym, word, last, union = sym[keep], word[keep], last[keep], union[keep]
-            at = place[at]
-            union[at] = -1
-            right = at[~last[at]]
-            union[right] = self._union(sym[right], sym[right + 1])
-            left = at[at > 0] - 1
-            left = left[~last[left]]
-            union[left] = self._union(sym[left], sym[left + 1])
+            sym, union, key = sym[keep], union[keep], key[keep]
+            within, counts = at - first, counts - 1
+            at = np.cumsum(counts) - counts + within
+            union[at], key[at] = -1, _NONE
+            pair(at[within < counts - 1])
+            pair(at[within > 0] - 1)
         order = np.argsort(np.concatenate([w for w, _ in done]), kind="stable")
         words, symbols = np.concatenate([w for w, _ in done])[order], np.concatenate([s for _, s in done])[order]
         ends = np.searchsorted(words, np.arange(len(chunks) + 1))
@@ -200,15 +221,15 @@ class Agenda:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian int32 ids of each text."""
-        cut_up = [self.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        cut_up = [self.chunks(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
         cache = self.cache
         new = list(set().union(*cut_up).difference(cache)) if cut_up else []
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = list(set().union(*cut_up))
         short = [c for c in new if len(c) <= LONG]
-        for k in range(0, len(short), 20_000):
-            cache.update(zip(some := short[k : k + 20_000], self.merge_short(some)))
+        for k in range(0, len(short), 8_000):
+            cache.update(zip(some := short[k : k + 8_000], self.merge_short(some)))
         for c in new:
             if len(c) > LONG:
                 cache[c] = self.merge_long(c)
