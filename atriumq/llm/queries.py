@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, langid, licenses, minhash, mixing, pieces, quality, suffix, toxicity
+from . import ann, chat, langid, licenses, minhash, mixing, pieces, quality, suffix, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_license_scan": licenses.op2_license_scan,
+        "op3_additive_quantisation": ann.op3_additive_quantisation,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_chat_format": chat.op6_chat_format,
