@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from atriumq.queries import routes
+
 FLAGSHIP = "G01_distances_from_node"
 
 
 def _modules() -> list:
-    return []
+    return [routes]
 
 
 def queries() -> dict[str, Callable]:
