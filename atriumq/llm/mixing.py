@@ -29,6 +29,8 @@ from .common import SPACE, table, written
 
 #: Documents a block.
 BLOCK = 2000
+#: Up to so many sources, a row of facts for each is broadcast; beyond, it is joined like any table.
+FEW_SOURCES = 10_000
 _EPS = 1e-9
 
 
@@ -125,7 +127,8 @@ def mix_sources(
         facts.append((name, k, total, t, whole, max(0.0, r - whole), -(-n // BLOCK)))
     shape = "source string, source_no int, source_size long, target double, whole long, chance double, blocks int"
     facts_df = spark.createDataFrame(facts, shape)
-    at = rows.join(facts_df.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    few = F.broadcast if len(facts) <= FEW_SOURCES else lambda df: df
+    at = rows.join(few(facts_df.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # Documents without words, and sources that are taken a whole number of times, have nothing to decide.
     at = at.withColumn("p", F.when(F.col("size") > 0, F.col("chance")).otherwise(0.0)).drop("chance")
     kept = [c for c in at.columns if c not in ("blocks",)]
@@ -138,7 +141,7 @@ def mix_sources(
         count, last = spread(facts, turn), left <= BLOCK
         blocks = spark.createDataFrame(count, "source_no int, blocks int")
         closed = at.where(~is_open)
-        dealt = at.where(is_open).join(blocks, "source_no").withColumn("block", F.pmod(F.xxhash64("h", F.lit(turn)), F.col("blocks")).cast("int")).drop("blocks")
+        dealt = at.where(is_open).join(few(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64("h", F.lit(turn)), F.col("blocks")).cast("int")).drop("blocks")
 
         moved = dealt.groupBy("source_no", "block").applyInPandas(_decide(turn, last), kinds.replace(":", " "))
         done.append(closed)
