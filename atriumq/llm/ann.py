@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import frugal, table, written
 
 #: Codebooks and codewords of each; beam width; vectors of the training sample.
 BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 4, 6000
@@ -154,7 +154,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
                 places, scores = search_block(q, x, get("codes", np.uint8).reshape(-1, BOOKS), get("ratio", np.float32), books, k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, places.shape[1])), pa.array(ids[places.ravel()]), pa.array(scores.ravel())], ["asked", "value", "score"])
 
-    found = pairs.mapInArrow(scan, "asked long, value long, score double")
+    found = pairs.mapInArrow(frugal(scan), "asked long, value long, score double")
     # The k + 1 best values of each asked value, then the ids that hold them.
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "value")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")

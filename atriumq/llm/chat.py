@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import frugal, pieces, table
 
 #: Ids from RESERVED on are control tokens: the vocabulary ends below.
 RESERVED = 50256
@@ -81,7 +81,7 @@ def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
             names = ["conv_id", "turn", "role"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
 
-    encoded = rows.mapInArrow(encode, f"conv_id {conv}, turn long, role string, ids binary")
+    encoded = rows.mapInArrow(frugal(encode), f"conv_id {conv}, turn long, role string, ids binary")
     ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
 
     def mark(role: str) -> list[int]:
@@ -127,7 +127,7 @@ def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
         if started:
             yield out(True)
 
-    return ordered.mapInArrow(assemble, f"conv_id {conv}, piece long, ids array<int>, loss array<boolean>")
+    return ordered.mapInArrow(frugal(assemble), f"conv_id {conv}, piece long, ids array<int>, loss array<boolean>")
 
 
 class _Read:
@@ -194,4 +194,4 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     # The pieces of a conversation come out of one task in order, and are read as they come.
-    return format_chats(turns, path).mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return format_chats(turns, path).mapInArrow(frugal(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

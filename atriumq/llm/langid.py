@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, remainder, table
+from .common import buffers, frugal, remainder, table
 
 #: Bounds of the training sample: documents a language, characters of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 240, 1500, 1 << 16
@@ -127,7 +127,7 @@ def classify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text",
                 ["doc_id", "lang_pred", "score", "margin", "rejected"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, drop_table, inverse_powers, mix, pieces, prefix_hash, slice_hash, table, written
+from .common import buffers, drop_table, frugal, inverse_powers, mix, pieces, prefix_hash, slice_hash, table, written
 from .graph import components
 
 _U = np.uint64
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
                 ["doc_id", "n", "one", "two", "bands"],
             )
 
-    seen = written(texts.mapInArrow(sketch, "doc_id long, n long, one long, two long, bands array<long>"), "sketches")
+    seen = written(texts.mapInArrow(frugal(sketch), "doc_id long, n long, one long, two long, bands array<long>"), "sketches")
     classes = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"))
     firsts = seen.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     buckets = firsts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("b"))
@@ -199,7 +199,7 @@ def _verified(texts: DataFrame, clusters: DataFrame, k: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "shingles"])
 
     wanted = texts.join(clusters.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
-    sets = wanted.mapInArrow(shingled, "doc_id long, shingles binary")
+    sets = wanted.mapInArrow(frugal(shingled), "doc_id long, shingles binary")
     rows = sets.join(dealt, "doc_id")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces as cut
-from .common import table
+from .common import frugal, table
 
 #: Longer chunks use the heap: an array round costs as much as the chunk is long.
 LONG = 48
 #: Chunks kept in a worker; all are forgotten when it is full.
-CACHE = 700_000
+CACHE = 400_000
 BLANK = "▁"
 _NONE = np.int64(1) << 62
 
@@ -265,7 +265,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
                 ["doc_id", "ids", "decoded", "agrees"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string, agrees boolean")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, ids array<int>, decoded string, agrees boolean")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, drop_table, inverse_powers, pieces, prefix_hash, slice_hash, table, written
+from .common import buffers, drop_table, frugal, inverse_powers, pieces, prefix_hash, slice_hash, table, written
 
 _U = np.uint64
 GRAM = 64
 #: Bytes of segments that a BWT holds at a time, and the segments of an anchor beyond which they are hashed.
-TEXT_BYTES, HOT = 1 << 20, 4096
+TEXT_BYTES, HOT = 3 << 18, 4096
 
 
 def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -165,7 +165,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", i
             row, check = (batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("row", "check"))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, anchor, content, (start << 33) | (size << 24) | check)], ["row", "anchor", "content", "place"])
 
-    cut_up = written(rows.select("t", "row", "check").mapInArrow(cut, "row long, anchor long, content long, place long"), "segments")
+    cut_up = written(rows.select("t", "row", "check").mapInArrow(frugal(cut), "row long, anchor long, content long, place long"), "segments")
     size, check = F.shiftright("place", 24).bitwiseAND(511).cast("int"), F.col("place").bitwiseAND((1 << 24) - 1)
     twice = cut_up.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     shared = written(cut_up.join(twice, "anchor"), "shared")
@@ -201,7 +201,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", i
             yield out(held)
 
     cold = texts.where(f"n_kinds <= {HOT}").drop("n_kinds").repartition("anchor").sortWithinPartitions("anchor")
-    verdicts = cold.mapInArrow(expand, "anchor long, content long, spans array<int>")
+    verdicts = cold.mapInArrow(frugal(expand), "anchor long, content long, spans array<int>")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +214,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", i
             columns = [batch.column(c).to_numpy(zero_copy_only=False)[which] for c in ("anchor", "content", "weight")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*columns, h.view(np.int64), offset)], ["anchor", "content", "weight", "string", "offset"])
 
-    strings = texts.where(f"n_kinds > {HOT}").drop("n_kinds").mapInArrow(hashed, "anchor long, content long, weight long, string long, offset long")
+    strings = texts.where(f"n_kinds > {HOT}").drop("n_kinds").mapInArrow(frugal(hashed), "anchor long, content long, weight long, string long, offset long")
     often = strings.groupBy("anchor", "string").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "string")
     hot = strings.where("weight = 1").join(often, ["anchor", "string"]).groupBy("anchor", "content").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.col("offset").cast("int"))), lambda o: F.array(o, o + length))).alias("spans")
@@ -248,7 +248,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", i
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(by_row, ["row", "check"], "left").select("doc_id", "t", "spans").mapInArrow(remove, f"doc_id {kind}, n_bytes long, spans array<int>, kept binary")
+    return rows.join(by_row, ["row", "check"], "left").select("doc_id", "t", "spans").mapInArrow(frugal(remove), f"doc_id {kind}, n_bytes long, spans array<int>, kept binary")
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, remainder, table
+from .common import frugal, pieces, remainder, table
 
 #: Bounds of the training sample: documents of each label, and characters of a document in it.
 SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 3000}, 12_000
@@ -373,7 +373,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, text_col: str = "te
                 scores = [machine.score(machine.decide(s)) for s in reader.read([t or "" for t in batch.column("t").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, score double")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
