@@ -57,7 +57,7 @@ def suffix(name: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def location(token: Column) -> Column:

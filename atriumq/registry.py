@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from atriumq.queries import routes
+from atriumq.queries import models, routes
 
 FLAGSHIP = "G01_distances_from_node"
 
 
 def _modules() -> list:
-    return [routes]
+    return [routes, models]
 
 
 def queries() -> dict[str, Callable]:
