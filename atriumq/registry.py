@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from atriumq.queries import models, routes
+from atriumq.queries import floors, models, routes
 
 FLAGSHIP = "G01_distances_from_node"
 
 
 def _modules() -> list:
-    return [routes, models]
+    return [routes, models, floors]
 
 
 def queries() -> dict[str, Callable]:
