@@ -116,7 +116,9 @@ def mix_sources(
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), *carry)
-    rows = written(rows, "sizes")
+    # Carried columns stay in the table and are joined to the sample by row number; the flight sees narrow rows.
+    whole = written(rows.withColumn("_k", F.monotonically_increasing_id()), "sizes")
+    rows = whole.drop(*carry)
     found = [(r["source"], r["s"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).collect()]
     found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode()))
     goal = targets([s for _, s, _ in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
@@ -133,7 +135,6 @@ def mix_sources(
     at = at.withColumn("p", F.when(F.col("size") > 0, F.col("chance")).otherwise(0.0)).drop("chance")
     kept = [c for c in at.columns if c not in ("blocks",)]
     at, done, left = at.select(*kept), [], max([f[6] * BLOCK for f in facts], default=0)
-    kinds = at.schema.simpleString()[len("struct<") : -1]
     is_open = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
     turn = 0
     while True:
@@ -143,7 +144,7 @@ def mix_sources(
         closed = at.where(~is_open)
         dealt = at.where(is_open).join(few(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64("h", F.lit(turn)), F.col("blocks")).cast("int")).drop("blocks")
 
-        moved = dealt.groupBy("source_no", "block").applyInPandas(_decide(turn, last), kinds.replace(":", " "))
+        moved = dealt.groupBy("source_no", "block").applyInPandas(_decide(turn, last), at.schema)
         done.append(closed)
         if last:
             done.append(moved)
@@ -154,7 +155,8 @@ def mix_sources(
     for part in done[1:]:
         out = out.unionByName(part)
     taken = F.col("size") * (F.col("whole") + (F.col("p") > 0.5).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
+    out = out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "_k")
+    return out.join(whole.select("_k", *carry), "_k").drop("_k") if carry else out.drop("_k")
 
 
 def _decide(turn: int, last: bool):

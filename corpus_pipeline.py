@@ -15,24 +15,25 @@ from atriumq.llm import langid, minhash, mixing, pieces, suffix
 from atriumq.llm.common import remainder, written
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """Rows told apart even where ids repeat: equal rows share a mark and are treated alike."""
-    return docs.withColumn("_row", F.xxhash64(F.struct(*docs.columns)))
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one value, whatever its columns are called, and a mark that tells rows apart even where
+    ids repeat: equal rows share it and are treated alike."""
+    row = F.struct(*docs.columns)
+    return docs.select(row.alias("_doc"), F.xxhash64(row).alias("_row"))
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """``docs`` with another text, and its length where the table has one."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select("_doc.*").select(*columns)
 
 
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells clearly, with that language."""
     content = langid.train(docs.where(remainder("doc_id", 5) != 0))
-    rows = _marked(docs)
-    found = langid.classify(rows, content, id_col="_row").where("NOT rejected").select(F.col("doc_id").alias("_row"), F.col("lang_pred").alias("_lang")).dropDuplicates(["_row"])
-    out = rows.join(found, "_row").withColumn("lang", F.col("_lang"))
-    return out.select(*docs.columns)
+    rows = _packed(docs)
+    found = langid.classify(rows.select("_row", "_doc.text"), content, id_col="_row").where("NOT rejected")
+    found = found.select(F.col("doc_id").alias("_row"), F.col("lang_pred").alias("_lang")).dropDuplicates(["_row"])
+    out = rows.join(found, "_row").select(F.col("_doc").withField("lang", F.col("_lang")).alias("_doc"))
+    return _unpacked(out, docs.columns)
 
 
 def remove_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,23 +49,25 @@ def remove_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes and more that occur elsewhere; those left empty by it go."""
-    rows = _marked(docs)
-    found = suffix.repeated_bytes(rows, 200, id_col="_row").where("size(spans) > 0").select(F.col("doc_id").alias("_row"), F.col("kept").alias("_kept")).dropDuplicates(["_row"])
+    rows = _packed(docs)
+    found = suffix.repeated_bytes(rows.select("_row", "_doc.text"), 200, id_col="_row").where("size(spans) > 0")
+    found = found.select(F.col("doc_id").alias("_row"), F.col("kept").alias("_kept")).dropDuplicates(["_row"])
     # A cut may fall inside a character, whose other bytes then mean nothing.
     valid = F.make_valid_utf8(F.col("_kept").cast("string"))
-    cleaned = F.when(F.contains("text", F.lit("\ufffd")), valid).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
-    out = _with_text(rows.join(found, "_row", "left"), F.when(F.col("_kept").isNull(), F.col("text")).otherwise(cleaned))
-    return out.where("_kept IS NULL OR text RLIKE '[^ \\\\t\\\\n\\\\r]'").select(*docs.columns)
+    cleaned = F.when(F.contains("_doc.text", F.lit("\ufffd")), valid).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
+    new = F.col("_doc").withField("text", cleaned)
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.length(cleaned).cast(docs.schema["n_chars"].dataType))
+    out = rows.join(found, "_row", "left").select(F.when(F.col("_kept").isNull(), F.col("_doc")).otherwise(new).alias("_doc"), "_kept")
+    return _unpacked(out.where("_kept IS NULL OR _doc.text RLIKE '[^ \\\\t\\\\n\\\\r]'"), docs.columns)
 
 
 def mix_to_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to three times."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = docs.withColumnsRenamed({c: f"_{c}" for c in others})
-    mixed = mixing.mix_sources(rows, text_col="_text", carry=tuple(f"_{c}" for c in others))
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))
+    mixed = mixing.mix_sources(rows, carry=("_doc",))
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    out = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).withColumnsRenamed({f"_{c}": c for c in others})
-    return out.select(*docs.columns)
+    return _unpacked(mixed.select("_doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")), docs.columns)
 
 
 def tokenize(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
