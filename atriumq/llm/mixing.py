@@ -117,8 +117,8 @@ def mix_sources(
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), *carry)
     # Carried columns stay in the table and are joined to the sample by row number; the flight sees narrow rows.
-    whole = written(rows.withColumn("_k", F.monotonically_increasing_id()), "sizes")
-    rows = whole.drop(*carry)
+    stored = written(rows.withColumn("_k", F.monotonically_increasing_id()), "sizes")
+    rows = stored.drop(*carry)
     found = [(r["source"], r["s"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).collect()]
     found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode()))
     goal = targets([s for _, s, _ in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
@@ -156,7 +156,7 @@ def mix_sources(
         out = out.unionByName(part)
     taken = F.col("size") * (F.col("whole") + (F.col("p") > 0.5).cast("long"))
     out = out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "_k")
-    return out.join(whole.select("_k", *carry), "_k").drop("_k") if carry else out.drop("_k")
+    return out.join(stored.select("_k", *carry), "_k").drop("_k") if carry else out.drop("_k")
 
 
 def _decide(turn: int, last: bool):
