@@ -70,19 +70,25 @@ def one_decimal(value: Column) -> Column:
     return F.format_string("%.1f", value)
 
 
+def _head(content: Column, lower: bool = False) -> Column:
+    """The first 512 bytes as text, without the white space that they begin with."""
+    text = F.make_valid_utf8(F.substring(content, 1, 512).cast("string"))
+    return F.regexp_replace(F.lower(text) if lower else text, r"^[ \t\n\r\x0B\f]+", "")
+
+
 def media_type(content: Column) -> Column:
     """Media type by the first bytes, whatever the file is called."""
     out = F.when(F.lit(False), "")
     for magic, name in MAGIC:
         out = out.when(F.substring(content, 1, len(magic)) == F.lit(magic), name)
-    head = F.ltrim(F.make_valid_utf8(F.substring(content, 1, 512).cast("string")))
+    head = _head(content)
     svg = head.startswith("<svg") | (head.startswith("<?xml") & F.contains(head, F.lit("<svg")))
     return out.when(svg, "image/svg+xml").otherwise("application/octet-stream")
 
 
 def is_svg(content: Column) -> Column:
     """Whether the first bytes look like SVG, in either case of letters."""
-    head = F.ltrim(F.lower(F.make_valid_utf8(F.substring(content, 1, 512).cast("string"))))
+    head = _head(content, lower=True)
     return head.startswith("<svg") | (head.startswith("<?xml") & F.contains(head, F.lit("<svg")))
 
 
@@ -102,7 +108,7 @@ def unwrapped(content: Column) -> Column:
 
     Unwrapped only if what comes out begins like a known file."""
     text = F.make_valid_utf8(F.substring(content, 1, 4_000_000).cast("string"))
-    plain = _begins(F.ltrim(F.substring(content, 1, 64).cast("string")).cast("binary"), _PLAIN)
+    plain = _begins(content, _PLAIN) | _head(F.substring(content, 1, 64)).startswith("<")
     body = F.regexp_replace(F.regexp_extract(text, r"(?i)^\s*(?:data:[a-z/+.-]+;base64,)?([A-Za-z0-9+/=\r\n]+)$", 1), r"\s+", "")
     padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
     raw = F.when((body != "") & ~plain, F.try_to_binary(padded, F.lit("base64")))
