@@ -167,9 +167,11 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", i
 
     cut_up = written(rows.select("t", "row", "check").mapInArrow(frugal(cut), "row long, anchor long, content long, place long"), "segments")
     size, check = F.shiftright("place", 24).bitwiseAND(511).cast("int"), F.col("place").bitwiseAND((1 << 24) - 1)
-    twice = cut_up.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join reads two tables and Spark may split a hot anchor's rows.
+    twice = written(cut_up.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     shared = written(cut_up.join(twice, "anchor"), "shared")
     drop_table(cut_up)
+    drop_table(twice)
     kinds = written(shared.groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.first("row").alias("row"), F.first("place").alias("place")), "kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
 
