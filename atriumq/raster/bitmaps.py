@@ -143,6 +143,13 @@ def groups(mask: np.ndarray, least: float = 1) -> list[tuple[np.ndarray, int, in
 
 def distances(mask: np.ndarray) -> np.ndarray:
     """Euclidean distance of every set pixel to the nearest unset one; the image border is no obstacle."""
+    out = np.zeros(mask.shape)
+    ys, xs = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    if not len(ys):
+        return out
+    # Only the box of the set pixels and what is right beside it matters.
+    box = slice(max(0, ys[0] - 1), ys[-1] + 2), slice(max(0, xs[0] - 1), xs[-1] + 2)
+    mask = mask[box]
     h, w = mask.shape
     x = np.arange(w)
     far = h + w
@@ -154,7 +161,8 @@ def distances(mask: np.ndarray) -> np.ndarray:
         best[k:] = np.minimum(best[k:], g[:-k] + k * k)
         best[:-k] = np.minimum(best[:-k], g[k:] + k * k)
         k += 1
-    return np.sqrt(np.where(mask, best, 0))
+    out[box] = np.sqrt(np.where(mask, best, 0))
+    return out
 
 
 def _thin_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +315,14 @@ def stroke(mask: np.ndarray, points: np.ndarray, width: float, value: bool = Tru
 
 
 def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, by monotone chains."""
+    """Convex hull, by monotone chains over the outermost points of each row."""
+    points = np.asarray(points, float)
+    if len(points) > 500:
+        rows, at = np.unique(points[:, 1], return_inverse=True)
+        low, high = np.full(len(rows), np.inf), np.full(len(rows), -np.inf)
+        np.minimum.at(low, at, points[:, 0])
+        np.maximum.at(high, at, points[:, 0])
+        points = np.concatenate([np.stack([low, rows], 1), np.stack([high, rows], 1)])
     p = sorted(set(map(tuple, np.asarray(points, float).tolist())))
     if len(p) < 3:
         return np.array(p)
