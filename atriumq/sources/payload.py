@@ -39,7 +39,7 @@ def read_analysis(df: DataFrame, json_col: str = "payload", id_col: str = "floor
     solid = lambda x: F.filter(x, lambda s: F.size(s["polygon"]["outer"]) >= 3)
     return rows.select(
         "floorplan_id",
-        F.coalesce("p.parser", F.lit("structural-mapper")).alias("parser"),
+        F.coalesce("p.parser", F.lit("unknown")).alias("parser"),
         F.coalesce("p.parser_version", F.lit("1")).alias("parser_version"),
         F.col("p.image_size.width").alias("image_width"),
         F.col("p.image_size.height").alias("image_height"),
