@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
             )
 
     seen = written(texts.mapInArrow(frugal(sketch), "doc_id long, n long, one long, two long, bands array<long>"), "sketches")
-    classes = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"))
+    # Written, so that the joins read two tables and Spark may split the rows of a large class.
+    classes = written(seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id")), "classes")
     firsts = seen.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     buckets = firsts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("b"))
     leaders = buckets.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("bucket", "a")
