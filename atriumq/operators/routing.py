@@ -43,7 +43,7 @@ def distances(links: DataFrame, starts: DataFrame, rounds: int = 100_000) -> Dat
 def distances_in_buildings(links: DataFrame, starts: DataFrame) -> DataFrame:
     """The same for starts (building, floor, node), a building's links in one task and a heap for each start."""
     net = links.select("building", *(F.col(c).cast("string").alias(c) for c in ("src_floor", "src", "dst_floor", "dst")), "metres")
-    asked = starts.select("building", F.col("floor").cast("string").alias("floor"), F.col("node").cast("string").alias("node")).distinct()
+    asked = starts.select(F.col("building").alias("building"), F.col("floor").cast("string").alias("floor"), F.col("node").cast("string").alias("node")).distinct()
 
     def solve(wanted: pd.DataFrame, building: pd.DataFrame) -> pd.DataFrame:
         out = defaultdict(list)
@@ -85,20 +85,18 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
 
     requests: (request, building, start_floor, start, goal_floor, goal, accessible_only)."""
     text = {c: F.col(c).cast("string").alias(c) for c in ("src_floor", "src", "dst_floor", "dst")}
-    net = links.select("building", *text.values(), "metres", "kind", "label", "accessible", "ord").withColumn("what", F.lit(1))
+    net = links.select("building", *text.values(), "metres", "kind", "label", "accessible", "ord.*").withColumn("what", F.lit(1))
     known = nodes.select("building", F.col("floor").cast("string").alias("src_floor"), F.col("node").cast("string").alias("src")).withColumn("what", F.lit(0))
     every = known.unionByName(net, allowMissingColumns=True)
-    asked = requests.select("request", "building", *(F.col(c).cast("string").alias(c) for c in ("start_floor", "start", "goal_floor", "goal")), "accessible_only")
+    # Named anew: requests may come from the same table as the nodes.
+    asked = requests.select("request", F.col("building").alias("building"), *(F.col(c).cast("string").alias(c) for c in ("start_floor", "start", "goal_floor", "goal")), "accessible_only")
 
     def solve(wanted: pd.DataFrame, building: pd.DataFrame) -> pd.DataFrame:
         there = building[building["what"] == 0]
         keys, floors = set(zip(there["src_floor"], there["src"])), set(there["src_floor"])
-        part = building[building["what"] == 1]
-        order = sorted(range(len(part)), key=lambda k: tuple(part["ord"].iloc[k].values()) if isinstance(part["ord"].iloc[k], dict) else tuple(part["ord"].iloc[k]))
+        part = building[building["what"] == 1].sort_values(["f", "t", "a", "b", "r"], kind="stable")  # the order in which links are tried
         nets: dict[bool, dict] = {False: defaultdict(list), True: defaultdict(list)}
-        fields = [part[c].tolist() for c in ("src_floor", "src", "dst_floor", "dst", "metres", "kind", "label", "accessible")]
-        for k in order:
-            sf, s, df, d, m, kind, label, free = (f[k] for f in fields)
+        for sf, s, df, d, m, kind, label, free in zip(*(part[c].tolist() for c in ("src_floor", "src", "dst_floor", "dst", "metres", "kind", "label", "accessible"))):
             if (sf, s) in keys and (df, d) in keys:
                 for only in (False, True) if free else (False,):
                     nets[only][sf, s].append(((df, d), m, kind, label))

@@ -51,6 +51,7 @@ def clinic(seed: int) -> dict:
 
 def drawing(case: dict, px: int = PX_PER_METER) -> str:
     """The floor as SVG: rooms as outlined boxes, doors as gaps with a swing."""
+    # Colours, widths and the form of every element.
     size = [round(case["canvas_meters"][k] * px) for k in ("width", "height")]
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{size[0]}" height="{size[1]}" viewBox="0 0 {size[0]} {size[1]}">', '<rect width="100%" height="100%" fill="#fffdf8"/>']
     n = lambda v: f"{v * px:.1f}"
