@@ -115,5 +115,14 @@ def metrics(issues: DataFrame) -> DataFrame:
     return issues.groupBy("floor", "code").agg(F.count("*").cast("double").alias("n")).groupBy("floor").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "n")))).alias("metrics"))
 
 
+def path_lengths(points: DataFrame, key: str = "floor") -> DataFrame:
+    """(key, length): length of the path through a key's points in their order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("ord")
+    step = g.distance(F.lag("x").over(w), F.lag("y").over(w), "x", "y")
+    return points.withColumn("_step", step).groupBy(key).agg(F.sum("_step").alias("length"))
+
+
 def edge_lengths(placed: DataFrame) -> DataFrame:
     return placed.withColumn("length", g.distance("ax", "ay", "bx", "by"))

@@ -85,6 +85,28 @@ def passages(openings: DataFrame, spaces: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when((F.col("kind") == "door") & only, "passage").otherwise(F.col("kind"))).drop("kinds")
 
 
+def fitting(openings: DataFrame, least: float = 0.55, most: float = 3.0, deepest: float = 0.9) -> DataFrame:
+    """Openings as wide as doors are and no deeper than walls, in metres of their floor's scale (width, depth, ppm)."""
+    return openings.where((F.col("width") >= least * F.col("ppm")) & (F.col("width") <= most * F.col("ppm")) & (F.col("depth") >= 1) & (F.col("depth") <= deepest * F.col("ppm")))
+
+
+def largest(df: DataFrame, item: str, size: str = "area") -> DataFrame:
+    """(floor, item): the largest of each floor, the first of equals."""
+    return df.groupBy("floor").agg(F.min_by(item, F.struct(-F.col(size), F.col("ord"))).alias(item))
+
+
+def with_space_kinds(openings: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Openings with the kinds of the spaces on both sides, null where there is none."""
+    k = spaces.select("floor", "space", "kind")
+    out = openings.join(k.select("floor", F.col("space").alias("space_a"), F.col("kind").alias("kind_a")), ["floor", "space_a"], "left")
+    return out.join(k.select("floor", F.col("space").alias("space_b"), F.col("kind").alias("kind_b")), ["floor", "space_b"], "left")
+
+
+def merged_sources(df: DataFrame) -> DataFrame:
+    """(floor, opening, sources): what drew an opening, from several sightings, sorted."""
+    return df.groupBy("floor", "opening").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
 def entrance_limit(touches_border, evidence) -> F.col:
     """Metres up to which a gap in the envelope counts as an entrance: wider where a door is drawn or the plan is cut."""
     return F.when(touches_border | (evidence > 0), 6.0).otherwise(3.0)

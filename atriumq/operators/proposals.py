@@ -74,6 +74,31 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str, radius: float |
     return best.select("floor", key, "best.node", "best.distance")
 
 
+def candidates(points: DataFrame, nodes: DataFrame, key: str, most: int = 400) -> DataFrame:
+    """(floor, key, place, node, distance): the ``most`` nearest nodes of the floor, nearest first, ties in node order."""
+    p = points.select("floor", key, F.col("x").alias("px"), F.col("y").alias("py"))
+    far = p.join(nodes.select("floor", "node", "ord", "x", "y"), "floor").withColumn("distance", g.distance("px", "py", "x", "y"))
+    place = F.row_number().over(Window.partitionBy("floor", key).orderBy("distance", "ord"))
+    return far.withColumn("place", place).where(F.col("place") <= most).select("floor", key, "place", "node", "distance")
+
+
+def thinned(points: DataFrame, keys: list[str], most: int = 40, order: str = "ord") -> DataFrame:
+    """Every so-manieth point of a path, so that about ``most`` are left."""
+    path = Window.partitionBy(*keys)
+    at = F.row_number().over(path.orderBy(order)) - 1
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(path) / most).cast("int"))
+    return points.withColumn("_at", at).withColumn("_step", step).where("_at % _step = 0").drop("_at", "_step")
+
+
+def in_order(**parts: DataFrame) -> DataFrame:
+    """Polygons of several kinds as one table, ordered by kind as given and by their own order within it."""
+    out = None
+    for rank, (kind, df) in enumerate(parts.items()):
+        df = df.select("floor", "ord", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
+        out = df if out is None else out.unionByName(df)
+    return out.withColumn("n", F.row_number().over(Window.partitionBy("floor").orderBy("rank", "ord")))
+
+
 def reattached(pois: DataFrame, nodes: DataFrame) -> DataFrame:
     """(floor, poi, node): the nearest room or connector if it is not over 2.5 times as far as the nearest node, else that."""
     every = nearest_node(pois, nodes, "poi")

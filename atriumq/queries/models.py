@@ -217,6 +217,45 @@ def deleted_nodes(spark, d):
     return left["pois"].select("floor", F.lit("poi").alias("what")).unionByName(left["edges"].select("floor", F.lit("edge").alias("what"))).unionByName(left["connectors"].select(F.col("src_floor").alias("floor"), F.lit("connector").alias("what"))).unionByName(left["anchors"].select("floor", F.lit("anchor").alias("what"))).groupBy("floor", "what").agg(F.count("*").alias("n"))
 
 
+def nearest_candidates(spark, d):
+    """Twenty nearest nodes of every place."""
+    return proposals.candidates(view(spark, d, "fx_poi").where("poi < 500"), view(spark, d, "fx_node"), "poi", 20).select("floor", "poi", "place", "node", _r("distance").alias("distance"))
+
+
+def thinned_paths(spark, d):
+    return proposals.thinned(view(spark, d, "fx_node"), ["floor"], 12).select("floor", "node")
+
+
+def ordered_polygons(spark, d):
+    w, p = view(spark, d, "fx_wall"), view(spark, d, "fx_poi")
+    part = lambda df, k: df.select("floor", F.col(k).alias("ord"))
+    return proposals.in_order(wall=part(w, "wall"), obstacle=part(p.where("poi % 7 = 0"), "poi"), window=part(p.where("poi % 11 = 0"), "poi")).select("floor", "kind", "ord", "n")
+
+
+def fitting_openings(spark, d):
+    o = view(spark, d, "fx_opening").withColumn("depth", F.col("opening") % 14).withColumn("ppm", F.lit(12.0))
+    return inference.fitting(o).select("floor", "opening")
+
+
+def largest_spaces(spark, d):
+    return inference.largest(view(spark, d, "fx_space"), "space")
+
+
+def opening_sides(spark, d):
+    s = view(spark, d, "fx_space").withColumn("kind", F.when(F.col("is_void"), "void").otherwise("room"))
+    return inference.with_space_kinds(view(spark, d, "fx_opening").drop("kind"), s).select("floor", "opening", "kind_a", "kind_b")
+
+
+def opening_sources(spark, d):
+    o = view(spark, d, "fx_opening")
+    seen = o.select("floor", "opening", F.array(F.lit("gap")).alias("sources")).unionByName(o.where("opening % 2 = 0").select("floor", "opening", F.array(F.lit("swing"), F.lit("gap")).alias("sources"))).unionByName(o.where("opening % 3 = 0").select("floor", "opening", F.array(F.lit("ml")).alias("sources")))
+    return inference.merged_sources(seen).select("floor", "opening", F.array_join("sources", "+").alias("sources"))
+
+
+def path_lengths(spark, d):
+    return graphs.path_lengths(view(spark, d, "fx_node")).select("floor", _r("length", 4).alias("length"))
+
+
 def catalog_list(spark, d):
     """Orders as catalog rows, newest first: the newest ten."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
@@ -268,6 +307,8 @@ QUERIES = {
     "A01_diagnostics": diagnostics, "X12_proposal_summary": proposal_summary, "A04_stroke_mode": stroke_mode, "A05_otsu": otsu, "R01_dark_pixels": dark_pixels, "A06_stroke_threshold": stroke_threshold, "F02_stroke_roles": stroke_roles,
     "F01_wall_fills": wall_fills, "A03_pixel_groups": pixel_groups, "A12_group_overlap": group_overlap, "A10_face_spread": face_spread, "V04_principal_angles": principal_angles, "U01_pixel_sets": pixel_sets,
     "U08_deleted_nodes": deleted_nodes, "T01_catalog_list": catalog_list, "S06_catalog_upsert": catalog_upsert, "S04_upload_names": upload_names,
+    "T03_nearest_candidates": nearest_candidates, "T04_thinned_paths": thinned_paths, "U02_ordered_polygons": ordered_polygons, "F13_fitting_openings": fitting_openings, "A08_largest_spaces": largest_spaces,
+    "J09_opening_sides": opening_sides, "T08_opening_sources": opening_sources, "W07_path_lengths": path_lengths,
 }
 
 ORACLES = {
@@ -326,4 +367,12 @@ UNION ALL SELECT floor, 'edge' FROM fx_edge e WHERE from_node % 7 <> 0 AND to_no
     "S06_catalog_upsert": "WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE 1000000 END AS id, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 5 = 0) SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, v FROM n",
     "S04_upload_names": """WITH p AS (SELECT *, ['a/','../','','b/../','/','./'][p_partkey % 6 + 1] || 'plan' || p_partkey || ['.PDF','.svg','','.tar.gz','.Jpeg'][p_partkey % 5 + 1] AS n FROM part WHERE p_partkey < 800)
 SELECT p_partkey, lower(regexp_extract(n, '(\\.[^./\\\\]+)$', 1)) AS suffix, p_partkey % 6 NOT IN (1, 4) AS inside, 'http://a|' || trim(p_brand) || '|b' AS origins, 'f' || p_partkey AS floor_token, lower(trim(' ' || p_brand || ' ')) AS code, printf('%.1f', p_retailprice) AS price FROM p""",
+    "T03_nearest_candidates": duck("SELECT p.floor, poi, row_number() OVER w::INT AS place, n.node, round(sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)), 6) AS distance FROM fx_poi p JOIN fx_node n ON n.floor=p.floor WHERE poi < 500 WINDOW w AS (PARTITION BY p.floor, poi ORDER BY sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)), n.ord) QUALIFY row_number() OVER w <= 20", "fx_poi", "fx_node"),
+    "T04_thinned_paths": duck("WITH k AS (SELECT floor, node, row_number() OVER (PARTITION BY floor ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY floor) AS n FROM fx_node) SELECT floor, node FROM k WHERE i % greatest(1, n // 12) = 0", "fx_node"),
+    "U02_ordered_polygons": duck("WITH u AS (SELECT floor, 'wall' AS kind, wall AS ord, 0 AS r FROM fx_wall UNION ALL SELECT floor, 'obstacle', poi, 1 FROM fx_poi WHERE poi % 7 = 0 UNION ALL SELECT floor, 'window', poi, 2 FROM fx_poi WHERE poi % 11 = 0) SELECT floor, kind, ord, row_number() OVER (PARTITION BY floor ORDER BY r, ord)::INT AS n FROM u", "fx_wall", "fx_poi"),
+    "F13_fitting_openings": duck("SELECT floor, opening FROM fx_opening WHERE width BETWEEN 0.55 * 12 AND 3.0 * 12 AND opening % 14 BETWEEN 1 AND 0.9 * 12", "fx_opening"),
+    "A08_largest_spaces": duck("SELECT floor, space FROM fx_space QUALIFY row_number() OVER (PARTITION BY floor ORDER BY area DESC, ord) = 1", "fx_space"),
+    "J09_opening_sides": duck("WITH s AS (SELECT floor, space, CASE WHEN is_void THEN 'void' ELSE 'room' END AS k FROM fx_space) SELECT o.floor, o.opening, a.k AS kind_a, b.k AS kind_b FROM fx_opening o LEFT JOIN s a ON a.floor=o.floor AND a.space=o.space_a LEFT JOIN s b ON b.floor=o.floor AND b.space=o.space_b", "fx_opening", "fx_space"),
+    "T08_opening_sources": duck("SELECT floor, opening, 'gap' || CASE WHEN opening % 3 = 0 THEN '+ml' ELSE '' END || CASE WHEN opening % 2 = 0 THEN '+swing' ELSE '' END AS sources FROM fx_opening", "fx_opening"),
+    "W07_path_lengths": duck("SELECT floor, round(sum(d), 4) AS length FROM (SELECT floor, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS d FROM fx_node WINDOW w AS (PARTITION BY floor ORDER BY ord)) GROUP BY 1", "fx_node"),
 }
