@@ -29,7 +29,7 @@ from .common import frugal, table
 
 #: Longer chunks use the heap: an array round costs as much as the chunk is long.
 LONG = 48
-#: Chunks kept in a worker; all are forgotten when it is full.
+#: Chunks kept in a task; all are forgotten when it is full.
 CACHE = 400_000
 BLANK = "▁"
 _NONE = np.int64(1) << 62
@@ -264,6 +264,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array([own.library.decode(x) for x in expected], pa.string()), pa.array(agrees, pa.bool_())],
                 ["doc_id", "ids", "decoded", "agrees"],
             )
+        own.cache.clear()  # a worker that waits holds no chunks
 
     return rows.mapInArrow(frugal(run), f"doc_id {kind}, ids array<int>, decoded string, agrees boolean")
 
