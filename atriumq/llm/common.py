@@ -20,6 +20,9 @@ SPACE = r"\x20\x09-\x0D"
 #: Bytes of text that the numpy kernels take at once; bounds their temporary arrays.
 PIECE_BYTES = 1 << 20
 
+#: Tables that this session has written to the shared folder.
+_WRITTEN: list[str] = []
+
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -60,9 +63,17 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes all tables of this session from the shared folder; call it once results have been read."""
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _WRITTEN):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.clear()
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes a table made by written() whose rows are no longer read."""
     spark = df.sparkSession

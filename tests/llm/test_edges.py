@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import os
 import random
 
 import pytest
@@ -121,3 +122,12 @@ def test_empty_tables(docs):
     assert pieces.encode_decode(none).count() == 0 and mixing.mix_sources(none).count() == 0
     assert minhash.near_duplicates(none).count() == 0 and suffix.repeated_bytes(none).count() == 0
 
+
+def test_clean_removes_the_tables_of_a_session(spark, docs):
+    from atriumq.llm import common
+
+    kept = common.written(docs, "some")
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    common.clean(spark)
+    assert not os.path.isdir(folder)
