@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, drop_table, frugal, inverse_powers, mix, pieces, prefix_hash, slice_hash, table, written
+from .common import buffers, frugal, inverse_powers, mix, pieces, prefix_hash, slice_hash, table, written
 from .graph import components
 
 _U = np.uint64
