@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atriumq.fixtures import duck, view
-from atriumq.functions import geometry as g
 from atriumq.operators import checks, graphs, network, routing
 
 _CROSS = """((b.x-a.x)*(w.sy-a.y)-(b.y-a.y)*(w.sx-a.x))*((b.x-a.x)*(w.ey-a.y)-(b.y-a.y)*(w.ex-a.x)) < -1e-7
