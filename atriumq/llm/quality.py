@@ -77,23 +77,24 @@ def n_repeat_words(words: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line is no running text; a boolean, never null for a line that is not null."""
-    # What is between letters is replaced, not the letters: far fewer matches.
-    letters = F.length(F.regexp_replace(line, r"[^A-Za-z\x{00C0}-\x{024F}]+", ""))
+    # What is between is replaced, not what is counted: far fewer matches. All signs are gathered in one pass.
+    signs = F.regexp_replace(line, f"[^{SYMBOLS}»!]+", "")
     caps = F.length(F.regexp_replace(line, r"[^A-Z\x{00C0}-\x{00DE}]+", ""))
+    letters = F.length(F.regexp_replace(line, r"[^A-Za-z\x{00C0}-\x{024F}]+", ""))
 
-    def judged(words: Column) -> Column:
+    def judged(words: Column, marks: Column) -> Column:
         n = F.size(words)
         return (
-            (_count(line, SYMBOLS) * 4 > n)  # symbols instead of punctuation
+            (_count(marks, SYMBOLS) * 4 > n)  # symbols instead of punctuation
             | ((n > 8) & ~line.rlike(FINAL))  # a long line that does not end
-            | (_count(line, "|>»") * 6 > n + 3)  # separators of a navigation bar
+            | (_count(marks, "|>»") * 6 > n + 3)  # separators of a navigation bar
             | line.rlike(BOILERPLATE)
-            | (_count(line, "!") * 3 > n + 3)
-            | ((caps * 2 > letters) & (n > 2))  # shouting
+            | (_count(marks, "!") * 3 > n + 3)
+            | let(caps, lambda c: (c > n) & (n > 2) & (c * 2 > letters))  # shouting
             | ((F.size(F.array_distinct(words)) * 3 < n) & (n > 8))  # a few words over and over
         )
 
-    return let(_words(line), judged)
+    return let(_words(line), lambda words: let(signs, lambda marks: judged(words, marks)))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_loss: float = 0.4) -> DataFrame:
@@ -151,7 +152,7 @@ f AS (SELECT doc_id, x, len(regexp_extract_all(x, '{_W}')) AS n,
   length(x) - length(replace(x, '!', '')) AS ex, length(x) - length(regexp_replace(x, '[A-Za-z\x{{00C0}}-\x{{024F}}]', '', 'g')) AS le,
   length(x) - length(regexp_replace(x, '[A-Z\x{{00C0}}-\x{{00DE}}]', '', 'g')) AS ca, len(list_distinct(regexp_extract_all(x, '{_W}'))) AS dw FROM l),
 k AS (SELECT doc_id, sum(n)::BIGINT AS n_kept_words FROM f WHERE NOT (sy * 4 > n OR (n > 8 AND NOT regexp_matches(x, '{FINAL.replace("'", "''")}'))
-  OR se * 6 > n + 3 OR regexp_matches(x, '{BOILERPLATE}') OR ex * 3 > n + 3 OR (ca * 2 > le AND n > 2)
+  OR se * 6 > n + 3 OR regexp_matches(x, '{BOILERPLATE}') OR ex * 3 > n + 3 OR (ca * 2 > le AND ca > n AND n > 2)
   OR (dw * 3 < n AND n > 8)) GROUP BY 1),
 o AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
