@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 #: A line of running text ends with one of these.
 FINAL = r"[.!?:;…\"'”’)\]»][\x20\x09-\x0D]*$"
 BOILERPLATE = (
-    r"(?i)(?:^|[\x20\t(])(?:all rights reserved|cookie policy|we use cookies|accept cookies|privacy policy|terms of (use|service)|"
+    r"(?i)(all rights reserved|cookie policy|we use cookies|accept cookies|privacy policy|terms of (use|service)|"
     r"enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here|read more|"
     r"lorem ipsum|skip to (main )?content|back to top|powered by|share on (facebook|twitter))"
 )
@@ -90,7 +90,7 @@ def line_fails(line: Column) -> Column:
             | (_count(marks, "|>»") * 6 > n + 3)  # separators of a navigation bar
             | line.rlike(BOILERPLATE)
             | (_count(marks, "!") * 3 > n + 3)
-            | let(caps, lambda c: (c > n) & (n > 2) & (c * 2 > letters))  # shouting
+            | ((n > 2) & (caps * 2 > letters))  # shouting
             | ((F.size(F.array_distinct(words)) * 3 < n) & (n > 8))  # a few words over and over
         )
 
@@ -152,7 +152,7 @@ f AS (SELECT doc_id, x, len(regexp_extract_all(x, '{_W}')) AS n,
   length(x) - length(replace(x, '!', '')) AS ex, length(x) - length(regexp_replace(x, '[A-Za-z\x{{00C0}}-\x{{024F}}]', '', 'g')) AS le,
   length(x) - length(regexp_replace(x, '[A-Z\x{{00C0}}-\x{{00DE}}]', '', 'g')) AS ca, len(list_distinct(regexp_extract_all(x, '{_W}'))) AS dw FROM l),
 k AS (SELECT doc_id, sum(n)::BIGINT AS n_kept_words FROM f WHERE NOT (sy * 4 > n OR (n > 8 AND NOT regexp_matches(x, '{FINAL.replace("'", "''")}'))
-  OR se * 6 > n + 3 OR regexp_matches(x, '{BOILERPLATE}') OR ex * 3 > n + 3 OR (ca * 2 > le AND ca > n AND n > 2)
+  OR se * 6 > n + 3 OR regexp_matches(x, '{BOILERPLATE}') OR ex * 3 > n + 3 OR (ca * 2 > le AND n > 2)
   OR (dw * 3 < n AND n > 8)) GROUP BY 1),
 o AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
