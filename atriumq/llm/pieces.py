@@ -4,8 +4,8 @@ A score-ordered agenda of adjacent symbol pairs: the pair whose union has the be
 on ties, is merged until no union is in the vocabulary; characters left outside the vocabulary fall
 back to byte pieces. Texts are cut where no piece of the vocabulary can reach across, so equal
 chunks are merged once. Short chunks run through the agenda together, one merge of each at a time,
-as numpy arrays; long ones use a heap. Every Arrow batch is checked against the sentencepiece
-library, whose ids win if they should differ (``agrees`` says so).
+as numpy arrays; long ones use a heap. The agenda's ids are what is returned, and the text is read
+back from them; the sentencepiece library encodes every text too, only to tell whether it ``agrees``.
 
 Defined results: null counts as empty and gives no ids; repeated rows give repeated results; other
 columns of the input are ignored.
@@ -241,6 +241,20 @@ def agenda(path: str) -> Agenda:
     return Agenda(path)
 
 
+def tokenised(own: Agenda, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Ids, the text read back from them and whether the library agrees, of the texts in ``t``."""
+    texts = [t or "" for t in batch.column("t").to_pylist()]
+    found = own.encode(texts)
+    agrees = [array("i", ids).tobytes() == raw for ids, raw in zip(own.library.encode(texts, num_threads=1), found)]
+    decoded = [own.library.decode(array("i", raw).tolist()) for raw in found]
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int64).astype(np.int32)
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
+        ["doc_id", "ids", "decoded", "agrees"],
+    )
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, ids array<int>, decoded string, agrees boolean."""
     path = path or model_path()
@@ -250,20 +264,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(path)
         for batch in cut(batches, "t", 1 << 20):
-            texts = [t or "" for t in batch.column("t").to_pylist()]
-            found = own.encode(texts)
-            expected = own.library.encode(texts, num_threads=1)
-            agrees = []
-            for k, ids in enumerate(expected):
-                raw = array("i", ids).tobytes()
-                agrees.append(raw == found[k])
-                found[k] = raw
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int64).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array([own.library.decode(x) for x in expected], pa.string()), pa.array(agrees, pa.bool_())],
-                ["doc_id", "ids", "decoded", "agrees"],
-            )
+            yield tokenised(own, batch)
         own.cache.clear()  # a worker that waits holds no chunks
 
     return rows.mapInArrow(frugal(run), f"doc_id {kind}, ids array<int>, decoded string, agrees boolean")

@@ -1,8 +1,9 @@
 """Cases that shortened forms of the corpus operators lost."""
 
 import duckdb
+import pyarrow as pa
 
-from atriumq.llm import quality
+from atriumq.llm import pieces, quality
 
 
 def test_op9_judges_every_shouting_and_boilerplate_line(spark):
@@ -17,3 +18,20 @@ def test_op9_judges_every_shouting_and_boilerplate_line(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
     names = [c[0] for c in con.execute(quality.ORACLE).description]
     assert {r["doc_id"]: r["n_kept_words"] for r in (dict(zip(names, x)) for x in con.fetchall())} == got
+
+
+def test_op5_returns_the_ids_of_the_agenda():
+    right = pieces.agenda(pieces.model_path())
+
+    class Wrong:
+        """Reads one text as another, which the library must not paper over."""
+
+        library = right.library
+
+        def encode(self, texts):
+            return right.encode(["as it was" if t == "so it is" else t for t in texts])
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "t": ["so it is", "as it was", None]})
+    got = pieces.tokenised(Wrong(), batch).to_pylist()
+    assert [(r["decoded"], r["agrees"]) for r in got] == [("as it was", False), ("as it was", True), ("", True)]
+    assert got[0]["ids"] == got[1]["ids"] == right.library.encode("as it was") and got[2]["ids"] == []
