@@ -2,8 +2,8 @@
 
 The kernel of two words is the gap-weighted count of their common subsequences of three letters,
 normalised; it falls only a little when letters are inserted, dropped or parted by signs. A word is
-compared from its start, over about the length of the landmark, so endings do not count. Words whose
-start lacks more than one letter of a landmark in its order have kernel 0. A sentence is the sum of
+compared at every offset and over every length: its best span counts, so beginnings, endings and glued
+words do not dilute it. Words that lack more than one letter of a landmark in its order have kernel 0. A sentence is the sum of
 its words, so its kernel with a landmark is the sum of the words' kernels; landmarks are words that
 tell labelled toxic documents from clean ones and the clean words most like them. The machine is
 trained on sentences: those of clean documents against those of toxic ones that hold a landmark, and
@@ -39,46 +39,48 @@ LEAST_Z, STRONG = 6.0, 0.8
 HIDDEN = 0.25
 #: Subsequences of ORDER letters; each letter that a subsequence spans costs a factor DECAY.
 ORDER, DECAY, POWER = 3, 0.85, 2
-#: Longer words are taken in overlapping windows of WIDE letters.
+#: The longest landmark.
 WIDE = 24
-#: Letters beyond a landmark's length in which its letters may be spread.
-SLACK = 2
+#: Longer words are taken in windows of WINDOW letters, every half of one, so that all spans of half a window are seen whole.
+WINDOW = 64
+#: Words of like length are compared together.
+LENGTHS = (6, 8, 10, 13, 17, WIDE, WINDOW)
 SEEN = 400_000
 
 _JUNK = re.compile(r"[\W\d_]+")
-_SPELT = re.compile(r"(?:\s\w[^\w\s]?){4,}(?=\s|$)")
+_SPELT = re.compile(r"(?:\s\w[^\w\s]?){3,}(?=\s|$)")
 _END = (".", "!", "?")
 
 
-def _codes(words: list[str]) -> np.ndarray:
+def _codes(words: list[str], wide: int = WIDE) -> np.ndarray:
     """Letters as numbers under 1024, one column a word; 0 behind the end."""
-    out = np.zeros((WIDE, len(words)), np.int64)
+    out = np.zeros((wide, len(words)), np.int64)
     for k, w in enumerate(words):
         out[: len(w), k] = [ord(c) & 1023 or 1 for c in w]
     return out
 
 
-def ssk(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Gap-weighted subsequence kernel of ORDER letters, column by column."""
+def _ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weight of the common subsequences of ORDER letters that end at letter i of a and j of b, column by column."""
     n = a.shape[1]
     rows, cols = int((a > 0).sum(0).max(initial=0)), int((b > 0).sum(0).max(initial=0))
-    same = [[((a[i] == b[j]) & (a[i] > 0)).astype(np.float64) for j in range(cols)] for i in range(rows)]
+    same = ((a[:rows, None] == b[None, :cols]) & (a[:rows, None] > 0)).astype(np.float64)
     before = np.ones((rows + 1, cols + 1, n))
-    for order in range(1, ORDER + 1):
-        if order == ORDER:
-            total = np.zeros(n)
-            for i in range(rows):
-                for j in range(cols):
-                    total += same[i][j] * before[i, j] * DECAY**2
-            return total
+    for _ in range(ORDER - 1):
         now = np.zeros_like(before)
         for i in range(rows):
+            step = DECAY**2 * same[i] * before[i, :cols]
             run = np.zeros(n)
             for j in range(cols):
-                run = DECAY * run + DECAY**2 * same[i][j] * before[i, j]
+                run = DECAY * run + step[j]
                 now[i + 1, j + 1] = DECAY * now[i, j + 1] + run
         before = now
-    raise AssertionError
+    return DECAY**2 * same * before[:rows, :cols]
+
+
+def ssk(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Gap-weighted subsequence kernel of ORDER letters, column by column."""
+    return _ends(a, b).sum((0, 1))
 
 
 class Landmarks:
@@ -103,37 +105,52 @@ class Landmarks:
         return np.bitwise_or.reduce(np.where(codes > 0, bit, np.uint64(0)), axis=0)
 
     def kernel(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, value) of all kernels that are not 0."""
-        words = [w[:WIDE] for w in words]
-        codes = _codes(words)
+        """(word, landmark, value) of all kernels that are not 0, of words of up to WINDOW letters."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        ws, ms, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for low, high in zip((ORDER - 1, *LENGTHS), LENGTHS):
+            some = np.flatnonzero((lengths > low) & (lengths <= high))
+            codes = _codes([words[k] for k in some], high)
+            w, m = self._near(codes, lengths[some])
+            much = max(16, (1 << 20) // high**2)
+            for k in range(0, len(w), much):
+                values.append(self._best(codes, w[k : k + much], m[k : k + much]))
+            ws.append(some[w])
+            ms.append(m)
+        return np.concatenate(ws), np.concatenate(ms), np.concatenate(values)
+
+    def _near(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of word and landmark that have all letters of the landmark but one in its order, wherever they stand."""
         letters = self._letters(codes)
-        lengths = (codes > 0).sum(0)
-        ws, ms = [], []
+        ws, ms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, size in enumerate(self.size):
             near = np.flatnonzero((np.bitwise_count(letters & self.letters[k]) + 1 >= self.distinct[k]) & (lengths >= max(ORDER, size - 1)))
             if not len(near):
                 continue
             open_ = np.full(len(near), 0xFFFFFFFF, np.uint32)  # common subsequence by bits
-            for j in range(min(int(lengths[near].max()), int(size) + SLACK)):
-                hit = open_ & self.bits[k][codes[j, near]]
+            for row in codes:
+                hit = open_ & self.bits[k][row[near]]
                 open_ = (open_ + hit) | (open_ - hit)
             common = np.bitwise_count(~open_ & np.uint32((1 << int(size)) - 1))
-            near = near[common >= size - 1]
+            near = near[common >= max(ORDER, size - 1)]
             ws.append(near)
             ms.append(np.full(len(near), k))
-        if not ws or not sum(map(len, ws)):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        w, m = np.concatenate(ws), np.concatenate(ms)
-        value = np.concatenate([self._normal(codes[:, w[k : k + 4096]], m[k : k + 4096]) for k in range(0, len(w), 4096)])
-        return w, m, value
-
-    def _normal(self, codes: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """The best of the word's starts: from a letter less than the landmark to SLACK more."""
-        best, place = np.zeros(len(m)), np.arange(WIDE)[:, None]
-        for more in range(-1, SLACK + 1):
-            start = np.where(place < (self.size[m] + more)[None, :], codes, 0)[: int(self.size.max()) + SLACK]
-            raw = ssk(start, self.codes[:, m])
-            best = np.maximum(best, raw / np.maximum(np.sqrt(ssk(start, start)) * self.own[m], 1e-12))
+        return np.concatenate(ws), np.concatenate(ms)
+
+    def _best(self, codes: np.ndarray, w: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The best over all spans of each word. It begins with a letter of the landmark: others before it only add to the span's own kernel."""
+        best = np.zeros(len(w))
+        known = np.stack(self.bits) > 0
+        for start in range(len(codes) - ORDER + 1):
+            on = np.flatnonzero(known[m, codes[start, w]] & (codes[start + ORDER - 1, w] > 0))
+            if not len(on):
+                continue
+            raw = _ends(codes[start:, w[on]], self.codes[:, m[on]]).sum(1).cumsum(0)
+            # The same word often meets several landmarks; its own kernel up to each letter is taken once.
+            one, which = np.unique(w[on], return_inverse=True)
+            ends = _ends(codes[start:, one], codes[start:, one])
+            own = ends.cumsum(0).cumsum(1)[np.arange(len(ends)), np.arange(len(ends))][:, which]
+            best[on] = np.maximum(best[on], (raw / np.maximum(np.sqrt(own) * self.own[m[on]], 1e-12)).max(0))
         return np.clip(best, 0, 1) ** POWER
 
 
@@ -142,7 +159,7 @@ def units(token: str) -> list[str]:
     word = _JUNK.sub("", token)
     if len(word) < ORDER:
         return []
-    return [word] if len(word) <= WIDE else [word[k : k + WIDE] for k in range(0, len(word) - WIDE // 2, WIDE // 2)]
+    return [word] if len(word) <= WINDOW else [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
 class Reader:
@@ -249,7 +266,7 @@ def choose(toxic: list[str], clean: list[str]) -> tuple[Landmarks, int]:
     the clean words most like them; and how many are of the first kind."""
 
     def words(t: str) -> set[str]:
-        return {u for x in set(t.lower().split()) for u in units(x) if len(u) > ORDER}
+        return {u[:WIDE] for x in set(t.lower().split()) for u in units(x) if len(u) > ORDER}
 
     def starts(t: str) -> set[str]:
         found = words(t)

@@ -1,9 +1,14 @@
 """Cases that shortened forms of the corpus operators lost."""
 
+import itertools
+import random
+from collections import Counter
+
 import duckdb
 import pyarrow as pa
+import pytest
 
-from atriumq.llm import pieces, quality
+from atriumq.llm import pieces, quality, toxicity
 
 
 def test_op9_judges_every_shouting_and_boilerplate_line(spark):
@@ -35,3 +40,43 @@ def test_op5_returns_the_ids_of_the_agenda():
     got = pieces.tokenised(Wrong(), batch).to_pylist()
     assert [(r["decoded"], r["agrees"]) for r in got] == [("as it was", False), ("as it was", True), ("", True)]
     assert got[0]["ids"] == got[1]["ids"] == right.library.encode("as it was") and got[2]["ids"] == []
+
+
+def test_op1_compares_every_span_of_a_token():
+    marks = toxicity.Landmarks(["idiot", "stupid"])
+    rnd = random.Random(2)
+
+    def kernel(a, b):  # by listing all subsequences of three letters
+        def weights(x):
+            out = Counter()
+            for p in itertools.combinations(range(len(x)), 3):
+                out["".join(x[k] for k in p)] += toxicity.DECAY ** (p[-1] - p[0] + 1)
+            return out
+
+        u, v = weights(a), weights(b)
+        return sum(u[k] * v[k] for k in u)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(len(b)), lambda last, j: max(last, row[j + 1], row[j] + (x == b[j])), initial=0)][1:]
+        return row[-1]
+
+    def best(a, b):
+        if common(a, b) < len(b) - 1:
+            return 0.0
+        spans = [a[i:j] for i in range(len(a)) for j in range(i + 3, len(a) + 1)]
+        return max((kernel(x, b) / (kernel(x, x) * kernel(b, b)) ** 0.5 for x in spans), default=0.0) ** toxicity.POWER
+
+    gapped = ["id" + c * n + "iot" for c in "xqi" for n in (3, 4, 5, 6)] + ["st" + "u" * 7 + "pid", "stuxxxxpxxxid"]
+    glued = ["xxxxidiot", "megaidiot", "idiotic", "#idiotforever", "thisisanidiotandafoolforever", "a" * 50 + "idiot" + "b" * 70, "b" * 100 + "stupid"]
+    noise = ["".join(rnd.choice("idotsup") for _ in range(rnd.randint(3, 14))) for _ in range(60)]
+    for token in gapped + glued + noise:
+        got = [0.0, 0.0]
+        pairs = toxicity.units(token)
+        for _, m, v in zip(*(x.tolist() for x in marks.kernel(pairs))):
+            got[m] = max(got[m], v)
+        if len(token) < 30:
+            assert got == pytest.approx([best(toxicity._JUNK.sub("", token), b) for b in marks.marks])
+        assert token in noise or max(got) > 0
+        assert token not in glued or max(got) == pytest.approx(1)
