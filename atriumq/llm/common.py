@@ -44,12 +44,14 @@ def remainder(id_col: str, by: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = found.get() if found.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="atriumq-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -127,6 +129,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             first = last
 
 
+def long_slices(data: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, bytes) of slices of ``limit`` bytes, each with the ``overlap`` bytes that follow it."""
+    for start in range(0, max(1, len(data)), limit):
+        yield start, data[start : start + limit + overlap]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values."""
     h = (h ^ (h >> _U(30))) * _MIX[0]

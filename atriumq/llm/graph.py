@@ -14,29 +14,35 @@ from pyspark.sql import functions as F
 from .common import drop_table, written
 
 
-def _hang(edges: DataFrame, larger: bool) -> DataFrame:
+def _hang(edges: DataFrame, larger: bool, used: list[DataFrame]) -> DataFrame:
     """Edges (a > b): large star hangs a node's larger neighbours on its smallest, small star the smaller ones and itself."""
     if larger:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        up = edges.select(F.col("b").alias("a"), F.col("a").alias("v"))  # neighbours larger than the node
-        out = up.join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        rows = edges.select(F.col("b").alias("a"), F.col("a").alias("v"))  # neighbours larger than the node
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        rows = edges.select("a", F.col("b").alias("v"))
+    # Written, so that the join reads two tables and Spark may split the rows of a hot node.
+    least = written(least, "least")
+    used.append(least)
+    out = rows.join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    if not larger:
+        out = out.union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` reaches. Nodes without links
     and null ends are not in it; loops and repeated links do no harm."""
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").distinct()
     edges = written(edges, "edges")
     state = None
-    for _ in range(rounds):
-        after = written(_hang(_hang(edges, True), False), "edges")
-        drop_table(edges)
-        edges = after
+    while True:  # to the fixed point: every round but the last hangs a node on a smaller one
+        used = [edges]
+        edges = written(_hang(_hang(edges, True, used), False, used), "edges")
+        for df in used:
+            drop_table(df)
         # A star forest is a fixed point; the two sums over all edges tell it from the round before.
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
