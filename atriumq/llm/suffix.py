@@ -8,12 +8,15 @@ concatenates its segments, sorts their suffixes to the depth needed, and derives
 Burrows-Wheeler transform which neighbours in suffix order share ``length`` bytes: breadth-first
 backward extension of intervals sets common prefixes by increasing value and stops at ``length``, so
 whatever is still unset is long enough (Beller, Gog, Ohlebusch and Schnattinger, 2013). An anchor
-with over HOT different segments would be one unbounded task; its strings are counted by 64-bit
-hash instead, spread over all tasks.
+with over HOT different segments, as where many texts share the end of a passage, would be one
+unbounded task: its segments are split by where the anchor stands in a string, each part keyed by the
+bytes that all its strings share, so that equal strings still meet and all but the part at the
+passage's very end fall apart into small groups or equal parts; that one is split once more.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep all bytes; rows
-that are equal in id and text are copies of each other, hence both lose what they share; other
-columns of the input are ignored. Segments are compared by 64-bit hashes within an anchor.
+that are equal in id and text are copies of each other, hence both lose what they share; a text of
+any length is read in slices; other columns of the input are ignored. Segments are told apart by 64-bit
+hashes within an anchor, rows by 88 bits of id and text.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, drop_table, frugal, inverse_powers, pieces, prefix_hash, slice_hash, table, written
+from .common import PIECE_BYTES, buffers, drop_table, frugal, inverse_powers, long_slices, mix, pieces, prefix_hash, slice_hash, table, written
 
 _U = np.uint64
 GRAM = 64
-#: Bytes of segments that a BWT holds at a time, and the segments of an anchor beyond which they are hashed.
+#: Bytes of segments that a BWT holds at a time, and the different segments of an anchor beyond which they are split.
 TEXT_BYTES, HOT = 3 << 18, 4096
+#: Distances between string and anchor of a part when a hot anchor's segments are split, level by level.
+WIDTHS = (16, 1)
 
 
 def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -43,11 +48,11 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, start, size, anchor, content) of the segments of all documents: runs of strings of
-    ``length`` bytes with the same anchor."""
+    """(document, start, size, anchor, place of the anchor, content) of the segments of all documents:
+    runs of strings of ``length`` bytes with the same anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     prefix, inverse = prefix_hash(data), inverse_powers(len(data))
     grams = len(data) - GRAM + 1
     at = np.arange(grams)
@@ -60,12 +65,44 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     fits = starts + length <= offsets[doc + 1]
     starts, doc, anchor = starts[fits], doc[fits], anchor[fits]
     if not len(starts):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
     last = np.concatenate((first[1:], [len(starts)])) - 1
     begin, stop = starts[first], starts[last] + length
     content = slice_hash(prefix, begin, stop, inverse)
-    return doc[first], begin - offsets[doc[first]], stop - begin, h[anchor[first]].view(np.int64), content.view(np.int64)
+    return doc[first], begin - offsets[doc[first]], stop - begin, h[anchor[first]].view(np.int64), anchor[first] - begin, content.view(np.int64)
+
+
+def long_segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """segments() of a batch; a text that stands alone because it is long is read in slices, which share
+    ``length`` - 1 bytes, so that every string is whole in one and memory stays bounded."""
+    if len(offsets) != 2 or len(data) <= 4 * PIECE_BYTES:
+        yield segments(data, offsets, length)
+        return
+    for base, part in long_slices(data, PIECE_BYTES, length - 1):
+        doc, start, *rest = segments(part, np.array([0, len(part)]), length)
+        yield doc, start + base, *rest
+
+
+def split_segments(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """(segment, offset, size, key, content) of the parts of segments: their strings by how far the
+    anchor stands behind a string's start, ``width`` distances a part.
+
+    All strings of a part hold the same bytes around the anchor but for width - 1 at the ends; these
+    bytes are the part's key, so equal strings still meet."""
+    prefix, inverse = prefix_hash(data), inverse_powers(len(data))
+    most = np.diff(offsets) - length  # the last string's offset in the segment
+    groups = (length - GRAM) // width + 1
+    which, near = np.repeat(np.arange(len(at)), groups), np.tile(np.arange(groups) * width, len(at))
+    # Strings whose anchor is near .. near + width - 1 behind their start begin at these offsets.
+    low, high = np.maximum(0, at[which] - near - width + 1), np.minimum(most[which], at[which] - near)
+    some = low <= high
+    which, near, low, high = which[some], near[some], low[some], high[some]
+    begin, stop = offsets[which] + low, offsets[which] + high + length
+    anchor = offsets[which] + at[which]
+    core = slice_hash(prefix, anchor - near, anchor - near + length - width + 1, inverse)
+    key = mix(core ^ mix(near.astype(_U) + _U(width) * _U(1 << 20)))
+    return which, low, stop - begin, key.view(np.int64), slice_hash(prefix, begin, stop, inverse).view(np.int64)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -150,50 +187,21 @@ def _spans(starts: np.ndarray, length: int) -> list[int]:
     return np.stack([starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + length], 1).ravel().tolist()
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, spans (array of from, to, from, to, ... in bytes) and
-    kept (the bytes outside them)."""
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # A row is known by 64 bits of its id and text and 24 more of its text.
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.xxhash64(F.col(id_col), text).alias("row"), F.pmod(F.hash(text), F.lit(1 << 24)).cast("long").alias("check"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "t"):
-            doc, start, size, anchor, content = segments(*buffers(batch.column("t")), length)
-            row, check = (batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("row", "check"))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, anchor, content, (start << 33) | (size << 24) | check)], ["row", "anchor", "content", "place"])
-
-    cut_up = written(rows.select("t", "row", "check").mapInArrow(frugal(cut), "row long, anchor long, content long, place long"), "segments")
-    size, check = F.shiftright("place", 24).bitwiseAND(511).cast("int"), F.col("place").bitwiseAND((1 << 24) - 1)
-    # Written, so that the join reads two tables and Spark may split a hot anchor's rows.
-    twice = written(cut_up.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
-    shared = written(cut_up.join(twice, "anchor"), "shared")
-    drop_table(cut_up)
-    drop_table(twice)
-    kinds = written(shared.groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.first("row").alias("row"), F.first("place").alias("place")), "kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
-
-    # The text of one segment of each kind, for anchors with several kinds.
-    needed = kinds.where("weight = 1").join(several, "anchor", "left_semi").select("anchor").distinct()
-    wanted = kinds.join(several, "anchor").join(needed, "anchor", "left_semi")
-    by_row = wanted.groupBy("row", check.alias("check")).agg(F.collect_list(F.struct("anchor", "content", "weight", "n_kinds", F.shiftright("place", 33).alias("start"), size.alias("size"))).alias("wanted"))
-    fetched = rows.select("t", "row", "check").join(by_row, ["row", "check"]).select(F.encode("t", "UTF-8").alias("t"), F.explode("wanted").alias("w"))
-    texts = fetched.select("w.anchor", "w.content", "w.weight", "w.n_kinds", F.substring(F.col("t"), (F.col("w.start") + 1).cast("int"), F.col("w.size")).alias("bytes"))
-    texts = written(texts.dropDuplicates(["anchor", "content"]), "texts")
+def _expanded(texts: DataFrame, length: int) -> DataFrame:
+    """(key, content, spans) of what the BWT finds repeated in segments of weight 1 (key, content, weight, bytes);
+    a key's segments meet in one task."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def out(group: list[tuple]) -> pa.RecordBatch:
             found = repeated_starts([g[3] for g in group], length)
-            spans = [[] if g[2] > 1 else _spans(f, length) for g, f in zip(group, found)]  # copies are repeated whole, see below
+            spans = [[] if g[2] > 1 else _spans(f, length) for g, f in zip(group, found)]  # copies are repeated whole
             keep = [k for k, s in enumerate(spans) if s]
-            return pa.RecordBatch.from_arrays([pa.array([group[k][0] for k in keep], pa.int64()), pa.array([group[k][1] for k in keep], pa.int64()), pa.array([spans[k] for k in keep], pa.list_(pa.int32()))], ["anchor", "content", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([group[k][0] for k in keep], pa.int64()), pa.array([group[k][1] for k in keep], pa.int64()), pa.array([spans[k] for k in keep], pa.list_(pa.int32()))], ["key", "content", "spans"])
 
         for batch in batches:
-            for item in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "weight", "bytes"))):
+            for item in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "weight", "bytes"))):
                 if total >= TEXT_BYTES and item[0] != held[-1][0]:
                     yield out(held)
                     held, total = [], 0
@@ -202,30 +210,87 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", i
         if held:
             yield out(held)
 
-    cold = texts.where(f"n_kinds <= {HOT}").drop("n_kinds").repartition("anchor").sortWithinPartitions("anchor")
-    verdicts = cold.mapInArrow(frugal(expand), "anchor long, content long, spans array<int>")
+    cold = texts.select("key", "content", "weight", "bytes").repartition("key").sortWithinPartitions("key")
+    return cold.mapInArrow(frugal(expand), "key long, content long, spans array<int>")
+
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """Parts (key, content, weight, bytes, at, parent_key, parent, low) of segments, see split_segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _binary(batch.column("bytes"))
-            counts = np.maximum(0, np.diff(offsets) - length + 1)
-            which = np.repeat(np.arange(len(counts)), counts)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = offsets[which] + offset
-            h = slice_hash(prefix_hash(data), start, start + length, inverse_powers(len(data)))
-            columns = [batch.column(c).to_numpy(zero_copy_only=False)[which] for c in ("anchor", "content", "weight")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*columns, h.view(np.int64), offset)], ["anchor", "content", "weight", "string", "offset"])
-
-    strings = texts.where(f"n_kinds > {HOT}").drop("n_kinds").mapInArrow(frugal(hashed), "anchor long, content long, weight long, string long, offset long")
-    often = strings.groupBy("anchor", "string").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "string")
-    hot = strings.where("weight = 1").join(often, ["anchor", "string"]).groupBy("anchor", "content").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.col("offset").cast("int"))), lambda o: F.array(o, o + length))).alias("spans")
-    )
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                data, offsets = _binary(part.column("bytes"))
+                at = part.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
+                which, low, size, key, content = split_segments(data, offsets, at, length, width)
+                raw, begin = data.tobytes(), (offsets[which] + low).tolist()
+                get = lambda c, part=part, which=which: pa.array(part.column(c).to_numpy(zero_copy_only=False)[which], pa.int64())
+                new = [pa.array(key), pa.array(content), get("weight"), pa.array([raw[b : b + n] for b, n in zip(begin, size.tolist())], pa.binary()), pa.array(at[which] - low, pa.int32()), get("key"), get("content"), pa.array(low, pa.int32())]
+                yield pa.RecordBatch.from_arrays(new, ["key", "content", "weight", "bytes", "at", "parent_key", "parent", "low"])
+
+    return texts.select("key", "content", "weight", "bytes", "at").mapInArrow(frugal(run), "key long, content long, weight long, bytes binary, at int, parent_key long, parent long, low int")
+
+
+def _judged(texts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
+    """(key, content, spans) of segments (key, content, weight, n_kinds, bytes, at): by the BWT where a key has
+    at most HOT of them, else by that of their parts."""
+    if not widths:  # a part is one string: its segments are all equal
+        return _expanded(texts, length)
+    found = _expanded(texts.where(F.col("n_kinds") <= HOT), length)
+    hot = written(texts.where(F.col("n_kinds") > HOT), "hot")
+    if hot.isEmpty():
+        return found
+    parts = written(_split(hot, length, widths[0]), "parts")
+    kinds = parts.groupBy("key", "content").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes"), F.first("at").alias("at"))
+    kinds = written(kinds, "part_kinds")
+    several = written(kinds.groupBy("key").agg(F.count("*").alias("n_kinds"), F.count_if(F.col("weight") == 1).alias("single")).where("n_kinds > 1 AND single > 0").drop("single"), "several")
+    whole = kinds.where("weight > 1").select("key", "content", F.array(F.lit(0), F.length("bytes")).alias("spans"))
+    below = written(whole.unionByName(_judged(kinds.join(several, "key"), length, widths[1:])), "part_spans")
+    # Spans of a part, moved to where it lies in its segment.
+    moved = F.transform("spans", lambda x: (x + F.col("low")).cast("int"))
+    up = parts.where("weight = 1").select("key", "content", "parent_key", "parent", "low").join(below, ["key", "content"])
+    up = up.groupBy(F.col("parent_key").alias("key"), F.col("parent").alias("content")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    return found.unionByName(up)
+
+
+def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, spans (array of from, to, from, to, ... in bytes) and
+    kept (the bytes outside them), besides the columns in ``carry``."""
+    if length < GRAM:
+        raise ValueError(f"length must be at least {GRAM}")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # A row is known by 64 bits of its id and text and 24 more of its text.
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.xxhash64(F.col(id_col), text).alias("row"), F.pmod(F.hash(text), F.lit(1 << 24)).cast("int").alias("check"), *(F.col(c).alias(f"_{k}_") for k, c in enumerate(carry)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t"):
+            row, check = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "check"))
+            for doc, start, size, anchor, at, content in long_segments(*buffers(batch.column("t")), length):
+                wide, slim = (row[doc], anchor, content), (start, size, at, check[doc])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in wide), *(pa.array(x, pa.int32()) for x in slim)], ["row", "anchor", "content", "start", "size", "at", "check"])
+
+    cut_up = written(rows.select("t", "row", "check").mapInArrow(frugal(cut), "row long, anchor long, content long, start int, size int, at int, check int"), "segments")
+    # Written, so that the join reads two tables and Spark may split a hot anchor's rows; so below.
+    twice = written(cut_up.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
+    shared = written(cut_up.join(twice, "anchor"), "shared")
+    drop_table(cut_up)
+    drop_table(twice)
+    first = F.first(F.struct("row", "check", "start", "size", "at")).alias("f")
+    kinds = written(shared.groupBy("anchor", "content").agg(F.count("*").alias("weight"), first).select("anchor", "content", "weight", "f.*"), "kinds")
+    # The text of one segment of each kind, for anchors with several kinds, unless all have copies.
+    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds"), F.count_if(F.col("weight") == 1).alias("single")).where("n_kinds > 1 AND single > 0").drop("single"), "several")
+    wanted = kinds.join(several, "anchor")
+    by_row = wanted.groupBy("row", "check").agg(F.collect_list(F.struct("anchor", "content", "weight", "n_kinds", "start", "size", "at")).alias("wanted"))
+    fetched = rows.select("t", "row", "check").join(by_row, ["row", "check"]).select(F.encode("t", "UTF-8").alias("t"), F.explode("wanted").alias("w"))
+    texts = fetched.select(F.col("w.anchor").alias("key"), "w.content", "w.weight", "w.n_kinds", "w.at", F.substring(F.col("t"), F.col("w.start") + 1, F.col("w.size")).alias("bytes"))
+    texts = written(texts.dropDuplicates(["key", "content"]), "texts")
     # Equal segments of one kind only, or of a kind with copies, are repeated as they stand.
-    whole = kinds.where("weight > 1").select("anchor", "content", F.array(F.lit(0), size).alias("spans"))
-    found = shared.join(whole.union(verdicts).union(hot), ["anchor", "content"])
-    moved = F.transform("spans", lambda x: (x + F.shiftright("place", 33)).cast("int"))
-    by_row = found.groupBy("row", check.alias("check")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    whole = kinds.where("weight > 1").select("anchor", "content", F.array(F.lit(0), F.col("size")).alias("spans"))
+    verdicts = written(whole.union(_judged(texts, length, WIDTHS)), "verdicts")
+    moved = F.transform("spans", lambda x: (x + F.col("start")).cast("int"))
+    by_row = shared.join(verdicts, ["anchor", "content"]).groupBy("row", "check").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    names = [f"_{k}_" for k in range(len(carry))]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t", 8 << 20):
@@ -245,12 +310,13 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text_col: str = "text", i
                 start, stop = pairs[first, 0], reach[np.concatenate((first[1:] - 1, [len(reach) - 1]))]
                 spans.append(np.stack([start, stop], 1).ravel().tolist())
                 kept.append(b"".join(raw[a + x : a + y] for x, y in zip([0, *stop.tolist()], [*start.tolist(), b - a])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
-            )
+            new = [pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *new, *(batch.column(c) for c in names)], ["doc_id", "n_bytes", "spans", "kept", *names])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(by_row, ["row", "check"], "left").select("doc_id", "t", "spans").mapInArrow(frugal(remove), f"doc_id {kind}, n_bytes long, spans array<int>, kept binary")
+    kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema}
+    shape = f"doc_id {kinds_of['doc_id']}, n_bytes long, spans array<int>, kept binary" + "".join(f", {n} {kinds_of[n]}" for n in names)
+    out = rows.join(by_row, ["row", "check"], "left").select("doc_id", "t", "spans", *names).mapInArrow(frugal(remove), shape)
+    return out.withColumnsRenamed(dict(zip(names, carry)))
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
