@@ -1,16 +1,22 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-Documents are sets of word shingles. Equal sets collapse to one representative at once. Signatures
-of representatives are banded; documents that share a band belong to one candidate cluster. Inside a
-cluster, signature batches are compared and pairs dropped as soon as the posterior chance that they
-are similar enough falls under the chosen miss probability; whoever survives is verified on the full
-sets. A cluster is compared component by component: members that are linked already are not compared
-again, yet every link between two components is found. Clusters that are too large for one task are
-dealt as pairs of blocks, each a task of bounded size.
+Documents are sets of word shingles. Equal sets collapse to one class at once; a class is known by its
+set, never by an id, so ids may repeat. Signatures of classes are banded; classes that share a band are
+candidates. Candidates go through signature batches first: a pair is dropped as soon as the posterior
+chance that it is similar enough falls under the chosen miss probability; whoever survives is verified
+on the full sets.
+
+No group emits all its pairs. First every bucket's members meet the bucket's smallest member, then,
+where a bucket still holds several components, its largest; what is linked then is one component and
+needs no further link. Only members of different components are compared pair by pair, on signatures
+alone, within their bucket, in blocks of bounded size; so no candidate of a band is left out. Whoever is
+compared with many is dealt over several tasks.
 
 Defined results: null texts and texts without words have empty sets and link with nothing; with
 fewer words than a shingle the whole sequence is one; equal sets are linked; repeated ids keep
-their rows; other columns of the input are ignored. Shingles are compared by 64-bit hashes.
+their rows, each with the class of its own text; rows without an id link with nothing; a text of any
+length is read in slices; other columns of the input are ignored. Shingles are compared by 64-bit
+hashes, sets are told apart by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, frugal, inverse_powers, mix, pieces, prefix_hash, slice_hash, table, written
+from .common import PIECE_BYTES, buffers, drop_table, frugal, inverse_powers, mix, pieces, prefix_hash, slice_hash, table, written
 from .graph import components
 
 _U = np.uint64
@@ -34,8 +40,10 @@ PERMUTATIONS = BAND_ROWS * BANDS
 BATCH = 32
 #: Chance that a pair as similar as asked is dropped before the exact comparison.
 MISS = 1e-9
-#: Members of a block; larger clusters are dealt as pairs of blocks.
+#: Members of a bucket that are compared pair by pair in a task; larger buckets are dealt as pairs of blocks.
 BLOCK = 1500
+#: Partners that one set meets in a task.
+PARTNERS = 2000
 
 _rng = np.random.default_rng(20_031)
 _MULT = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | _U(1)).astype(np.uint32)
@@ -50,6 +58,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hash of every word, ASCII lower-cased, and where each document's words begin among them."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+    if len(offsets) == 2 and len(data) > 4 * PIECE_BYTES:  # one long text: in slices that end between words
+        parts, start = [], 0
+        while start < len(data):
+            stop = min(len(data), start + PIECE_BYTES)
+            while stop < len(data) and not _SPACE[data[stop : stop + PIECE_BYTES]].any():
+                stop = min(len(data), stop + PIECE_BYTES)
+            stop += int(np.argmax(_SPACE[data[stop : stop + PIECE_BYTES]])) if stop < len(data) else 0
+            parts.append(_word_hashes(data[start:stop], np.array([0, stop - start]))[0])
+            start = stop
+        words = np.concatenate(parts)
+        return words, np.array([0, len(words)])
+    return _word_hashes(data, offsets)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[data]
     space = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -129,88 +152,180 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of all links of similarity ``percent``; with sides, of those between the two."""
-    n, need = len(ids), least_matches(percent / 100)
-    sigs = np.stack([signature(s) for s in sets])
-    sizes = np.array([len(s) for s in sets], np.int64)
-    comp, out = np.arange(n), []
-    for i in range(n - 1):
-        other = np.arange(i + 1, n)
-        other = other[comp[other] != comp[i]]
-        if side is not None:
-            other = other[side[other] != side[i]]
-        small, large = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
-        other = other[small * 100 >= percent * large]
-        matches = np.zeros(len(other), np.int64)
-        for k, m in enumerate(need):  # batch after batch of the signatures
-            if not len(other):
-                break
-            matches += (sigs[other, k * BATCH : (k + 1) * BATCH] == sigs[i, k * BATCH : (k + 1) * BATCH]).sum(1)
-            other, matches = other[matches >= m], matches[matches >= m]
-        for j in other[np.argsort(-matches, kind="stable")].tolist():
-            if comp[j] != comp[i] and _similar(sets[i], sets[j], percent):
-                comp[comp == comp[j]] = comp[i]
-                out.append((int(ids[i]), int(ids[j])))
+def _survives(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int, need: list[int]) -> np.ndarray:
+    """Which rows of signatures a and b may be similar enough, batch after batch."""
+    small, large = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
+    left = np.flatnonzero(small * 100 >= percent * large)
+    matches = np.zeros(len(left), np.int64)
+    for k, m in enumerate(need):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches += (a[left if len(a) > 1 else [0], part] == b[left, part]).sum(1)
+        left, matches = left[matches >= m], matches[matches >= m]
+        if not len(left):
+            break
+    return left
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, payload: str, survivors) -> DataFrame:
+    """The pairs (a, b) for which ``survivors(payload of a, [payloads of b], n of a, [n of b])`` holds.
+
+    Every a is sent once to each task that holds partners of it, at most PARTNERS at a time."""
+    pairs = written(pairs, "pairs")
+    hot = written(pairs.groupBy("a").agg(F.count("*").alias("m")).where(f"m > {PARTNERS}").select("a", F.ceil(F.col("m") / PARTNERS).cast("int").alias("parts")), "hot")
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int").alias("part"))
+    have = nodes.select("node", "n", F.col(payload).alias("x"))
+    seconds = dealt.join(have.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "n", "x")
+    firsts = dealt.select("a", "part").distinct().join(have.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "n", "x")
+    met = firsts.unionByName(seconds).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = None
+        for batch in batches:
+            a, b, n, x = (batch.column(c) for c in ("a", "b", "n", "x"))
+            a, n, heads = a.to_numpy(), n.to_numpy(), b.is_null().to_numpy(zero_copy_only=False)
+            ids = b.fill_null(-1).to_numpy()
+            found_a, found_b = [], []
+            # A stretch of partners between two heads; the head before a batch's first may be in an earlier batch.
+            edges = [0, *np.flatnonzero(heads).tolist(), len(a)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo < len(a) and heads[lo]:
+                    one, lo = (x[lo].as_buffer(), int(n[lo])), lo + 1
+                for k in range(lo, hi, 256):
+                    to = min(hi, k + 256)
+                    good = survivors(one[0], [x[j].as_buffer() for j in range(k, to)], one[1], n[k:to])
+                    found_a.append(a[k:to][good])
+                    found_b.append(ids[k:to][good])
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *found_a])), pa.array(np.concatenate([none, *found_b]))], ["a", "b"])
+
+    out = written(met.mapInArrow(frugal(run), "a long, b long"), "survivors")
+    drop_table(pairs)
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id (the smallest id with an equal set)
-    and component_id (the smallest id reachable over links of ``percent`` or more)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+def _sketches(texts: DataFrame, k: int, carry: list[str]) -> DataFrame:
+    """Per row its set's size and digest, the band keys and the signature, a byte a hash: chance matches
+    of bytes only raise counts, so the bound on misses holds."""
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
-            n, one, two, bands = [], [], [], []
+            n, one, two, bands, sigs = [], [], [], [], []
             for s in shingle_sets(*buffers(batch.column("t")), k):
                 n.append(len(s))
                 one.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                 two.append(int(np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0)
-                bands.append(band_keys(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n", "one", "two", "bands"],
-            )
-
-    seen = written(texts.mapInArrow(frugal(sketch), "doc_id long, n long, one long, two long, bands array<long>"), "sketches")
+                sig = signature(s) if len(s) else None
+                bands.append(band_keys(sig) if len(s) else None)
+                sigs.append((sig & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
+            new = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carry), *new], ["doc_id", *carry, "n", "one", "two", "bands", "sig"])
+
+    shape = "doc_id long, " + "".join(f"{c} {kinds[c]}, " for c in carry) + "n long, one long, two long, bands array<long>, sig binary"
+    return written(texts.mapInArrow(frugal(sketch), shape), "sketches")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id (the smallest id with an equal set),
+    component_id (the smallest id reachable over links of ``percent`` or more) and group, a number that
+    all rows of a component share (null for empty sets), besides the narrow columns in ``carry``."""
+    names = [f"_{j}_" for j in range(len(carry))]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), *(F.col(c).alias(n) for c, n in zip(carry, names)))
+    seen = _sketches(texts, k, names)
     # Written, so that the joins read two tables and Spark may split the rows of a large class.
-    classes = written(seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id")), "classes")
-    firsts = seen.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
-    buckets = firsts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("b"))
-    leaders = buckets.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("bucket", "a")
-    clusters = written(components(buckets.join(leaders, "bucket").select("a", "b").where("a < b").distinct()), "clusters")
-    links = _verified(texts, clusters, k, percent)
-    found = components(links)
-    out = seen.join(classes, ["n", "one", "two"], "left").join(found.select(F.col("node").alias("class_id"), F.col("component").alias("c")), "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("c", "class_id", "doc_id").alias("component_id"))
-
-
-def _verified(texts: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that span what is linked inside each cluster."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Every pair of blocks of a cluster meets in one group; a cluster of one block is one group.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("node").alias("doc_id"), "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    classes = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = _components(texts.select("doc_id", "t"), classes, k, percent)
+    groups = classes.select("n", "one", "two", "class_id", "node").join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = groups.where("component IS NOT NULL").groupBy("group").agg(F.min("class_id").alias("c"))
+    known = written(groups.join(least, "group", "left").select("n", "one", "two", "class_id", F.coalesce("c", "class_id").alias("component_id"), "group"), "known")
+    mine = F.when(F.col("doc_id").isNotNull(), F.col("n"))  # rows without an id are of no class
+    out = seen.select("doc_id", *names, F.col("n").alias("n_shingles"), mine.alias("n"), "one", "two").join(known, ["n", "one", "two"], "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "group", *names)
+    return out.withColumnsRenamed(dict(zip(names, carry)))
+
+
+def _components(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = written(shared, "buckets")
+    members = written(members.join(shared, "bucket"), "members")
+    sets = _candidate_sets(texts, classes, members, k)
+    sigs = classes.select("node", "n", "sig")
+    need = least_matches(percent / 100)
+
+    def by_signature(one, others, n, ns):
+        b = np.frombuffer(b"".join(others), np.uint8).reshape(-1, PERMUTATIONS)
+        return _survives(np.frombuffer(one, np.uint8)[None, :], b, np.full(len(b), n), ns, percent, need)
+
+    def by_set(one, others, n, ns):
+        one = np.frombuffer(one, _U)
+        return np.array([j for j, x in enumerate(others) if _similar(one, np.frombuffer(x, _U), percent)], np.int64)
+
+    verify = lambda pairs: _compared(_compared(pairs, sigs, "sig", by_signature), sets, "shingles", by_set)
+    links = verify(members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    found = written(components(links), "found")
+    still = _open(members, found)
+    if still.isEmpty():
+        return found
+    # The largest member meets those that are not in its component.
+    links = links.unionByName(verify(still.where("component <> top").select(F.col("high").alias("a"), F.col("node").alias("b")).distinct()))
+    found = written(components(links), "found")
+    still = _open(still.select("bucket", "node", "low", "high"), found)
+    if still.isEmpty():
+        return found
+    more = _compared(_met_in_blocks(still, sigs, percent, need), sets, "shingles", by_set)
+    return found if more.isEmpty() else written(components(links.unionByName(more)), "found")
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, low, high, component, top) of buckets that hold several components; top is that of ``high``."""
+    own = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = written(own.select("bucket", "node", "low", "high", "component"), "labelled")
+    several = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max_by("component", "node").alias("top")).where("x < y").select("bucket", "top")
+    return written(own.join(written(several, "several"), "bucket"), "open")
+
+
+def _candidate_sets(texts: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(node, n, shingles) of the classes that share a bucket, as a table."""
+    wanted = written(classes.select("node", "n", "one", "two", F.col("class_id").alias("doc_id")).join(members.select("node").distinct(), "node"), "wanted")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
-            sets = pa.array([s.tobytes() for s in shingle_sets(*buffers(batch.column("t")), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "shingles"])
+            sets = list(shingle_sets(*buffers(batch.column("t")), k))
+            one = [int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "one", "shingles"])
 
-    wanted = texts.join(clusters.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
-    sets = wanted.mapInArrow(frugal(shingled), "doc_id long, shingles binary")
-    rows = sets.join(dealt, "doc_id")
+    # Ids may repeat with other texts, hence by set as well.
+    rows = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(frugal(shingled), "doc_id long, n long, one long, shingles binary")
+    return written(rows.join(wanted.drop("two"), ["doc_id", "n", "one"]).select("node", "n", "shingles").dropDuplicates(["node"]), "sets")
 
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        group = group.sort_values("doc_id")
-        sides = None if low == high else (group["block"] == high).to_numpy()
-        found = linked(group["doc_id"].to_numpy(), [np.frombuffer(x, _U) for x in group["shingles"]], percent, sides)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("component", "low", "high").applyInPandas(verify, "a long, b long")
+def _met_in_blocks(members: DataFrame, sigs: DataFrame, percent: int, need: list[int]) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket that their signatures let pass."""
+    sizes = written(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    dealt = members.select("bucket", "node", "component").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Every pair of blocks of a bucket meets in one group; signatures alone travel.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        node, component, block, n = (group[c].to_numpy() for c in ("node", "component", "block", "n"))
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, PERMUTATIONS)
+        across, out = group["low"].iloc[0] != group["high"].iloc[0], []
+        for i in range(len(node) - 1):
+            other = np.arange(i + 1, len(node))
+            other = other[component[other] != component[i]]
+            if across:
+                other = other[block[other] != block[i]]
+            if len(other):
+                good = other[_survives(sig[i : i + 1], sig[other], np.full(len(other), n[i]), n[other], percent, need)]
+                out.append(np.stack([np.full(len(good), node[i]), node[good]], 1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    return dealt.join(sigs, "node").groupBy("bucket", "low", "high").applyInPandas(meet, "a long, b long").distinct()
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
