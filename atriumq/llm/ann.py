@@ -2,16 +2,22 @@
 
 Every vector is the sum of one codeword of each codebook. Codebooks are full-dimensional and trained
 on residuals; encoding searches them with a beam, scored by lookup. The index stores the codes and
-the ratio of the vector's norm to its code's. A query turns into one lookup table; a scan adds
-table entries over all codes, block by block, and the best of every block are ranked again by the
-exact inner product in double precision, on the vectors stored beside the codes.
+the ratio of the vector's norm to its code's, nothing else. A query turns into one lookup table; a scan
+adds table entries over all codes, block by block, and keeps a query's RERANK best of several blocks.
+The RERANK best of all blocks are joined with their vectors by id and ranked again by the exact inner
+product in double precision.
+
+Queries and blocks of codes are packed rows: a pack of queries is sent once for every CHUNK of blocks, a
+block of codes, some forty bytes a vector, once for every pack. All queries meet all blocks: with vectors
+that fill their space evenly no coarse partition leaves out much, see README.
 
 Equal vectors are indexed once, with the smallest ids that can be asked for: a query never needs
 more than its k nearest and itself of one value. Equal queries are searched once.
 
 Defined results: vectors that are null, zero, of another length than most, or holding null or
 non-finite components take no part; with fewer candidates than k all are returned; ties go to the
-smaller id; other columns of the input are ignored. Ids are expected to be unique.
+smaller id; rows equal in id and vector count once, an id with several vectors takes part with each;
+an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import frugal, table, written
 
 #: Codebooks and codewords of each; beam width; vectors of the training sample.
-BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 4, 6000
-#: Vectors and queries of a block, and how many of a block are ranked exactly.
-BLOCK, QUERIES, RERANK = 8192, 1024, 160
+BOOKS, WORDS, BEAM, SAMPLE = 32, 256, 4, 12_000
+#: Codes of a block and queries of a pack, at most and, to fill small clusters, at least; blocks that a task scans in a row.
+BLOCK, LEAST_BLOCK, QUERIES, LEAST_QUERIES, CHUNK = 65_536, 4096, 4096, 256, 16
+#: Candidates of a query that are ranked exactly.
+RERANK = 128
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -75,26 +83,23 @@ def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.where(norm > 0, np.linalg.norm(x, axis=1) / np.maximum(norm, 1e-30), 1.0).astype(np.float32)
 
 
-def search_block(queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, ratio: np.ndarray, books: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query the places of the k best vectors of the block found, and their exact inner products."""
-    n, keep, top = len(vectors), min(RERANK, len(vectors)), min(k, len(vectors))
-    places, scores = np.empty((len(queries), top), np.int64), np.empty((len(queries), top))
-    exact = vectors.astype(np.float64)
-    flat = books.reshape(-1, books.shape[2])
+def scan_block(queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, ratio: np.ndarray, books: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The (ids, scores) of the best codes seen so far for each query, after one more block."""
+    have_ids, have = best
+    keep, flat, out_ids, out = have.shape[1], books.reshape(-1, books.shape[2]), have_ids.copy(), have.copy()
     for a in range(0, len(queries), 64):
-        q = queries[a : a + 64]
-        lut = (q.astype(np.float32) @ flat.T).reshape(len(q), BOOKS, WORDS)
-        near = np.zeros((len(q), n), np.float32)
-        for m in range(BOOKS):
+        part = slice(a, a + 64)
+        lut = (queries[part].astype(np.float32) @ flat.T).reshape(-1, len(books), WORDS)
+        near = np.zeros((len(lut), len(ids)), np.float32)
+        for m in range(len(books)):
             near += lut[:, m].take(codes[:, m], axis=1)
         near *= ratio
-        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < n else np.broadcast_to(np.arange(n), (len(q), n))
-        for i in range(len(q)):
-            at = np.sort(best[i])
-            s = (exact[at] * q[i].astype(np.float64)).sum(1)
-            pick = np.argsort(-s, kind="stable")[:top]
-            places[a + i], scores[a + i] = at[pick], s[pick]
-    return places, scores
+        at = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
+        score = np.concatenate([have[part], np.take_along_axis(near, at, 1)], 1)
+        known = np.concatenate([have_ids[part], ids[at]], 1)
+        pick = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+        out_ids[part], out[part] = np.take_along_axis(known, pick, 1), np.take_along_axis(score, pick, 1)
+    return out_ids, out
 
 
 def _usable(vector: Column) -> Column:
@@ -114,50 +119,73 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     rows = rows.where(F.size("v") == dim).withColumn("same", F.xxhash64("v")).withColumn("too", F.hash("v"))
     # A value's k + 1 smallest ids: nobody's k nearest can hold more of one value and not the query itself.
     least = Window.partitionBy("same", "too").orderBy("vec_id")
-    firsts = written(rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1), "vectors")
+    ranked = rows.withColumn("n", F.dense_rank().over(least)).withColumn("again", F.lag("vec_id").over(least).eqNullSafe(F.col("vec_id")))
+    firsts = written(ranked.where((F.col("n") <= k + 1) & ~F.col("again")).drop("again"), "vectors")
     values = firsts.where("n = 1").select("vec_id", "v", "same", "too")
     span = 1 << 30
     some = values.where(F.pmod(F.xxhash64("vec_id"), F.lit(span)) < min(span, 2 * SAMPLE * span // total + 1)).select("vec_id", "v").orderBy(F.xxhash64("vec_id")).limit(SAMPLE)
     sample = np.array([r["v"] for r in sorted(some.collect(), key=lambda r: r["vec_id"])])
     books = fit(sample)
 
-    n_blocks = -(-total // BLOCK)
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    query_values = asked.groupBy("same", "too").agg(F.min("vec_id").alias("vec_id"), F.first("v").alias("v"))
-    n_asked = -(-total // (every * QUERIES)) + 1
+    query_values = written(asked.groupBy("same", "too").agg(F.min("vec_id").alias("vec_id"), F.first("v").alias("v")), "asked")
+    cores = spark.sparkContext.defaultParallelism
+    count = lambda n, most, least: max(1, -(-n // most), min(cores, -(-n // least)))
+    n_blocks, n_packs = count(total, BLOCK, LEAST_BLOCK), count(query_values.count(), QUERIES, LEAST_QUERIES)
+    n_chunks, keep = -(-n_blocks // CHUNK), RERANK
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                codes, ratio = encode(part.column("v").flatten().to_numpy().reshape(-1, dim), books)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)], ["vec_id", "codes", "ratio"])
+
+    def pack_codes(group: pa.Table) -> pa.Table:
+        group = group.sort_by("vec_id")
+        return pa.table({"block": group.column("block").slice(0, 1), "ids": [group.column("vec_id").to_numpy().tobytes()], "x": [b"".join(group.column("codes").to_pylist())], "ratio": [group.column("ratio").to_numpy().tobytes()]})
 
-    def pack(group: pa.Table) -> pa.Table:
+    def pack_queries(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
-        x = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(group), dim)
-        ids = group.column("vec_id").to_numpy()
-        row = {"block": group.column("block").slice(0, 1), "ids": [ids.tobytes()], "x": [x.tobytes()]}
-        if "coded" in group.column_names:
-            codes, ratio = encode(x, books)
-            row |= {"codes": [codes.tobytes()], "ratio": [ratio.tobytes()]}
-        return pa.table(row)
-
-    def blocks(df: DataFrame, n: int, coded: bool) -> DataFrame:
-        df = df.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"))
-        more = ", codes binary, ratio binary" if coded else ""
-        return (df.withColumn("coded", F.lit(True)) if coded else df).groupBy("block").applyInArrow(pack, "block int, ids binary, x binary" + more)
-
-    index = written(blocks(values, n_blocks, True), "index")
-    wanted = blocks(query_values, n_asked, False).select(F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    pairs = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(index, "block").repartition("block", "asked")
+        return pa.table({"block": group.column("block").slice(0, 1), "ids": [group.column("vec_id").to_numpy().tobytes()], "x": [group.column("v").combine_chunks().flatten().to_numpy().tobytes()], "ratio": [b""]})
+
+    dealt = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    packed = "block int, ids binary, x binary, ratio binary"
+    index = written(dealt(values.select("vec_id", "v").mapInArrow(frugal(coded), "vec_id long, codes binary, ratio float"), n_blocks).groupBy("block").applyInArrow(pack_codes, packed), "index")
+    packs = dealt(query_values.select("vec_id", "v"), n_packs).groupBy("block").applyInArrow(pack_queries, packed)
+    # A pack of queries heads every chunk of blocks that it meets.
+    heads = packs.select(F.col("block").alias("pack"), F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), F.lit(-1).alias("block"), "ids", "x", "ratio")
+    bodies = index.select(F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))).alias("pack"), (F.col("block") / CHUNK).cast("int").alias("chunk"), "block", "ids", "x", "ratio")
+    met = heads.unionByName(bodies).repartition("pack", "chunk").sortWithinPartitions("pack", "chunk", "block")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = q_ids = best = now = None
+
+        def out() -> pa.RecordBatch:
+            on = best[1] > -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], on.shape)[on]), pa.array(best[0][on]), pa.array(best[1][on])], ["asked", "value", "near"])
+
         for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c, kind, r=r, batch=batch: np.frombuffer(batch.column(c)[r].as_py(), kind)
-                ids, q_ids = get("ids", np.int64), get("q_ids", np.int64)
-                q, x = get("q", np.float64).reshape(-1, dim), get("x", np.float64).reshape(-1, dim)
-                places, scores = search_block(q, x, get("codes", np.uint8).reshape(-1, BOOKS), get("ratio", np.float32), books, k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, places.shape[1])), pa.array(ids[places.ravel()]), pa.array(scores.ravel())], ["asked", "value", "score"])
-
-    found = pairs.mapInArrow(frugal(scan), "asked long, value long, score double")
+            for pack, chunk, block, ids, x, ratio in zip(*(batch.column(c) for c in ("pack", "chunk", "block", "ids", "x", "ratio"))):
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                if block.as_py() < 0:
+                    if now is not None:
+                        yield out()
+                    now, q_ids, q = (pack, chunk), ids, np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dim)
+                    best = np.zeros((len(q), keep), np.int64), np.full((len(q), keep), -np.inf, np.float32)
+                elif now == (pack, chunk):  # a pack without queries has no head
+                    best = scan_block(q, ids, np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, len(books)), np.frombuffer(ratio.as_buffer(), np.float32), books, best)
+        if now is not None:
+            yield out()
+
+    found = met.mapInArrow(frugal(scan), "asked long, value long, near float")
+    # The best by code, of all chunks, and then by the vectors themselves.
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("near"), "value"))).where(F.col("n") <= keep).select("asked", "value")
+    found = found.join(values.select(F.col("vec_id").alias("value"), F.col("v").alias("x")), "value").join(query_values.select(F.col("vec_id").alias("asked"), F.col("v").alias("q")), "asked")
+    exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
     # The k + 1 best values of each asked value, then the ids that hold them.
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "value")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+    found = found.select("asked", "value", exact.alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     holders = firsts.select("vec_id", "same", "too")
     named = values.select(F.col("vec_id").alias("value"), "same", "too")
     found = found.join(named, "value").join(holders, ["same", "too"]).select("asked", "vec_id", "score")
@@ -165,7 +193,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     # Every query takes the list of its value without itself; one row a value holds the list, so a value asked often costs no join.
     lists = found.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))
     keys = query_values.select(F.col("vec_id").alias("asked"), "same", "too")
-    out = asked.select(F.col("vec_id").alias("query_id"), "same", "too").join(keys.join(lists, "asked"), ["same", "too"])
+    out = asked.select(F.col("vec_id").alias("query_id"), "same", "too").distinct().join(keys.join(lists, "asked"), ["same", "too"])
     out = out.select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("n", "x"))
     return out.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
