@@ -1,18 +1,18 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary of text known to be in it. A text is compressed
-in pieces with every dictionary; the language whose dictionary leaves the fewest bytes wins. Equal
-or nearly equal sizes of short texts, where zstandard stores the text as it is, are settled by the
-number of greedy phrases that the dictionaries need for them, the same measure without headers.
-A prediction is rejected when the runner-up is within ``min_margin`` of the winner.
+in pieces with every dictionary; the language whose dictionary leaves the fewest bytes wins, at every
+length. A prediction is rejected when the runner-up is within ``min_margin`` of the winner.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with no
-labelled row at all everything is ``und``; remaining ties go to the language first in code point
-order; repeated rows give repeated results; other columns of the input are ignored.
+labelled row at all everything is ``und``; equal sizes go to the language first in code point order and
+are rejected; with over MOST_LANGUAGES labels the most frequent are learned; a text of any length is
+compressed piece by piece; repeated rows give repeated results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +24,10 @@ from .common import buffers, frugal, remainder, table
 
 #: Bounds of the training sample: documents a language, characters of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 240, 1500, 1 << 16
+#: A text is compressed once a language, so their number is bounded.
+MOST_LANGUAGES = 200
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts all along.
-PIECE = 4096
-#: Below this margin a text of under SHORT bytes is decided by phrases.
-CLOSE, SHORT = 0.04, 2000
+PIECE = 1024
 
 
 def letters(text: Column) -> Column:
@@ -44,7 +44,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     """
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("i"))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return {}
     span = 1 << 30
@@ -55,29 +55,21 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     out: dict[str, bytes] = {}
     for lang in sorted({x[0] for x in sample}):
         texts = [x[3].encode() for x in sample if x[0] == lang][:SAMPLE_DOCS]
-        size = max(64, min(SAMPLE_CHARS, 2 * DICT_BYTES // max(1, len(texts))))
-        content = b" ".join(x[:size] if len(texts) * SAMPLE_CHARS > DICT_BYTES else x for x in texts)
-        out[lang] = b" " + content[:DICT_BYTES] + b" "
+        # Every text of the sample gives alike; what short ones leave over goes to the longer ones.
+        left, parts = DICT_BYTES, []
+        for k, text in enumerate(sorted(texts, key=len)):
+            parts.append(text[: left // (len(texts) - k)])
+            left -= len(parts[-1]) + 1
+        random.Random(0).shuffle(parts)
+        out[lang] = b" " + b" ".join(parts) + b" "
     return out
 
 
-def phrases(text: bytes, content: bytes) -> int:
-    """Greedy phrases of ``content`` that make up ``text``."""
-    n = at = 0
-    while at < len(text):
-        size = 2
-        while at + size <= len(text) and content.find(text[at : at + size]) >= 0:
-            size += 1
-        at += size - 1
-        n += 1
-    return n
-
-
 class Classifier:
     """Compressors of all languages, made once in a worker."""
 
     def __init__(self, content: dict[str, bytes]):
-        self.content, self.by = content, {}
+        self.by = {}
         for lang, raw in sorted(content.items()):
             made = zstandard.ZstdCompressionParameters.from_level(
                 3, dict_size=len(raw), source_size=PIECE, min_match=3, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False
@@ -92,22 +84,14 @@ class Classifier:
             return "und", 0.0
         parts = [text[k : k + PIECE] for k in range(0, len(text), PIECE)]
         sizes = sorted((sum(len(pack(p)) for p in parts), lang) for lang, pack in self.by.items())
-        margin = self._margin(sizes)
-        if margin < CLOSE and len(text) < SHORT:
-            close = [lang for n, lang in sizes if n <= sizes[0][0] * (1 + CLOSE)]
-            sizes = sorted((phrases(text, self.content[lang]), lang) for lang in close)
-            margin = self._margin(sizes)
-        return sizes[0][1], margin
-
-    @staticmethod
-    def _margin(sizes: list[tuple[int, str]]) -> float:
-        return 1.0 if len(sizes) < 2 else (sizes[1][0] - sizes[0][0]) / max(1, sizes[1][0])
+        return sizes[0][1], 1.0 if len(sizes) < 2 else (sizes[1][0] - sizes[0][0]) / max(1, sizes[1][0])
 
 
-def classify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", id_col: str = "doc_id", min_margin: float = 0.005) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score, margin, rejected."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), letters(F.col(text_col)).alias("t"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def classify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", id_col: str = "doc_id", min_margin: float = 0.005, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score, margin, rejected, besides the columns in ``carry``."""
+    names = [f"_{k}_" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col).alias("doc_id"), letters(F.col(text_col)).alias("t"), *(F.col(c).alias(n) for c, n in zip(carry, names)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = Classifier(content)
@@ -123,11 +107,13 @@ def classify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text",
                     pa.array([m / (m + 0.02) if x != "und" else 0.0 for x, m in found], pa.float64()),
                     pa.array(margins, pa.float64()),
                     pa.array([x == "und" or m < min_margin for x, m in found], pa.bool_()),
+                    *(batch.column(n) for n in names),
                 ],
-                ["doc_id", "lang_pred", "score", "margin", "rejected"],
+                ["doc_id", "lang_pred", "score", "margin", "rejected", *names],
             )
 
-    return rows.mapInArrow(frugal(run), f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
+    shape = f"doc_id {kinds['doc_id']}, lang_pred string, score double, margin double, rejected boolean" + "".join(f", {n} {kinds[n]}" for n in names)
+    return rows.mapInArrow(frugal(run), shape).withColumnsRenamed(dict(zip(names, carry)))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
