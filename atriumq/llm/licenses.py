@@ -2,11 +2,11 @@
 
 A text is normalised (case, punctuation, white space, copyright lines, equivalent spellings) and
 hashed with SHA-256. Known licence texts and notices pass through the same expression, so a lookup
-is an equality of digests. The table of known digests has a fixed size (KNOWN), hence the broadcast.
-Whole texts are looked up, and, as a finer unit, every line.
+is an equality of digests: whole texts are joined to the known digests, whose number is fixed, hence the
+broadcast; lines, as a finer unit, are looked up in the same few digests as a constant map.
 
-Defined results: a null text counts as empty; an empty canonical text matches nothing; repeated
-rows give repeated results; other columns of the input are ignored.
+Defined results: a null text counts as empty; an empty canonical text matches nothing; a text of any length
+is hashed whole; repeated rows give repeated results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # Public licence texts and the notices commonly placed in files.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -43,6 +45,21 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution."""
 _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 #: (licence, text): whole texts and notices, looked up alike.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT),
@@ -64,6 +81,9 @@ KNOWN: list[tuple[str, str]] = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST),
     ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -79,8 +99,37 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
-#: (pattern, canonical spelling), applied to lower-case words in this order.
+#: (licence, digest of the canonical form) of texts too long to stand here: as published, and without what follows the
+#: terms. tests/llm holds them against the texts where the system has them.
+LONG_TEXTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "e63d14e1ca71411d11150dc8861f024a6ec6441f1ee18291e92489d17c350087"),
+    ("Apache-2.0", "1e8f4981e4c9d8c419eb0a8c36ad86071d44663baa7771ca1fadb11466ea54ec"),
+    ("Apache-2.0", "10907b41771c0b51fb389ca61bbd802b43b3adbe997a32ee84018e1e5a4a10fc"),
+    ("GPL-2.0", "934972ded335989187c0bb24accac7705d4bf1d429a9a3fe67e79fb5b7b5bb35"),
+    ("GPL-2.0", "fdd0ddf956d2ebd34f9b90442a44e98785fa0b2f7862bd4a72d015d528cd2557"),
+    ("GPL-2.0", "c426a542386492c50e3108f338b0c78a6b6ad4b2a7b50515015b04945bfb8827"),
+    ("GPL-3.0", "4065a5b41900d867403bb6bf9094b1f9893ed70c8dcf5a12fd1a88a3bb63e37c"),
+    ("GPL-3.0", "773827e711c1451a8ccf78f542d5462c230022ba89aa5bc3529f0bab34b41d22"),
+    ("GPL-3.0", "df019b66fae7b7d52c03c4cdfdab47b4f6433b7e86b02a26746f9631ddad10f4"),
+    ("LGPL-2.0", "94778254b307c7946efd0a84a7e875e5b3b89aefe54e7563be7cac8d3ac41dc9"),
+    ("LGPL-2.0", "62b7ef274cb596b6f6002c5091246c95332aec4ccb9c4e9225c664927a65f3fa"),
+    ("LGPL-2.0", "71d979dfc4301d801e1aa1c0946be1e166d76b0f87073bf6a22d1aaafca09cff"),
+    ("LGPL-2.1", "073e92d27d3070cc2f7512cd4d499323a1b169166ddf858b3e5b0179460047da"),
+    ("LGPL-2.1", "83de7f57e0d470e54ceeaf1e7679c21c2e944f77be5a0387d7b562259f027693"),
+    ("LGPL-2.1", "1f3b517fd30ba5bd154f358fcaec0a2405d513d7f5abea590c6728b42c4e0615"),
+    ("LGPL-3.0", "04fbfafabca014c4a64256b62acef8da80a16221a8b883adf24173d0e00e6332"),
+    ("MPL-1.1", "9be262e497ceec5b57c65e7c50341c9b1bb6cb3df98c4091c0664877ae706d38"),
+    ("MPL-2.0", "a5490b3d721dcb99af383dc678cf64839fc9c8bca40025b071940900080d9a83"),
+    ("CC0-1.0", "f1e61fdb045270c3694853272efdba9107f8854bda65dc153a8ab1c2e43c8db7"),
+    ("GFDL-1.2", "7c5001441e52048420ea7ac2237b88610b71af1291bf257ecf067b40847303d0"),
+    ("GFDL-1.3", "501a789e12e32356e53afa7c9623bfa5c00b7e35bb47a46cd3d43cc9d605eeb8"),
+    ("GPL-1.0", "30080754a6b701a003867beb185b253f9c7244cc5cdde70e731dd167fdbba0a6"),
+    ("GPL-1.0", "73f645b64cd12c24a630337362ba5ca560c5bb2d117a186a1d91974865af4b7e"),
+    ("GPL-1.0", "d4909d6d780696d091923db9a1152f911d6acff43e6454bf30264421ab4d9d1c"),
+]
+#: (pattern, canonical spelling), applied to lower-case words parted by single blanks, in this order.
 SPELLINGS: list[tuple[str, str]] = [
+    (r"\b(all rights reserved)\b", " "),
     (r"\b(acknowledgement)\b", "acknowledgment"),
     (r"\b(licence)", "license"),
     (r"\b(organisation)", "organization"),
@@ -93,19 +142,44 @@ SPELLINGS: list[tuple[str, str]] = [
     (r"\bversion ([0-9])", "v $1"),
     (r"\bhttps\b", "http"),
     (r"\b(and or)\b", "and"),
+    (r"  +", " "),
 ]
-#: A line that only states whose work it is.
-COPYRIGHT_LINE = r"(?m)^[ \t]*[^A-Za-z\n]{0,8}(?i:copyright|©|\(c\))[ \t]*(?i:\(c\)|©)?[ \t]*[0-9][^\n]*$"
+_SPELT = "|".join(p for p, _ in SPELLINGS[:-1])
+#: A line that only states whose work it is: the mark with a sign, a year or "by" behind it, or with a name, unless
+#: the name is a word of the law, as where a licence text is wrapped before "COPYRIGHT HOLDERS".
+MARKED = r"(?i)^[^\p{L}\p{N}]{0,8}(©|\(c\)[ \t]*[0-9]{4}|copyright[ \t,:]*(\(c\)|©|[0-9]|by[ \t]))"
+NAMED = r"^[^\p{L}\p{N}]{0,8}([Cc]opyright|COPYRIGHT)[ \t,:]+\p{Lu}"
+LEGAL = r"(?i)^[^\p{L}\p{N}]{0,8}copyright[ \t,:]+(notice|holder|owner|law|licen[sc]e|interest|statement|act|protection|and|or|in|of|is|the|to)s?\b"
+_ANY_MARK = r"(?i)copyright|©|\(c\)"
+#: What no word holds; line ends part lines until the words are joined.
+_BETWEEN = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """The normal form that is hashed: lower-case words parted by single blanks, no copyright lines."""
-    out = F.regexp_replace(text, COPYRIGHT_LINE, " ")
-    out = F.lower(F.regexp_replace(out, "(?i)all rights reserved[.]?", " "))
-    out = F.trim(F.regexp_replace(out, r"[^a-z0-9\x{00DF}-\x{024F}]+", " "))
+def _without_copyright(text: Column) -> Column:
+    mine = lambda x: ~(x.rlike(MARKED) | (x.rlike(NAMED) & ~x.rlike(LEGAL)))
+    return F.when(text.rlike(_ANY_MARK), F.array_join(F.filter(F.split(text, "\n"), mine), "\n")).otherwise(text)
+
+
+def _lines(text: Column) -> Column:
+    """Lower-case words parted by single blanks, line by line, no copyright lines."""
+    return F.lower(F.regexp_replace(_without_copyright(text), _BETWEEN, " "))
+
+
+def _spelt(words: Column) -> Column:
+    """Equivalent spellings as one; texts without any are left as they are."""
+    out = words
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling)
-    return out
+    return F.trim(F.when(words.rlike(_SPELT), out).otherwise(words))
+
+
+def _joined(lines: Column) -> Column:
+    return _spelt(F.trim(F.regexp_replace(lines, r"[ \n]+", " ")))
+
+
+def canonical(text: Column) -> Column:
+    """The normal form that is hashed: lower-case words parted by single blanks, no copyright lines."""
+    return _joined(_lines(text))
 
 
 def digest(text: Column) -> Column:
@@ -113,13 +187,14 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark) -> DataFrame:
-    """(digest, license) of KNOWN, through the same expression as the documents."""
+    """(digest, license) of KNOWN, through the same expression as the documents, and of LONG_TEXTS."""
     rows = spark.createDataFrame(KNOWN, "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").dropDuplicates(["digest"])
+    long_ = spark.createDataFrame([(d, name) for name, d in LONG_TEXTS], "digest string, license string")
+    return rows.select(digest(F.col("text")).alias("digest"), "license").unionByName(long_).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-#: Every canonical known text holds one of these, so a line without them needs no digest.
-_HINT = r"(?i)licen[sc]e|permission|redistribution|released under|public license"
+#: Every canonical known text holds one of these, so a canonical line without them needs no digest.
+HINT = r"license|permission|redistribution|released|provided"
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -127,16 +202,17 @@ def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     lines that are known notices and their licences, sorted and joined by commas."""
     spark = docs.sparkSession
     known = known_digests(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_HINT))
-    t = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("text_digest"), F.transform(lines, digest).alias("line_digests"))
+    # A constant of fixed size: each line is looked up where it stands, without a row per line.
+    pairs = [x for r in known.orderBy("digest").collect() for x in (F.lit(r["digest"]), F.lit(r["license"]))]
+
+    def found(lines: Column) -> Column:
+        hinted = F.filter(F.transform(F.filter(F.split(lines, "\n"), lambda x: x.rlike(HINT + "|licence")), lambda x: _spelt(F.trim(x))), lambda x: x.rlike(HINT))
+        return F.filter(F.transform(hinted, lambda x: F.element_at(F.create_map(*pairs), F.sha2(x, 256))), lambda x: x.isNotNull())
+
+    t = docs.select(F.col(id_col).alias("doc_id"), let(_lines(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.struct(F.sha2(_joined(x), 256).alias("text_digest"), found(x).alias("found"))).alias("c"))
+    t = t.select("doc_id", "c.*")
     whole = t.join(F.broadcast(known), t.text_digest == known.digest, "left").drop("digest")
-    # The known digests as one small map: each line is looked up where it stands, without a row per line.
-    table = known.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("digest", "license")))).alias("known_lines"))
-    out = whole.join(F.broadcast(table))
-    found = F.filter(F.transform("line_digests", lambda d: F.element_at("known_lines", d)), lambda x: x.isNotNull())
-    out = out.withColumn("found", found)
-    return out.select(
+    return whole.select(
         "doc_id",
         "text_digest",
         F.col("license").alias("text_license"),
@@ -150,20 +226,21 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(x: str) -> str:
-    out = f"regexp_replace({x}, '{COPYRIGHT_LINE}', ' ', 'g')"
-    out = f"lower(regexp_replace({out}, '(?i)all rights reserved[.]?', ' ', 'g'))"
-    out = rf"trim(regexp_replace({out}, '[^a-z0-9\x{{00DF}}-\x{{024F}}]+', ' ', 'g'))"
+    """The same form for DuckDB, every spelling applied to every text."""
+    kept = f"list_filter(string_split({x}, chr(10)), lambda y: NOT (regexp_matches(y, '{MARKED}') OR (regexp_matches(y, '{NAMED}') AND NOT regexp_matches(y, '{LEGAL}'))))"
+    out = rf"trim(regexp_replace(lower(array_to_string({kept}, chr(10))), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for pattern, spelling in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{spelling.replace('$', chr(92))}', 'g')"
-    return out
+    return f"trim({out})"
 
 
 def _sql_oracle() -> str:
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    long_ = ", ".join(f"('{name}', '{d}')" for name, d in LONG_TEXTS)
     return f"""
-WITH known AS (SELECT DISTINCT license, sha256({_sql_canonical('text')}) AS digest FROM (VALUES {rows}) AS v(license, text)),
+WITH known AS (SELECT min(license) AS license, digest FROM (SELECT license, sha256({_sql_canonical('text')}) AS digest FROM (VALUES {rows}) AS v(license, text) UNION ALL SELECT * FROM (VALUES {long_}) AS w(license, digest)) GROUP BY digest),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, sha256({_sql_canonical('x')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_HINT}')),
+l AS (SELECT doc_id, sha256({_sql_canonical('x')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)),
 n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM l JOIN known USING (digest) GROUP BY 1)
 SELECT d.doc_id, sha256({_sql_canonical('d.text')}) AS text_digest, k.license AS text_license, coalesce(n.n, 0)::BIGINT AS n_notices, coalesce(names, '') AS notice_licenses
 FROM d LEFT JOIN known k ON k.digest = sha256({_sql_canonical('d.text')}) LEFT JOIN n ON n.doc_id = d.doc_id
