@@ -12,8 +12,9 @@ Sources are ordered by code point, null last; their weights repeat. Targets shar
 sizes by weight, none above ``cap`` times its source's size; what is above is shared again.
 
 Defined results: null and empty texts have size 0 and are not taken; a null source is a source; an
-empty table gives no rows; repeated rows are separate documents; other columns of the input are
-ignored. The same rows give the same sample, however they are partitioned.
+empty table gives no rows; repeated rows are separate documents; a text of any length is one document
+of its size; other columns of the input are ignored. The same rows give the same sample, however they are
+partitioned, but that of over BLOCK equal rows other ones may be taken.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import bisect
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, table, written
@@ -34,21 +35,36 @@ FEW_SOURCES = 10_000
 _EPS = 1e-9
 
 
-def targets(sizes: list[int], weights: list[float], share: float = 1.0, cap: float = 3.0) -> list[float]:
-    """What each source is to give: ``share`` of all sizes by weight, at most ``cap`` times its size."""
-    left, free, out = share * sum(sizes), list(range(len(sizes))), [0.0] * len(sizes)
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Sources with their place ``k`` in order of code point, null last: ranges sorted apart, then numbered on."""
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    kept = written(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranged")
+    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    # One row a partition, whose number is that of the session's shuffle partitions at most.
+    sizes = sorted((r["p"], r["n"]) for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    base, total = [], 0
+    for p, n in sizes:
+        base += [F.lit(p), F.lit(total)]
+        total += n
+    offset = F.element_at(F.create_map(*base), part) if base else F.lit(0)
+    return kept.withColumn("k", (offset + at).cast("long")).drop("_m")
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float = 1.0, cap: float = 3.0) -> DataFrame:
+    """Sources (source, total) with ``k`` and what each is to give, ``target``: ``share`` of all sizes by weight, at
+    most ``cap`` times its size. Each round fixes those above their cap and shares the excess again."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
+    rows = written(_numbered(sources).withColumn("w", weight), "sources")
+    # What is over its cap at some level of words a weight stays so at any higher one, so a number is all a round leaves.
+    most = share * (rows.agg(F.sum("total")).first()[0] or 0)
+    level, n_over = 0.0, -1
+    while True:
+        over = F.col("w") * level > cap * F.col("total")
+        fixed, free, n = rows.agg(F.coalesce(F.sum(F.when(over, cap * F.col("total"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0)), F.count_if(over)).first()
+        if n == n_over or not free:
             break
-        for i in over:
-            out[i] = cap * sizes[i]
-        left = max(0.0, left - sum(out[i] for i in over))
-        free = [i for i in free if i not in set(over)]
-    return out
+        level, n_over = max(0.0, most - fixed) / free, n
+    return rows.withColumn("target", F.when(over, cap * F.col("total")).otherwise(F.col("w") * level)).drop("w")
 
 
 def flight(sizes: list[float], chances: list[float], rng: random.Random) -> list[float]:
@@ -119,28 +135,30 @@ def mix_sources(
     # Carried columns stay in the table and are joined to the sample by row number; the flight sees narrow rows.
     stored = written(rows.withColumn("_k", F.monotonically_increasing_id()), "sizes")
     rows = stored.drop(*carry)
-    found = [(r["source"], r["s"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).collect()]
-    found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    goal = targets([s for _, s, _ in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
-    facts = []
-    for k, ((name, total, n), t) in enumerate(zip(found, goal)):
-        r = t / total if total else 0.0
-        whole = int(r + _EPS)
-        facts.append((name, k, total, t, whole, max(0.0, r - whole), -(-n // BLOCK)))
-    shape = "source string, source_no int, source_size long, target double, whole long, chance double, blocks int"
-    facts_df = spark.createDataFrame(facts, shape)
-    few = F.broadcast if len(facts) <= FEW_SOURCES else lambda df: df
-    at = rows.join(few(facts_df.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # Rows repeated so often that their hash alone would fill a block are told apart by their number.
+    often = written(rows.groupBy("source", "h").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("h").distinct(), "often")
+    if not often.isEmpty():
+        again = F.col("often").isNotNull()
+        rows = rows.join(often.withColumn("often", F.lit(True)), "h", "left").withColumn("h", F.when(again, F.xxhash64("h", "_k")).otherwise(F.col("h"))).drop("often")
+        rows = written(rows, "sizes_apart")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
+    ratio = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0)
+    whole = F.floor(ratio + _EPS)
+    facts = targets(sizes, weights, share, cap).select("source", F.col("k").alias("source_no"), F.col("total").alias("source_size"), "target", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("chance"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    facts = written(facts, "facts")
+    n_sources, most = facts.agg(F.count("*"), F.max("blocks")).first()
+    few = F.broadcast if n_sources <= FEW_SOURCES else lambda df: df
+    at = rows.join(few(facts.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # Documents without words, and sources that are taken a whole number of times, have nothing to decide.
     at = at.withColumn("p", F.when(F.col("size") > 0, F.col("chance")).otherwise(0.0)).drop("chance")
     kept = [c for c in at.columns if c not in ("blocks",)]
-    at, done, left = at.select(*kept), [], max([f[6] * BLOCK for f in facts], default=0)
+    at, done, left = at.select(*kept), [], (most or 0) * BLOCK
     is_open = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
     turn = 0
     while True:
         # Blocks of the documents that are still open: as many as the largest number a source can have left.
-        count, last = spread(facts, turn), left <= BLOCK
-        blocks = spark.createDataFrame(count, "source_no int, blocks int")
+        last = left <= BLOCK
+        blocks = facts.select("source_no", spread(F.col("blocks"), turn).alias("blocks"))
         closed = at.where(~is_open)
         dealt = at.where(is_open).join(few(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64("h", F.lit(turn)), F.col("blocks")).cast("int")).drop("blocks")
 
@@ -171,14 +189,11 @@ def _decide(turn: int, last: bool):
     return decide
 
 
-def spread(facts: list[tuple], turn: int) -> list[tuple[int, int]]:
-    """Blocks of each source in a turn: every turn leaves two documents a block at most."""
-    out = []
-    for fact in facts:
-        blocks = max(1, fact[6])
-        for _ in range(turn):
-            blocks = -(-2 * blocks // BLOCK)
-        out.append((fact[1], blocks))
+def spread(blocks: Column, turn: int) -> Column:
+    """Blocks of a source in a turn: every turn leaves two documents a block at most."""
+    out = F.greatest(F.lit(1), blocks)
+    for _ in range(turn):
+        out = F.ceil(2 * out / BLOCK)
     return out
 
 
