@@ -10,8 +10,9 @@ Template: BOS, then for every turn a role mark, its text and END, then EOS. Loss
 of assistant turns alone.
 
 Defined results: null texts count as empty, null roles as ``user``; conversations are ordered by
-conv_id, turns by turn with ties by role and text; null ids are a conversation of their own;
-repeated rows are repeated turns; other columns of the input are ignored.
+conv_id, turns by turn with ties by role and the ids of their text; null ids are a conversation of their own;
+repeated rows are repeated turns; an empty table gives no rows; a text of any length is one turn; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -145,6 +146,9 @@ class _Read:
         self.chars += sum(map(len, names))
         role, role_at = "", None
         for k, (at, name) in enumerate(zip(cuts.tolist(), names)):
+            if mask[at]:  # a control token is no one's text
+                self.loss_chars += len(name)
+                self.loss.update(name.encode())
             to = int(cuts[k + 1]) if k + 1 < len(cuts) else len(ids)
             raw = decode(ids[at + 1 : to].tolist()).decode()
             self.chars += len(raw)
@@ -159,13 +163,17 @@ class _Read:
             text = unescape(raw)
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode())
-            if to > at + 1 and mask[at + 1 : to].all():
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+            # What the mask covers is read, whole or not.
+            covered = mask[at + 1 : to]
+            if covered.any():
+                said = text if covered.all() else unescape(decode(ids[at + 1 : to][covered].tolist()).decode(errors="replace"))
+                self.loss_chars += len(said)
+                self.loss.update(said.encode())
 
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:
-    """Digests of the formatted conversations, read back from their ids and masks."""
+    """Digests of the formatted conversations, read back from their ids and masks. Turns that the table
+    holds of a conversation -1 belong to the added one."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     turns = turns.union(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
