@@ -4,8 +4,8 @@ Every line is judged by itself: does it look like running text (punctuation), li
 like boilerplate, like shouting or like a few words over and over? Failing lines go; a document that loses too
 many words with them goes as a whole. Base counts of the whole text stand beside the verdict.
 
-Defined results: a null or empty text has no words, hence fails the base rule; ties do not arise;
-repeated rows give repeated results; other columns of the input are ignored.
+Defined results: a null or empty text has no words, hence fails the base rule; ties do not arise; a text
+of any length is judged whole; repeated rows give repeated results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ FINAL = r"[.!?:;…\"'”’)\]»][\x20\x09-\x0D]*$"
 BOILERPLATE = (
     r"(?i)(all rights reserved|cookie policy|we use cookies|accept cookies|privacy policy|terms of (use|service)|"
     r"enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here|read more|"
-    r"lorem ipsum|skip to (main )?content|back to top|powered by|share on (facebook|twitter))"
+    r"lorem ipsum|skip to (main )?content|back to top|powered by|share on (facebook|twitter)|"
+    r"alle rechte vorbehalten|datenschutzerkl|cookie-richtlinie|wir verwenden cookies|mehr lesen|weiterlesen|hier klicken|nach oben|"
+    r"todos los derechos reservados|aviso legal|usamos cookies|aceptar (las )?cookies|haga clic|seguir leyendo|volver arriba|"
+    r"tous droits r|mentions l[eéÉ]gales|nous utilisons des cookies|accepter les cookies|cliquez ici|lire la suite|en savoir plus|haut de page)"
 )
 MIN_WORDS = 50
 
@@ -101,7 +104,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """One row per row of ``docs``: id, base counts, the words that failing lines hold, the cleaned text and the verdict.
 
     A document goes if it has under 50 words, if over half of them stand in repeated three-word
-    windows, or if failing and repeated lines hold over ``max_loss`` of its words.
+    windows, or if failing lines hold over ``max_loss`` of its words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     t = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
