@@ -8,11 +8,12 @@ its words, so its kernel with a landmark is the sum of the words' kernels; landm
 tell labelled toxic documents from clean ones and the clean words most like them. The machine is
 trained on sentences: those of clean documents against those of toxic ones that hold a landmark, and
 against landmarks with a letter inserted, dropped or doubled. A document scores as its worst
-sentence, calibrated on the training documents.
+sentence, calibrated on the training documents so that CUT is the cut that parts them best.
 
 Defined results: null and empty texts have no sentence and get the score of a text without a hit;
-without labels of both kinds every score is 0; repeated rows give repeated results; other columns of
-the input are ignored. Training reads at most SAMPLE documents of either label.
+without labels of both kinds every score is 0; equal texts have equal scores; an empty table gives no rows; a
+text of any length is read whole; other columns of the input are ignored. Training reads at most SAMPLE
+documents of either label.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import frugal, pieces, remainder, table
 
-#: Bounds of the training sample: documents of each label, and characters of a document in it.
+#: Bounds of the training sample: documents of each label, and characters of a document in it; of longer ones a stretch is taken.
 SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 3000}, 12_000
 #: Landmarks from toxic documents, and like words from clean ones.
 TOXIC_MARKS, CLEAN_MARKS = 64, 32
@@ -39,6 +40,11 @@ LEAST_Z, STRONG = 6.0, 0.8
 HIDDEN = 0.25
 #: Subsequences of ORDER letters; each letter that a subsequence spans costs a factor DECAY.
 ORDER, DECAY, POWER = 3, 0.85, 2
+#: The share of the span's own kernel in the norm, the rest being the landmark's. With a half, letters between those of
+#: the landmark would count against a span twice, as gaps and as subsequences of its own.
+SPAN = 0.35
+#: The score from which a document counts as toxic.
+CUT = 0.7
 #: The longest landmark.
 WIDE = 24
 #: Longer words are taken in windows of WINDOW letters, every half of one, so that all spans of half a window are seen whole.
@@ -53,10 +59,10 @@ _END = (".", "!", "?")
 
 
 def _codes(words: list[str], wide: int = WIDE) -> np.ndarray:
-    """Letters as numbers under 1024, one column a word; 0 behind the end."""
+    """Letters as numbers, one column a word; 0 behind the end."""
     out = np.zeros((wide, len(words)), np.int64)
     for k, w in enumerate(words):
-        out[: len(w), k] = [ord(c) & 1023 or 1 for c in w]
+        out[: len(w), k] = [ord(c) for c in w]
     return out
 
 
@@ -91,11 +97,14 @@ class Landmarks:
         self.codes = _codes(marks)
         self.size = np.array([len(m) for m in marks], np.int64)
         self.own = np.sqrt(ssk(self.codes, self.codes)) if marks else np.zeros(0)
-        self.bits = [np.zeros(1024, np.uint32) for _ in marks]
-        self.letters = np.zeros(len(marks), np.uint64)
-        for table_, m in zip(self.bits, marks):
-            for k, c in enumerate(m):
-                table_[ord(c) & 1023 or 1] |= np.uint32(1 << k)
+        #: Letters of landmarks, numbered from 1, and where in each landmark they stand.
+        letters = sorted(set("".join(marks)))
+        self.index = np.zeros(0x110000, np.int16)
+        self.index[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.bits = np.zeros((len(marks), len(letters) + 1), np.uint32)
+        for k, m in enumerate(marks):
+            for j, c in enumerate(m):
+                self.bits[k, self.index[ord(c)]] |= np.uint32(1 << j)
         self.letters = self._letters(self.codes)
         self.distinct = np.bitwise_count(self.letters).astype(np.int64)
 
@@ -128,8 +137,8 @@ class Landmarks:
             if not len(near):
                 continue
             open_ = np.full(len(near), 0xFFFFFFFF, np.uint32)  # common subsequence by bits
-            for row in codes:
-                hit = open_ & self.bits[k][row[near]]
+            for row in self.index[codes[:, near]]:
+                hit = open_ & self.bits[k][row]
                 open_ = (open_ + hit) | (open_ - hit)
             common = np.bitwise_count(~open_ & np.uint32((1 << int(size)) - 1))
             near = near[common >= max(ORDER, size - 1)]
@@ -140,9 +149,9 @@ class Landmarks:
     def _best(self, codes: np.ndarray, w: np.ndarray, m: np.ndarray) -> np.ndarray:
         """The best over all spans of each word. It begins with a letter of the landmark: others before it only add to the span's own kernel."""
         best = np.zeros(len(w))
-        known = np.stack(self.bits) > 0
+        known = self.bits > 0
         for start in range(len(codes) - ORDER + 1):
-            on = np.flatnonzero(known[m, codes[start, w]] & (codes[start + ORDER - 1, w] > 0))
+            on = np.flatnonzero(known[m, self.index[codes[start, w]]] & (codes[start + ORDER - 1, w] > 0))
             if not len(on):
                 continue
             raw = _ends(codes[start:, w[on]], self.codes[:, m[on]]).sum(1).cumsum(0)
@@ -150,7 +159,7 @@ class Landmarks:
             one, which = np.unique(w[on], return_inverse=True)
             ends = _ends(codes[start:, one], codes[start:, one])
             own = ends.cumsum(0).cumsum(1)[np.arange(len(ends)), np.arange(len(ends))][:, which]
-            best[on] = np.maximum(best[on], (raw / np.maximum(np.sqrt(own) * self.own[m[on]], 1e-12)).max(0))
+            best[on] = np.maximum(best[on], (raw / np.maximum(own**SPAN * self.own[m[on]] ** (2 - 2 * SPAN), 1e-12)).max(0))
         return np.clip(best, 0, 1) ** POWER
 
 
@@ -261,6 +270,15 @@ def _platt(d: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-6), float(w[1])
 
 
+def _best_cut(d: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """The decision above which to call rows toxic for the best F1, midway to the next lower one."""
+    order = np.argsort(-d, kind="stable")
+    d, right, taken = d[order], np.cumsum((y * c)[order]), np.cumsum(c[order])
+    f1 = np.where(np.append(d[1:], -np.inf) < d, 2 * right / (taken + (y * c).sum()), 0.0)
+    k = int(np.argmax(f1))
+    return float(d[k] + d[k + 1]) / 2 if k + 1 < len(d) else float(d[k])
+
+
 def choose(toxic: list[str], clean: list[str]) -> tuple[Landmarks, int]:
     """Landmarks: words and beginnings of words that toxic documents have and clean ones lack, then
     the clean words most like them; and how many are of the first kind."""
@@ -363,14 +381,18 @@ def fit(toxic: list[str], clean: list[str]) -> Machine | None:
     label = np.concatenate([np.ones(len(bags)), np.zeros(len(others)), np.ones(len(fake))])
     weight = np.concatenate([np.ones(len(bags) + len(others)), np.full(len(fake), HIDDEN * len(bags) / max(1, len(fake)))])
     out.slope, out.shift = _platt(decisions, label, weight)
+    # The score at the cut that parts the training documents best is CUT.
+    out.shift = float(np.log(CUT / (1 - CUT)) - out.slope * _best_cut(decisions, label, weight))
     return out
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Machine | None:
-    """A machine from at most SAMPLE rows of either label: those with the smallest hash of their id,
-    among the texts of at most SAMPLE_CHARS characters."""
+    """A machine from at most SAMPLE rows of either label: those with the smallest hash of their id; of a text
+    of more than SAMPLE_CHARS characters so many from a place that the hash chooses."""
     rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col)).alias("h"))
-    rows = rows.where((F.col("y").isin(0, 1)) & (F.length("t") <= SAMPLE_CHARS))
+    rows = rows.where(F.col("y").isin(0, 1) & F.col("t").isNotNull())
+    at = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.withColumn("t", F.substring(F.col("t"), at, F.lit(SAMPLE_CHARS)))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     span = 1 << 30
     few = [(F.col("y") == y) & (F.pmod("h", F.lit(span)) < min(span, SAMPLE[y] * span // n + 1)) for y, n in counts.items()]
