@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from atriumq.llm import minhash, mixing, pieces, queries, suffix
+from atriumq.llm import ann, minhash, mixing, pieces, queries, suffix
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,7 +46,7 @@ def test_suffix_arrays_against_counting():
         assert [x.tolist() for x in suffix.repeated_starts(texts, length)] == want
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4096, 3])
 def test_op4_against_counting(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
     got = {r.doc_id: r for r in result(spark, "op4_suffix_dedup").collect()}
@@ -63,6 +63,35 @@ def test_op4_against_counting(spark, docs, hot, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(gone[:-1].sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("length,hot", [(64, 5), (288, 4096), (288, 3), (400, 4), (1000, 4096)])
+def test_repeats_of_any_length_and_hot_anchors(spark, length, hot, monkeypatch):
+    """A passage with many different surroundings: its ends lie in segments that all differ."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rnd = random.Random(length)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(2900)
+    texts = [word(rnd.randint(0, 900)) + passage[rnd.choice([0, 0, 3, 40]) :] + word(rnd.randint(0, 700)) for _ in range(14)] + ["z" * 2500, word(3000)]
+    texts.append(texts[0])
+    got = {r.doc_id: r for r in suffix.repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length).collect()}
+    count = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if count[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        assert got[i].kept.decode() == "".join(c for c, g in zip(t, gone) if not g)
+
+
+def test_slices_of_a_long_text_hold_every_string(monkeypatch):
+    rnd = random.Random(5)
+    data = np.frombuffer(bytes(rnd.choice(b"abcd") for _ in range(9000)), np.uint8)
+    offsets = np.array([0, len(data)])
+    strings = lambda parts: sorted({(s + k, a) for _, start, size, anchor, _, _ in parts for s, n, a in zip(start.tolist(), size.tolist(), anchor.tolist()) for k in range(n - 199)})
+    want = strings([suffix.segments(data, offsets, 200)])
+    monkeypatch.setattr(suffix, "PIECE_BYTES", 1000)
+    assert strings(suffix.long_segments(data, offsets, 200)) == want and len(want) == 8801
+
+
 def _sets(docs, k):
     low = {c: c + 32 for c in range(65, 91)}
     out = {}
@@ -99,6 +128,7 @@ def test_op10_against_all_pairs(spark, docs):
 
 def test_blocks_of_large_clusters_lose_no_link(spark, docs, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "PARTNERS", 4)
     base = [f"w{k}" for k in range(120)]
     rnd = random.Random(7)
     near = []
@@ -112,6 +142,25 @@ def test_blocks_of_large_clusters_lose_no_link(spark, docs, monkeypatch):
     assert got == _components(_sets(near + docs[:20], 3), 85)
 
 
+def test_repeated_ids_and_chains(spark):
+    """Ids that stand for different texts link by text; a chain of half-similar documents links nowhere."""
+    words = [f"w{k}" for k in range(400)]
+    text = " ".join(words[:100])
+    rows = [(5, "some other text of its own"), (5, text), (9, text.replace("w99", "x")), (7, "one more text that is alone here")]
+    rows += [(100 + k, " ".join(words[10 * k : 10 * k + 30])) for k in range(30)] + [(200, text.upper())]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got[9, 98] == 5 and got[200, 98] == 5 and got[7, 5] == 7 and all(got[100 + k, 28] == 100 + k for k in range(30))
+
+
+def test_words_of_a_long_text_in_slices(monkeypatch):
+    rnd = random.Random(2)
+    data = np.frombuffer(bytes(rnd.choice(b"aB \n") for _ in range(5000)) + b"c" * 700 + b" d", np.uint8)
+    want = minhash.word_hashes(data, np.array([0, len(data)]))
+    monkeypatch.setattr(minhash, "PIECE_BYTES", 100)
+    got = minhash.word_hashes(data, np.array([0, len(data)]))
+    assert all((a == b).all() for a, b in zip(got, want))
+
+
 def test_bayes_keeps_similar_pairs():
     need = minhash.least_matches(0.85)
     assert need == sorted(need) and need[-1] < 0.85 * minhash.PERMUTATIONS
@@ -166,13 +215,51 @@ def test_flight_keeps_both_totals():
     p = mixing.flight(sizes, chances, random.Random(1))
     assert sum(0 < x < 1 for x in p) <= 2
     assert abs(sum(p) - 0.37 * 500) < 1e-6 and abs(sum(s * (x - 0.37) for s, x in zip(sizes, p))) < 1e-4
-    assert mixing.targets([10, 1000, 10], [5, 2, 1]) == [30, 960, 30]
 
 
-def test_op3_finds_the_nearest(spark):
+def _plain_targets(sizes, weights, cap=3.0):
+    """Targets by filling up: fix whoever is above its cap, share the rest again."""
+    fixed, out = {}, {}
+    while True:
+        free = [i for i in range(len(sizes)) if i not in fixed]
+        level = (sum(sizes) - sum(fixed.values())) / (sum(weights[i % len(weights)] for i in free) or 1)
+        out = fixed | {i: level * weights[i % len(weights)] for i in free}
+        over = {i: cap * sizes[i] for i in free if out[i] > cap * sizes[i]}
+        if not over:
+            return [out[i] for i in range(len(sizes))]
+        fixed |= over
+
+
+def test_targets_fill_up(spark):
+    rnd = random.Random(3)
+    for sizes in ([10, 1000, 10], [5], [0, 7, 0, 9], [rnd.choice([3, 50, 4000]) for _ in range(101)]):
+        rows = spark.createDataFrame([(f"s{k:03}" if k < len(sizes) - 1 else None, n) for k, n in enumerate(sizes)], "source string, total long").repartition(7)
+        got = mixing.targets(rows, (5, 2, 1)).orderBy("k").collect()
+        assert [r.total for r in got] == sizes and [r.target for r in got] == pytest.approx(_plain_targets(sizes, (5, 2, 1)))
+
+
+def test_mixing_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rows = spark.createDataFrame([(1, "a b c", "x")] * 700 + [(k, "w " * (k % 9 + 1), "yz"[k % 2]) for k in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(rows).toPandas()
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert len(got) == 1100 and (abs(by.taken - by.target) <= 12).all()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_op3_finds_the_nearest(spark, small, monkeypatch):
+    """Also with many blocks, packs and chunks, two in a hundred ranked exactly."""
+    if small:
+        for name, n in {"BLOCK": 100, "QUERIES": 40, "CHUNK": 2, "RERANK": 80}.items():
+            monkeypatch.setattr(ann, name, n)
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
+    if small:
+        rng = np.random.default_rng(4)
+        rows = rows.loc[np.repeat(rows.index, 8)].reset_index(drop=True)
+        rows["vec_id"] = np.arange(len(rows))
+        rows["embedding"] = [(np.array(v, float) + rng.normal(0, 0.1, len(v))).tolist() for v in rows.embedding]
     x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
-    got = result(spark, "op3_additive_quantisation").toPandas()
+    got = (ann.nearest(spark.createDataFrame(rows[["vec_id", "embedding"]])) if small else result(spark, "op3_additive_quantisation")).toPandas()
     hits = 0
     asked = [k for k, i in enumerate(ids) if i % 20 == 0]
     for k in asked:
@@ -192,4 +279,4 @@ def test_op7_and_op1_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{big}/labels.parquet").toPandas().merge(toxic, on="doc_id")
     held = labels[labels.held_out]
     right = ((held.predicted == 1) & (held.toxic == 1)).sum()
-    assert right >= 0.8 * (held.predicted == 1).sum() and right >= 0.4 * (held.toxic == 1).sum()
+    assert right >= 0.8 * (held.predicted == 1).sum() and right >= 0.6 * (held.toxic == 1).sum()
