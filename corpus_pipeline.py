@@ -3,7 +3,8 @@ mixing to target weights and tokenisation. Every stage takes the documents that
 kept, as (spark, docs, sf_dir), and all but the last return the columns of ``documents``.
 
 A stage ignores rows it cannot read rather than failing: null texts have no language and go in the
-first stage; an empty table passes through all stages as an empty table.
+first stage; an empty table passes through all stages as an empty table; ties in near-duplicate groups go
+to the smallest id, then to the smallest row; texts of any length pass, the operators read long ones in slices.
 """
 
 from __future__ import annotations
@@ -12,14 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atriumq.llm import langid, minhash, mixing, pieces, suffix
-from atriumq.llm.common import remainder, written
+from atriumq.llm.common import drop_table, remainder, written
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Each row as one value, whatever its columns are called, and a mark that tells rows apart even where
-    ids repeat: equal rows share it and are treated alike."""
-    row = F.struct(*docs.columns)
-    return docs.select(row.alias("_doc"), F.xxhash64(row).alias("_row"))
+    """Each row as one value, whatever its columns are called, beside what the operators read of it."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
 
 
 def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,37 +28,37 @@ def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells clearly, with that language."""
     content = langid.train(docs.where(remainder("doc_id", 5) != 0))
-    rows = _packed(docs)
-    found = langid.classify(rows.select("_row", "_doc.text"), content, id_col="_row").where("NOT rejected")
-    found = found.select(F.col("doc_id").alias("_row"), F.col("lang_pred").alias("_lang")).dropDuplicates(["_row"])
-    out = rows.join(found, "_row").select(F.col("_doc").withField("lang", F.col("_lang")).alias("_doc"))
-    return _unpacked(out, docs.columns)
+    found = langid.classify(_packed(docs), content, carry=("_doc",)).where("NOT rejected")
+    return _unpacked(found.select(F.col("_doc").withField("lang", F.col("lang_pred")).alias("_doc")), docs.columns)
 
 
 def remove_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id: shingles of five words, similarity 0.8."""
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    # A repeated id stays once.
-    once = docs.join(gone, "doc_id", "left_anti")
-    repeated = once.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = once.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(once.join(repeated, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One document of each group of near duplicates, the one with the smallest id: shingles of five words,
+    similarity 0.8. Rows are told apart by 96 bits of all their columns; equal rows stay once, rows without
+    words as they are, rows of one id only go if their texts are alike."""
+    row = F.struct(*docs.columns)
+    keyed = docs.select(row.alias("_doc"), F.xxhash64(row).alias("_one"), F.hash(row).alias("_two"))
+    found = minhash.near_duplicates(keyed.select("_doc.doc_id", "_doc.text", "_one", "_two"), k=5, percent=80, carry=("_one", "_two"))
+    seen = written(found.select("group", F.struct("doc_id", "_one", "_two").alias("r")), "grouped")
+    kept = seen.where("group IS NOT NULL").groupBy("group").agg(F.min("r").alias("r")).select("r").union(seen.where("group IS NULL").select("r"))
+    times = written(seen.groupBy("r").agg(F.count("*").alias("n")).join(kept.distinct(), "r").select("r._one", "r._two", "n"), "kept")
+    both = keyed.join(times, ["_one", "_two"])
+    once = both.where("n > 1").dropDuplicates(["_one", "_two"])
+    return _unpacked(both.where("n = 1").select("_doc").unionByName(once.select("_doc")), docs.columns)
 
 
 def remove_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes and more that occur elsewhere; those left empty by it go."""
-    rows = _packed(docs)
-    found = suffix.repeated_bytes(rows.select("_row", "_doc.text"), 200, id_col="_row").where("size(spans) > 0")
-    found = found.select(F.col("doc_id").alias("_row"), F.col("kept").alias("_kept")).dropDuplicates(["_row"])
+    found = suffix.repeated_bytes(_packed(docs), 200, carry=("_doc",))
     # A cut may fall inside a character, whose other bytes then mean nothing.
-    valid = F.make_valid_utf8(F.col("_kept").cast("string"))
+    valid = F.make_valid_utf8(F.col("kept").cast("string"))
     cleaned = F.when(F.contains("_doc.text", F.lit("\ufffd")), valid).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
     new = F.col("_doc").withField("text", cleaned)
     if "n_chars" in docs.columns:
         new = new.withField("n_chars", F.length(cleaned).cast(docs.schema["n_chars"].dataType))
-    out = rows.join(found, "_row", "left").select(F.when(F.col("_kept").isNull(), F.col("_doc")).otherwise(new).alias("_doc"), "_kept")
-    return _unpacked(out.where("_kept IS NULL OR _doc.text RLIKE '[^ \\\\t\\\\n\\\\r]'"), docs.columns)
+    cut = F.size("spans") > 0
+    out = found.select(F.when(cut, new).otherwise(F.col("_doc")).alias("_doc"), cut.alias("_cut"))
+    return _unpacked(out.where("NOT _cut OR _doc.text RLIKE '[^ \\\\t\\\\n\\\\r]'"), docs.columns)
 
 
 def mix_to_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,10 +87,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage is written before the next reads it."""
+    """All stages over ``documents``; every stage is written before the next reads it, and its input removed then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage{k}")
+        if 0 < k < len(STAGES) - 1:
+            drop_table(before)
     return docs
