@@ -9,13 +9,26 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to and read from the folder in ``spark.checkpoint.dir``; our own only where none is set."""
+    """``df`` written to and read from the folder in ``spark.checkpoint.dir``; our own only where none is set and all runs on this machine."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="atriumq-")
-        spark.sparkContext.setCheckpointDir(at) if not found.isDefined() else None
+        at = found.get() if found.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="atriumq-")
+        spark.sparkContext.setCheckpointDir(at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a table made by kept() whose rows are no longer read."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
