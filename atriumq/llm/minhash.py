@@ -6,11 +6,13 @@ candidates. Candidates go through signature batches first: a pair is dropped as
 chance that it is similar enough falls under the chosen miss probability; whoever survives is verified
 on the full sets.
 
-No group emits all its pairs. First every bucket's members meet the bucket's smallest member, then,
-where a bucket still holds several components, its largest; what is linked then is one component and
-needs no further link. Only members of different components are compared pair by pair, on signatures
-alone, within their bucket, in blocks of bounded size; so no candidate of a band is left out. Whoever is
-compared with many is dealt over several tasks.
+No group emits all its pairs. First every bucket's members meet the bucket's smallest member; what is linked
+then is one component and needs no further link. Where a bucket still holds several components, members of
+different ones are compared pair by pair on their signatures, within the bucket, in blocks of bounded size; a
+spanning forest of the pairs that pass tells which members may be similar at all. Each such cluster is then
+verified on the full sets, in blocks too, and again only a forest of its links comes out. So no candidate of
+a band is left out, nothing grows with the square of a group but comparisons inside a task, and documents
+that merely share bands never meet with their sets.
 
 Defined results: null texts and texts without words have empty sets and link with nothing; with
 fewer words than a shingle the whole sequence is one; equal sets are linked; repeated ids keep
@@ -40,7 +42,7 @@ PERMUTATIONS = BAND_ROWS * BANDS
 BATCH = 32
 #: Chance that a pair as similar as asked is dropped before the exact comparison.
 MISS = 1e-9
-#: Members of a bucket that are compared pair by pair in a task; larger buckets are dealt as pairs of blocks.
+#: Members of a bucket or cluster that are compared pair by pair in a task; larger ones are dealt as pairs of blocks.
 BLOCK = 1500
 #: Partners that one set meets in a task.
 PARTNERS = 2000
@@ -264,26 +266,25 @@ def _components(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> D
         return np.array([j for j, x in enumerate(others) if _similar(one, np.frombuffer(x, _U), percent)], np.int64)
 
     verify = lambda pairs: _compared(_compared(pairs, sigs, "sig", by_signature), sets, "shingles", by_set)
-    links = verify(members.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    links = verify(members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a < b").distinct())
     found = written(components(links), "found")
     still = _open(members, found)
     if still.isEmpty():
         return found
-    # The largest member meets those that are not in its component.
-    links = links.unionByName(verify(still.where("component <> top").select(F.col("high").alias("a"), F.col("node").alias("b")).distinct()))
-    found = written(components(links), "found")
-    still = _open(still.select("bucket", "node", "low", "high"), found)
-    if still.isEmpty():
-        return found
-    more = _compared(_met_in_blocks(still, sigs, percent, need), sets, "shingles", by_set)
+    # What may be similar at all, by signatures within buckets; then what is, by sets within those clusters.
+    near = written(_in_blocks(still, "bucket", sigs, percent, need, False).distinct(), "near")
+    inside = still.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(near.unionByName(inside)).withColumnRenamed("component", "cluster")
+    mates = written(still.select("node", "component").distinct().join(clusters, "node").join(written(near.select("a").union(near.select("b")).distinct().join(clusters, F.col("a") == F.col("node")).select("cluster").distinct(), "live"), "cluster"), "mates")
+    more = written(_in_blocks(mates, "cluster", sets.join(sigs.drop("n"), "node"), percent, need, True), "links")
     return found if more.isEmpty() else written(components(links.unionByName(more)), "found")
 
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, node, low, high, component, top) of buckets that hold several components; top is that of ``high``."""
+    """(bucket, node, component) of buckets that hold several components."""
     own = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = written(own.select("bucket", "node", "low", "high", "component"), "labelled")
-    several = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max_by("component", "node").alias("top")).where("x < y").select("bucket", "top")
+    own = written(own.select("bucket", "node", "component"), "labelled")
+    several = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     return written(own.join(written(several, "several"), "bucket"), "open")
 
 
@@ -302,30 +303,39 @@ def _candidate_sets(texts: DataFrame, classes: DataFrame, members: DataFrame, k:
     return written(rows.join(wanted.drop("two"), ["doc_id", "n", "one"]).select("node", "n", "shingles").dropDuplicates(["node"]), "sets")
 
 
-def _met_in_blocks(members: DataFrame, sigs: DataFrame, percent: int, need: list[int]) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that their signatures let pass."""
-    sizes = written(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    dealt = members.select("bucket", "node", "component").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Every pair of blocks of a bucket meets in one group; signatures alone travel.
+def _in_blocks(members: DataFrame, key: str, payload: DataFrame, percent: int, need: list[int], exact: bool) -> DataFrame:
+    """A spanning forest (a, b) of the pairs of different components within each group of ``key`` whose signatures
+    pass and, if ``exact``, whose sets are similar. members: (key, node, component); payload: (node, n, sig) and the sets."""
+    sizes = written(members.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    dealt = members.select(key, "node", "component").join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Every pair of blocks of a group meets in one task.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.select(key, "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
-        node, component, block, n = (group[c].to_numpy() for c in ("node", "component", "block", "n"))
+        node, block, n = (group[c].to_numpy() for c in ("node", "block", "n"))
+        comp = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, PERMUTATIONS)
+        sets = [np.frombuffer(x, _U) for x in group["shingles"]] if exact else None
         across, out = group["low"].iloc[0] != group["high"].iloc[0], []
         for i in range(len(node) - 1):
-            other = np.arange(i + 1, len(node))
-            other = other[component[other] != component[i]]
+            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             if across:
                 other = other[block[other] != block[i]]
-            if len(other):
-                good = other[_survives(sig[i : i + 1], sig[other], np.full(len(other), n[i]), n[other], percent, need)]
-                out.append(np.stack([np.full(len(good), node[i]), node[good]], 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    return dealt.join(sigs, "node").groupBy("bucket", "low", "high").applyInPandas(meet, "a long, b long").distinct()
+            if not len(other):
+                continue
+            other = other[_survives(sig[i : i + 1], sig[other], np.full(len(other), n[i]), n[other], percent, need)]
+            while len(other):  # one link to each component; whoever is linked by it is skipped
+                j, other = other[0], other[1:]
+                if exact and not _similar(sets[i], sets[j], percent):
+                    continue
+                comp[comp == comp[j]] = comp[i]
+                out.append((node[i], node[j]))
+                other = other[comp[other] != comp[i]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(payload, "node").groupBy(key, "low", "high").applyInPandas(meet, "a long, b long")
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
