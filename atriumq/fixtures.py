@@ -19,7 +19,7 @@ VIEWS: dict[str, str] = {
   CASE c_custkey % 6 WHEN 0 THEN 'decision' WHEN 1 THEN 'waypoint' WHEN 2 THEN 'door' WHEN 3 THEN 'entrance' WHEN 4 THEN 'room' ELSE 'connector' END AS kind,
   CAST((c_custkey * 7919) % 1009 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 757 AS DOUBLE) AS y FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "fx_wall": """SELECT s_nationkey AS floor, s_suppkey AS wall, CAST((s_suppkey * 613) % 1009 AS DOUBLE) AS sx, CAST((s_suppkey * 389) % 757 AS DOUBLE) AS sy,
-  CAST((s_suppkey * 613) % 1009 + (s_suppkey * 37) % 241 - 120 AS DOUBLE) AS ex, CAST((s_suppkey * 389) % 757 + (s_suppkey * 53) % 241 - 120 AS DOUBLE) AS ey FROM {supplier} WHERE s_suppkey < 100""",
+  CAST((s_suppkey * 613) % 1009 + (s_suppkey * 37) % 25 - 12 AS DOUBLE) AS ex, CAST((s_suppkey * 389) % 757 + (s_suppkey * 53) % 25 - 12 AS DOUBLE) AS ey FROM {supplier}""",
     "fx_edge": """SELECT a.building, a.floor, a.node AS from_node, b.node AS to_node, a.node % 5 <> 0 AS accessible, CASE WHEN b.ord = a.ord + 1 THEN 'corridor' ELSE 'doorway' END AS kind
   FROM {fx_node} a JOIN {fx_node} b ON a.floor = b.floor AND (b.ord = a.ord + 1 OR b.ord = a.ord + 7)""",
     "fx_connector": """SELECT f.floor AS src_floor, f.n0 AS src_node, g.floor AS dst_floor, g.n0 AS dst_node, CASE f.floor % 3 WHEN 0 THEN 'elevator' WHEN 1 THEN 'stairs' ELSE 'ramp' END AS kind,
@@ -27,15 +27,15 @@ VIEWS: dict[str, str] = {
   FROM (SELECT building, floor, MIN(node) AS n0, LEAD(floor) OVER (PARTITION BY building ORDER BY floor) AS nf FROM {fx_node} GROUP BY building, floor) f
   JOIN (SELECT floor, MIN(node) AS n0 FROM {fx_node} GROUP BY floor) g ON f.nf = g.floor""",
     "fx_poi": f"""SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS poi, CASE WHEN p_partkey % 41 = 0 THEN ' ' ELSE p_name END AS name, CASE WHEN p_partkey % 43 = 0 THEN '' ELSE p_type END AS category,
-  CAST((p_partkey * 331) % 1009 AS DOUBLE) AS x, CAST((p_partkey * 577) % 757 AS DOUBLE) AS y, p_partkey * 3 % 1600 AS node, {_LABEL} AS note FROM {{part}} WHERE p_partkey < 2000""",
+  CAST((p_partkey * 331) % 1009 AS DOUBLE) AS x, CAST((p_partkey * 577) % 757 AS DOUBLE) AS y, p_partkey * 3 % 1600 AS node, {_LABEL} AS note FROM {{part}}""",
     "fx_qr": """SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS qr, CASE WHEN p_partkey % 3 = 0 THEN ' Code-' ELSE 'CODE-' END || CAST(p_partkey % 150 AS STRING) AS code,
-  CASE WHEN p_partkey % 53 = 0 THEN '  ' ELSE p_name END AS label, p_partkey * 5 % 1600 AS node FROM {part} WHERE p_partkey < 400""",
+  CASE WHEN p_partkey % 53 = 0 THEN '  ' ELSE p_name END AS label, p_partkey * 5 % 1600 AS node FROM {part}""",
     "fx_space": f"""SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS space, ROW_NUMBER() OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) AS ord, {_LABEL} AS label,
   CAST(50 + (p_partkey * 37) % 400 AS DOUBLE) AS area, CAST((p_partkey * 17) % 50 AS DOUBLE) / 100 AS narrowness, 1 + CAST((p_partkey * 29) % 40 AS DOUBLE) / 10 AS elongation, p_partkey % 31 = 0 AS is_void
-  FROM {{part}} WHERE p_partkey < 600""",
-    "fx_opening": """SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS opening, p_partkey % 25 + 25 * ((p_partkey * 7) % 24) AS space_a,
+  FROM {{part}}""",
+    "fx_opening": """SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS opening, p_partkey AS space_a,
   CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 25 + 25 * ((p_partkey * 11) % 24) END AS space_b, CASE WHEN p_partkey % 9 = 0 THEN 'entrance' ELSE 'door' END AS kind,
-  CAST((p_partkey * 13) % 10 AS DOUBLE) / 10 AS confidence, CAST(5 + (p_partkey * 19) % 60 AS DOUBLE) AS width FROM {part} WHERE p_partkey < 900""",
+  CAST((p_partkey * 13) % 10 AS DOUBLE) / 10 AS confidence, CAST(5 + (p_partkey * 19) % 60 AS DOUBLE) AS width FROM {part}""",
     "fx_pixel": """SELECT CAST(l_orderkey % 25 AS INT) AS floor, CAST((l_orderkey * 7 + l_linenumber * 31) % 200 AS INT) AS px, CAST((l_partkey * 3 + l_linenumber) % 150 AS INT) AS py,
   CAST(CASE WHEN l_suppkey % 3 = 0 THEN (l_partkey * 7) % 90 ELSE 140 + (l_partkey * 11) % 116 END AS INT) AS gray, CAST((l_partkey * 13) % 300 AS DOUBLE) / 10 AS thickness FROM {lineitem}""",
     "fx_stroke": """SELECT CAST(l_orderkey % 25 AS INT) AS floor, l_orderkey * 8 + l_linenumber AS ord, CASE l_linenumber % 4 WHEN 0 THEN 'l' WHEN 1 THEN 're' WHEN 2 THEN 'qu' ELSE 'c' END AS item,

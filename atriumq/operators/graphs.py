@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atriumq.checkpoint import kept
+from atriumq.checkpoint import dropped, kept
 from atriumq.functions import geometry as g
 
 
@@ -15,25 +17,56 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("floor", "node").join(ends.groupBy("floor", "node").agg(F.count("*").alias("degree")), ["floor", "node"], "left").fillna(0, ["degree"])
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(floor, node, component): the smallest node that each node reaches on its floor.
+#: Edges of a floor that one task takes whole; larger floors are labelled round by round.
+MOST_EDGES = 200_000
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(floor, node, component): the smallest node that each node reaches on its floor. Ids may be of any type
+    that can be ordered; edges with an end that is no node of the floor do not count.
+
+    Floors of up to MOST_EDGES edges are labelled by a task each; larger ones by joins, see relaxed_labels."""
+    key = nodes.select("floor", "node").distinct()
+    known = edges.select("floor", "from_node", "to_node").join(key.withColumnRenamed("node", "from_node"), ["floor", "from_node"], "left_semi").join(key.withColumnRenamed("node", "to_node"), ["floor", "to_node"], "left_semi")
+    known = kept(known.select("floor", "from_node", "to_node"), "edges")
+    large = kept(known.groupBy("floor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES).select("floor"), "large")
+    kind = {f.name: f.dataType.simpleString() for f in key.schema}
+
+    def label(floor: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(np.concatenate([floor["from_node"].to_numpy(), floor["to_node"].to_numpy()]), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(names))  # names are sorted, so the smallest number is the smallest node
+        while True:
+            new = root.copy()
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(new, root[a], least)
+            np.minimum.at(new, root[b], least)
+            new = new[new]
+            if (new == root).all():
+                return pd.DataFrame({"floor": floor["floor"].iloc[0], "node": names, "component": names[root]})
+            root = new
+
+    small = known.join(large, "floor", "left_anti").groupBy("floor").applyInPandas(label, f"floor {kind['floor']}, node {kind['node']}, component {kind['node']}")
+    found = small if large.isEmpty() else small.unionByName(relaxed_labels(known.join(large, "floor", "left_semi")))
+    return key.join(found, ["floor", "node"], "left").select("floor", "node", F.coalesce("component", "node").alias("component"))
+
+
+def relaxed_labels(edges: DataFrame) -> DataFrame:
+    """(floor, node, component) of all ends of edges, for floors that no task could hold.
 
     Every round takes the least label among neighbours and then the label's own label, so the
-    number of rounds is about the logarithm of the longest path."""
-    both = edges.select("floor", F.col("from_node").alias("node"), F.col("to_node").alias("other")).union(edges.select("floor", "to_node", "from_node")).distinct()
-    both = kept(both.join(nodes.select("floor", "node"), ["floor", "node"], "left_semi"), "pairs")
-    label = kept(nodes.select("floor", "node", F.col("node").alias("component")).distinct(), "labels")
-    before = None
-    for _ in range(rounds):
+    number of rounds is about the logarithm of the longest path; it ends when no label moved."""
+    both = kept(edges.select("floor", F.col("from_node").alias("node"), F.col("to_node").alias("other")).union(edges.select("floor", "to_node", "from_node")).distinct(), "pairs")
+    label = kept(both.select("floor", "node", F.col("node").alias("component")).distinct(), "labels")
+    while True:
         near = both.join(label.select("floor", F.col("node").alias("other"), "component"), ["floor", "other"]).groupBy("floor", "node").agg(F.min("component").alias("c"))
-        step = label.join(near, ["floor", "node"], "left").select("floor", "node", F.least("component", "c").alias("component"))
+        step = label.join(near, ["floor", "node"], "left").select("floor", "node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
         jump = step.join(step.select("floor", F.col("node").alias("component"), F.col("component").alias("c")), ["floor", "component"], "left")
-        label = kept(jump.select("floor", "node", F.least("component", "c").alias("component")), "labels")
-        now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return label
+        after = kept(jump.select("floor", "node", F.least("component", "c").alias("component"), (F.least("component", "c") < F.col("was")).alias("moved")), "labels")
+        dropped(label)
+        label = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return label
 
 
 def reachable(nodes: DataFrame, labels: DataFrame, kind: str = "entrance") -> DataFrame:
@@ -59,18 +92,15 @@ def collinear(nodes: DataFrame, edges: DataFrame, cosine: float = -0.985) -> Dat
     return rows.where((la > 0) & (lb > 0) & ((ax * bx + ay * by) / (la * lb) < cosine)).select("floor", "node")
 
 
-ISSUES = "floor int, code string, severity string, subject string"
-_RANK = {"ok": 0, "warnings": 1, "errors": 2}
-
-
-def report(floors: DataFrame, nodes: DataFrame, edges: DataFrame, walls: DataFrame, spaces: DataFrame, openings: DataFrame) -> DataFrame:
+def report(floors: DataFrame, nodes: DataFrame, edges: DataFrame, walls: DataFrame | None, spaces: DataFrame | None, openings: DataFrame | None) -> DataFrame:
     """(floor, code, severity, subject): everything that a floor's graph, spaces and openings leave to be looked at.
 
-    nodes may carry space_id and opening_id; a code without a subject has a null one."""
+    nodes may carry space_id and opening_id; a code without a subject has a null one. Without walls, spaces or
+    openings their rules are left out."""
     from .network import placed_edges
 
     def issue(df: DataFrame, code: str, severity: str, subject) -> DataFrame:
-        return df.select(F.col("floor").cast("int").alias("floor"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
+        return df.select("floor", F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
 
     pair = F.concat_ws("-", "from_node", "to_node")
     key = nodes.select("floor", "node")
@@ -85,13 +115,14 @@ def report(floors: DataFrame, nodes: DataFrame, edges: DataFrame, walls: DataFra
     no_node = lambda df, col, ref: df.join(nodes.where(F.col(ref).isNotNull()).select("floor", F.col(ref).alias(col)).distinct(), ["floor", col], "left_anti")
     parts = [
         issue(dangling, "dangling-edge", "error", pair),
-        issue(crossing_edges(placed_edges(edges, nodes), walls).select("floor", "from_node", "to_node").distinct(), "edge-crosses-wall", "error", pair),
         issue(degrees(nodes, edges).where("degree = 0"), "isolated-node", "warning", F.col("node")),
         issue(labels.join(largest, ["floor", "component"], "left_anti"), "disconnected-graph", "warning", F.col("node")),
         issue(floors.join(entrances, "floor", "left_anti"), "no-entrance", "warning", F.lit(None)),
         issue(rooms.join(reachable(nodes, labels).select("floor", "node"), ["floor", "node"], "left_anti"), "room-unreachable", "warning", F.col("node")),
         issue(collinear(nodes, edges), "collinear-waypoint", "info", F.col("node")),
     ]
+    if walls is not None:
+        parts.append(issue(crossing_edges(placed_edges(edges, nodes), walls).select("floor", "from_node", "to_node").distinct(), "edge-crosses-wall", "error", pair))
     if spaces is not None:
         parts.append(issue(no_node(spaces.where(F.col("kind").isin("room", "vertical")), "space", "space_id"), "space-without-access", "warning", F.col("space")))
     if openings is not None:
@@ -106,13 +137,25 @@ def report(floors: DataFrame, nodes: DataFrame, edges: DataFrame, walls: DataFra
 def status(floors: DataFrame, issues: DataFrame) -> DataFrame:
     """(floor, status, errors, warnings): errors outrank warnings, which outrank ok."""
     found = issues.groupBy("floor").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    out = floors.select(F.col("floor").cast("int").alias("floor")).join(found, "floor", "left").fillna(0, ["errors", "warnings"])
+    out = floors.select("floor").join(found, "floor", "left").fillna(0, ["errors", "warnings"])
     return out.withColumn("status", F.when(F.col("errors") > 0, "errors").when(F.col("warnings") > 0, "warnings").otherwise("ok"))
 
 
-def metrics(issues: DataFrame) -> DataFrame:
-    """(floor, metrics): issues by code as a map."""
-    return issues.groupBy("floor", "code").agg(F.count("*").cast("double").alias("n")).groupBy("floor").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "n")))).alias("metrics"))
+def metrics(floors: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame, issues: DataFrame) -> DataFrame:
+    """(floor, name, value) of every floor: nodes, edges, entrances, components, and how many things the rules found."""
+    count = lambda df, name: df.groupBy("floor").agg(F.count("*").alias("n")).select("floor", F.lit(name).alias("name"), "n")
+    found = issues.join(F.broadcast(_metric_of(issues.sparkSession)), "code").groupBy("floor", "name").agg(F.count("*").alias("n"))
+    have = count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(count(nodes.where("kind = 'entrance'"), "entrances")).unionByName(count(labels.select("floor", "component").distinct(), "components")).unionByName(found)
+    every = floors.select("floor").withColumn("name", F.explode(F.array(*[F.lit(x) for x in ("nodes", "edges", "entrances", "components", *dict.fromkeys(METRICS.values()))])))
+    return every.join(have, ["floor", "name"], "left").select("floor", "name", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+
+
+#: The metric that counts what a rule found.
+METRICS = {"edge-crosses-wall": "edges_crossing_walls", "room-unreachable": "rooms_unreachable_from_entrance", "space-without-access": "spaces_without_node", "collinear-waypoint": "collinear_waypoints"}
+
+
+def _metric_of(spark) -> DataFrame:
+    return spark.createDataFrame(list(METRICS.items()), "code string, name string")
 
 
 def path_lengths(points: DataFrame, key: str = "floor") -> DataFrame:
@@ -122,7 +165,3 @@ def path_lengths(points: DataFrame, key: str = "floor") -> DataFrame:
     w = Window.partitionBy(key).orderBy("ord")
     step = g.distance(F.lag("x").over(w), F.lag("y").over(w), "x", "y")
     return points.withColumn("_step", step).groupBy(key).agg(F.sum("_step").alias("length"))
-
-
-def edge_lengths(placed: DataFrame) -> DataFrame:
-    return placed.withColumn("length", g.distance("ax", "ay", "bx", "by"))

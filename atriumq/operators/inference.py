@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from atriumq.functions import geometry as g
 from atriumq.functions import text as t
 
+from .network import cell_of, in_cells
+
 
 def shape_features(spaces: DataFrame) -> DataFrame:
     """narrowness and elongation from area, inscribed radius and sides."""
@@ -15,8 +17,15 @@ def shape_features(spaces: DataFrame) -> DataFrame:
 
 
 def first_containing(labels: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(floor, label_no, space): the first space, in their order, whose ring holds the label's point."""
-    hit = labels.alias("l").join(polygons.alias("p"), (F.col("l.floor") == F.col("p.floor")) & g.contains(F.col("p.ring"), "l.x", "l.y"))
+    """(floor, label_no, space): the first space, in their order, whose ring holds the label's point.
+
+    Rings are dealt to the grid cells of their box, so a label meets the spaces around it alone."""
+    ends = [F.array_min(F.transform("ring", lambda q: q["x"])), F.array_min(F.transform("ring", lambda q: q["y"])), F.array_max(F.transform("ring", lambda q: q["x"])), F.array_max(F.transform("ring", lambda q: q["y"]))]
+    boxed = polygons.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), ends)))
+    p = in_cells(boxed, ("_x0", "_y0", "_x1", "_y1")).alias("p")
+    at = labels.withColumn("cx", cell_of(F.col("x"))).withColumn("cy", cell_of(F.col("y"))).alias("l")
+    same = (F.col("l.floor") == F.col("p.floor")) & (F.col("l.cx") == F.col("p.cx")) & (F.col("l.cy") == F.col("p.cy"))
+    hit = at.join(p, same & g.contains(F.col("p.ring"), "l.x", "l.y"))
     first = hit.groupBy("l.floor", "l.label_no").agg(F.min(F.struct("p.ord", "p.space")).alias("s"))
     return first.select("floor", "label_no", "s.space")
 

@@ -1,12 +1,14 @@
 """The routing network: edges with coordinates, without those that pass through walls, both ways, and connectors.
 
-Walls meet edges on the floor, so the theta join keeps an equality that Spark can shuffle or
-broadcast by; bounding boxes are compared before the crossing itself.
+Edges and walls are cut into the grid cells of their floor that their boxes touch and meet by equality of
+(floor, cell); boxes are compared before the crossing itself. A pair that shares several cells is looked at
+in one of them only, the one that holds the corner where both boxes begin to overlap. Ids may be of any
+type that can be ordered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atriumq.functions import geometry as g
@@ -19,28 +21,57 @@ def placed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, ["floor", "from_node"]).join(b, ["floor", "to_node"])
 
 
-def _meets_wall(e: str = "e", w: str = "w"):
-    at = [f"{e}.ax", f"{e}.ay", f"{e}.bx", f"{e}.by", f"{w}.sx", f"{w}.sy", f"{w}.ex", f"{w}.ey"]
-    return (F.col(f"{e}.floor") == F.col(f"{w}.floor")) & g.boxes_meet(*at) & g.crosses(*at)
+#: Side of a grid cell in pixels: a few times the usual wall, so that a piece seldom lies in many cells.
+CELL = 128.0
+_EDGE, _WALL = ("ax", "ay", "bx", "by"), ("sx", "sy", "ex", "ey")
+
+
+def cell_of(x: Column, side: float = CELL) -> Column:
+    return F.floor(x / side).cast("int")
+
+
+def in_cells(df: DataFrame, ends: tuple[str, str, str, str], side: float = CELL) -> DataFrame:
+    """A row for each cell (cx, cy) that the box around two points touches."""
+    x0, y0, x1, y1 = ends
+    span = lambda a, b: F.sequence(cell_of(F.least(a, b), side), cell_of(F.greatest(a, b), side))
+    known = df.where(" AND ".join(f"{c} IS NOT NULL" for c in ends))
+    return known.withColumn("cx", F.explode(span(x0, x1))).withColumn("cy", F.explode(span(y0, y1)))
+
+
+def _met(placed: DataFrame, walls: DataFrame) -> DataFrame:
+    """(floor, from_node, to_node, wall...) of edges and the walls that they pass through, once a pair."""
+    e = in_cells(placed.select("floor", "from_node", "to_node", *_EDGE), _EDGE).alias("e")
+    w = in_cells(walls.select("floor", *(["wall"] if "wall" in walls.columns else []), *_WALL), _WALL).alias("w")
+    at = [f"e.{c}" for c in _EDGE] + [f"w.{c}" for c in _WALL]
+    here = F.lit(True)
+    for k, c in ((0, "cx"), (1, "cy")):
+        low = F.greatest(F.least(at[k], at[k + 2]), F.least(at[k + 4], at[k + 6]))
+        here = here & (F.col(f"e.{c}") == cell_of(low))
+    same = (F.col("e.floor") == F.col("w.floor")) & (F.col("e.cx") == F.col("w.cx")) & (F.col("e.cy") == F.col("w.cy"))
+    return e.join(w, same & g.boxes_meet(*at) & here & g.crosses(*at))
 
 
 def crossings(placed: DataFrame, walls: DataFrame) -> DataFrame:
     """(floor, from_node, to_node, wall) for every wall that an edge passes through."""
-    return placed.alias("e").join(walls.alias("w"), _meets_wall()).select("e.floor", "e.from_node", "e.to_node", "w.wall")
+    return _met(placed, walls).select("e.floor", "e.from_node", "e.to_node", "w.wall")
+
+
+def _hit(placed: DataFrame, walls: DataFrame) -> DataFrame:
+    return _met(placed, walls).select("e.floor", "e.from_node", "e.to_node").distinct()
 
 
 def open_edges(placed: DataFrame, walls: DataFrame) -> DataFrame:
     """Edges that pass through no wall of their floor."""
-    return placed.alias("e").join(walls.alias("w"), _meets_wall(), "left_anti")
+    return placed.join(_hit(placed, walls), ["floor", "from_node", "to_node"], "left_anti")
 
 
 def blocked_edges(placed: DataFrame, walls: DataFrame) -> DataFrame:
-    return placed.alias("e").join(walls.alias("w"), _meets_wall(), "left_semi")
+    return placed.join(_hit(placed, walls), ["floor", "from_node", "to_node"], "left_semi")
 
 
 def flagged_edges(placed: DataFrame, walls: DataFrame) -> DataFrame:
     """Every edge, with whether a wall invalidates it."""
-    hit = blocked_edges(placed, walls).select("floor", "from_node", "to_node").distinct().withColumn("invalid", F.lit(True))
+    hit = _hit(placed, walls).withColumn("invalid", F.lit(True))
     return placed.join(hit, ["floor", "from_node", "to_node"], "left").withColumn("invalid", F.coalesce("invalid", F.lit(False)))
 
 
@@ -63,24 +94,26 @@ def links(floors: DataFrame, nodes: DataFrame, edges: DataFrame, walls: DataFram
 
     Edges go both ways and count as corridors, whatever they are stored as; connectors go back only
     if they are bidirectional. ``ord`` is the order in which links are tried: by floor, edges before
-    connectors, forward before back."""
-    scaled = open_edges(placed_edges(edges, nodes), walls).join(floors.select("floor", "building", "ppm"), "floor") if "building" not in edges.columns else open_edges(placed_edges(edges, nodes), walls).join(floors.select("floor", "ppm"), "floor")
+    connectors, by their own column ``ord`` where they have one, then by their ends, forward before back."""
+    place = lambda df: F.col("ord").cast("long") if "ord" in df.columns else F.lit(0).cast("long")
+    home = floors.select("floor", "building", "ppm")
+    scaled = open_edges(placed_edges(edges.drop("building"), nodes), walls).join(home, "floor")
     metres = g.edge_meters(g.distance("ax", "ay", "bx", "by"), "ppm")
-    one = scaled.select("building", "floor", "from_node", "to_node", metres.alias("metres"), "accessible")
+    one = scaled.select("building", "floor", "from_node", "to_node", metres.alias("metres"), "accessible", place(scaled).alias("n"))
     ways = F.array(F.struct(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), F.lit(0).alias("back")), F.struct(F.col("to_node").alias("src"), F.col("from_node").alias("dst"), F.lit(1).alias("back")))
     level = one.withColumn("way", F.explode(ways)).select(
         "building", F.col("floor").alias("src_floor"), "way.src", F.col("floor").alias("dst_floor"), "way.dst", "metres", F.lit("corridor").alias("kind"), F.lit(None).cast("string").alias("label"), "accessible",
-        F.struct(F.col("floor").cast("long").alias("f"), F.lit(0).alias("t"), F.col("from_node").cast("long").alias("a"), F.col("to_node").cast("long").alias("b"), F.col("way.back").alias("r")).alias("ord"),
+        F.struct(F.col("floor").alias("f"), F.lit(0).alias("t"), "n", F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("way.back").alias("r")).alias("ord"),
     )
     label = F.col("label") if "label" in connectors.columns else F.lit(None).cast("string")
-    c = connectors.join(floors.select(F.col("floor").alias("src_floor"), "building"), "src_floor").withColumn("metres", g.vertical_meters("kind")).withColumn("label", label)
+    c = connectors.withColumn("n", place(connectors)).join(home.select(F.col("floor").alias("src_floor"), "building"), "src_floor").withColumn("metres", g.vertical_meters("kind")).withColumn("label", label)
     there = F.struct(F.col("src_floor").alias("sf"), F.col("src_node").alias("s"), F.col("dst_floor").alias("df"), F.col("dst_node").alias("d"), F.lit(0).alias("back"))
     back = F.struct(F.col("dst_floor").alias("sf"), F.col("dst_node").alias("s"), F.col("src_floor").alias("df"), F.col("src_node").alias("d"), F.lit(1).alias("back"))
     # No `when` around the second way: both branches of an array must have one type.
     c = c.withColumn("way", F.explode(F.filter(F.array(there, back), lambda w: (w["back"] == 0) | F.col("bidirectional"))))
     vertical = c.select(
         "building", F.col("way.sf").alias("src_floor"), F.col("way.s").alias("src"), F.col("way.df").alias("dst_floor"), F.col("way.d").alias("dst"), "metres", "kind", "label", "accessible",
-        F.struct(F.col("src_floor").cast("long").alias("f"), F.lit(1).alias("t"), F.col("src_node").cast("long").alias("a"), F.col("dst_node").cast("long").alias("b"), F.col("way.back").alias("r")).alias("ord"),
+        F.struct(F.col("src_floor").alias("f"), F.lit(1).alias("t"), "n", F.col("src_node").alias("a"), F.col("dst_node").alias("b"), F.col("way.back").alias("r")).alias("ord"),
     )
     return level.unionByName(vertical)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atriumq.checkpoint import kept
 from atriumq.functions import geometry as g
 
 from .checks import NODE_KINDS, known_kind
-from .network import _meets_wall, placed_edges
+from .network import blocked_edges, cell_of, open_edges, placed_edges
 
 # Label prefixes by kind, and the most wall segments of a floor.
 PREFIX = {"decision": "G", "waypoint": "N", "door": "P", "entrance": "E", "room": "S", "connector": "C"}
@@ -60,26 +61,53 @@ def surviving_edges(edges: DataFrame, nodes: DataFrame, walls: DataFrame) -> tup
     known = placed_edges(edges, nodes).where("from_node <> to_node")
     pair = first_of(known.withColumn("_a", F.least("from_node", "to_node")).withColumn("_b", F.greatest("from_node", "to_node")), ["floor", "_a", "_b"]).drop("_a", "_b")
     pair = pair.withColumn("kind", F.when(F.col("kind") == "doorway", "doorway").otherwise("corridor"))
-    e, w = pair.alias("e"), walls.alias("w")
-    return e.join(w, _meets_wall(), "left_anti"), e.join(w, _meets_wall(), "left_semi")
+    return open_edges(pair, walls), blocked_edges(pair, walls)
+
+
+#: Side in pixels of the cells through which nearest nodes are looked for first.
+NEAR = 128.0
+
+
+def candidates(points: DataFrame, nodes: DataFrame, key: str, most: int = 400, radius: float | None = None) -> DataFrame:
+    """(floor, key, place, node, distance): the ``most`` nearest nodes of the floor, nearest first, ties in node
+    order, within ``radius`` if given.
+
+    Points meet the nodes of a square of cells around their own by equality of (floor, cell). Whoever has not
+    found enough within the square's inner circle asks again with a square three times as wide, until its
+    floor's box is covered; so the cost follows the nodes nearby, not those of the floor."""
+    n = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("floor", "node", "ord", "x", "y")
+    box = n.groupBy("floor").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    asked = points.where("x IS NOT NULL AND y IS NOT NULL").select("floor", key, F.col("x").alias("px"), F.col("y").alias("py")).join(box, "floor")
+    # How far a point must look until it has seen the whole floor, or the radius.
+    reach = F.greatest(*[F.abs(F.col(p) - F.col(c)) for p, c in (("px", "x0"), ("px", "x1"), ("py", "y0"), ("py", "y1"))])
+    asked = asked.withColumn("reach", F.least(reach, F.lit(radius)) if radius is not None else reach)
+    asked = kept(asked.select("floor", key, "px", "py", "reach"), "asked")
+    side, done = NEAR, []
+    while True:
+        at = n.withColumn("cx", cell_of(F.col("x"), side)).withColumn("cy", cell_of(F.col("y"), side))
+        around = lambda c, side=side: F.explode(F.sequence(cell_of(F.col(c), side) - 1, cell_of(F.col(c), side) + 1))
+        met = asked.withColumn("cx", around("px")).withColumn("cy", around("py")).join(at, ["floor", "cx", "cy"]).withColumn("distance", g.distance("px", "py", "x", "y"))
+        if radius is not None:
+            met = met.where(F.col("distance") < radius)
+        place = F.row_number().over(Window.partitionBy("floor", key).orderBy("distance", "ord"))
+        best = kept(met.withColumn("place", place).where(F.col("place") <= most).select("floor", key, "place", "node", "distance", "reach"), "near")
+        # Nothing outside the square is nearer than a cell's side.
+        sure = best.groupBy("floor", key).agg(F.count_if(F.col("distance") < side).alias("n"), F.first("reach").alias("reach")).where((F.col("n") >= most) | (F.col("reach") < side)).select("floor", key)
+        sure = kept(sure.union(asked.where(F.col("reach") < side).select("floor", key)).distinct(), "sure")
+        done.append(best.join(sure, ["floor", key], "left_semi").select("floor", key, "place", "node", "distance"))
+        asked = kept(asked.join(sure, ["floor", key], "left_anti"), "asked")
+        if asked.isEmpty():
+            break
+        side *= 3
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, key: str, radius: float | None = None) -> DataFrame:
     """(floor, key, node, distance): the nearest node of the floor, ties to the first, within ``radius`` if given."""
-    p = points.select("floor", key, F.col("x").alias("px"), F.col("y").alias("py"))
-    far = p.join(nodes.select("floor", "node", "ord", "x", "y"), "floor").withColumn("distance", g.distance("px", "py", "x", "y"))
-    if radius is not None:
-        far = far.where(F.col("distance") < radius)
-    best = far.groupBy("floor", key).agg(F.min(F.struct("distance", "ord", "node")).alias("best"))
-    return best.select("floor", key, "best.node", "best.distance")
-
-
-def candidates(points: DataFrame, nodes: DataFrame, key: str, most: int = 400) -> DataFrame:
-    """(floor, key, place, node, distance): the ``most`` nearest nodes of the floor, nearest first, ties in node order."""
-    p = points.select("floor", key, F.col("x").alias("px"), F.col("y").alias("py"))
-    far = p.join(nodes.select("floor", "node", "ord", "x", "y"), "floor").withColumn("distance", g.distance("px", "py", "x", "y"))
-    place = F.row_number().over(Window.partitionBy("floor", key).orderBy("distance", "ord"))
-    return far.withColumn("place", place).where(F.col("place") <= most).select("floor", key, "place", "node", "distance")
+    return candidates(points, nodes, key, 1, radius).select("floor", key, "node", "distance")
 
 
 def thinned(points: DataFrame, keys: list[str], most: int = 40, order: str = "ord") -> DataFrame:

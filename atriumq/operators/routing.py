@@ -1,9 +1,10 @@
 """Shortest routes.
 
-A building's network is what one task can hold by its nature, so ``routes`` and
-``distances_in_buildings`` let requests and links of a building meet once, and a heap does the rest.
-``distances`` relaxes all starting points together, a join and a group a round, for networks that
-no task could hold.
+Requests of a building are dealt over tasks, up to REQUESTS a task, each with the building's links, and a
+heap does the rest; that holds for buildings of up to MOST_LINKS links. Networks that no task should hold
+are relaxed by joins instead, all starting points together, a join and a group a round: distances first,
+then the link into every node, then the paths, walked back from all goals at once. Both ways give the same
+routes: ties go to the smaller "floor:node" text of the node before, then to the earlier link.
 """
 
 from __future__ import annotations
@@ -15,39 +16,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atriumq.checkpoint import kept
+from atriumq.checkpoint import dropped, kept
 from atriumq.functions.geometry import LEAST_METERS
 from atriumq.functions.text import one_decimal
 
+#: Requests of a building that a task answers, and the links of a building that a task may hold.
+REQUESTS, MOST_LINKS = 500, 2_000_000
+_ENDS = ("src_floor", "src", "dst_floor", "dst")
+_START = ["start_floor", "start", "accessible_only"]
 
-def distances(links: DataFrame, starts: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """(start_floor, start, floor, node, metres): least metres from every start to all it reaches.
 
-    For networks that no task could hold: only nodes that a round improved go into the next, and both
-    tables are written every round, so plans stay short and a lost executor costs a round."""
-    at = ["start_floor", "start", "floor", "node"]
-    step = links.select(F.col("src_floor").alias("floor"), F.col("src").alias("node"), F.col("dst_floor").alias("to_floor"), F.col("dst").alias("to_node"), F.greatest("metres", F.lit(LEAST_METERS)).alias("metres"))
-    step = kept(step.groupBy("floor", "node", "to_floor", "to_node").agg(F.min("metres").alias("step")), "links")
-    reached = kept(starts.select(F.col("floor").alias("start_floor"), F.col("node").alias("start"), "floor", "node", F.lit(0.0).alias("metres")).distinct(), "reached")
+def distances(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start_floor, start, accessible_only, floor, node, metres): least metres from every start (floor, node and,
+    if given, accessible_only) to all it reaches, relaxed round by round.
+
+    Only nodes that a round improved go into the next, until none is; both tables are written every round, so
+    plans stay short and a lost executor costs a round."""
+    at = [*_START, "floor", "node"]
+    only = F.col("accessible_only") if "accessible_only" in starts.columns else F.lit(False)
+    free = F.col("accessible") if "accessible" in links.columns else F.lit(True)
+    step = links.select(F.col("src_floor").alias("floor"), F.col("src").alias("node"), F.col("dst_floor").alias("to_floor"), F.col("dst").alias("to_node"), free.alias("accessible"), F.greatest("metres", F.lit(LEAST_METERS)).alias("metres"))
+    step = kept(step.groupBy("floor", "node", "to_floor", "to_node", "accessible").agg(F.min("metres").alias("step")), "links")
+    reached = kept(starts.select(F.col("floor").alias("start_floor"), F.col("node").alias("start"), only.alias("accessible_only"), "floor", "node", F.lit(0.0).alias("metres")).distinct(), "reached")
     frontier = reached
-    for _ in range(rounds):
-        new = frontier.join(step, ["floor", "node"]).select("start_floor", "start", F.col("to_floor").alias("floor"), F.col("to_node").alias("node"), (F.col("metres") + F.col("step")).alias("metres"))
+    while True:
+        new = frontier.join(step, ["floor", "node"]).where("accessible OR NOT accessible_only").select(*_START, F.col("to_floor").alias("floor"), F.col("to_node").alias("node"), (F.col("metres") + F.col("step")).alias("metres"))
         new = new.groupBy(*at).agg(F.min("metres").alias("metres"))
-        frontier = kept(new.join(reached.withColumnRenamed("metres", "known"), at, "left").where("known IS NULL OR metres < known").drop("known"), "frontier")
+        better = kept(new.join(reached.withColumnRenamed("metres", "known"), at, "left").where("known IS NULL OR metres < known").drop("known"), "frontier")
+        if frontier is not reached:
+            dropped(frontier)
+        frontier = better
         if frontier.isEmpty():
-            break
-        reached = kept(reached.unionByName(frontier).groupBy(*at).agg(F.min("metres").alias("metres")), "reached")
-    return reached
+            return reached
+        before, reached = reached, kept(reached.unionByName(frontier).groupBy(*at).agg(F.min("metres").alias("metres")), "reached")
+        dropped(before)
 
 
 def distances_in_buildings(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """The same for starts (building, floor, node), a building's links in one task and a heap for each start."""
-    net = links.select("building", *(F.col(c).cast("string").alias(c) for c in ("src_floor", "src", "dst_floor", "dst")), "metres")
-    asked = starts.select(F.col("building").alias("building"), F.col("floor").cast("string").alias("floor"), F.col("node").cast("string").alias("node")).distinct()
+    """The same for starts (building, floor, node), dealt over tasks with their building's links; larger buildings by distances()."""
+    text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
+    net = links.select("building", *text(*_ENDS), "metres")
+    asked = starts.select("building", *text("floor", "node")).distinct()
+    small, large = _by_size(net)
 
     def solve(wanted: pd.DataFrame, building: pd.DataFrame) -> pd.DataFrame:
         out = defaultdict(list)
-        for sf, s, df, d, m in building[["src_floor", "src", "dst_floor", "dst", "metres"]].itertuples(index=False):
+        for sf, s, df, d, m in building[[*_ENDS, "metres"]].itertuples(index=False):
             out[sf, s].append(((df, d), m))
         rows = []
         for r in wanted.itertuples(index=False):
@@ -55,7 +69,26 @@ def distances_in_buildings(links: DataFrame, starts: DataFrame) -> DataFrame:
             rows += [(r.floor, r.node, *at, metres) for at, metres in best.items()]
         return pd.DataFrame(rows, columns=["start_floor", "start", "floor", "node", "metres"])
 
-    return asked.groupBy("building").cogroup(net.groupBy("building")).applyInPandas(solve, "start_floor string, start string, floor string, node string, metres double")
+    found = _dealt(asked, net.join(large, "building", "left_anti"), large, solve, "start_floor string, start string, floor string, node string, metres double", F.xxhash64("floor", "node"))
+    if small:
+        return found
+    far = distances(net.join(large, "building", "left_semi"), asked.join(large, "building", "left_semi"))
+    return found.unionByName(far.drop("accessible_only"))
+
+
+def _by_size(net: DataFrame) -> tuple[bool, DataFrame]:
+    """Whether every building's links fit a task, and the buildings whose do not."""
+    large = kept(net.groupBy("building").agg(F.count("*").alias("n")).where(F.col("n") > MOST_LINKS).select("building"), "large")
+    return large.isEmpty(), large
+
+
+def _dealt(asked: DataFrame, net: DataFrame, large: DataFrame, solve, shape: str, spread) -> DataFrame:
+    """solve(requests, network) on parts of each building's requests, each part with the whole network of the building."""
+    asked = asked.join(large, "building", "left_anti")
+    parts = kept(asked.groupBy("building").agg(F.ceil(F.count("*") / REQUESTS).cast("int").alias("parts")), "parts")
+    mine = asked.join(parts, "building").withColumn("part", F.pmod(spread, F.col("parts")).cast("int")).drop("parts")
+    every = net.join(parts, "building").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return mine.groupBy("building", "part").cogroup(every.groupBy("building", "part")).applyInPandas(solve, shape)
 
 
 def _search(out: dict, start: tuple, goal: tuple | None) -> tuple[dict, dict]:
@@ -76,6 +109,7 @@ def _search(out: dict, start: tuple, goal: tuple | None) -> tuple[dict, dict]:
 
 
 _ROUTE = """request long, status string, pos int, floor string, node string, metres double, link_metres double, kind string, label string"""
+_ORDER = ["f", "t", "n", "a", "b", "r"]
 
 
 def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -83,20 +117,21 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
     link_metres, kind, label), the kind and label being those of the link into the node. A request
     that has no route gives one row whose status says why.
 
-    requests: (request, building, start_floor, start, goal_floor, goal, accessible_only)."""
-    text = {c: F.col(c).cast("string").alias(c) for c in ("src_floor", "src", "dst_floor", "dst")}
-    net = links.select("building", *text.values(), "metres", "kind", "label", "accessible", "ord.*").withColumn("what", F.lit(1))
+    requests: (request, building, start_floor, start, goal_floor, goal, accessible_only). Ids may be of any
+    type; they come out as text."""
+    text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
+    net = links.select("building", *text(*_ENDS), "metres", "kind", "label", "accessible", "ord.*").withColumn("what", F.lit(1))
     known = nodes.select("building", F.col("floor").cast("string").alias("src_floor"), F.col("node").cast("string").alias("src")).withColumn("what", F.lit(0))
-    every = known.unionByName(net, allowMissingColumns=True)
     # Named anew: requests may come from the same table as the nodes.
-    asked = requests.select("request", F.col("building").alias("building"), *(F.col(c).cast("string").alias(c) for c in ("start_floor", "start", "goal_floor", "goal")), "accessible_only")
+    asked = requests.select("request", F.col("building").alias("building"), *text("start_floor", "start", "goal_floor", "goal"), "accessible_only")
+    small, large = _by_size(net)
 
     def solve(wanted: pd.DataFrame, building: pd.DataFrame) -> pd.DataFrame:
         there = building[building["what"] == 0]
         keys, floors = set(zip(there["src_floor"], there["src"])), set(there["src_floor"])
-        part = building[building["what"] == 1].sort_values(["f", "t", "a", "b", "r"], kind="stable")  # the order in which links are tried
+        part = building[building["what"] == 1].sort_values(_ORDER, kind="stable")  # the order in which links are tried
         nets: dict[bool, dict] = {False: defaultdict(list), True: defaultdict(list)}
-        for sf, s, df, d, m, kind, label, free in zip(*(part[c].tolist() for c in ("src_floor", "src", "dst_floor", "dst", "metres", "kind", "label", "accessible"))):
+        for sf, s, df, d, m, kind, label, free in zip(*(part[c].tolist() for c in (*_ENDS, "metres", "kind", "label", "accessible"))):
             if (sf, s) in keys and (df, d) in keys:
                 for only in (False, True) if free else (False,):
                     nets[only][sf, s].append(((df, d), m, kind, label))
@@ -127,7 +162,51 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
                 rows.append((r.request, "ok", pos, at[0], at[1], best[at], link[1], link[2], link[3]))
         return pd.DataFrame(rows, columns=["request", "status", "pos", "floor", "node", "metres", "link_metres", "kind", "label"])
 
-    return asked.groupBy("building").cogroup(every.groupBy("building")).applyInPandas(solve, _ROUTE)
+    every = known.unionByName(net.join(large, "building", "left_anti"), allowMissingColumns=True)
+    found = _dealt(asked, every, large, solve, _ROUTE, F.xxhash64("request"))
+    if small:
+        return found
+    mine = lambda df: df.join(large, "building", "left_semi")
+    return found.unionByName(relaxed_routes(mine(asked), mine(known.select("building", F.col("src_floor").alias("floor"), F.col("src").alias("node"))), mine(net)))
+
+
+def relaxed_routes(requests: DataFrame, nodes: DataFrame, net: DataFrame) -> DataFrame:
+    """What routes() gives, by joins alone, for networks that no task should hold. Ids are text here; net is
+    links with the columns of ``ord`` beside them."""
+    place = nodes.select("building", "floor", "node").distinct()
+    key = place.select("floor", "node")
+    floors = place.select("building", F.col("floor").alias("goal_floor")).distinct().withColumn("here", F.lit(True))
+    ends = [key.select(F.col("floor").alias(f), F.col("node").alias(n)) for f, n in (_ENDS[:2], _ENDS[2:])]
+    net = kept(net.join(ends[0], list(_ENDS[:2]), "left_semi").join(ends[1], list(_ENDS[2:]), "left_semi"), "net")
+    is_known = [key.select(F.col("floor").alias(f"{c}_floor"), F.col("node").alias(c), F.lit(True).alias(f"has_{c}")) for c in ("start", "goal")]
+    asked = requests.join(floors, ["building", "goal_floor"], "left").join(is_known[0], ["start_floor", "start"], "left").join(is_known[1], ["goal_floor", "goal"], "left")
+    asked = asked.join(place.select("building").distinct().withColumn("mapped", F.lit(True)), "building", "left")
+    wrong = F.when(F.col("mapped").isNull(), "no map for the building").when(F.col("here").isNull(), "goal in another building").when(F.col("has_start").isNull() | F.col("has_goal").isNull(), "unknown node")
+    asked = kept(asked.select("request", *_START, "goal_floor", "goal", wrong.alias("wrong")), "asked")
+    far = kept(distances(net, asked.where("wrong IS NULL").select(F.col("start_floor").alias("floor"), F.col("start").alias("node"), "accessible_only").distinct()), "far")
+    # The link into every node: of those on a shortest way the one from the node reached first, then the earliest.
+    u = far.select(*_START, F.col("floor").alias("src_floor"), F.col("node").alias("src"), F.col("metres").alias("du"))
+    v = far.select(*_START, F.col("floor").alias("dst_floor"), F.col("node").alias("dst"), F.col("metres").alias("dv"))
+    on = u.join(net, list(_ENDS[:2])).where("accessible OR NOT accessible_only").join(v, [*_START, *_ENDS[2:]])
+    on = on.where(F.col("du") + F.greatest("metres", F.lit(LEAST_METERS)) == F.col("dv"))
+    first = F.struct("du", F.concat_ws(":", "src_floor", "src").alias("name"), *_ORDER)
+    into = kept(on.groupBy(*_START, *_ENDS[2:]).agg(F.min_by(F.struct("src_floor", "src", F.col("metres").alias("link_metres"), "kind", "label"), first).alias("l")), "into")
+    goals = asked.join(far.select(*_START, F.col("floor").alias("goal_floor"), F.col("node").alias("goal"), "metres"), [*_START, "goal_floor", "goal"], "left")
+    ways = kept(goals.where("metres IS NOT NULL").select("request", *_START, F.col("goal_floor").alias("dst_floor"), F.col("goal").alias("dst"), F.lit(0).alias("back")), "ways")
+    steps = []
+    while not ways.isEmpty():  # one step back towards the start, all requests together
+        at = kept(ways.join(into, [*_START, *_ENDS[2:]], "left"), "steps")
+        steps.append(at)
+        ways = kept(at.where("l IS NOT NULL").select("request", *_START, F.col("l.src_floor").alias("dst_floor"), F.col("l.src").alias("dst"), (F.col("back") + 1).alias("back")), "ways")
+    none = goals.where("metres IS NULL").select("request", F.coalesce("wrong", F.when(F.col("accessible_only"), "no accessible route").otherwise("no route")).alias("status"), F.lit(0).alias("pos"), *(F.lit(None).cast(t).alias(c) for c, t in (("floor", "string"), ("node", "string"), ("metres", "double"), ("link_metres", "double"), ("kind", "string"), ("label", "string"))))
+    if not steps:
+        return none
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step)
+    last = F.max("back").over(Window.partitionBy("request"))
+    path = every.withColumn("pos", (last - F.col("back")).cast("int")).join(v, [*_START, *_ENDS[2:]])
+    return none.unionByName(path.select("request", F.lit("ok").alias("status"), "pos", F.col("dst_floor").alias("floor"), F.col("dst").alias("node"), F.col("dv").alias("metres"), "l.link_metres", "l.kind", "l.label"))
 
 
 # The sentences that guide a visitor.
@@ -171,3 +250,8 @@ def route_totals(steps: DataFrame) -> DataFrame:
 def route_floors(steps: DataFrame) -> DataFrame:
     """(request, floor, first_pos): the floors of a route in the order in which it comes to them."""
     return steps.where("status = 'ok'").groupBy("request", "floor").agg(F.min("pos").alias("first_pos"))
+
+
+def on_floor(steps: DataFrame, floor: DataFrame) -> DataFrame:
+    """The steps of each route that lie on the floor which is shown (request, floor)."""
+    return steps.where("status = 'ok'").join(floor.select("request", F.col("floor").cast("string").alias("floor")), ["request", "floor"], "left_semi")

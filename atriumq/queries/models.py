@@ -129,12 +129,12 @@ def envelope_gaps(spark, d):
 
 
 def containing_space(spark, d):
-    """Which of the boxes around walls a node lies in, and the labels that each box collects in order."""
+    """Which of the slanted diamonds around the beginnings of walls a node lies in, and the labels that each collects in order."""
     n, w = view(spark, d, "fx_node"), view(spark, d, "fx_wall")
-    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    boxes = w.select("floor", F.col("wall").alias("ord"), F.col("wall").alias("space"), F.array(p("sx", "sy"), p("ex", "sy"), p("ex", "ey"), p("sx", "ey")).alias("ring"))
+    p = lambda dx, dy: F.struct((F.col("sx") + 0.25 + dx).alias("x"), (F.col("sy") + 0.5 + dy).alias("y"))
+    rings = w.select("floor", F.col("wall").alias("ord"), F.col("wall").alias("space"), F.array(p(-80, 0), p(0, -60), p(80, 0), p(0, 60)).alias("ring"))
     labels = n.select("floor", F.col("node").alias("label_no"), "x", "y", F.col("label").alias("text"))
-    return inference.joined_labels(inference.first_containing(labels, boxes), labels)
+    return inference.joined_labels(inference.first_containing(labels, rings), labels)
 
 
 def origin_options(spark, d):
@@ -219,7 +219,7 @@ def deleted_nodes(spark, d):
 
 def nearest_candidates(spark, d):
     """Twenty nearest nodes of every place."""
-    return proposals.candidates(view(spark, d, "fx_poi").where("poi < 500"), view(spark, d, "fx_node"), "poi", 20).select("floor", "poi", "place", "node", _r("distance").alias("distance"))
+    return proposals.candidates(view(spark, d, "fx_poi"), view(spark, d, "fx_node"), "poi", 20).select("floor", "poi", "place", "node", _r("distance").alias("distance"))
 
 
 def thinned_paths(spark, d):
@@ -257,9 +257,9 @@ def path_lengths(spark, d):
 
 
 def catalog_list(spark, d):
-    """Orders as catalog rows, newest first: the newest ten."""
+    """Orders as catalog rows, newest first."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
-    return o.orderBy(F.desc("created_at"), F.desc("id")).limit(10)
+    return catalog.newest_first(o)
 
 
 def catalog_upsert(spark, d):
@@ -271,7 +271,7 @@ def catalog_upsert(spark, d):
 
 def upload_names(spark, d):
     """Suffix, safety and code rules on names made from parts."""
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 800")
+    p = spark.read.parquet(f"{d}/part.parquet")
     k = F.col("p_partkey")
     ends = F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".svg", "", ".tar.gz", ".Jpeg")]), (k % 5 + 1).cast("int"))
     name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("a/", "../", "", "b/../", "/", "./")]), (k % 6 + 1).cast("int")), F.lit("plan"), k.cast("string"), ends)
@@ -341,7 +341,7 @@ q AS (SELECT *, coalesce(a = 'exterior', FALSE) OR coalesce(b = 'exterior', FALS
 SELECT floor, opening, CASE WHEN a IS NOT DISTINCT FROM b THEN 'dropped' WHEN outside AND inn IS NULL THEN 'dropped' WHEN outside AND NOT drawn THEN 'glass' WHEN outside THEN 'entrance' WHEN a IS NULL OR b IS NULL THEN 'dropped' ELSE 'door' END AS verdict, CASE WHEN outside THEN inn ELSE a END AS space_a, CASE WHEN NOT outside THEN b END AS space_b FROM q""", "fx_opening"),
     "X01_label_rules": duck(f"SELECT space, regexp_matches(label, '{_CIRC}') AS circulation, {_VERT} AS vertical, regexp_matches(label, '{_VOID}') AS void, round(1000/25.4::DOUBLE*72 / nullif(regexp_extract(label, '(?i)(?:escala|scale)\\s*[:=]?\\s*1\\s*[:/]\\s*(\\d{{2,4}})', 1), '')::DOUBLE * 2, 6) AS ppm, trim(regexp_replace('  ' || label || ' ' || chr(9) || ' x ', '\\s+', ' ', 'g')) AS squeezed FROM fx_space", "fx_space"),
     "I03_envelope_gaps": duck("WITH o AS (SELECT floor, opening AS contact, width, 60.0 + space_a % 90 AS perimeter, opening % 4 = 0 AS tb, opening % 3 AS ev, sum(width) OVER (PARTITION BY floor, space_a) AS s FROM fx_opening) SELECT floor, contact, s > 0.5 * perimeter AS void, CASE WHEN width / 10 < 0.5 THEN 'none' WHEN width / 10 > CASE WHEN tb OR ev > 0 THEN 6.0 ELSE 3.0 END THEN 'glass' WHEN s > 0.5 * perimeter THEN 'none' ELSE 'entrance' END AS verdict FROM o", "fx_opening"),
-    "J07_labels_in_spaces": duck("WITH h AS (SELECT n.floor, n.node, n.label, w.wall FROM fx_node n JOIN fx_wall w ON w.floor=n.floor WHERE (sy > n.y) <> (ey > n.y) AND (sx > n.x) <> (ex > n.x) QUALIFY row_number() OVER (PARTITION BY n.floor, n.node ORDER BY w.wall) = 1) SELECT floor, wall AS space, string_agg(label, ' ' ORDER BY node) AS label FROM h GROUP BY 1, 2", "fx_node", "fx_wall"),
+    "J07_labels_in_spaces": duck("WITH h AS (SELECT n.floor, n.node, n.label, w.wall FROM fx_node n JOIN fx_wall w ON w.floor=n.floor WHERE abs(n.x - sx - 0.25) / 80 + abs(n.y - sy - 0.5) / 60 < 1 QUALIFY row_number() OVER (PARTITION BY n.floor, n.node ORDER BY w.wall) = 1) SELECT floor, wall AS space, string_agg(label, ' ' ORDER BY node) AS label FROM h GROUP BY 1, 2", "fx_node", "fx_wall"),
     "J21_origin_options": duck("""WITH q AS (SELECT floor, floor(node / 5) * 5 % 1500 AS node, label, 0 AS rank, qr AS ord FROM fx_qr), p AS (SELECT floor, node, CASE WHEN poi % 2 = 0 THEN 'Punto' ELSE name END AS label, 1 AS rank, poi AS ord FROM fx_poi), e AS (SELECT floor, node, label, 2 AS rank, ord FROM fx_node WHERE kind='entrance'),
 u AS (SELECT * FROM q UNION ALL SELECT * FROM p UNION ALL SELECT * FROM e), o AS (SELECT * FROM u WHERE EXISTS (SELECT 1 FROM fx_node n WHERE n.floor=u.floor AND n.node=u.node) QUALIFY row_number() OVER (PARTITION BY floor, node, label ORDER BY rank, ord) = 1)
 SELECT o.floor, o.floor || '::' || o.node::BIGINT AS value, label, f.building || ' · ' || f.floor_label || ' · ' || CASE rank WHEN 0 THEN 'QR' WHEN 1 THEN 'punto' ELSE 'entrada' END AS detail FROM o JOIN fx_floor f ON f.floor=o.floor""", "fx_floor", "fx_node", "fx_qr", "fx_poi"),
@@ -363,11 +363,11 @@ CASE WHEN floor % 4 <> 1 AND floor % 5 <> 0 THEN ' Escala estimada: ' || printf(
     "U01_pixel_sets": duck("WITH a AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE gray < 60), b AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE gray % 2 = 0) SELECT floor, count(*) AS n, 'union' AS what FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1 UNION ALL SELECT floor, count(*), 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY 1 UNION ALL SELECT floor, count(*), 'only' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY 1", "fx_pixel"),
     "U08_deleted_nodes": duck("""WITH g AS (SELECT floor, node FROM fx_node WHERE node % 7 = 0) SELECT floor, what, count(*) AS n FROM (SELECT floor, 'poi' AS what FROM fx_poi p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.floor=p.floor AND g.node=p.node) UNION ALL SELECT floor, 'anchor' FROM fx_qr p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.floor=p.floor AND g.node=p.node)
 UNION ALL SELECT floor, 'edge' FROM fx_edge e WHERE from_node % 7 <> 0 AND to_node % 7 <> 0 UNION ALL SELECT src_floor, 'connector' FROM fx_connector WHERE src_node % 7 <> 0) GROUP BY 1, 2""", "fx_node", "fx_poi", "fx_qr", "fx_edge", "fx_connector"),
-    "T01_catalog_list": "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10",
+    "T01_catalog_list": "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC",
     "S06_catalog_upsert": "WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE 1000000 END AS id, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 5 = 0) SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, v FROM n",
-    "S04_upload_names": """WITH p AS (SELECT *, ['a/','../','','b/../','/','./'][p_partkey % 6 + 1] || 'plan' || p_partkey || ['.PDF','.svg','','.tar.gz','.Jpeg'][p_partkey % 5 + 1] AS n FROM part WHERE p_partkey < 800)
+    "S04_upload_names": """WITH p AS (SELECT *, ['a/','../','','b/../','/','./'][p_partkey % 6 + 1] || 'plan' || p_partkey || ['.PDF','.svg','','.tar.gz','.Jpeg'][p_partkey % 5 + 1] AS n FROM part)
 SELECT p_partkey, lower(regexp_extract(n, '(\\.[^./\\\\]+)$', 1)) AS suffix, p_partkey % 6 NOT IN (1, 4) AS inside, 'http://a|' || trim(p_brand) || '|b' AS origins, 'f' || p_partkey AS floor_token, lower(trim(' ' || p_brand || ' ')) AS code, printf('%.1f', p_retailprice) AS price FROM p""",
-    "T03_nearest_candidates": duck("SELECT p.floor, poi, row_number() OVER w::INT AS place, n.node, round(sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)), 6) AS distance FROM fx_poi p JOIN fx_node n ON n.floor=p.floor WHERE poi < 500 WINDOW w AS (PARTITION BY p.floor, poi ORDER BY sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)), n.ord) QUALIFY row_number() OVER w <= 20", "fx_poi", "fx_node"),
+    "T03_nearest_candidates": duck("SELECT p.floor, poi, row_number() OVER w::INT AS place, n.node, round(sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)), 6) AS distance FROM fx_poi p JOIN fx_node n ON n.floor=p.floor WINDOW w AS (PARTITION BY p.floor, poi ORDER BY sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)), n.ord) QUALIFY row_number() OVER w <= 20", "fx_poi", "fx_node"),
     "T04_thinned_paths": duck("WITH k AS (SELECT floor, node, row_number() OVER (PARTITION BY floor ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY floor) AS n FROM fx_node) SELECT floor, node FROM k WHERE i % greatest(1, n // 12) = 0", "fx_node"),
     "U02_ordered_polygons": duck("WITH u AS (SELECT floor, 'wall' AS kind, wall AS ord, 0 AS r FROM fx_wall UNION ALL SELECT floor, 'obstacle', poi, 1 FROM fx_poi WHERE poi % 7 = 0 UNION ALL SELECT floor, 'window', poi, 2 FROM fx_poi WHERE poi % 11 = 0) SELECT floor, kind, ord, row_number() OVER (PARTITION BY floor ORDER BY r, ord)::INT AS n FROM u", "fx_wall", "fx_poi"),
     "F13_fitting_openings": duck("SELECT floor, opening FROM fx_opening WHERE width BETWEEN 0.55 * 12 AND 3.0 * 12 AND opening % 14 BETWEEN 1 AND 0.9 * 12", "fx_opening"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atriumq.checkpoint import kept
 from atriumq.fixtures import duck, view
 from atriumq.operators import checks, graphs, network, routing
 
@@ -69,26 +70,55 @@ def accessible_links(spark, d):
     return links.select("src_floor", "src", "dst_floor", "dst", F.round("metres", 6).alias("metres"), "kind")
 
 
+def _first_nodes(spark, d):
+    n = view(spark, d, "fx_node")
+    return n.groupBy("building").agg(F.min(F.struct("node", "floor")).alias("m")).select("building", "m.floor", "m.node")
+
+
+def _distances(found):
+    return found.select(F.col("start").cast("long").alias("start"), F.col("floor").cast("int").alias("floor"), F.col("node").cast("long").alias("node"), F.round("metres", 6).alias("metres"))
+
+
 def distances_from_node(spark, d):
-    """From the first node of building 0 to every node it reaches, past walls and over floors."""
-    start = view(spark, d, "fx_node").where("building = 0").groupBy("building").agg(F.min(F.struct("node", "floor")).alias("m")).select("building", "m.floor", "m.node")
-    found = routing.distances_in_buildings(_links(spark, d).where("building = 0"), start)
-    return found.select(F.col("floor").cast("int").alias("floor"), F.col("node").cast("long").alias("node"), F.round("metres", 6).alias("metres"))
+    """From the first node of every building to all nodes it reaches, past walls and over floors."""
+    return _distances(routing.distances_in_buildings(_links(spark, d), _first_nodes(spark, d)))
 
 
-def _requests(spark, d, each: int = 4):
-    """Requests between nodes of a building, some across buildings, some for accessible routes only."""
-    n = view(spark, d, "fx_node").where("node < 150")
+def relaxed_distances(spark, d):
+    """The same by joins alone, as networks need it that no task should hold."""
+    return _distances(routing.distances(_links(spark, d), _first_nodes(spark, d)))
+
+
+def _requests(spark, d):
+    """A request from every node: to nodes of the same building and of others, to unknown ones, some for accessible
+    routes only; and one in a building without a map."""
+    n = view(spark, d, "fx_node")
     a = n.select("building", F.col("floor").alias("start_floor"), F.col("node").alias("start"))
+    a = a.withColumn("goal", F.when(F.col("start") % 50 == 0, F.lit(-1)).otherwise(F.col("start") * 7 % 150 + 3))
     goal = n.select(F.col("node").alias("goal"), F.col("floor").alias("goal_floor"))
-    return a.withColumn("goal", (F.col("start") * 7 + 3) % 150).join(goal, "goal").withColumn("request", F.col("start").cast("long")).withColumn("accessible_only", F.col("start") % 3 == 0)
+    asked = a.join(goal, "goal", "left").withColumn("goal_floor", F.coalesce("goal_floor", "start_floor"))
+    nowhere = asked.where("start % 97 = 1").withColumn("building", F.lit(99)).withColumn("start", F.col("start") + 1_000_000_000)
+    asked = asked.unionByName(nowhere)
+    return asked.withColumn("request", F.col("start").cast("long")).withColumn("accessible_only", F.col("start") % 3 == 0)
+
+
+def _totals(steps):
+    total = routing.route_totals(steps).select("request", "metres", "n_nodes", "n_floors")
+    return steps.groupBy("request").agg(F.first("status").alias("status")).join(total, "request", "left").select("request", "status", F.round("metres", 6).alias("metres"), "n_nodes", "n_floors")
 
 
 def batch_routes(spark, d):
     """Status and length of every requested route."""
-    steps = routing.routes(_requests(spark, d), view(spark, d, "fx_node"), _links(spark, d))
-    total = routing.route_totals(steps).select("request", "metres")
-    return steps.groupBy("request").agg(F.first("status").alias("status")).join(total, "request", "left").select("request", "status", F.round("metres", 6).alias("metres"))
+    return _totals(routing.routes(_requests(spark, d), view(spark, d, "fx_node"), _links(spark, d))).drop("n_nodes", "n_floors")
+
+
+def relaxed_routes(spark, d):
+    """The same by joins alone."""
+    asked = _requests(spark, d)
+    text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
+    links = _links(spark, d).select("building", *text("src_floor", "src", "dst_floor", "dst"), "metres", "kind", "label", "accessible", "ord.*")
+    asked = asked.select("request", "building", *text("start_floor", "start", "goal_floor", "goal"), "accessible_only")
+    return _totals(routing.relaxed_routes(asked, view(spark, d, "fx_node").select("building", *text("floor", "node")), links)).drop("n_nodes", "n_floors")
 
 
 def route_instructions(spark, d):
@@ -96,6 +126,14 @@ def route_instructions(spark, d):
     return routing.instructions(steps, view(spark, d, "fx_node"), view(spark, d, "fx_floor"))
 
 
+def floors_of_routes(spark, d):
+    """The floors of every route in the order in which it comes to them, and how much of it lies on the first."""
+    steps = kept(routing.routes(_requests(spark, d), view(spark, d, "fx_node"), _links(spark, d)), "routes")
+    first = steps.where("pos = 0 AND status = 'ok'").select("request", "floor")
+    shown = routing.on_floor(steps, first).groupBy("request").agg(F.count("*").alias("shown"))
+    return routing.route_floors(steps).join(shown, "request")
+
+
 def degrees(spark, d):
     n, e = _tables(spark, d, "fx_node", "fx_edge")
     return graphs.degrees(n, e)
@@ -113,6 +151,13 @@ def reachable_nodes(spark, d):
     return graphs.reachable(n, labels).select("floor", "node")
 
 
+def graph_metrics(spark, d):
+    """Counts that describe every floor's graph, as name and value."""
+    f, n, e = _tables(spark, d, "fx_floor", "fx_node", "fx_edge")
+    edges = e.where("from_node % 4 <> 0")
+    return graphs.metrics(f, n, edges, graphs.components(n, edges), _report(spark, d))
+
+
 def _with_refs(spark, d):
     n = view(spark, d, "fx_node")
     return n.withColumn("space_id", F.when(F.col("node") % 2 == 0, F.col("node"))).withColumn("opening_id", F.when(F.col("node") % 3 == 0, F.col("node")))
@@ -127,11 +172,11 @@ def _report(spark, d):
 
 
 def graph_report(spark, d):
-    return _report(spark, d).where("code <> 'disconnected-graph'")
+    return _report(spark, d)
 
 
 def report_status(spark, d):
-    return graphs.status(view(spark, d, "fx_floor"), _report(spark, d).where("code <> 'disconnected-graph' AND (floor % 3 = 0 OR severity <> 'error')")).select("floor", "status", "errors", "warnings")
+    return graphs.status(view(spark, d, "fx_floor"), _report(spark, d).where("floor % 3 = 0 OR severity <> 'error'")).select("floor", "status", "errors", "warnings")
 
 
 def spatial_rules(spark, d):
@@ -154,7 +199,10 @@ def positioning_rules(spark, d):
 
 
 def length_rules(spark, d):
-    return checks.length_rules(view(spark, d, "fx_poi"), "poi", {"name": 12, "category": 18})
+    """The longest names and categories that may be stored, on names and categories repeated up to nine times."""
+    p = view(spark, d, "fx_poi")
+    many = (F.col("poi") % 10).cast("int")
+    return checks.length_rules(p.withColumn("name", F.repeat("name", many)).withColumn("category", F.repeat("category", many)), "poi", {k: checks.LENGTHS[k] for k in ("name", "category")})
 
 
 _E_NAV = """e0 AS (SELECT building, floor, from_node, CASE WHEN from_node % 83 = 0 THEN from_node WHEN from_node % 89 = 0 THEN to_node + 5000000 ELSE to_node END AS to_node, accessible, CASE WHEN from_node % 71 = 0 THEN 'tunnel' ELSE kind END AS kind FROM fx_edge),
@@ -175,6 +223,7 @@ col AS (SELECT n.floor, n.node FROM fx_node n JOIN nb ON nb.floor=n.floor AND nb
 iss AS (SELECT floor, 'dangling-edge' AS code, 'error' AS severity, from_node || '-' || to_node AS subject FROM ee WHERE NOT EXISTS (SELECT 1 FROM fx_node n WHERE n.floor=ee.floor AND n.node=from_node) OR NOT EXISTS (SELECT 1 FROM fx_node n WHERE n.floor=ee.floor AND n.node=to_node)
  UNION ALL SELECT DISTINCT e.floor, 'edge-crosses-wall', 'error', e.from_node || '-' || e.to_node FROM ee e JOIN fx_node a ON e.floor=a.floor AND e.from_node=a.node JOIN fx_node b ON e.floor=b.floor AND e.to_node=b.node JOIN fx_wall w ON w.floor=e.floor WHERE {_CROSS}
  UNION ALL SELECT floor, 'isolated-node', 'warning', node::VARCHAR FROM deg WHERE d = 0
+ UNION ALL SELECT l.floor, 'disconnected-graph', 'warning', l.node::VARCHAR FROM lab l WHERE (l.floor, l.component) NOT IN (SELECT floor, component FROM lab GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY floor ORDER BY count(*) DESC, component) = 1)
  UNION ALL SELECT floor, 'no-entrance', 'warning', NULL FROM fx_floor WHERE floor NOT IN (SELECT floor FROM ent)
  UNION ALL SELECT floor, 'room-unreachable', 'warning', node::VARCHAR FROM fx_node n WHERE kind IN ('room','connector') AND floor IN (SELECT floor FROM ent) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.floor=n.floor AND r.node=n.node)
  UNION ALL SELECT floor, 'collinear-waypoint', 'info', node::VARCHAR FROM col
@@ -183,6 +232,19 @@ iss AS (SELECT floor, 'dangling-edge' AS code, 'error' AS severity, from_node ||
  UNION ALL SELECT floor, 'low-confidence-opening', 'info', opening::VARCHAR FROM fx_opening WHERE confidence < 0.6)"""
 _REP_V = ("fx_floor", "fx_node", "fx_wall", "fx_edge", "fx_space", "fx_opening")
 
+_DISTANCES = duck(
+    f"""WITH {_LINKS}, l0 AS (SELECT src, dst_floor, dst, min(greatest(metres, 0.001)) AS m FROM links GROUP BY 1, 2, 3), s AS (SELECT floor, node FROM fx_node QUALIFY row_number() OVER (PARTITION BY building ORDER BY node) = 1),
+d(start, floor, node, metres) USING KEY (start, node) AS (SELECT node, floor, node, 0.0::DOUBLE FROM s UNION SELECT d.start, l.dst_floor, l.dst, min(d.metres + l.m) FROM d JOIN l0 l ON l.src=d.node LEFT JOIN recurring.d r ON r.start=d.start AND r.node=l.dst WHERE r.metres IS NULL OR d.metres + l.m < r.metres GROUP BY 1, 2, 3)
+SELECT start, floor, node, round(metres, 6) AS metres FROM d""", *_V, recursive=True)
+_ROUTES = duck(
+    f"""WITH {_LINKS}, r0 AS (SELECT a.building, a.node AS request, a.floor AS sf, a.node AS s, a.node % 3 = 0 AS acc, CASE WHEN a.node % 50 = 0 THEN -1 ELSE a.node * 7 % 150 + 3 END AS g FROM fx_node a),
+rq AS (SELECT r0.*, b.building AS gb FROM r0 LEFT JOIN fx_node b ON b.node = r0.g), ask AS (SELECT DISTINCT building, s, acc FROM rq WHERE gb = building),
+l0 AS (SELECT src, dst, min(greatest(metres, 0.001)) AS m, FALSE AS acc FROM links GROUP BY 1, 2 UNION ALL SELECT src, dst, min(greatest(metres, 0.001)), TRUE FROM links WHERE accessible GROUP BY 1, 2),
+d(s, acc, node, metres) USING KEY (s, node) AS (SELECT s, acc, s, 0.0::DOUBLE FROM ask UNION
+  SELECT d.s, d.acc, l.dst, min(d.metres + l.m) FROM d JOIN l0 l ON l.src=d.node AND l.acc=d.acc LEFT JOIN recurring.d r ON r.s=d.s AND r.node=l.dst WHERE r.metres IS NULL OR d.metres + l.m < r.metres GROUP BY 1, 2, 3)
+SELECT rq.request::BIGINT AS request, CASE WHEN gb IS NULL THEN 'unknown node' WHEN gb <> rq.building THEN 'goal in another building' WHEN d.metres IS NOT NULL THEN 'ok' WHEN rq.acc THEN 'no accessible route' ELSE 'no route' END AS status, round(d.metres, 6) AS metres
+FROM rq LEFT JOIN d ON d.s=rq.s AND d.node=rq.g UNION ALL SELECT node + 1000000000, 'no map for the building', NULL FROM fx_node WHERE node % 97 = 1""", *_V, recursive=True)
+
 QUERIES = {
     "J02_placed_edges": placed_edges,
     "J03_wall_crossings": wall_crossings,
@@ -193,13 +255,17 @@ QUERIES = {
     "U05_route_links": route_links,
     "J19_accessible_links": accessible_links,
     "G01_distances_from_node": distances_from_node,
+    "G01_relaxed_distances": relaxed_distances,
     "G02_batch_routes": batch_routes,
+    "G02_relaxed_routes": relaxed_routes,
+    "A18_floors_of_routes": floors_of_routes,
     "W05_route_instructions": route_instructions,
     "G17_degrees": degrees,
     "G16_components": graph_components,
     "G18_reachable_nodes": reachable_nodes,
     "M13_graph_report": graph_report,
     "M14_report_status": report_status,
+    "A13_graph_metrics": graph_metrics,
     "M01_spatial_rules": spatial_rules,
     "M08_navigation_rules": navigation_rules,
     "M11_positioning_rules": positioning_rules,
@@ -215,17 +281,10 @@ ORACLES = {
     "F07_sibling_floors": duck("SELECT a.building, a.floor, b.floor AS sibling FROM fx_floor a JOIN fx_floor b USING (building) WHERE a.floor <> b.floor", "fx_floor"),
     "U05_route_links": duck(f"WITH {_LINKS} SELECT building, src_floor, src, dst_floor, dst, round(metres, 6) AS metres, kind, accessible FROM links", *_V),
     "J19_accessible_links": duck(f"WITH {_LINKS} SELECT src_floor, src, dst_floor, dst, round(metres, 6) AS metres, kind FROM links l WHERE accessible AND EXISTS (SELECT 1 FROM fx_node n WHERE n.kind <> 'door' AND n.floor=src_floor AND n.node=src) AND EXISTS (SELECT 1 FROM fx_node n WHERE n.kind <> 'door' AND n.floor=dst_floor AND n.node=dst)", *_V),
-    "G01_distances_from_node": duck(
-        f"""WITH {_LINKS}, l0 AS (SELECT src, dst_floor, dst, min(greatest(metres, 0.001)) AS m FROM links WHERE building = 0 GROUP BY 1, 2, 3), s AS (SELECT floor, node FROM fx_node WHERE building = 0 ORDER BY node LIMIT 1),
-d(floor, node, metres) USING KEY (node) AS (SELECT floor, node, 0.0::DOUBLE FROM s UNION SELECT l.dst_floor, l.dst, min(d.metres + l.m) FROM d JOIN l0 l ON l.src=d.node LEFT JOIN recurring.d r ON r.node=l.dst WHERE r.metres IS NULL OR d.metres + l.m < r.metres GROUP BY 1, 2)
-SELECT floor, node, round(metres, 6) AS metres FROM d""", *_V, recursive=True),
-    "G02_batch_routes": duck(
-        f"""WITH {_LINKS}, rq AS (SELECT a.building, a.node AS request, a.floor AS sf, a.node AS s, b.floor AS gf, b.node AS g, b.building AS gb, a.node % 3 = 0 AS acc FROM fx_node a JOIN fx_node b ON b.node = (a.node * 7 + 3) % 150 WHERE a.node < 150),
-l0 AS (SELECT src, dst, min(greatest(metres, 0.001)) AS m, bool_or(FALSE) AS acc FROM links GROUP BY 1, 2 UNION ALL SELECT src, dst, min(greatest(metres, 0.001)), TRUE FROM links WHERE accessible GROUP BY 1, 2),
-d(request, acc, node, metres) USING KEY (request, node) AS (SELECT request, acc, s, 0.0::DOUBLE FROM rq WHERE gb = building UNION
-  SELECT d.request, d.acc, l.dst, min(d.metres + l.m) FROM d JOIN l0 l ON l.src=d.node AND l.acc=d.acc LEFT JOIN recurring.d r ON r.request=d.request AND r.node=l.dst WHERE r.metres IS NULL OR d.metres + l.m < r.metres GROUP BY 1, 2, 3)
-SELECT rq.request::BIGINT AS request, CASE WHEN gb <> rq.building THEN 'goal in another building' WHEN d.metres IS NOT NULL THEN 'ok' WHEN rq.acc THEN 'no accessible route' ELSE 'no route' END AS status, round(d.metres, 6) AS metres
-FROM rq LEFT JOIN d ON d.request=rq.request AND d.node=rq.g""", *_V, recursive=True),
+    "G01_distances_from_node": _DISTANCES,
+    "G01_relaxed_distances": _DISTANCES,
+    "G02_batch_routes": _ROUTES,
+    "G02_relaxed_routes": _ROUTES,
     "G17_degrees": duck("SELECT n.floor, n.node, count(e.o) AS degree FROM fx_node n LEFT JOIN (SELECT floor, from_node AS o FROM fx_edge UNION ALL SELECT floor, to_node FROM fx_edge) e ON e.floor=n.floor AND e.o=n.node GROUP BY 1, 2", "fx_node", "fx_edge"),
     "G16_components": duck(f"WITH {_HIT}, oe AS (SELECT * FROM fx_edge e WHERE from_node % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.floor=e.floor AND h.from_node=e.from_node AND h.to_node=e.to_node)), both_ways AS (SELECT floor, from_node AS n, to_node AS o FROM oe UNION SELECT floor, to_node, from_node FROM oe), {_COMP} SELECT floor, node, component FROM lab", "fx_edge", "fx_wall", recursive=True),
     "G18_reachable_nodes": duck(f"WITH oe AS (SELECT * FROM fx_edge WHERE from_node % 4 <> 0 AND to_node % 3 <> 0), both_ways AS (SELECT floor, from_node AS n, to_node AS o FROM oe UNION SELECT floor, to_node, from_node FROM oe), {_COMP} SELECT floor, node FROM lab l WHERE EXISTS (SELECT 1 FROM fx_node n JOIN lab m ON m.floor=n.floor AND m.node=n.node WHERE n.kind='entrance' AND n.floor=l.floor AND m.component=l.component)", "fx_edge", recursive=True),
@@ -242,5 +301,5 @@ UNION ALL SELECT floor, 'edge-from', s FROM e WHERE NOT EXISTS (SELECT 1 FROM fx
 UNION ALL SELECT src_floor, rule, src_node || '-' || dst_floor || '-' || dst_node FROM c WHERE rule IS NOT NULL""", "fx_floor", "fx_node", "fx_edge", "fx_connector"),
     "M11_positioning_rules": duck("""SELECT floor, 'qr-code' AS rule, qr::VARCHAR AS subject FROM fx_qr WHERE trim(code) = '' UNION ALL SELECT floor, 'qr-label', qr::VARCHAR FROM fx_qr WHERE trim(label) = ''
 UNION ALL SELECT floor, 'qr-twice', lower(trim(code)) FROM fx_qr GROUP BY floor, lower(trim(code)) HAVING count(*) > 1 UNION ALL SELECT floor, 'qr-node', qr::VARCHAR FROM fx_qr q WHERE NOT EXISTS (SELECT 1 FROM fx_node n WHERE n.floor=q.floor AND n.node=q.node)""", "fx_qr", "fx_node"),
-    "X15_length_rules": duck("SELECT floor, 'length-name' AS rule, poi::VARCHAR AS subject FROM fx_poi WHERE length(coalesce(name, '')) NOT BETWEEN 1 AND 12 UNION ALL SELECT floor, 'length-category', poi::VARCHAR FROM fx_poi WHERE length(coalesce(category, '')) NOT BETWEEN 1 AND 18", "fx_poi"),
+    "X15_length_rules": duck("SELECT floor, 'length-name' AS rule, poi::VARCHAR AS subject FROM fx_poi WHERE length(repeat(coalesce(name, ''), poi % 10)) NOT BETWEEN 1 AND 160 UNION ALL SELECT floor, 'length-category', poi::VARCHAR FROM fx_poi WHERE length(repeat(coalesce(category, ''), poi % 10)) NOT BETWEEN 1 AND 80", "fx_poi"),
 }

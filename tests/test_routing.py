@@ -11,7 +11,7 @@ LINK = "building int, src_floor int, src string, dst_floor int, dst string, metr
 
 def _links(spark, rows):
     data = [(0, 1, a, 1, b, m, k, None, ok) for a, b, m, k, ok in rows]
-    order = F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).alias("t"), F.monotonically_increasing_id().alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("r"))
+    order = F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).alias("t"), F.monotonically_increasing_id().alias("n"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("r"))
     return spark.createDataFrame(data, LINK).coalesce(1).withColumn("ord", order)
 
 
@@ -72,8 +72,7 @@ def test_sample_floor(spark):
     placed = network.placed_edges(s["edges"], s["nodes"])
     assert {r.wall for r in network.crossings(placed, s["walls"]).collect()} == {2, 6, 8}
     assert {r.ord for r in network.blocked_edges(placed, s["walls"]).collect()} == {10, 12}
-    links = network.links(s["floors"], s["nodes"], s["edges"].drop("building", "ord").withColumn("from_node", F.col("from_node")), s["walls"], s["connectors"])
-    links = links.withColumn("ord", F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).alias("t"), F.hash("src").cast("long").alias("a"), F.hash("dst").cast("long").alias("b"), F.lit(0).alias("r")))
+    links = network.links(s["floors"], s["nodes"], s["edges"], s["walls"], s["connectors"])
     ask = s["nodes"].select(F.col("ord").cast("long").alias("request"), "building", F.lit(1).alias("start_floor"), F.lit("entrada").alias("start"), F.col("floor").alias("goal_floor"), F.col("node").alias("goal"), F.lit(False).alias("accessible_only"))
     steps = routing.routes(ask, s["nodes"], links)
     got = {r.node: (r.metres, r.n) for r in steps.where("status = 'ok'").groupBy("request").agg(F.max_by("node", "pos").alias("node"), F.max("metres").alias("metres"), F.count("*").alias("n")).collect()}
@@ -85,3 +84,36 @@ def test_sample_floor(spark):
     assert [r.instruction for r in told.orderBy("pos").collect()] == ["Avanza 21.9 m hasta Sala de espera.", "Llegaste a Sala de espera."]
     relaxed = routing.distances(links, s["nodes"].where("node = 'entrada'").select("floor", "node"))
     assert {r.node: r.metres for r in relaxed.collect()} == {k: pytest.approx(v[0], abs=1e-4) for k, v in WANT.items()}
+
+
+def test_joins_alone_give_the_same_routes(spark, monkeypatch):
+    """Ties and all, step by step; and buildings that no task should hold take that way."""
+    import random
+
+    rnd = random.Random(4)
+    names = [f"n{k}" for k in range(30)]
+    links = _links(spark, [(rnd.choice(names), rnd.choice(names), float(rnd.randint(1, 3)), "corridor", rnd.random() < 0.7) for _ in range(110)])
+    nodes = spark.createDataFrame([(0, 1, x) for x in names[:28]], "building int, floor int, node string")
+    asks = [(k, rnd.choice([0, 0, 0, 7]), 1, rnd.choice(names), rnd.choice([1, 1, 2]), rnd.choice(names), rnd.random() < 0.3) for k in range(60)]
+    ask = spark.createDataFrame(asks, "request long, building int, start_floor int, start string, goal_floor int, goal string, accessible_only boolean")
+    rows = lambda: sorted(map(tuple, routing.routes(ask, nodes, links).collect()), key=str)
+    want = rows()
+    assert len({r[1] for r in want}) >= 4
+    monkeypatch.setattr(routing, "MOST_LINKS", 10)
+    assert rows() == want
+    monkeypatch.setattr(routing, "REQUESTS", 3)
+    monkeypatch.setattr(routing, "MOST_LINKS", 10**6)
+    assert rows() == want
+
+
+def test_floors_from_the_catalog_with_ids_of_text(spark):
+    from atriumq.operators import graphs
+    from atriumq.sources.sample import sample
+
+    s = sample(spark)
+    labels = {r.node: r.component for r in graphs.components(s["nodes"], s["edges"]).collect()}
+    relaxed = {r.node: r.component for r in graphs.relaxed_labels(s["edges"]).collect()}
+    assert len(labels) == s["nodes"].count() and all(labels[k] == v for k, v in relaxed.items()) and set(labels.values()) == {min(labels)}
+    issues = graphs.report(s["floors"], s["nodes"], s["edges"], s["walls"], None, None)
+    found = {(r.code, r.subject) for r in issues.collect()}
+    assert sum(c == "edge-crosses-wall" for c, _ in found) == 2
