@@ -109,7 +109,7 @@ def unwrapped(content: Column) -> Column:
     Unwrapped only if what comes out begins like a known file."""
     text = F.make_valid_utf8(F.substring(content, 1, 4_000_000).cast("string"))
     plain = _begins(content, _PLAIN) | _head(F.substring(content, 1, 64)).startswith("<")
-    body = F.regexp_replace(F.regexp_extract(text, r"(?i)^\s*(?:data:[a-z/+.-]+;base64,)?([A-Za-z0-9+/=\r\n]+)$", 1), r"\s+", "")
+    body = F.regexp_replace(F.regexp_extract(text, r"^\s*(?:data:[a-z/+.-]+;base64,)?([A-Za-z0-9+/=\r\n]+)$", 1), r"\s+", "")
     padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
     raw = F.when((body != "") & ~plain, F.try_to_binary(padded, F.lit("base64")))
     return F.when(raw.isNotNull() & _begins(raw, [h for h in _PLAIN if h != b"<"]), raw).otherwise(content)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,19 @@ def accepted_classical(groups: DataFrame, ppm: str = "ppm") -> DataFrame:
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     compact = (F.col("area") <= side * side) & (F.greatest(w, h) <= 3 * F.least(w, h))
     return groups.where((F.col("overlap") >= 0.2) | compact | (F.max("overlap").over(Window.partitionBy("floor")) == 0))
+
+
+def blended(tiles: DataFrame, tile: int = 512) -> DataFrame:
+    """(floor, class, px, py, value): overlapping tiles of a model's output as one image.
+
+    tiles: (floor, class, x0, y0, tx, ty, value), a row a pixel of a tile that begins at x0, y0. A pixel is the
+    mean of all tiles over it, weighted by how near the middle of each it lies (a raised cosine both ways)."""
+    near = lambda c: 0.5 - 0.5 * F.cos(2 * math.pi * F.col(c) / (tile - 1))
+    w = near("tx") * near("ty") + 1e-3
+    at = tiles.withColumns({"px": F.col("x0") + F.col("tx"), "py": F.col("y0") + F.col("ty"), "_w": w})
+    return at.groupBy("floor", "class", "px", "py").agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
+
+
+def likeliest(blend: DataFrame) -> DataFrame:
+    """(floor, px, py, class): the class of every pixel, the first of equally likely ones."""
+    return blend.groupBy("floor", "px", "py").agg(F.min_by("class", F.struct(-F.col("value"), F.col("class"))).alias("class"))

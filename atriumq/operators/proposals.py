@@ -144,3 +144,26 @@ def without_nodes(gone: DataFrame, pois: DataFrame, edges: DataFrame, connectors
         "connectors": drop(connectors, "src_floor", "src_node"),
         "anchors": drop(anchors, "floor", "node"),
     }
+
+
+def proposal(floors: DataFrame, polygons: DataFrame, nodes: DataFrame, edges: DataFrame, pois: DataFrame) -> dict[str, DataFrame]:
+    """The editable model of every analysed floor, as tables walls, nodes, edges, pois and diagnostics.
+
+    floors: (floor, and whatever is known of it); polygons: (floor, ord, rings) of walls, obstacles and windows in
+    their order; nodes: (floor, node, ord, x, y, kind, label); edges: (floor, from_node, to_node, kind, ord); pois:
+    (floor, poi, x, y). Edges meet the very segments that are stored; a floor with fewer than two nodes or
+    without an edge left is refused: it is in diagnostics, with the reason, and nowhere else."""
+    walls = kept(wall_segments(ring_segments(polygons)), "walls")
+    named = kept(node_ids(labelled_nodes(nodes)), "nodes")
+    passing, crossing = surviving_edges(edges, named.drop("ord"), walls)
+    passing = kept(passing.select("floor", "from_node", "to_node", "kind").withColumn("accessible", F.lit(True)), "edges")
+    count = lambda df, name: df.groupBy("floor").agg(F.count("*").alias(name))
+    out = floors.select("floor").distinct()
+    for df, name in ((walls, "walls"), (named, "nodes"), (passing, "edges"), (crossing, "edges_rejected_by_walls")):
+        out = out.join(count(df, name), "floor", "left").fillna(0, [name])
+    reason = F.when(F.col("nodes") < 2, "too-few-nodes").when(F.col("edges") < 1, "no-edges")
+    out = kept(out.withColumn("refused", reason), "diagnostics")
+    good = out.where("refused IS NULL").select("floor")
+    mine = lambda df: df.join(good, "floor", "left_semi")
+    placed = pois.join(reattached(mine(pois), mine(named)).withColumnRenamed("node", "node_id"), ["floor", "poi"])
+    return {"walls": mine(walls), "nodes": mine(named), "edges": mine(passing), "pois": placed, "diagnostics": out}

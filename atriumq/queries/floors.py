@@ -12,31 +12,35 @@ from atriumq.sources import payload, synthetic
 
 
 def _seeds(spark, d):
-    """One synthetic floor per nation."""
-    return spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 180).cast("long").alias("seed"))
+    """A synthetic floor for every five hundred suppliers of a nation."""
+    site = F.floor(F.col("s_suppkey") / 500) * 25 + F.col("s_nationkey") + 180
+    return spark.read.parquet(f"{d}/supplier.parquet").select(site.cast("long").alias("seed")).distinct()
+
+
+def _clinics(spark, d):
+    # A floor takes seconds, so floors are dealt one by one over the tasks.
+    return synthetic.clinics_of(_seeds(spark, d).repartitionByRange(64, "seed"))
 
 
 def clinics(spark, d):
     """Rooms, doors and nodes of every synthetic floor."""
-    made = synthetic.clinics(spark, 180, 60).join(_seeds(spark, d), "seed", "left_semi")
     case = F.from_json("json", "rooms array<struct<id:string>>, doors array<struct<room_id:string>>, navigation struct<nodes:array<struct<id:string>>,edges:array<struct<from:string>>>")
-    return made.select("seed", case.alias("c"), "svg").select("seed", F.size("c.rooms").alias("rooms"), F.size("c.doors").alias("doors"), F.size("c.navigation.nodes").alias("nodes"), F.size("c.navigation.edges").alias("edges"), F.length("svg").alias("svg_chars"))
+    return _clinics(spark, d).select("seed", case.alias("c"), "svg").select("seed", F.size("c.rooms").alias("rooms"), F.size("c.doors").alias("doors"), F.size("c.navigation.nodes").alias("nodes"), F.size("c.navigation.edges").alias("edges"), F.length("svg").alias("svg_chars"))
 
 
 def _scenes(spark, d):
-    plans = synthetic.clinics(spark, 180, 60).join(F.broadcast(_seeds(spark, d)), "seed", "left_semi")
-    plans = plans.select(F.col("seed").alias("floorplan_id"), F.col("svg").cast("binary").alias("content"), F.lit(float(synthetic.PX_PER_METER)).alias("pixels_per_meter"))
-    # A floor takes seconds, so floors are dealt one by one over the tasks.
-    return structural.analyze(plans.repartition(25, "floorplan_id"))
+    plans = _clinics(spark, d).select(F.col("seed").alias("floorplan_id"), F.col("svg").cast("binary").alias("content"), F.lit(float(synthetic.PX_PER_METER)).alias("pixels_per_meter"))
+    return structural.analyze(plans, structural.Options(raster_scale=1.0))
 
 
 def scene_counts(spark, d):
     """What the pipeline understands of every floor, by kind."""
-    s = _scenes(spark, d)
+    s = structural.validated(_scenes(spark, d))
     kind = lambda c, k: F.size(F.filter(f"scene.{c}", lambda x: x["kind"] == k))
     return s.select(
         "floorplan_id", "status", kind("spaces", "room").alias("rooms"), kind("spaces", "circulation").alias("circulation"), kind("openings", "door").alias("doors"), kind("openings", "entrance").alias("entrances"),
-        F.size("scene.graph.nodes").alias("nodes"), F.size("scene.graph.edges").alias("edges"), F.element_at("scene.validation.metrics", "edges_crossing_walls").alias("crossing"),
+        F.size("scene.graph.nodes").alias("nodes"), F.size("scene.graph.edges").alias("edges"), F.element_at("scene.validation.metrics", "edges_crossing_walls").alias("crossing"), F.col("scene.validation.status").alias("verdict"),
+        F.array_join(F.transform("scene.validation.issues", lambda i: i["code"]), ",").alias("codes"), F.element_at("scene.diagnostics", "wall_polygons").cast("int").alias("wall_polygons"),
     )
 
 
@@ -49,8 +53,8 @@ def scene_payloads(spark, d):
 def scene_components(spark, d):
     """Components of every floor's graph, by the graph operators on the scene's tables."""
     t_ = structural.tables(kept(_scenes(spark, d), "scenes"))  # both tables are read several times
-    nodes = t_["nodes"].select(F.col("floorplan_id").alias("floor"), F.col("id").alias("node")).withColumn("node", F.col("node").substr(2, 9).cast("long"))
-    edges = t_["edges"].select(F.col("floorplan_id").alias("floor"), F.col("from").substr(F.lit(2), F.lit(9)).cast("long").alias("from_node"), F.col("to").substr(F.lit(2), F.lit(9)).cast("long").alias("to_node"))
+    nodes = t_["nodes"].select(F.col("floorplan_id").alias("floor"), F.col("id").alias("node"))
+    edges = t_["edges"].select(F.col("floorplan_id").alias("floor"), F.col("from").alias("from_node"), F.col("to").alias("to_node"))
     return graphs.components(nodes, edges).groupBy("floor").agg(F.countDistinct("component").alias("components"))
 
 

@@ -102,6 +102,37 @@ def reattached(spark, d):
     return proposals.reattached(p, n)
 
 
+def _proposal(spark, d):
+    """Diamonds around the beginnings of walls, the corridors of a floor doubled, and its places."""
+    f, w, n, e, p = (view(spark, d, x) for x in ("fx_floor", "fx_wall", "fx_node", "fx_edge", "fx_poi"))
+    at = lambda dx, dy: F.struct((F.col("sx") + dx).alias("x"), (F.col("sy") + dy).alias("y"))
+    polygons = w.select("floor", F.col("wall").alias("ord"), F.array(F.array(at(-9, 0), at(0, -7), at(9, 0), at(0, 7))).alias("rings"))
+    n = n.where("floor % 6 <> 5 OR ord < 2").withColumn("label", F.when(F.col("node") % 3 == 0, F.col("label")))
+    return proposals.proposal(f, polygons, n.select("floor", "node", "ord", "x", "y", "kind", "label"), _doubled(e.where("kind = 'corridor'")), p.select("floor", "poi", "x", "y"))
+
+
+def proposal_edges(spark, d):
+    return _proposal(spark, d)["edges"].select("floor", "from_node", "to_node", "kind")
+
+
+def proposal_diagnostics(spark, d):
+    return _proposal(spark, d)["diagnostics"]
+
+
+def proposal_places(spark, d):
+    return _proposal(spark, d)["pois"].select("floor", "poi", F.col("node_id").alias("node"))
+
+
+def tile_blend(spark, d):
+    """The likeliest of three classes of every pixel, of tiles of 16 by 16 that overlap by half."""
+    px = view(spark, d, "fx_pixel").groupBy("floor", "px", "py").agg(F.min("gray").alias("gray"))
+    tiles = px.withColumn("x0", F.explode(F.array(F.floor(F.col("px") / 8) * 8, F.floor(F.col("px") / 8) * 8 - 8))).withColumn("y0", F.explode(F.array(F.floor(F.col("py") / 8) * 8, F.floor(F.col("py") / 8) * 8 - 8)))
+    value = (F.col("gray") * (F.col("class") + 1) + F.col("x0") * 3 + F.col("y0") * 5) % 101 / 100.0
+    tiles = tiles.withColumn("class", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumns({"tx": F.col("px") - F.col("x0"), "ty": F.col("py") - F.col("y0"), "value": value})
+    out = measures.blended(tiles, 16)
+    return out.groupBy("floor", "class").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def classified_spaces(spark, d):
     return inference.classified(view(spark, d, "fx_space"), view(spark, d, "fx_opening")).select("floor", "space", "kind", "connector_kind", "doors", _r("confidence").alias("confidence"))
 
@@ -299,9 +330,22 @@ _INK = "i AS (SELECT *, r * 0.2126 + g * 0.7152 + b * 0.0722 AS ink, CASE WHEN i
 _THR = "bw AS (SELECT floor, width, sum(len) AS l FROM i WHERE ink < 0.55 AND width > 0 AND len > 0 GROUP BY 1, 2), rw AS (SELECT *, sum(l) OVER (PARTITION BY floor ORDER BY width) AS run, sum(l) OVER (PARTITION BY floor) AS al FROM bw), th AS (SELECT floor, greatest(2.0::DOUBLE, min(width) * 0.5) AS threshold FROM rw WHERE run >= 0.9 * al GROUP BY 1)"
 _HIST = "h AS (SELECT floor, gray, count(*)::DOUBLE AS n FROM fx_pixel GROUP BY 1, 2), h2 AS (SELECT *, sum(n) OVER (PARTITION BY floor ORDER BY gray) AS w, sum(n*gray) OVER (PARTITION BY floor ORDER BY gray) AS s, sum(n) OVER (PARTITION BY floor) AS tw, sum(n*gray) OVER (PARTITION BY floor) AS ts FROM h), h3 AS (SELECT floor, gray, round(CASE WHEN tw > w THEN w*(tw-w)*pow(s/w-(ts-s)/(tw-w), 2) ELSE 0 END / (tw*tw), 9) AS v FROM h2), ot AS (SELECT floor, gray AS threshold FROM h3 QUALIFY row_number() OVER (PARTITION BY floor ORDER BY v DESC, gray) = 1)"
 
+_G20 = """n AS (SELECT floor, node, ord, x, y, kind FROM fx_node WHERE floor % 6 <> 5 OR ord < 2),
+sg AS (SELECT floor, wall, r, sx + [-9, 0, 9, 0][r] AS x0, sy + [0, -7, 0, 7][r] AS y0, sx + [0, 9, 0, -9][r] AS x1, sy + [-7, 0, 7, 0][r] AS y1 FROM fx_wall, unnest(range(1, 5)) u(r)),
+kg AS (SELECT *, [round_even(x0/2,0), round_even(y0/2,0), round_even(x1/2,0), round_even(y1/2,0)] AS a, [round_even(x1/2,0), round_even(y1/2,0), round_even(x0/2,0), round_even(y0/2,0)] AS b FROM sg),
+og AS (SELECT * FROM kg QUALIFY row_number() OVER (PARTITION BY floor, least(a, b) ORDER BY wall, r) = 1), wg AS (SELECT * FROM og QUALIFY row_number() OVER (PARTITION BY floor ORDER BY wall, r) <= 4000),
+e1 AS (SELECT floor, from_node, to_node, from_node AS ord FROM fx_edge WHERE kind='corridor' UNION ALL SELECT floor, to_node, from_node, from_node + 1000000 FROM fx_edge WHERE kind='corridor' AND from_node % 3 = 0),
+e2 AS (SELECT e.floor, from_node, to_node, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM e1 e JOIN n a ON a.floor=e.floor AND a.node=e.from_node JOIN n b ON b.floor=e.floor AND b.node=e.to_node WHERE from_node <> to_node QUALIFY row_number() OVER (PARTITION BY e.floor, least(from_node,to_node), greatest(from_node,to_node) ORDER BY e.ord) = 1),
+e3 AS (SELECT floor, from_node, to_node, EXISTS (SELECT 1 FROM wg w WHERE w.floor=e2.floor AND ((bx-ax)*(y0-ay)-(b_y-ay)*(x0-ax))*((bx-ax)*(y1-ay)-(b_y-ay)*(x1-ax)) < -1e-7 AND ((x1-x0)*(ay-y0)-(y1-y0)*(ax-x0))*((x1-x0)*(b_y-y0)-(y1-y0)*(bx-x0)) < -1e-7) AS hit FROM e2),
+dg AS (SELECT f.floor, coalesce(w.c, 0) AS walls, coalesce(n.c, 0) AS nodes, coalesce(e.c, 0) AS edges, coalesce(e.h, 0) AS edges_rejected_by_walls FROM fx_floor f LEFT JOIN (SELECT floor, count(*) AS c FROM wg GROUP BY 1) w USING (floor) LEFT JOIN (SELECT floor, count(*) AS c FROM n GROUP BY 1) n USING (floor)
+  LEFT JOIN (SELECT floor, count(*) FILTER (NOT hit) AS c, count(*) FILTER (hit) AS h FROM e3 GROUP BY 1) e USING (floor)),
+rf AS (SELECT *, CASE WHEN nodes < 2 THEN 'too-few-nodes' WHEN edges < 1 THEN 'no-edges' END AS refused FROM dg)"""
+_G20_V = ("fx_floor", "fx_wall", "fx_edge", "fx_poi")
+
 QUERIES = {
     "P03_edge_measures": edge_measures, "P07_point_measures": point_measures, "P12_curve_points": curve_points, "P19_vertical_costs": vertical_costs, "P14_scales": scales,
     "W01_proposed_nodes": proposed_nodes, "W02_proposed_edges": proposed_edges, "J04_rejected_edges": rejected_edges, "M12_proposal_rules": proposal_rules, "V15_ring_segments": ring_segments,
+    "G20_proposal_edges": proposal_edges, "G20_proposal": proposal_diagnostics, "G20_proposal_places": proposal_places, "R06_tile_blend": tile_blend,
     "J13_nearest_nodes": nearest_nodes, "J14_near_nodes": near_nodes, "G20_reattached_places": reattached, "I06_classified_spaces": classified_spaces, "I08_passages": passages, "I04_assigned_openings": assigned_openings,
     "X01_label_rules": label_rules, "I03_envelope_gaps": envelope_gaps, "J07_labels_in_spaces": containing_space, "J21_origin_options": origin_options, "U04_destination_options": destination_options,
     "A01_diagnostics": diagnostics, "X12_proposal_summary": proposal_summary, "A04_stroke_mode": stroke_mode, "A05_otsu": otsu, "R01_dark_pixels": dark_pixels, "A06_stroke_threshold": stroke_threshold, "F02_stroke_roles": stroke_roles,
@@ -334,6 +378,13 @@ SELECT floor, count(*) AS n, round(sum(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))), 3
     "J14_near_nodes": duck("SELECT p.floor, p.poi, n.node FROM fx_poi p JOIN fx_node n ON n.floor=p.floor WHERE sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)) < 60 QUALIFY row_number() OVER (PARTITION BY p.floor, p.poi ORDER BY sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)), n.ord) = 1", "fx_poi", "fx_node"),
     "G20_reattached_places": duck("""WITH d AS (SELECT p.floor, p.poi, n.node, n.kind, n.ord, sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)) AS d FROM fx_poi p JOIN fx_node n ON n.floor=p.floor), a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY floor, poi ORDER BY d, ord) = 1),
 c AS (SELECT * FROM d WHERE kind IN ('room','connector') QUALIFY row_number() OVER (PARTITION BY floor, poi ORDER BY d, ord) = 1) SELECT a.floor, a.poi, CASE WHEN c.d <= 2.5 * greatest(a.d, 1.0) THEN c.node ELSE a.node END AS node FROM a LEFT JOIN c ON c.floor=a.floor AND c.poi=a.poi""", "fx_poi", "fx_node"),
+    "G20_proposal": duck(f"WITH {_G20} SELECT * FROM rf", *_G20_V),
+    "G20_proposal_edges": duck(f"WITH {_G20} SELECT floor, from_node, to_node, 'corridor' AS kind FROM e3 WHERE NOT hit AND floor IN (SELECT floor FROM rf WHERE refused IS NULL)", *_G20_V),
+    "G20_proposal_places": duck(f"""WITH {_G20}, d AS (SELECT p.floor, p.poi, n.node, n.kind, n.ord, sqrt((n.x-p.x)*(n.x-p.x)+(n.y-p.y)*(n.y-p.y)) AS d FROM fx_poi p JOIN n ON n.floor=p.floor WHERE p.floor IN (SELECT floor FROM rf WHERE refused IS NULL)), a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY floor, poi ORDER BY d, ord) = 1),
+c AS (SELECT * FROM d WHERE kind IN ('room','connector') QUALIFY row_number() OVER (PARTITION BY floor, poi ORDER BY d, ord) = 1) SELECT a.floor, a.poi, CASE WHEN c.d <= 2.5 * greatest(a.d, 1.0) THEN c.node ELSE a.node END AS node FROM a LEFT JOIN c ON c.floor=a.floor AND c.poi=a.poi""", *_G20_V),
+    "R06_tile_blend": duck("""WITH g AS (SELECT floor, px, py, min(gray) AS gray FROM fx_pixel GROUP BY 1, 2, 3), t AS (SELECT floor, px, py, gray, px // 8 * 8 - 8 * i AS x0, py // 8 * 8 - 8 * j AS y0 FROM g, unnest(range(2)) a(i), unnest(range(2)) b(j)),
+c AS (SELECT floor, k AS class, px, py, (gray * (k + 1) + x0 * 3 + y0 * 5) % 101 / 100.0::DOUBLE AS v, (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (px - x0) / 15)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (py - y0) / 15)) + 0.001::DOUBLE AS w FROM t, unnest(range(3)) u(k)),
+m AS (SELECT floor, class, px, py, sum(v * w) / sum(w) AS v FROM c GROUP BY 1, 2, 3, 4) SELECT floor, class, count(*) AS n, round(sum(v), 4) AS total FROM m GROUP BY 1, 2""", "fx_pixel"),
     "I06_classified_spaces": duck(f"WITH {_CLS} SELECT floor, space, kind, connector_kind, doors, round(confidence, 6) AS confidence FROM cls", "fx_space", "fx_opening"),
     "I08_passages": duck(f"WITH {_CLS}, k AS (SELECT sd.floor, sd.opening, min(cls.kind) AS a, max(cls.kind) AS b FROM sd JOIN cls ON cls.floor=sd.floor AND cls.space=sd.space GROUP BY 1, 2) SELECT o.floor, o.opening, CASE WHEN o.kind='door' AND k.a='circulation' AND k.b='circulation' THEN 'passage' ELSE o.kind END AS kind FROM fx_opening o LEFT JOIN k ON k.floor=o.floor AND k.opening=o.opening", "fx_space", "fx_opening"),
     "I04_assigned_openings": duck("""WITH o AS (SELECT floor, opening, CASE WHEN opening % 5 = 0 THEN 'exterior' WHEN opening % 7 <> 0 THEN space_a::VARCHAR END AS a, CASE WHEN opening % 11 = 0 THEN 'exterior' WHEN opening % 13 <> 0 THEN coalesce(space_b, space_a)::VARCHAR END AS b, opening % 3 = 0 AS drawn FROM fx_opening),

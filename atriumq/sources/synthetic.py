@@ -66,20 +66,26 @@ def drawing(case: dict, px: int = PX_PER_METER) -> str:
     return "\n".join([*out, "</svg>"])
 
 
-def clinics(spark: SparkSession, first: int = 180, count: int = 20, partitions: int | None = None) -> DataFrame:
-    """(seed, stem, json, svg), one row per seed."""
+def clinics_of(seeds: DataFrame) -> DataFrame:
+    """(seed, stem, json, svg), one row per row of ``seeds`` (seed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds = batch.column("id").to_pylist()
-            cases = [clinic(s) for s in seeds]
+            numbers = batch.column("seed").to_pylist()
+            cases = [clinic(s) for s in numbers]
             yield pa.RecordBatch.from_pydict(
-                {"seed": seeds, "stem": [f"clinic_{s:05d}" for s in seeds], "json": [json.dumps(c, ensure_ascii=False, indent=2) for c in cases], "svg": [drawing(c) for c in cases]}
+                {"seed": numbers, "stem": [f"clinic_{s:05d}" for s in numbers], "json": [json.dumps(c, ensure_ascii=False, indent=2) for c in cases], "svg": [drawing(c) for c in cases]}
             )
 
-    return spark.range(first, first + count, numPartitions=partitions).mapInArrow(run, "seed long, stem string, json string, svg string")
+    return seeds.select("seed").mapInArrow(run, "seed long, stem string, json string, svg string")
+
+
+def clinics(spark: SparkSession, first: int = 180, count: int = 20, partitions: int | None = None) -> DataFrame:
+    """The cases of ``count`` seeds from ``first`` on."""
+    return clinics_of(spark.range(first, first + count, numPartitions=partitions).withColumnRenamed("id", "seed"))
 
 
 def write_clinics(df: DataFrame, path: str) -> None:
-    """All cases as one table, JSON and SVG beside each other."""
-    df.write.mode("overwrite").parquet(path)
+    """Every case as a JSON and an SVG file, in folders json/stem=... and svg/stem=... under ``path``."""
+    for kind in ("json", "svg"):
+        df.select("stem", kind).write.mode("overwrite").partitionBy("stem").text(f"{path.rstrip('/')}/{kind}")

@@ -90,7 +90,7 @@ def test_synthetic_clinic_is_its_seed_and_no_more():
 def test_scenes_of_files(spark, tmp_path):
     made = synthetic.clinics(spark, 183, 1)
     plans = made.select(F.col("seed").cast("string").alias("floorplan_id"), F.col("svg").cast("binary").alias("content")).unionByName(spark.createDataFrame([("bad", b"<svg"), ("none", b""), ("pdf", b"%PDF-1")], "floorplan_id string, content binary"))
-    got = structural.analyze(plans.withColumn("pixels_per_meter", F.lit(28.0)).coalesce(1)).cache()
+    got = structural.analyze(plans.withColumn("pixels_per_meter", F.lit(28.0)).coalesce(1), structural.Options(raster_scale=1.0)).cache()
     by = {r.floorplan_id: r for r in got.collect()}
     case = synthetic.clinic(183)
     scene = by["183"].scene
