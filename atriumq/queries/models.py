@@ -27,7 +27,7 @@ def point_measures(spark, d):
     n = view(spark, d, "fx_node")
     u, v = F.col("x") / 1009, F.col("y") / 757
     s = g.centred_segment("x", "y", F.lit(0.6), F.lit(0.8), F.lit(10.0))
-    return n.select("node", _r(g.clamped(F.col("x") - 100, F.lit(800))).alias("cx"), _r(g.luminance(u, v, F.lit(0.5))).alias("ink"), g.near("x", "y", F.lit(500.0), F.lit(300.0), 200).alias("close"), _r(s["sx"]).alias("sx"), _r(s["ey"]).alias("ey"), F.bround(F.col("x") * 0.5).cast("int").alias("half"), _r(g.to_meters(g.to_pixels("x", F.lit(3.0)), F.lit(4.0))).alias("m"))
+    return n.select("node", _r(g.clamped(F.col("x") - 100, F.lit(800))).alias("cx"), _r(g.luminance(u, v, F.lit(0.5))).alias("ink"), g.near("x", "y", F.lit(500.0), F.lit(300.0), 200).alias("close"), _r(s["sx"]).alias("sx"), _r(s["ey"]).alias("ey"), g.pixel_point(F.struct("x", "y"), 0.5)["x"].alias("half"), _r(g.to_meters(g.to_pixels("x", F.lit(3.0)), F.lit(4.0))).alias("m"))
 
 
 def curve_points(spark, d):
@@ -224,6 +224,24 @@ def group_overlap(spark, d):
     return measures.group_overlap(px, px.where("py % 3 = 0")).select("floor", "component", _r("overlap").alias("overlap"), _r("probability").alias("probability"))
 
 
+def accepted_groups(spark, d):
+    """Groups of dark pixels that count as walls beside those that are drawn."""
+    px = view(spark, d, "fx_pixel").withColumn("component", (F.col("px") / 4).cast("int")).withColumn("probability", F.lit(1.0))
+    groups = measures.large_groups(px, 1).join(measures.group_overlap(px, px.where("py % 5 = 0 AND px % 3 = 0 AND floor % 4 <> 1")), ["floor", "component"]).withColumn("ppm", 10.0 + F.col("component") % 60)
+    return measures.accepted_classical(groups).select("floor", "component", "area")
+
+
+def shape_features(spark, d):
+    s = view(spark, d, "fx_space").withColumns({"radius": F.col("narrowness") * 20, "long_side": F.col("elongation") * 7, "short_side": F.col("space") % 9 / 2})
+    return inference.shape_features(s).select("floor", "space", _r("narrowness").alias("narrowness"), _r("elongation").alias("elongation"))
+
+
+def fitted_images(spark, d):
+    """Sizes of images once their longer side is brought to what is analysed."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") * 37 % 9000 + 1).alias("w"), (F.col("p_partkey") * 53 % 6000 + 1).alias("h"))
+    return p.select("p_partkey", _r(uploads.fitted_side(F.col("w"), F.col("h")), 9).alias("factor"))
+
+
 def face_spread(spark, d):
     px = view(spark, d, "fx_pixel").withColumn("across", F.col("thickness"))
     return measures.face_spread(px.withColumn("gap", F.col("px") % 5), "gap").select("floor", "gap", _r("low").alias("low"), _r("middle").alias("middle"), _r("high").alias("high"))
@@ -349,7 +367,7 @@ QUERIES = {
     "J13_nearest_nodes": nearest_nodes, "J14_near_nodes": near_nodes, "G20_reattached_places": reattached, "I06_classified_spaces": classified_spaces, "I08_passages": passages, "I04_assigned_openings": assigned_openings,
     "X01_label_rules": label_rules, "I03_envelope_gaps": envelope_gaps, "J07_labels_in_spaces": containing_space, "J21_origin_options": origin_options, "U04_destination_options": destination_options,
     "A01_diagnostics": diagnostics, "X12_proposal_summary": proposal_summary, "A04_stroke_mode": stroke_mode, "A05_otsu": otsu, "R01_dark_pixels": dark_pixels, "A06_stroke_threshold": stroke_threshold, "F02_stroke_roles": stroke_roles,
-    "F01_wall_fills": wall_fills, "A03_pixel_groups": pixel_groups, "A12_group_overlap": group_overlap, "A10_face_spread": face_spread, "V04_principal_angles": principal_angles, "U01_pixel_sets": pixel_sets,
+    "F01_wall_fills": wall_fills, "A03_pixel_groups": pixel_groups, "A12_group_overlap": group_overlap, "A10_face_spread": face_spread, "R08_accepted_groups": accepted_groups, "P18_shape_features": shape_features, "S25_fitted_images": fitted_images, "V04_principal_angles": principal_angles, "U01_pixel_sets": pixel_sets,
     "U08_deleted_nodes": deleted_nodes, "T01_catalog_list": catalog_list, "S06_catalog_upsert": catalog_upsert, "S04_upload_names": upload_names,
     "T03_nearest_candidates": nearest_candidates, "T04_thinned_paths": thinned_paths, "U02_ordered_polygons": ordered_polygons, "F13_fitting_openings": fitting_openings, "A08_largest_spaces": largest_spaces,
     "J09_opening_sides": opening_sides, "T08_opening_sources": opening_sources, "W07_path_lengths": path_lengths,
@@ -409,6 +427,9 @@ CASE WHEN floor % 4 <> 1 AND floor % 5 <> 0 THEN ' Escala estimada: ' || printf(
     "F01_wall_fills": duck(f"WITH {_INK} SELECT floor, ord FROM i WHERE ink < 0.55 AND abs(x1-x0)*abs(y1-y0) < 60000 AND n_points >= 3", "fx_stroke"),
     "A03_pixel_groups": duck("SELECT floor, px // 20 AS component, count(*) AS area, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1, round(avg(px), 6) AS cx, round(avg(py), 6) AS cy FROM fx_pixel GROUP BY 1, 2 HAVING count(*) >= 50", "fx_pixel"),
     "A12_group_overlap": duck("WITH m AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE py % 3 = 0) SELECT p.floor, p.px // 20 AS component, round(avg((m.px IS NOT NULL)::INT), 6) AS overlap, round(avg(gray / 255::DOUBLE), 6) AS probability FROM fx_pixel p LEFT JOIN m ON m.floor=p.floor AND m.px=p.px AND m.py=p.py GROUP BY 1, 2", "fx_pixel"),
+    "R08_accepted_groups": duck("WITH m AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE py % 5 = 0 AND px % 3 = 0 AND floor % 4 <> 1), g AS (SELECT p.floor, p.px // 4 AS component, count(*) AS area, avg((m.px IS NOT NULL)::INT) AS o, max(p.px) - min(p.px) + 1 AS w, max(p.py) - min(p.py) + 1 AS h FROM fx_pixel p LEFT JOIN m ON m.floor=p.floor AND m.px=p.px AND m.py=p.py GROUP BY 1, 2) SELECT floor, component, area FROM g QUALIFY o >= 0.2 OR (area <= pow(0.9 * (10 + component % 60), 2) AND greatest(w, h) <= 3 * least(w, h)) OR max(o) OVER (PARTITION BY floor) = 0", "fx_pixel"),
+    "P18_shape_features": duck("SELECT floor, space, round(narrowness * 20 / greatest(sqrt(area), 1), 6) AS narrowness, round(elongation * 7 / greatest(space % 9 / 2, 1), 6) AS elongation FROM fx_space", "fx_space"),
+    "S25_fitted_images": "SELECT p_partkey, round(least(1.0::DOUBLE, 4096 / greatest(p_partkey * 37 % 9000 + 1, p_partkey * 53 % 6000 + 1)::DOUBLE), 9) AS factor FROM part",
     "A10_face_spread": duck("SELECT floor, px % 5 AS gap, round(quantile_cont(thickness, 0.02::DOUBLE), 6) AS low, round(quantile_cont(thickness, 0.5::DOUBLE), 6) AS middle, round(quantile_cont(thickness, 0.98::DOUBLE), 6) AS high FROM fx_pixel GROUP BY 1, 2", "fx_pixel"),
     "V04_principal_angles": duck("SELECT cluster, round(CASE WHEN count(*) >= 3 AND var_pop(x) + var_pop(y) > 0 THEN 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) END, 5) AS angle FROM fx_point GROUP BY 1", "fx_point"),
     "U01_pixel_sets": duck("WITH a AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE gray < 60), b AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE gray % 2 = 0) SELECT floor, count(*) AS n, 'union' AS what FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1 UNION ALL SELECT floor, count(*), 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY 1 UNION ALL SELECT floor, count(*), 'only' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY 1", "fx_pixel"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atriumq.operators.checks import OPENING_KINDS, SPACE_KINDS, known_kind
+
 _RING = "array<array<double>>"
 _POLY = f"struct<outer:{_RING},holes:array<{_RING}>>"
 SCHEMA = (
@@ -20,8 +22,8 @@ SCHEMA = (
 
 def read_analysis(df: DataFrame, json_col: str = "payload", id_col: str = "floorplan_id") -> DataFrame:
     """One row per payload with typed parts. Missing parts are empty; payloads without openings, or
-    with an empty list of them, have their ``doors`` instead; areas need three points; a scale of 0
-    is none."""
+    with an empty list of them, have their ``doors`` instead; areas need three points, kinds not in the list are
+    unknown; a scale of 0 is none."""
     p = F.from_json(json_col, SCHEMA)
     empty = lambda x, kind: F.coalesce(x, F.array().cast(kind))
     rows = df.select(F.col(id_col).alias("floorplan_id"), p.alias("p"))
@@ -31,7 +33,7 @@ def read_analysis(df: DataFrame, json_col: str = "payload", id_col: str = "floor
         F.array(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("spaces"), F.array().cast("array<string>").alias("sources"),
     )
     known = lambda o: F.struct(
-        o["id"].alias("id"), F.when(o["kind"].isin("door", "entrance", "passage"), o["kind"]).otherwise("door").alias("kind"), o["polygon"].alias("polygon"), o["center"].alias("center"),
+        o["id"].alias("id"), known_kind(o["kind"], OPENING_KINDS, "door").alias("kind"), o["polygon"].alias("polygon"), o["center"].alias("center"),
         F.coalesce(o["width_px"], F.lit(0.0)).alias("width_px"), F.coalesce(o["confidence"], F.lit(1.0)).alias("confidence"),
         F.array(F.get(o["spaces"], F.lit(0)), F.get(o["spaces"], F.lit(1))).alias("spaces"), F.coalesce(o["sources"], F.array().cast("array<string>")).alias("sources"),
     )
@@ -47,8 +49,8 @@ def read_analysis(df: DataFrame, json_col: str = "payload", id_col: str = "floor
         F.col("p.scale.source").alias("scale_source"),
         *(empty(F.col(f"p.{c}"), polys).alias(c) for c in ("walls", "obstacles", "windows")),
         openings.alias("openings"),
-        solid(F.col("p.spaces")).alias("spaces"),
-        solid(F.col("p.walkable")).alias("walkable"),
+        F.transform(solid(F.col("p.spaces")), lambda x: x.withField("kind", known_kind(x["kind"], SPACE_KINDS, "unknown"))).alias("spaces"),
+        F.transform(solid(F.col("p.walkable")), lambda x: x.withField("kind", known_kind(x["kind"], SPACE_KINDS, "unknown"))).alias("walkable"),
         F.col("p.graph.nodes").alias("nodes"),
         F.col("p.graph.edges").alias("edges"),
         F.coalesce("p.validation.status", F.lit("ok")).alias("status"),

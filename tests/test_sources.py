@@ -125,3 +125,9 @@ def test_scalars_and_rules(spark):
     assert {(r.rule, r.subject) for r in checks.navigation_rules(e, c, n, f).collect()} == {("edge-loop", "a-a"), ("edge-twice", "a-b")}
     q = spark.createDataFrame([(1, 1, "QR-1", "x", "a"), (1, 2, " qr-1 ", "y", "z")], "floor int, qr int, code string, label string, node string")
     assert {(r.rule, r.subject) for r in checks.positioning_rules(q, n).collect()} == {("qr-twice", "qr-1"), ("qr-node", "2")}
+
+
+def test_stored_bytes_are_found_only_inside_the_folder(spark):
+    catalog_rows = spark.createDataFrame([("a", "x.png"), ("b", "../x.png"), ("c", "gone.png")], "id string, stored_filename string")
+    found = spark.createDataFrame([("x.png", b"1"), ("../x.png", b"2")], "name string, content binary")
+    assert {r.id: r.content for r in uploads.stored_bytes(catalog_rows, found).collect()} == {"a": b"1", "b": None, "c": None}
