@@ -88,7 +88,8 @@ def accepted_classical(groups: DataFrame, ppm: str = "ppm") -> DataFrame:
     side = F.col(ppm) * 0.9
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     compact = (F.col("area") <= side * side) & (F.greatest(w, h) <= 3 * F.least(w, h))
-    return groups.where((F.col("overlap") >= 0.2) | compact | (F.max("overlap").over(Window.partitionBy("floor")) == 0))
+    known = groups.withColumn("_most", F.max("overlap").over(Window.partitionBy("floor")))
+    return known.where((F.col("overlap") >= 0.2) | compact | (F.col("_most") == 0)).drop("_most")
 
 
 def blended(tiles: DataFrame, tile: int = 512) -> DataFrame:
