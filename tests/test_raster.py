@@ -122,3 +122,16 @@ def test_drawings():
     assert out["walls"][10, 12] and not out["walls"][10, 25] and out["thin"].any() and page["labels"][0][0] == "Escala 1:100"
     assert abs(out["vector_scale"] - 1000 / 25.4 * 72 / 100) < 1e-9
     assert len(drawings.path_points("M0,0 C0,10 10,10 10,0")[0]) == 13
+
+
+def test_dilation_in_packed_rows_against_plain_shifts():
+    rng = np.random.default_rng(3)
+    for h, w in ((1, 1), (5, 7), (40, 63), (33, 130)):
+        m = rng.random((h, w)) < 0.1
+        offsets = [(int(a), int(b)) for a, b in rng.integers(-45, 46, (30, 2))] + bm.line(41, 30) + bm.disc(5)
+        want = np.zeros_like(m)
+        for y, x in zip(*np.nonzero(m)):
+            for dy, dx in offsets:
+                if 0 <= y + dy < h and 0 <= x + dx < w:
+                    want[y + dy, x + dx] = True
+        assert (bm.dilate(m, offsets) == want).all()
