@@ -55,15 +55,14 @@ SEEN = 400_000
 
 _JUNK = re.compile(r"[\W\d_]+")
 _SPELT = re.compile(r"(?:\s\w[^\w\s]?){3,}(?=\s|$)")
-_END = (".", "!", "?")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def _codes(words: list[str], wide: int = WIDE) -> np.ndarray:
     """Letters as numbers, one column a word; 0 behind the end."""
-    out = np.zeros((wide, len(words)), np.int64)
-    for k, w in enumerate(words):
-        out[: len(w), k] = [ord(c) for c in w]
-    return out
+    if not words:
+        return np.zeros((wide, 0), np.int64)
+    return np.array(words, f"<U{wide}").view(np.uint32).reshape(len(words), wide).T.astype(np.int64)
 
 
 def _ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,14 +129,14 @@ class Landmarks:
 
     def _near(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of word and landmark that have all letters of the landmark but one in its order, wherever they stand."""
-        letters = self._letters(codes)
+        letters, which = self._letters(codes), self.index[codes]
         ws, ms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, size in enumerate(self.size):
             near = np.flatnonzero((np.bitwise_count(letters & self.letters[k]) + 1 >= self.distinct[k]) & (lengths >= max(ORDER, size - 1)))
             if not len(near):
                 continue
             open_ = np.full(len(near), 0xFFFFFFFF, np.uint32)  # common subsequence by bits
-            for row in self.index[codes[:, near]]:
+            for row in which[:, near]:
                 hit = open_ & self.bits[k][row]
                 open_ = (open_ + hit) | (open_ - hit)
             common = np.bitwise_count(~open_ & np.uint32((1 << int(size)) - 1))
@@ -149,9 +148,9 @@ class Landmarks:
     def _best(self, codes: np.ndarray, w: np.ndarray, m: np.ndarray) -> np.ndarray:
         """The best over all spans of each word. It begins with a letter of the landmark: others before it only add to the span's own kernel."""
         best = np.zeros(len(w))
-        known = self.bits > 0
+        known, place = self.bits > 0, self.index[codes]
         for start in range(len(codes) - ORDER + 1):
-            on = np.flatnonzero(known[m, self.index[codes[start, w]]] & (codes[start + ORDER - 1, w] > 0))
+            on = np.flatnonzero(known[m, place[start, w]] & (codes[start + ORDER - 1, w] > 0))
             if not len(on):
                 continue
             raw = _ends(codes[start:, w[on]], self.codes[:, m[on]]).sum(1).cumsum(0)
@@ -194,18 +193,17 @@ class Reader:
                 row = self.hot.setdefault(pairs[x][0], {})
                 row[y] = max(row.get(y, 0.0), z)
 
-    def sentences(self, text: str, lines: list[list[str]]) -> list[dict[int, float]]:
+    def sentences(self, text: str, spelt: list[str]) -> list[dict[int, float]]:
         out: list[dict[int, float]] = []
-        for tokens in lines:
+        for tokens in [*map(str.split, _SENTENCE.split(text)), *([x] for x in spelt)]:
+            if self.hot.keys().isdisjoint(tokens):
+                continue
             now: dict[int, float] = {}
             for token in tokens:
-                for m, v in self.hot.get(token, {}).items():
-                    now[m] = now.get(m, 0.0) + v
-                if token.endswith(_END) and now:
-                    out.append(now)
-                    now = {}
-            if now:
-                out.append(now)
+                if token in self.hot:
+                    for m, v in self.hot[token].items():
+                        now[m] = now.get(m, 0.0) + v
+            out.append(now)
         return out
 
     def read(self, texts: list[str]) -> list[list[dict[int, float]]]:
@@ -219,7 +217,7 @@ class Reader:
             if self.hot.keys().isdisjoint(words):
                 out.append([])
                 continue
-            out.append(self.sentences(t, [line.split() for line in t.split("\n")] + [[x] for x in s]))
+            out.append(self.sentences(t, s))
         return out
 
 
