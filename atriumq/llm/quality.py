@@ -10,6 +10,8 @@ of any length is judged whole; repeated rows give repeated results; other column
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ from .common import SPACE, let
 SYMBOLS = "#*$%&|<>"
 #: A line of running text ends with one of these.
 FINAL = r"[.!?:;…\"'”’)\]»][\x20\x09-\x0D]*$"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|cookie policy|we use cookies|accept cookies|privacy policy|terms of (use|service)|"
-    r"enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here|read more|"
-    r"lorem ipsum|skip to (main )?content|back to top|powered by|share on (facebook|twitter)|"
-    r"alle rechte vorbehalten|datenschutzerkl|cookie-richtlinie|wir verwenden cookies|mehr lesen|weiterlesen|hier klicken|nach oben|"
-    r"todos los derechos reservados|aviso legal|usamos cookies|aceptar (las )?cookies|haga clic|seguir leyendo|volver arriba|"
-    r"tous droits r|mentions l[eéÉ]gales|nous utilisons des cookies|accepter les cookies|cliquez ici|lire la suite|en savoir plus|haut de page)"
-)
+#: (beginning, pattern) of what lines of a page's furniture say.
+PHRASES = [
+    ("all rights reserved", ""), ("cookie policy", ""), ("we use cookies", ""), ("accept cookies", ""), ("privacy policy", ""), ("terms of ", "(use|service)"),
+    ("enable javascript", ""), ("javascript is ", "(disabled|required)"), ("subscribe to our", ""), ("sign up for our", ""), ("click here", ""), ("read more", ""),
+    ("lorem ipsum", ""), ("skip to ", "(main )?content"), ("back to top", ""), ("powered by", ""), ("share on ", "(facebook|twitter)"),
+    ("alle rechte vorbehalten", ""), ("datenschutzerkl", ""), ("cookie-richtlinie", ""), ("wir verwenden cookies", ""), ("mehr lesen", ""), ("weiterlesen", ""), ("hier klicken", ""), ("nach oben", ""),
+    ("todos los derechos reservados", ""), ("aviso legal", ""), ("usamos cookies", ""), ("aceptar ", "(las )?cookies"), ("haga clic", ""), ("seguir leyendo", ""), ("volver arriba", ""),
+    ("tous droits r", ""), ("mentions l", "[eéÉ]gales"), ("nous utilisons des cookies", ""), ("accepter les cookies", ""), ("cliquez ici", ""), ("lire la suite", ""), ("en savoir plus", ""), ("haut de page", ""),
+]
+BOILERPLATE = "(?i)(" + "|".join(a + b for a, b in PHRASES) + ")"
 MIN_WORDS = 50
 
 
@@ -78,8 +82,13 @@ def n_repeat_words(words: Column) -> Column:
     return let(words, counted)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is no running text; a boolean, never null for a line that is not null."""
+def has_phrases(text: Column) -> Column:
+    """Whether a text holds the beginning of a phrase of BOILERPLATE, so that its lines are worth a look."""
+    return let(F.lower(text), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(a)) for a, _ in PHRASES]))
+
+
+def line_fails(line: Column, phrases: Column) -> Column:
+    """Whether a line is no running text; a boolean, never null for a line that is not null. ``phrases``: has_phrases() of its text."""
     # What is between is replaced, not what is counted: far fewer matches. All signs are gathered in one pass.
     signs = F.regexp_replace(line, f"[^{SYMBOLS}»!]+", "")
     caps = F.length(F.regexp_replace(line, r"[^A-Z\x{00C0}-\x{00DE}]+", ""))
@@ -91,7 +100,7 @@ def line_fails(line: Column) -> Column:
             (_count(marks, SYMBOLS) * 4 > n)  # symbols instead of punctuation
             | ((n > 8) & ~line.rlike(FINAL))  # a long line that does not end
             | (_count(marks, "|>»") * 6 > n + 3)  # separators of a navigation bar
-            | line.rlike(BOILERPLATE)
+            | (phrases & line.rlike(BOILERPLATE))
             | (_count(marks, "!") * 3 > n + 3)
             | ((n > 2) & (caps * 2 > letters))  # shouting
             | ((F.size(F.array_distinct(words)) * 3 < n) & (n > 8))  # a few words over and over
@@ -111,10 +120,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     spaceless = F.length(F.regexp_replace("text", f"[{SPACE}]+", ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     judged = let(
-        lines,
-        lambda found: F.struct(
-            (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
-            F.filter(found, lambda x: ~line_fails(x)).alias("good"),
+        has_phrases(F.col("text")),
+        lambda phrases: let(
+            lines,
+            lambda found: F.struct(
+                (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
+                F.filter(found, lambda x: ~line_fails(x, phrases)).alias("good"),
+            ),
         ),
     )
     counted = let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).cast("long").alias("n_repeat_words")))
