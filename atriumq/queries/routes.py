@@ -289,6 +289,9 @@ ORACLES = {
     "G16_components": duck(f"WITH {_HIT}, oe AS (SELECT * FROM fx_edge e WHERE from_node % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.floor=e.floor AND h.from_node=e.from_node AND h.to_node=e.to_node)), both_ways AS (SELECT floor, from_node AS n, to_node AS o FROM oe UNION SELECT floor, to_node, from_node FROM oe), {_COMP} SELECT floor, node, component FROM lab", "fx_edge", "fx_wall", recursive=True),
     "G18_reachable_nodes": duck(f"WITH oe AS (SELECT * FROM fx_edge WHERE from_node % 4 <> 0 AND to_node % 3 <> 0), both_ways AS (SELECT floor, from_node AS n, to_node AS o FROM oe UNION SELECT floor, to_node, from_node FROM oe), {_COMP} SELECT floor, node FROM lab l WHERE EXISTS (SELECT 1 FROM fx_node n JOIN lab m ON m.floor=n.floor AND m.node=n.node WHERE n.kind='entrance' AND n.floor=l.floor AND m.component=l.component)", "fx_edge", recursive=True),
     "M13_graph_report": duck(f"WITH {_REP} SELECT * FROM iss", *_REP_V, recursive=True),
+    "A13_graph_metrics": duck(f"""WITH {_REP}, v AS (SELECT floor, 'nodes' AS name, count(*) AS n FROM fx_node GROUP BY 1 UNION ALL SELECT floor, 'edges', count(*) FROM ee0 GROUP BY 1 UNION ALL SELECT floor, 'entrances', count(*) FROM fx_node WHERE kind = 'entrance' GROUP BY 1
+ UNION ALL SELECT floor, 'components', count(DISTINCT component) FROM lab GROUP BY 1 UNION ALL SELECT floor, CASE code WHEN 'edge-crosses-wall' THEN 'edges_crossing_walls' WHEN 'room-unreachable' THEN 'rooms_unreachable_from_entrance' WHEN 'space-without-access' THEN 'spaces_without_node' WHEN 'collinear-waypoint' THEN 'collinear_waypoints' END, count(*) FROM iss GROUP BY 1, 2)
+SELECT f.floor, m.name, coalesce(v.n, 0)::DOUBLE AS value FROM fx_floor f CROSS JOIN (VALUES ('nodes'), ('edges'), ('entrances'), ('components'), ('edges_crossing_walls'), ('rooms_unreachable_from_entrance'), ('spaces_without_node'), ('collinear_waypoints')) m(name) LEFT JOIN v ON v.floor = f.floor AND v.name = m.name""", *_REP_V, recursive=True),
     "M14_report_status": duck(f"WITH {_REP}, i AS (SELECT * FROM iss WHERE floor % 3 = 0 OR severity <> 'error') SELECT f.floor, CASE WHEN coalesce(e, 0) > 0 THEN 'errors' WHEN coalesce(w, 0) > 0 THEN 'warnings' ELSE 'ok' END AS status, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings FROM fx_floor f LEFT JOIN (SELECT floor, count(*) FILTER (severity='error') AS e, count(*) FILTER (severity='warning') AS w FROM i GROUP BY 1) g ON g.floor=f.floor", *_REP_V, recursive=True),
     "M01_spatial_rules": duck("""WITH n AS (SELECT floor, node, label FROM fx_node UNION ALL SELECT floor, node, label FROM fx_node WHERE node % 97 = 0)
 SELECT floor, 'wall-length' AS rule, wall::VARCHAR AS subject FROM fx_wall WHERE wall % 13 = 0 OR sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)) < 1
