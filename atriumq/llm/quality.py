@@ -29,6 +29,11 @@ PHRASES = [
     ("todos los derechos reservados", ""), ("aviso legal", ""), ("usamos cookies", ""), ("aceptar ", "(las )?cookies"), ("haga clic", ""), ("seguir leyendo", ""), ("volver arriba", ""),
     ("tous droits r", ""), ("mentions l", "[eéÉ]gales"), ("nous utilisons des cookies", ""), ("accepter les cookies", ""), ("cliquez ici", ""), ("lire la suite", ""), ("en savoir plus", ""), ("haut de page", ""),
 ]
+#: What every phrase holds one of: few enough to look for in whole texts.
+STEMS = [
+    "cookie", "javascript", "reserv", "policy", "terms of ", "subscribe", "sign up", "clic", "read more", "lorem", "skip to ", "back to top", "powered by", "share on ",
+    "vorbehalten", "datenschutz", "lesen", "klick", "nach oben", "aviso legal", "leyendo", "volver arriba", "tous droits", "mentions l", "cliquez", "lire la suite", "en savoir", "haut de page",
+]
 BOILERPLATE = "(?i)(" + "|".join(a + b for a, b in PHRASES) + ")"
 MIN_WORDS = 50
 
@@ -83,8 +88,8 @@ def n_repeat_words(words: Column) -> Column:
 
 
 def has_phrases(text: Column) -> Column:
-    """Whether a text holds the beginning of a phrase of BOILERPLATE, so that its lines are worth a look."""
-    return let(F.lower(text), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(a)) for a, _ in PHRASES]))
+    """Whether a text holds a stem of the phrases of BOILERPLATE, so that its lines are worth a look."""
+    return let(F.lower(text), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(stem)) for stem in STEMS]))
 
 
 def line_fails(line: Column, phrases: Column) -> Column:

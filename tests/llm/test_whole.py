@@ -30,6 +30,11 @@ def test_op9_judges_every_shouting_and_boilerplate_line(spark):
     assert {r["doc_id"]: r["n_kept_words"] for r in (dict(zip(names, x)) for x in con.fetchall())} == got
 
 
+def test_op9_every_phrase_holds_a_stem():
+    # Also what follows a beginning may hold it: "aceptar (las )?cookies".
+    assert all(any(stem in a or stem in b for stem in quality.STEMS) for a, b in quality.PHRASES)
+
+
 def test_op5_returns_the_ids_of_the_agenda():
     right = pieces.agenda(pieces.model_path())
 
