@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, licenses, minhash, mixing, pieces, quality, suffix, toxicity
+from . import ann, chat, langid, licenses, minhash, mixing, negatives, pieces, quality, suffix, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_minhash": minhash.op10_minhash,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.ORACLE,
         "op9_quality_rules": quality.ORACLE,
+        "op11_hard_negatives": negatives.ORACLE,
     }
