@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, licenses, minhash, mixing, negatives, pieces, quality, suffix, toxicity
+from . import align, ann, chat, langid, leaks, licenses, minhash, mixing, negatives, pieces, quality, suffix, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_minhash": minhash.op10_minhash,
         "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_secret_scan": leaks.op12_secret_scan,
+        "op13_token_alignment": align.op13_token_alignment,
     }
 
 
