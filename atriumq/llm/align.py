@@ -6,11 +6,11 @@ A segment's tokens are then the same in every text. All distinct segments of the
 aligned once, in one table; alignments go back to the texts by join, and a text's groups, links and
 pairs are those of its segments, one after another.
 
-How the join back is dealt: a segment that makes up a HOT-th of all occurrences or more is one of at
-most HOT, so these go to the tasks by broadcast; every other one is rare, so its rows spread evenly over
-a shuffle by segment. Equal texts are composed once and stand for all their rows. Texts are dealt in
-packs with the rare segments that they hold, one row for a pack and a segment. The same bound splits the
-counts of id pairs: at most HOT of them are broadcast, the rest meet by shuffle.
+How the join back is dealt: the most frequent segments, HOT at most, go to the tasks by broadcast; every
+other one is rare, so its rows spread evenly over a shuffle by segment. Equal texts are composed once and
+stand for all their rows. Texts are dealt in packs, once, with the rare segments that they hold, one row
+for a pack and a segment. An alignment travels as the text of its groups, which holds all the rest. Counts of
+id pairs are split alike: HOT of them at most are broadcast, the rest meet by shuffle.
 
 Defined results: null and empty texts, and texts whose joined tokens of either side are not the text
 behind a blank, have no tokens (zeros and empty groups) and hold no links; special tokens' strings are plain
@@ -24,6 +24,7 @@ import functools
 import hashlib
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,15 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import frugal, pieces, table, written
 
-#: Segments, and id pairs, that are broadcast: those with a HOT-th of all occurrences or more, HOT at most.
-HOT = 65_536
+#: Segments, and id pairs, that are broadcast, at most.
+HOT = 262_144
 #: Bytes of a broadcast segment, at most; longer ones are dealt as rare.
 HOT_BYTES = 64
 #: Text bytes of a pack, about.
 PACK_BYTES = 4 << 20
 #: Distinct segments that a task counts before it hands them on.
 COUNTED = 400_000
-_ALIGNED = "segment string, n_a int, n_b int, n_groups int, n_links long, groups string, pairs array<long>, times array<int>"
 _BLANK = "▁"
 
 
@@ -97,34 +97,35 @@ class Two:
         found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         return [([self.blank] if s == " " else ids) if s[0] == " " else ids[1:] for s, ids in zip(segments, found)]
 
-    def align(self, segments: list[str]) -> Iterator[tuple]:
-        """(segment, n_a, n_b, n_groups, n_links, groups, pairs, times); n_a is -1 where the tokens are not the segment."""
+    def align(self, segments: list[str]) -> list[str]:
+        """The groups of every segment as text, empty where the tokens of a side are not the segment."""
+        out = []
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
         for seg, a, b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.b_ids(segments)):
             a, raw = a.ids, seg.encode()
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(x) != raw or b"".join(y) != raw:
-                yield seg, -1, 0, 0, 0, "", [], []
-                continue
-            yield (seg, len(a), len(b), *grouped(a, b, np.cumsum([len(t) for t in x]), np.cumsum([len(t) for t in y])))
-
-
-def grouped(a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, int, str, list[int], list[int]]:
-    """(groups, links, text of groups, pairs as a << 32 | b, times each) of two token rows over the same bytes."""
-    _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-    said, pairs, links, i, j = [], Counter(), 0, 0, 0
-    for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-        left, right = a[i:p], b[j:q]
-        said.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-        links += len(left) * len(right)
-        if len(left) == 1 or len(right) == 1:
-            pairs.update(x << 32 | y for x in left for y in right)
+            x, y = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
+            out.append(grouped(a, b, list(map(len, x)), list(map(len, y))) if b"".join(x) == raw == b"".join(y) else "")
+        return out
+
+
+def grouped(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> str:
+    """Groups of two token rows over the same bytes, as ``a1,a2|b1;a3|b2,b3``."""
+    said, last = [], len(a) - 1
+    i = j = i0 = j0 = 0
+    x, y = a_sizes[0], b_sizes[0]
+    while True:
+        if x < y:
+            i += 1
+            x += a_sizes[i]
+        elif y < x:
+            j += 1
+            y += b_sizes[j]
         else:
-            many = Counter(right)
-            for x, n in Counter(left).items():
-                for y, m in many.items():
-                    pairs[x << 32 | y] += n * m
-        i, j = p, q
-    return len(said), links, ";".join(said), list(pairs), list(pairs.values())
+            said.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
+            if i == last:
+                return ";".join(said)
+            i, j = i + 1, j + 1
+            i0, j0, x, y = i, j, a_sizes[i], b_sizes[j]
 
 
 @functools.lru_cache(2)
@@ -132,34 +133,47 @@ def two(a_path: str, b_path: str) -> Two:
     return Two(a_path, b_path)
 
 
-def _aligned_batch(rows: list[tuple]) -> pa.RecordBatch:
-    shape = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    names = [c.split()[0] for c in _ALIGNED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), shape)], names)
-
-
 class Aligned:
-    """A table of alignments by segment, with statistics as arrays."""
-
-    def __init__(self, *tables: pa.Table | pa.RecordBatch):
-        segments, stats, pairs, times, counts, self.groups = [], [], [], [], [], []
-        for t in tables:
-            if not t.num_rows:
+    """Alignments by segment, with statistics and pairs as arrays."""
+
+    def __init__(self, segments: list[str], groups: list[str]):
+        self.index, self.groups = {s: k for k, s in enumerate(segments)}, groups
+        stats, pairs, times, counts = [], [], [], []
+        for said in groups:
+            if not said:
+                stats.append((-1, 0, 0, 0))
+                counts.append(0)
                 continue
-            segments += t.column("segment").to_pylist()
-            self.groups += t.column("groups").to_pylist()
-            stats.append(np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")], axis=1))
-            for c in (t.column("pairs"), t.column("times")):
-                c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-                (pairs if pa.types.is_int64(c.type.value_type) else times).append(c.flatten().to_numpy())
-                if pa.types.is_int64(c.type.value_type):
-                    counts.append(np.diff(c.offsets.to_numpy()))
-        self.index = {s: k for k, s in enumerate(segments)}
-        self.stats = np.concatenate([*stats, np.zeros((0, 4), np.int64)])
-        self.pairs, self.times = np.concatenate([*pairs, np.zeros(0, np.int64)]), np.concatenate([*times, np.zeros(0, np.int32)])
-        self.counts = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
+            n_a = n_b = links = 0
+            had, parts = len(pairs), said.split(";")
+            for part in parts:
+                left, _, right = part.partition("|")
+                left, right = [int(x) << 32 for x in left.split(",")], [int(x) for x in right.split(",")]
+                n_a, n_b, links = n_a + len(left), n_b + len(right), links + len(left) * len(right)
+                if len(left) * len(right) <= 64:
+                    pairs += [x | y for x in left for y in right]
+                else:  # ids that repeat count once, with how often they meet
+                    many = Counter(right)
+                    for x, n in Counter(left).items():
+                        for y, m in many.items():
+                            times.append((len(pairs), n * m))
+                            pairs.append(x | y)
+            stats.append((n_a, n_b, len(parts), links))
+            counts.append(len(pairs) - had)
+        self.stats, self.pairs, self.counts = np.array(stats, np.int64).reshape(-1, 4), np.array(pairs, np.int64), np.array(counts, np.int64)
+        self.times = np.ones(len(pairs), np.int64)
+        for k, n in times:
+            self.times[k] = n
         self.begins = np.cumsum(self.counts) - self.counts
 
+    def and_(self, more: Aligned) -> Aligned:
+        """These and others."""
+        out, n = object.__new__(Aligned), len(self.groups)
+        out.index, out.groups = self.index | {s: k + n for s, k in more.index.items()}, self.groups + more.groups
+        out.stats, out.pairs, out.times, out.counts = (np.concatenate([getattr(self, c), getattr(more, c)]) for c in ("stats", "pairs", "times", "counts"))
+        out.begins = np.cumsum(out.counts) - out.counts
+        return out
+
     def compose(self, segments: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links), the digest of the groups, distinct pairs and times of one text."""
         at = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
@@ -175,6 +189,34 @@ class Aligned:
         return stats.sum(0).tolist(), digest, pairs, times
 
 
+#: What this worker has made of the broadcast alignments.
+_KNOWN: dict[str, Aligned] = {}
+
+
+def _known(token: str, hot) -> Aligned:
+    """The broadcast alignments, read once in a worker."""
+    if token not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[token] = Aligned(*hot.value)
+    return _KNOWN[token]
+
+
+def _level(n: str):
+    """Step of a count on a scale of sixteenths of powers of two."""
+    return F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+
+
+def _least_level(rows: DataFrame, most: int) -> int:
+    """The lowest level from which on there are at most ``most`` rows; a level is one of about a thousand."""
+    total, least = 0, 1 << 30
+    for r in sorted(rows.where("level >= 0").groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return least
+
+
 def align_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark = docs.sparkSession
@@ -201,75 +243,85 @@ def align_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None =
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = two(a_path, b_path)
         for batch in pieces(batches, "segment", 1 << 17):
-            yield _aligned_batch(list(both.align(batch.column("segment").to_pylist())))
-
-    segments = written(told.mapInArrow(frugal(counted), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n")), "segments")
-    sums = segments.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.octet_length("segment")).alias("size")).first()
-    n_all, size = sums["n"] or 0, sums["size"] or 0
-    often = (F.col("n") * HOT >= n_all) & (F.octet_length("segment") <= HOT_BYTES)
-    table_ = written(segments.select("segment", often.alias("hot")).repartition("segment").where("hot").select("segment").mapInArrow(frugal(aligned), _ALIGNED), "aligned_hot")
-    rare = written(segments.where(~often).select("segment").repartition("segment").mapInArrow(frugal(aligned), _ALIGNED), "aligned_rare")
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(both.align(batch.column("segment").to_pylist()), pa.string())], ["segment", "groups"])
+
+    segments = told.mapInArrow(frugal(counted), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    segments = written(segments.withColumn("level", F.when(F.octet_length("segment") <= HOT_BYTES, _level("n")).otherwise(-1)), "segments")
+    size = segments.agg(F.sum(F.col("n") * F.octet_length("segment"))).first()[0] or 0
+    made = written(segments.select("segment", "level").repartition("segment").mapInArrow(frugal(aligned), "segment string, groups string"), "alignments")
+    hot_names = segments.where(F.col("level") >= _least_level(segments, HOT)).select("segment")
     # HOT rows of HOT_BYTES bytes at most.
-    hot_table = table_.toArrow().combine_chunks()
-    hot = spark.sparkContext.broadcast(_bytes_of(hot_table))
+    hot = spark.sparkContext.broadcast([c.to_pylist() for c in made.join(F.broadcast(hot_names), "segment").toArrow().columns])
     n_packs = max(1, -(-size // PACK_BYTES))
     pack = F.pmod(F.xxhash64("key"), F.lit(n_packs)).alias("pack")
+    token = uuid.uuid4().hex
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = two(a_path, b_path).split, frozenset(_table_of(hot.value).column("segment").to_pylist())
+        split, common = two(a_path, b_path).split, _known(token, hot).index
         for batch in pieces(batches, "t"):
-            found = {(p, s) for t, p in zip(batch.column("t").to_pylist(), batch.column("pack").to_pylist()) for s in set(split(" " + t)).difference(known)}
+            found = {(p, s) for t, p in zip(batch.column("t").to_pylist(), batch.column("pack").to_pylist()) for s in set(split(" " + t)).difference(common)}
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string())], ["pack", "segment"])
 
-    keyed = told.select(key.alias("key"), "t")
-    wanted = keyed.select("t", pack).mapInArrow(frugal(missing), "pack long, segment string").distinct()
-    brought = wanted.join(rare, "segment")
-    texts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("t").alias("t")).select(pack, "key", "copies", "t")
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text where a task first meets it, and at the end how often more it came: copies do not travel."""
+        seen: dict[tuple[int, bytes], int] = {}
+        names = ["pack", "key", "copies", "t"]
+        for batch in batches:
+            ids = list(zip(batch.column("pack").to_pylist(), batch.column("key").to_pylist()))
+            new = []
+            for k, x in enumerate(ids):
+                if x not in seen:
+                    new.append(k)
+                seen[x] = seen.get(x, 0) + 1
+            some = batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("pack"), some.column("key"), pa.array([1] * len(new), pa.int64()), some.column("t")], names)
+        more = [(*x, n - 1) for x, n in seen.items() if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in more], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64()))] + [pa.nulls(len(more), pa.string())], names)
+
+    keyed = told.select(key.alias("key"), "t").select(pack, "key", "t")
+    wanted = keyed.select("t", "pack").mapInArrow(frugal(missing), "pack long, segment string")
+    brought = wanted.join(made, "segment").dropDuplicates(["segment", "pack"])
+    texts = keyed.mapInArrow(frugal(once), "pack long, key binary, copies long, t string")
 
     def composed(group: tuple, some: pa.Table, more: pa.Table) -> pa.Table:
-        split, known = two(a_path, b_path).split, Aligned(_table_of(hot.value), more)
+        split, rest = two(a_path, b_path).split, Aligned(more.column("segment").to_pylist(), more.column("groups").to_pylist()) if more.num_rows else Aligned([], [])
+        both = _known(token, hot).and_(rest)
+        texts, copies = {}, Counter()
+        for k, n, t in zip(some.column("key").to_pylist(), some.column("copies").to_pylist(), some.column("t").to_pylist()):
+            copies[k] += n
+            if t is not None:
+                texts[k] = t
         stats, digests, pairs, times = [], [], [], []
-        for t in some.column("t").to_pylist():
-            for to, x in zip((stats, digests, pairs, times), known.compose(split(" " + t))):
+        for t in texts.values():
+            for to, x in zip((stats, digests, pairs, times), both.compose(split(" " + t))):
                 to.append(x)
         n = np.array(stats, np.int64).reshape(-1, 4)
         ends = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
         flat = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*x, np.zeros(0, np.int64)])))
-        return pa.table({"key": some.column("key"), "copies": some.column("copies"), **{c: pa.array(n[:, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "groups_sha256": pa.array(digests, pa.string()), "pairs": flat(pairs), "times": flat(times)})
+        keys = list(texts)
+        counts = {c: pa.array(n[:, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+        return pa.table({"key": pa.array(keys, pa.binary()), "copies": pa.array([copies[k] for k in keys], pa.int64()), **counts, "groups_sha256": pa.array(digests, pa.string()), "pairs": flat(pairs), "times": flat(times)})
 
     shape = "key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
-    made = written(texts.groupBy("pack").cogroup(brought.groupBy("pack")).applyInArrow(composed, shape), "composed")
+    done = written(texts.groupBy("pack").cogroup(brought.groupBy("pack")).applyInArrow(composed, shape), "composed")
 
-    held = made.select("key", "copies", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("key", "copies", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    counts = held.groupBy("pair").agg(F.sum("copies").alias("n"))
+    held = done.select("key", "copies", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("key", "copies", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     a_id = F.shiftright("pair", 32)
-    counts = written(counts, "pairs")
+    counts = written(held.groupBy("pair").agg(F.sum("copies").alias("n")), "pairs")
     # One row for an id of A: the vocabulary bounds it.
     most = F.broadcast(counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("most")))
-    counts = counts.join(most, a_id == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    common = F.broadcast(counts.where(F.col("n") * HOT >= total))
-    uncommon = counts.where(F.col("n") * HOT < total)
+    least = _least_level(counts.select(_level("n").alias("level")), HOT)
+    counts = counts.join(most, a_id == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"), _level("n").alias("level"))
+    common, uncommon = F.broadcast(counts.where(F.col("level") >= least)), counts.where(F.col("level") < least)
     summed = lambda x: x.groupBy("key").agg(F.sum(F.col("times") * F.col("n")).alias("count_sum"), F.sum(F.col("times") * F.col("best")).alias("n_best"))
     links = held.select("key", "pair", "times")
     parts = summed(links.join(common, "pair")).unionByName(summed(links.join(common.select("pair"), "pair", "left_anti").join(uncommon, "pair")))
     parts = parts.groupBy("key").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    result = made.drop("pairs", "times", "copies").join(parts, "key", "left")
+    result = done.drop("pairs", "times", "copies").join(parts, "key", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     out = rows.select("doc_id", F.when(F.col("t") != "", key).alias("key")).join(result, "key", "left")
     return out.select("doc_id", *(zero(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
 
 
-def _bytes_of(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema) as out:
-        out.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def _table_of(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(raw).read_all().combine_chunks()
-
-
 def op13_token_alignment(spark, sf_dir: str) -> DataFrame:
     return align_texts(table(spark, sf_dir, "documents"))

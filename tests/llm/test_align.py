@@ -61,7 +61,7 @@ def test_cuts_are_checked_against_both_vocabularies():
     assert all("".join(both.split(" " + t)) == " " + t for t in ODD if t)
 
 
-@pytest.mark.parametrize("hot", [align.HOT, 30, 1])
+@pytest.mark.parametrize("hot", [align.HOT, 30, 0])
 def test_odd_texts(spark, monkeypatch, hot):
     monkeypatch.setattr(align, "HOT", hot)
     monkeypatch.setattr(align, "PACK_BYTES", 3000)
