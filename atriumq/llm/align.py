@@ -78,7 +78,18 @@ class Two:
         self.cuts = self._cuts(normal)
         w = "".join(map(re.escape, self.cuts))
         #: A run of white space with what follows it, up to the next run that begins with a character of ``cuts``.
-        self.split = re.compile(rf"\s*\S+(?:[^\S{w}]\s*\S*)*|\s+").findall if w else re.compile(r"(?s).+").findall
+        self._split = re.compile(rf"\s*\S+(?:[^\S{w}]\s*\S*)*|\s+").findall if w else re.compile(r"(?s).+").findall
+        #: Texts in which some run of white space is longer than one character, or begins with another one.
+        self._odd = re.compile(rf"\s\s|[^\S{w}]| \Z").search if w else re.compile("").search
+
+    def split(self, text: str) -> list[str]:
+        """Names of the segments of a blank and the text: a segment of a blank and a word goes by the word, others by themselves."""
+        text = " " + text
+        if self._odd(text):
+            return [s[1:] if s[0] == " " and len(s) > 1 and not s[1].isspace() else s for s in self._split(text)]
+        for c in self.cuts[1:]:
+            text = text.replace(c, " " + c)
+        return text[1:].split(" ")
 
     def _cuts(self, normal: list[str]) -> str:
         """White space before which both vocabularies end: no entry holds it behind another character than white space."""
@@ -98,8 +109,8 @@ class Two:
         return [([self.blank] if s == " " else ids) if s[0] == " " else ids[1:] for s, ids in zip(segments, found)]
 
     def align(self, segments: list[str]) -> list[str]:
-        """The groups of every segment as text, empty where the tokens of a side are not the segment."""
-        out = []
+        """The groups of every segment, given by name, as text; empty where the tokens of a side are not the segment."""
+        out, segments = [], [s if s[0].isspace() else " " + s for s in segments]
         a_bytes, b_bytes = self.a_bytes, self.b_bytes
         for seg, a, b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.b_ids(segments)):
             a, raw = a.ids, seg.encode()
@@ -164,29 +175,32 @@ class Aligned:
         self.times = np.ones(len(pairs), np.int64)
         for k, n in times:
             self.times[k] = n
-        self.begins = np.cumsum(self.counts) - self.counts
 
-    def and_(self, more: Aligned) -> Aligned:
-        """These and others."""
-        out, n = object.__new__(Aligned), len(self.groups)
-        out.index, out.groups = self.index | {s: k + n for s, k in more.index.items()}, self.groups + more.groups
-        out.stats, out.pairs, out.times, out.counts = (np.concatenate([getattr(self, c), getattr(more, c)]) for c in ("stats", "pairs", "times", "counts"))
-        out.begins = np.cumsum(out.counts) - out.counts
-        return out
+
+class Composer:
+    """Texts from broadcast alignments and a pack's own."""
+
+    def __init__(self, known: Aligned, more: Aligned):
+        self.known, self.more, self.n = known.index, more.index, len(known.groups)
+        self.groups = known.groups + more.groups
+        self.stats, self.pairs, self.times, self.counts = (np.concatenate([getattr(known, c), getattr(more, c)]) for c in ("stats", "pairs", "times", "counts"))
+        self.begins = np.cumsum(self.counts) - self.counts
 
     def compose(self, segments: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links), the digest of the groups, distinct pairs and times of one text."""
-        at = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
-        stats = self.stats[at]
+        at = list(map(self.known.get, segments))
+        if None in at:
+            at = [k if k is not None else self.n + self.more[s] for k, s in zip(at, segments)]
+        distinct, often = np.unique(np.array(at, np.int64), return_counts=True)
+        stats = self.stats[distinct]
         if (stats[:, 0] < 0).any():
             return [0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        digest = hashlib.sha256(";".join(map(self.groups.__getitem__, at.tolist())).encode()).hexdigest()
-        distinct, often = np.unique(at, return_counts=True)
+        digest = hashlib.sha256(";".join(map(self.groups.__getitem__, at)).encode()).hexdigest()
         n = self.counts[distinct]
         within = np.repeat(self.begins[distinct] - np.cumsum(n) + n, n) + np.arange(n.sum())
         pairs, back = np.unique(self.pairs[within], return_inverse=True)
         times = np.bincount(back, weights=self.times[within] * np.repeat(often, n), minlength=len(pairs)).astype(np.int64)
-        return stats.sum(0).tolist(), digest, pairs, times
+        return (often @ stats).tolist(), digest, pairs, times
 
 
 #: What this worker has made of the broadcast alignments.
@@ -235,7 +249,7 @@ def align_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None =
 
         for batch in pieces(batches, "t"):
             for t in batch.column("t").to_pylist():
-                seen.update(split(" " + t))
+                seen.update(split(t))
             if len(seen) > COUNTED:
                 yield out()
         yield out()
@@ -259,7 +273,7 @@ def align_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None =
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, common = two(a_path, b_path).split, _known(token, hot).index
         for batch in pieces(batches, "t"):
-            found = {(p, s) for t, p in zip(batch.column("t").to_pylist(), batch.column("pack").to_pylist()) for s in set(split(" " + t)).difference(common)}
+            found = {(p, s) for t, p in zip(batch.column("t").to_pylist(), batch.column("pack").to_pylist()) for s in set(split(t)).difference(common)}
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string())], ["pack", "segment"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +299,7 @@ def align_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None =
 
     def composed(group: tuple, some: pa.Table, more: pa.Table) -> pa.Table:
         split, rest = two(a_path, b_path).split, Aligned(more.column("segment").to_pylist(), more.column("groups").to_pylist()) if more.num_rows else Aligned([], [])
-        both = _known(token, hot).and_(rest)
+        both = Composer(_known(token, hot), rest)
         texts, copies = {}, Counter()
         for k, n, t in zip(some.column("key").to_pylist(), some.column("copies").to_pylist(), some.column("t").to_pylist()):
             copies[k] += n
@@ -293,7 +307,7 @@ def align_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None =
                 texts[k] = t
         stats, digests, pairs, times = [], [], [], []
         for t in texts.values():
-            for to, x in zip((stats, digests, pairs, times), both.compose(split(" " + t))):
+            for to, x in zip((stats, digests, pairs, times), both.compose(split(t))):
                 to.append(x)
         n = np.array(stats, np.int64).reshape(-1, 4)
         ends = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
