@@ -150,14 +150,21 @@ _SPELT = "|".join(p for p, _ in SPELLINGS[:-1])
 MARKED = r"(?i)^[^\p{L}\p{N}]{0,8}(©|\(c\)[ \t]*[0-9]{4}|copyright[ \t,:]*(\(c\)|©|[0-9]|by[ \t]))"
 NAMED = r"^[^\p{L}\p{N}]{0,8}([Cc]opyright|COPYRIGHT)[ \t,:]+\p{Lu}"
 LEGAL = r"(?i)^[^\p{L}\p{N}]{0,8}copyright[ \t,:]+(notice|holder|owner|law|licen[sc]e|interest|statement|act|protection|and|or|in|of|is|the|to)s?\b"
+#: A copyright line has this many words at most; in a longer one, as where a text is unwrapped, only the mark, the years
+#: and the holder go: up to the opening of a licence text if one follows soon, else to the end of the sentence.
+LINE_WORDS = 20
+OPENINGS = r"permission (?:is|to)|redistribution and|redistributions? of|licensed under|released under|this (?:software|program|library|work|file|is)|everyone is|the above|all rights|you may|provided"
+PHRASE = rf"(?i)(?:copyright[ \t,:]*(?:\(c\)|©|[0-9]{{4}}|by[ \t])|©|\(c\)[ \t]*[0-9]{{4}})(?:.{{0,300}}?\b({OPENINGS})|.*?\p{{L}}{{3}}[.!?](?:[ \t]|$)|.*$)"
+_LONG = rf"^[^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{LINE_WORDS}}}"
 _ANY_MARK = r"(?i)copyright|©|\(c\)"
 #: What no word holds; line ends part lines until the words are joined.
 _BETWEEN = r"[^\p{L}\p{N}\n]+"
 
 
 def _without_copyright(text: Column) -> Column:
-    mine = lambda x: ~(x.rlike(MARKED) | (x.rlike(NAMED) & ~x.rlike(LEGAL)))
-    return F.when(text.rlike(_ANY_MARK), F.array_join(F.filter(F.split(text, "\n"), mine), "\n")).otherwise(text)
+    mine = lambda x: x.rlike(_LONG) | ~(x.rlike(MARKED) | (x.rlike(NAMED) & ~x.rlike(LEGAL)))
+    cut = lambda x: F.when(x.rlike(_LONG) & x.rlike(_ANY_MARK), F.regexp_replace(x, PHRASE, "$1")).otherwise(x)
+    return F.when(text.rlike(_ANY_MARK), F.array_join(F.transform(F.filter(F.split(text, "\n"), mine), cut), "\n")).otherwise(text)
 
 
 def _lines(text: Column) -> Column:
@@ -227,7 +234,8 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql_canonical(x: str) -> str:
     """The same form for DuckDB, every spelling applied to every text."""
-    kept = f"list_filter(string_split({x}, chr(10)), lambda y: NOT (regexp_matches(y, '{MARKED}') OR (regexp_matches(y, '{NAMED}') AND NOT regexp_matches(y, '{LEGAL}'))))"
+    kept = f"list_filter(string_split({x}, chr(10)), lambda y: regexp_matches(y, '{_LONG}') OR NOT (regexp_matches(y, '{MARKED}') OR (regexp_matches(y, '{NAMED}') AND NOT regexp_matches(y, '{LEGAL}'))))"
+    kept = f"list_transform({kept}, lambda y: CASE WHEN regexp_matches(y, '{_LONG}') THEN regexp_replace(y, '{PHRASE}', '\\1', 'g') ELSE y END)"
     out = rf"trim(regexp_replace(lower(array_to_string({kept}, chr(10))), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for pattern, spelling in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{spelling.replace('$', chr(92))}', 'g')"

@@ -23,7 +23,7 @@ import bisect
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, table, written
@@ -138,8 +138,17 @@ def mix_sources(
     # Rows repeated so often that their hash alone would fill a block are told apart by their number.
     often = written(rows.groupBy("source", "h").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("h").distinct(), "often")
     if not often.isEmpty():
-        again = F.col("often").isNotNull()
-        rows = rows.join(often.withColumn("often", F.lit(True)), "h", "left").withColumn("h", F.when(again, F.xxhash64("h", "_k")).otherwise(F.col("h"))).drop("often")
+        # Copies are numbered part by part of the table and then across parts, so no task sees all of them; which copy
+        # has which number is all the same, as they are equal.
+        part, told = F.shiftright("_k", 33).alias("part"), ["source", "h"]
+        again = rows.join(often.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"), "left_semi").withColumn("part", part)
+        within = again.withColumn("n", F.row_number().over(Window.partitionBy("part", *told).orderBy("_k")))
+        before = Window.partitionBy(*told).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        begins = again.groupBy("part", *told).agg(F.count("*").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0)))
+        begins = begins.select(F.col("part").alias("_part"), F.col("source").alias("_source"), F.col("h").alias("_h"), "base")
+        numbered = within.join(begins, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_h")))
+        numbered = numbered.withColumn("h", F.xxhash64("h", (F.col("base") + F.col("n")).cast("long"))).select(*rows.columns)
+        rows = rows.join(often, "h", "left_anti").select(*rows.columns).unionByName(numbered)
         rows = written(rows, "sizes_apart")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     ratio = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0)

@@ -1,7 +1,7 @@
 """Line-first cleaning of documents, native: only DataFrame functions.
 
 Every line is judged by itself: does it look like running text (punctuation), like navigation,
-like boilerplate, like shouting or like a few words over and over? Failing lines go; a document that loses too
+like boilerplate (phrases that make up a third of its words), like shouting or like a few words over and over? Failing lines go; a document that loses too
 many words with them goes as a whole. Base counts of the whole text stand beside the verdict.
 
 Defined results: a null or empty text has no words, hence fails the base rule; ties do not arise; a text
@@ -19,7 +19,7 @@ from .common import SPACE, let
 
 SYMBOLS = "#*$%&|<>"
 #: A line of running text ends with one of these.
-FINAL = r"[.!?:;…\"'”’)\]»][\x20\x09-\x0D]*$"
+FINAL = r"[.!?:;…。！？\"'”’)\]»][\x20\x09-\x0D]*$"
 #: (beginning, pattern) of what lines of a page's furniture say.
 PHRASES = [
     ("all rights reserved", ""), ("cookie policy", ""), ("we use cookies", ""), ("accept cookies", ""), ("privacy policy", ""), ("terms of ", "(use|service)"),
@@ -35,6 +35,11 @@ STEMS = [
     "vorbehalten", "datenschutz", "lesen", "klick", "nach oben", "aviso legal", "leyendo", "volver arriba", "tous droits", "mentions l", "cliquez", "lire la suite", "en savoir", "haut de page",
 ]
 BOILERPLATE = "(?i)(" + "|".join(a + b for a, b in PHRASES) + ")"
+#: The same in a line's normal form, where every word stands between two blanks of its own; words may go on behind a phrase that ends within one.
+_ENDINGS = {"datenschutzerkl": r"\p{L}*", "tous droits r": r"\p{L}*"}
+WHOLE = " (" + "|".join((a + (b.lower() or _ENDINGS.get(a, ""))).replace("-", " ").replace(" ", "  ") for a, b in PHRASES) + ") "
+#: A phrase condemns its line if its words are at least this share of the line's, as one in so many.
+PHRASE_SHARE = 3
 MIN_WORDS = 50
 
 
@@ -92,6 +97,12 @@ def has_phrases(text: Column) -> Column:
     return let(F.lower(text), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(stem)) for stem in STEMS]))
 
 
+def _phrase_words(line: Column) -> Column:
+    """Words of a line that belong to phrases of page furniture, whole words only."""
+    normal = F.concat(F.lit("  "), F.regexp_replace(F.lower(line), r"[^\p{L}]+", "  "), F.lit("  "))
+    return F.size(F.filter(F.split(F.array_join(F.regexp_extract_all(normal, F.lit(WHOLE), F.lit(1)), " "), " +"), lambda w: w != ""))
+
+
 def line_fails(line: Column, phrases: Column) -> Column:
     """Whether a line is no running text; a boolean, never null for a line that is not null. ``phrases``: has_phrases() of its text."""
     # What is between is replaced, not what is counted: far fewer matches. All signs are gathered in one pass.
@@ -105,7 +116,7 @@ def line_fails(line: Column, phrases: Column) -> Column:
             (_count(marks, SYMBOLS) * 4 > n)  # symbols instead of punctuation
             | ((n > 8) & ~line.rlike(FINAL))  # a long line that does not end
             | (_count(marks, "|>»") * 6 > n + 3)  # separators of a navigation bar
-            | (phrases & line.rlike(BOILERPLATE))
+            | (phrases & line.rlike(BOILERPLATE) & (_phrase_words(line) * PHRASE_SHARE >= n))
             | (_count(marks, "!") * 3 > n + 3)
             | ((n > 2) & (caps * 2 > letters))  # shouting
             | ((F.size(F.array_distinct(words)) * 3 < n) & (n > 8))  # a few words over and over
@@ -170,9 +181,10 @@ l AS (SELECT doc_id, unnest(ls) AS x FROM w),
 f AS (SELECT doc_id, x, len(regexp_extract_all(x, '{_W}')) AS n,
   length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS sy, length(x) - length(regexp_replace(x, '[|>»]', '', 'g')) AS se,
   length(x) - length(replace(x, '!', '')) AS ex, length(x) - length(regexp_replace(x, '[A-Za-z\x{{00C0}}-\x{{024F}}]', '', 'g')) AS le,
-  length(x) - length(regexp_replace(x, '[A-Z\x{{00C0}}-\x{{00DE}}]', '', 'g')) AS ca, len(list_distinct(regexp_extract_all(x, '{_W}'))) AS dw FROM l),
+  length(x) - length(regexp_replace(x, '[A-Z\x{{00C0}}-\x{{00DE}}]', '', 'g')) AS ca, len(list_distinct(regexp_extract_all(x, '{_W}'))) AS dw,
+  CASE WHEN regexp_matches(x, '{BOILERPLATE}') THEN len(list_filter(regexp_split_to_array(array_to_string(regexp_extract_all('  ' || regexp_replace(lower(x), '[^\p{{L}}]+', '  ', 'g') || '  ', '{WHOLE}', 1), ' '), ' +'), lambda z: z <> '')) ELSE 0 END AS ph FROM l),
 k AS (SELECT doc_id, sum(n)::BIGINT AS n_kept_words FROM f WHERE NOT (sy * 4 > n OR (n > 8 AND NOT regexp_matches(x, '{FINAL.replace("'", "''")}'))
-  OR se * 6 > n + 3 OR regexp_matches(x, '{BOILERPLATE}') OR ex * 3 > n + 3 OR (ca * 2 > le AND n > 2)
+  OR se * 6 > n + 3 OR (regexp_matches(x, '{BOILERPLATE}') AND ph * {PHRASE_SHARE} >= n) OR ex * 3 > n + 3 OR (ca * 2 > le AND n > 2)
   OR (dw * 3 < n AND n > 8)) GROUP BY 1),
 o AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,

@@ -60,6 +60,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     shift = _U(len(data).bit_length())
     place = (_U(1) << shift) - _U(1)
     anchor = (_sliding_min((h >> shift << shift) | at.astype(_U), length - GRAM + 1) & place).astype(np.int64)
+    # Places fill the low bits of the hash: where grams tie but for these, the whole hash decides, leftmost on ties.
+    for s in np.flatnonzero(h[anchor] != _sliding_min(h, length - GRAM + 1)):
+        anchor[s] = s + np.argmin(h[s : s + length - GRAM + 1])
     starts = np.arange(len(anchor))
     doc = np.searchsorted(offsets, starts, side="right") - 1
     fits = starts + length <= offsets[doc + 1]
