@@ -38,6 +38,10 @@ VIEWS: dict[str, str] = {
   CAST((p_partkey * 13) % 10 AS DOUBLE) / 10 AS confidence, CAST(5 + (p_partkey * 19) % 60 AS DOUBLE) AS width FROM {part}""",
     "fx_pixel": """SELECT CAST(l_orderkey % 25 AS INT) AS floor, CAST((l_orderkey * 7 + l_linenumber * 31) % 200 AS INT) AS px, CAST((l_partkey * 3 + l_linenumber) % 150 AS INT) AS py,
   CAST(CASE WHEN l_suppkey % 3 = 0 THEN (l_partkey * 7) % 90 ELSE 140 + (l_partkey * 11) % 116 END AS INT) AS gray, CAST((l_partkey * 13) % 300 AS DOUBLE) / 10 AS thickness FROM {lineitem}""",
+    "fx_ink": """SELECT DISTINCT s.floor, s.x0 + (1 - s.up) * k.n_nationkey AS px, s.y0 + s.up * k.n_nationkey AS py FROM (SELECT CAST(FLOOR(l_orderkey / 250) AS INT) AS floor, CAST((l_partkey * 7 + l_linenumber * 31 + l_orderkey) % 190 AS INT) AS x0,
+  CAST((l_suppkey * 13 + l_orderkey * 11 + l_linenumber * 3) % 140 AS INT) AS y0, CAST(l_partkey % 2 AS INT) AS up, CAST(l_partkey * 5 % 9 AS INT) AS more FROM {lineitem}) s JOIN {nation} k ON k.n_nationkey <= s.more""",
+    "fx_gate": """SELECT CAST(FLOOR(c_custkey / 25) AS INT) AS floor, c_custkey AS opening, CAST((c_custkey * 7919) % 200 AS DOUBLE) AS cx, CAST((c_custkey * 104729) % 150 AS DOUBLE) AS cy,
+  CASE c_custkey % 3 WHEN 0 THEN 1.0E0 WHEN 1 THEN 0.0E0 ELSE 0.6E0 END AS nx, CASE c_custkey % 3 WHEN 0 THEN 0.0E0 WHEN 1 THEN 1.0E0 ELSE 0.8E0 END AS ny, CAST(1 + c_custkey % 7 AS DOUBLE) AS depth FROM {customer}""",
     "fx_stroke": """SELECT CAST(l_orderkey % 25 AS INT) AS floor, l_orderkey * 8 + l_linenumber AS ord, CASE l_linenumber % 4 WHEN 0 THEN 'l' WHEN 1 THEN 're' WHEN 2 THEN 'qu' ELSE 'c' END AS item,
   CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CAST((l_partkey * 31) % 256 AS DOUBLE) / 255 END AS r, CAST((l_partkey * 57) % 256 AS DOUBLE) / 255 AS g, CAST((l_suppkey * 91) % 256 AS DOUBLE) / 255 AS b,
   CAST((l_suppkey * 7) % 60 AS DOUBLE) / 10 AS width, CAST((l_partkey * 19) % 600 AS DOUBLE) AS x0, CAST((l_suppkey * 23) % 400 AS DOUBLE) AS y0,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,6 +71,59 @@ def relaxed_labels(edges: DataFrame) -> DataFrame:
             return label
 
 
+#: Edges, of all floors together, that one task labels at the end; more are contracted by joins first.
+LAST_EDGES = 100_000
+
+
+def contracted_labels(edges: DataFrame, keys: Sequence[str] = ("floor",), last: int | None = None) -> DataFrame:
+    """(keys, node, component): the smallest node that each end of an edge (keys, a, b) reaches.
+
+    A round points every node to its least neighbour, follows pointers four steps, and maps the edges: what is
+    left are the edges between fewer nodes. Rounds go on until LAST_EDGES are left, which one task labels; then
+    the pointers of the rounds are followed back. Nodes are of any type that can be ordered; loops count as nothing."""
+    last = LAST_EDGES if last is None else last
+    keys = list(keys)
+    end = lambda lo: F.least("a", "b").alias("a") if lo else F.greatest("a", "b").alias("b")
+    left = kept(edges.where(F.col("a") != F.col("b")).select(*keys, end(True), end(False)).distinct(), "edges")
+    pointers: list[DataFrame] = []
+    while left.count() > last:
+        both = left.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).union(left.select(*keys, "b", "a"))
+        to = both.groupBy(*keys, "node").agg(F.min("other").alias("to")).withColumn("to", F.least("node", "to"))
+        for _ in range(2):
+            far = to.select(*keys, F.col("node").alias("to"), F.col("to").alias("then"))
+            to = kept(to.join(far, [*keys, "to"]).select(*keys, "node", F.col("then").alias("to")), "pointers")
+        pointers.append(to)
+        for c in ("a", "b"):
+            left = left.join(to.select(*keys, F.col("node").alias(c), F.col("to").alias("_to")), [*keys, c]).drop(c).withColumnRenamed("_to", c)
+        left = kept(left.where(F.col("a") != F.col("b")).select(*keys, end(True), end(False)).distinct(), "edges")
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+
+    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = pd.concat([f for f in frames if len(f)] or [pd.DataFrame(columns=[*keys, "a", "b"])], ignore_index=True)
+        if not len(e):
+            return
+        ends = pd.concat([e[[*keys, "a"]].rename(columns={"a": "node"}), e[[*keys, "b"]].rename(columns={"b": "node"})], ignore_index=True)
+        number = ends.groupby([*keys, "node"], sort=True).ngroup().to_numpy()  # in order, so the least number is the least node
+        names = ends.iloc[np.unique(number, return_index=True)[1]].reset_index(drop=True)
+        a, b = number.reshape(2, -1)
+        root = np.arange(len(names))
+        while True:
+            least, new = np.minimum(root[a], root[b]), root.copy()
+            np.minimum.at(new, root[a], least)
+            np.minimum.at(new, root[b], least)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        yield names.assign(component=names["node"].to_numpy()[root])
+
+    found = left.coalesce(1).mapInPandas(label, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, node {kinds['a']}, component {kinds['a']}")
+    for to in reversed(pointers):
+        then = found.select(*keys, F.col("node").alias("to"), "component")
+        found = to.join(then, [*keys, "to"], "left").select(*keys, "node", F.coalesce("component", "to").alias("component"))
+    return kept(found, "labels")
+
+
 def reachable(nodes: DataFrame, labels: DataFrame, kind: str = "entrance") -> DataFrame:
     """Nodes in the component of a node of that kind."""
     open_ = nodes.where(F.col("kind") == kind).join(labels, ["floor", "node"]).select("floor", "component").distinct()

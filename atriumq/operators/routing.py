@@ -1,7 +1,7 @@
 """Shortest routes.
 
-Requests of a building are dealt over tasks, up to REQUESTS a task, each with the building's links, and a
-heap does the rest; that holds for buildings of up to MOST_LINKS links. Networks that no task should hold
+Requests of a building are dealt over tasks by where they start, about REQUESTS starts a task, each with the
+building's links, and a heap does the rest, one search for all goals of a start; that holds for buildings of up to MOST_LINKS links. Networks that no task should hold
 are relaxed by joins instead, all starting points together, a join and a group a round: distances first,
 then the link into every node, then the paths, walked back from all goals at once. Both ways give the same
 routes: ties go to the smaller "floor:node" text of the node before, then to the earlier link.
@@ -55,7 +55,7 @@ def distances(links: DataFrame, starts: DataFrame) -> DataFrame:
 def distances_in_buildings(links: DataFrame, starts: DataFrame) -> DataFrame:
     """The same for starts (building, floor, node), dealt over tasks with their building's links; larger buildings by distances()."""
     text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
-    net = links.select("building", *text(*_ENDS), "metres")
+    net = kept(links.select("building", *text(*_ENDS), "metres"), "links")
     asked = starts.select("building", *text("floor", "node")).distinct()
     small, large = _by_size(net)
 
@@ -65,7 +65,7 @@ def distances_in_buildings(links: DataFrame, starts: DataFrame) -> DataFrame:
             out[sf, s].append(((df, d), m))
         rows = []
         for r in wanted.itertuples(index=False):
-            best, _ = _search(out, (r.floor, r.node), None)
+            best, _ = _search(out, (r.floor, r.node))
             rows += [(r.floor, r.node, *at, metres) for at, metres in best.items()]
         return pd.DataFrame(rows, columns=["start_floor", "start", "floor", "node", "metres"])
 
@@ -91,15 +91,16 @@ def _dealt(asked: DataFrame, net: DataFrame, large: DataFrame, solve, shape: str
     return mine.groupBy("building", "part").cogroup(every.groupBy("building", "part")).applyInPandas(solve, shape)
 
 
-def _search(out: dict, start: tuple, goal: tuple | None) -> tuple[dict, dict]:
-    """Distances and the link into each node; ties go to the smaller "floor:node" text, then to the earlier link."""
+def _search(out: dict, start: tuple, goals: set[tuple] | None = None) -> tuple[dict, dict]:
+    """Distances and the link into each node, until all goals are settled; ties go to the smaller "floor:node" text, then to the earlier link."""
     best, into, heap = {start: 0.0}, {}, [(0.0, f"{start[0]}:{start[1]}", start)]
-    while heap:
+    left = None if goals is None else set(goals)
+    while heap and left != set():
         d, _, at = heapq.heappop(heap)
         if d > best[at]:
             continue
-        if at == goal:
-            break
+        if left is not None:
+            left.discard(at)
         for link in out.get(at, ()):
             to, far = link[0], d + max(link[1], LEAST_METERS)
             if far < best.get(to, float("inf")):
@@ -120,7 +121,7 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
     requests: (request, building, start_floor, start, goal_floor, goal, accessible_only). Ids may be of any
     type; they come out as text."""
     text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
-    net = links.select("building", *text(*_ENDS), "metres", "kind", "label", "accessible", "ord.*").withColumn("what", F.lit(1))
+    net = kept(links.select("building", *text(*_ENDS), "metres", "kind", "label", "accessible", "ord.*"), "links").withColumn("what", F.lit(1))
     known = nodes.select("building", F.col("floor").cast("string").alias("src_floor"), F.col("node").cast("string").alias("src")).withColumn("what", F.lit(0))
     # Named anew: requests may come from the same table as the nodes.
     asked = requests.select("request", F.col("building").alias("building"), *text("start_floor", "start", "goal_floor", "goal"), "accessible_only")
@@ -135,9 +136,12 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
             if (sf, s) in keys and (df, d) in keys:
                 for only in (False, True) if free else (False,):
                     nets[only][sf, s].append(((df, d), m, kind, label))
-        rows = []
+        goals: dict[tuple, set] = defaultdict(set)
         for r in wanted.itertuples(index=False):
-            start, goal = (r.start_floor, r.start), (r.goal_floor, r.goal)
+            goals[r.start_floor, r.start, bool(r.accessible_only)].add((r.goal_floor, r.goal))
+        rows, now, best, into = [], None, {}, {}
+        for r in wanted.sort_values([*_START, "request"], kind="stable").itertuples(index=False):
+            start, goal, only = (r.start_floor, r.start), (r.goal_floor, r.goal), bool(r.accessible_only)
             fail = None
             if not floors:
                 fail = "no map for the building"
@@ -146,9 +150,11 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
             elif start not in keys or goal not in keys:
                 fail = "unknown node"
             if not fail:
-                best, into = _search(nets[bool(r.accessible_only)], start, goal)
+                if now != (*start, only):
+                    now = (*start, only)
+                    best, into = _search(nets[only], start, goals[now] & keys)
                 if goal not in best:
-                    fail = "no accessible route" if r.accessible_only else "no route"
+                    fail = "no accessible route" if only else "no route"
             if fail:
                 rows.append((r.request, fail, 0, None, None, None, None, None, None))
                 continue
@@ -163,7 +169,7 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
         return pd.DataFrame(rows, columns=["request", "status", "pos", "floor", "node", "metres", "link_metres", "kind", "label"])
 
     every = known.unionByName(net.join(large, "building", "left_anti"), allowMissingColumns=True)
-    found = _dealt(asked, every, large, solve, _ROUTE, F.xxhash64("request"))
+    found = _dealt(asked, every, large, solve, _ROUTE, F.xxhash64(*_START))
     if small:
         return found
     mine = lambda df: df.join(large, "building", "left_semi")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atriumq.bitmap import runs
+from atriumq.checkpoint import kept
 from atriumq.fixtures import duck, view
 from atriumq.functions import geometry as g
 from atriumq.functions import text as t
 from atriumq.operators import checks, graphs, inference, measures, network, options, proposals
+from atriumq.queries.bitmaps import _LAB
 from atriumq.sources import catalog, uploads
 
 _r = lambda c, n=6: F.round(c, n)
@@ -214,20 +217,27 @@ def wall_fills(spark, d):
     return measures.wall_fills(view(spark, d, "fx_stroke"), 240_000.0).select("floor", "ord")
 
 
+def _grouped(spark, d):
+    """Dark pixels with the number of the first pixel of their group and how light they are."""
+    px = view(spark, d, "fx_pixel").where("gray < 60").groupBy("floor", "px", "py").agg((F.avg("gray") / 255).alias("probability"))
+    found = runs.pixels_of(runs.labelled(runs.runs(px)), "component")
+    x, y = runs.first_pixel()
+    return px.join(found, ["floor", "px", "py"]).withColumn("component", y * 200 + x)
+
+
 def pixel_groups(spark, d):
-    px = view(spark, d, "fx_pixel").withColumn("component", (F.col("px") / 20).cast("int"))
-    return measures.large_groups(px, 50).select("floor", "component", "area", "x0", "y0", "x1", "y1", _r("cx").alias("cx"), _r("cy").alias("cy"))
+    return measures.large_groups(_grouped(spark, d), 2).select("floor", "component", "area", "x0", "y0", "x1", "y1", _r("cx").alias("cx"), _r("cy").alias("cy"))
 
 
 def group_overlap(spark, d):
-    px = view(spark, d, "fx_pixel").withColumn("component", (F.col("px") / 20).cast("int")).withColumn("probability", F.col("gray") / 255)
+    px = _grouped(spark, d)
     return measures.group_overlap(px, px.where("py % 3 = 0")).select("floor", "component", _r("overlap").alias("overlap"), _r("probability").alias("probability"))
 
 
 def accepted_groups(spark, d):
     """Groups of dark pixels that count as walls beside those that are drawn."""
-    px = view(spark, d, "fx_pixel").withColumn("component", (F.col("px") / 4).cast("int")).withColumn("probability", F.lit(1.0))
-    groups = measures.large_groups(px, 1).join(measures.group_overlap(px, px.where("py % 5 = 0 AND px % 3 = 0 AND floor % 4 <> 1")), ["floor", "component"]).withColumn("ppm", 10.0 + F.col("component") % 60)
+    px = kept(_grouped(spark, d), "groups")
+    groups = measures.large_groups(px, 1).join(measures.group_overlap(px, px.where("py % 5 = 0 AND px % 3 = 0 AND floor % 4 <> 1")), ["floor", "component"]).withColumn("ppm", 3.0 + F.col("component") % 6)
     return measures.accepted_classical(groups).select("floor", "component", "area")
 
 
@@ -360,6 +370,10 @@ dg AS (SELECT f.floor, coalesce(w.c, 0) AS walls, coalesce(n.c, 0) AS nodes, coa
 rf AS (SELECT *, CASE WHEN nodes < 2 THEN 'too-few-nodes' WHEN edges < 1 THEN 'no-edges' END AS refused FROM dg)"""
 _G20_V = ("fx_floor", "fx_wall", "fx_edge", "fx_poi")
 
+#: Dark pixels with the first pixel of their group, in reading order.
+_DARK = f"""m AS MATERIALIZED (SELECT floor, px, py, avg(gray) / 255 AS probability FROM fx_pixel WHERE gray < 60 GROUP BY 1, 2, 3), {_LAB},
+gr AS (SELECT m.floor, m.px, m.py, m.probability, (c // 1000 % 1000 - 1) * 200 + c % 1000 - 1 AS component FROM lab JOIN m ON m.floor * 1000000 + (m.py + 1) * 1000 + m.px + 1 = lab.k)"""
+
 QUERIES = {
     "P03_edge_measures": edge_measures, "P07_point_measures": point_measures, "P12_curve_points": curve_points, "P19_vertical_costs": vertical_costs, "P14_scales": scales,
     "W01_proposed_nodes": proposed_nodes, "W02_proposed_edges": proposed_edges, "J04_rejected_edges": rejected_edges, "M12_proposal_rules": proposal_rules, "V15_ring_segments": ring_segments,
@@ -425,9 +439,9 @@ CASE WHEN floor % 4 <> 1 AND floor % 5 <> 0 THEN ' Escala estimada: ' || printf(
     "A06_stroke_threshold": duck(f"WITH {_INK}, {_THR} SELECT floor, round(threshold, 6) AS threshold FROM th", "fx_stroke"),
     "F02_stroke_roles": duck(f"WITH {_INK}, {_THR} SELECT i.floor, ord, CASE WHEN ink < 0.55 AND width >= 2 AND width >= coalesce(threshold, 2) THEN 'wall' WHEN ink > 0.85 AND width >= 0.5 * coalesce(threshold, 2) THEN 'erase' END AS role, round(len, 6) AS length FROM i LEFT JOIN th ON th.floor=i.floor", "fx_stroke"),
     "F01_wall_fills": duck(f"WITH {_INK} SELECT floor, ord FROM i WHERE ink < 0.55 AND abs(x1-x0)*abs(y1-y0) < 60000 AND n_points >= 3", "fx_stroke"),
-    "A03_pixel_groups": duck("SELECT floor, px // 20 AS component, count(*) AS area, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1, round(avg(px), 6) AS cx, round(avg(py), 6) AS cy FROM fx_pixel GROUP BY 1, 2 HAVING count(*) >= 50", "fx_pixel"),
-    "A12_group_overlap": duck("WITH m AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE py % 3 = 0) SELECT p.floor, p.px // 20 AS component, round(avg((m.px IS NOT NULL)::INT), 6) AS overlap, round(avg(gray / 255::DOUBLE), 6) AS probability FROM fx_pixel p LEFT JOIN m ON m.floor=p.floor AND m.px=p.px AND m.py=p.py GROUP BY 1, 2", "fx_pixel"),
-    "R08_accepted_groups": duck("WITH m AS (SELECT DISTINCT floor, px, py FROM fx_pixel WHERE py % 5 = 0 AND px % 3 = 0 AND floor % 4 <> 1), g AS (SELECT p.floor, p.px // 4 AS component, count(*) AS area, avg((m.px IS NOT NULL)::INT) AS o, max(p.px) - min(p.px) + 1 AS w, max(p.py) - min(p.py) + 1 AS h FROM fx_pixel p LEFT JOIN m ON m.floor=p.floor AND m.px=p.px AND m.py=p.py GROUP BY 1, 2) SELECT floor, component, area FROM g QUALIFY o >= 0.2 OR (area <= pow(0.9 * (10 + component % 60), 2) AND greatest(w, h) <= 3 * least(w, h)) OR max(o) OVER (PARTITION BY floor) = 0", "fx_pixel"),
+    "A03_pixel_groups": duck(f"WITH {_DARK} SELECT floor, component, count(*) AS area, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1, round(avg(px), 6) AS cx, round(avg(py), 6) AS cy FROM gr GROUP BY 1, 2 HAVING count(*) >= 2", "fx_pixel", recursive=True),
+    "A12_group_overlap": duck(f"WITH {_DARK} SELECT floor, component, round(avg((py % 3 = 0)::INT), 6) AS overlap, round(avg(probability), 6) AS probability FROM gr GROUP BY 1, 2", "fx_pixel", recursive=True),
+    "R08_accepted_groups": duck(f"WITH {_DARK}, g AS (SELECT floor, component, count(*) AS area, avg((py % 5 = 0 AND px % 3 = 0 AND floor % 4 <> 1)::INT) AS o, max(px) - min(px) + 1 AS w, max(py) - min(py) + 1 AS h FROM gr GROUP BY 1, 2) SELECT floor, component, area FROM g QUALIFY o >= 0.2 OR (area <= pow(0.9 * (3 + component % 6), 2) AND greatest(w, h) <= 3 * least(w, h)) OR max(o) OVER (PARTITION BY floor) = 0", "fx_pixel", recursive=True),
     "P18_shape_features": duck("SELECT floor, space, round(narrowness * 20 / greatest(sqrt(area), 1), 6) AS narrowness, round(elongation * 7 / greatest(space % 9 / 2, 1), 6) AS elongation FROM fx_space", "fx_space"),
     "S25_fitted_images": "SELECT p_partkey, round(least(1.0::DOUBLE, 4096 / greatest(p_partkey * 37 % 9000 + 1, p_partkey * 53 % 6000 + 1)::DOUBLE), 9) AS factor FROM part",
     "A10_face_spread": duck("SELECT floor, px % 5 AS gap, round(quantile_cont(thickness, 0.02::DOUBLE), 6) AS low, round(quantile_cont(thickness, 0.5::DOUBLE), 6) AS middle, round(quantile_cont(thickness, 0.98::DOUBLE), 6) AS high FROM fx_pixel GROUP BY 1, 2", "fx_pixel"),

@@ -94,7 +94,7 @@ def _requests(spark, d):
     routes only; and one in a building without a map."""
     n = view(spark, d, "fx_node")
     a = n.select("building", F.col("floor").alias("start_floor"), F.col("node").alias("start"))
-    a = a.withColumn("goal", F.when(F.col("start") % 50 == 0, F.lit(-1)).otherwise(F.col("start") * 7 % 150 + 3))
+    a = a.withColumn("goal", F.when(F.col("start") % 50 == 0, F.lit(-1)).otherwise((F.col("start") * 7 + 3) % F.lit(n.count())))
     goal = n.select(F.col("node").alias("goal"), F.col("floor").alias("goal_floor"))
     asked = a.join(goal, "goal", "left").withColumn("goal_floor", F.coalesce("goal_floor", "start_floor"))
     nowhere = asked.where("start % 97 = 1").withColumn("building", F.lit(99)).withColumn("start", F.col("start") + 1_000_000_000)
@@ -242,7 +242,7 @@ _DISTANCES = duck(
     f"""WITH {_LINKS}, l0 AS (SELECT src, dst_floor, dst, min(greatest(metres, 0.001)) AS m FROM links GROUP BY 1, 2, 3), s AS (SELECT floor, node FROM fx_node QUALIFY row_number() OVER (PARTITION BY building ORDER BY node) = 1),
 d(start, floor, node, metres) USING KEY (start, node) AS (SELECT node, floor, node, 0.0::DOUBLE FROM s UNION SELECT d.start, l.dst_floor, l.dst, min(d.metres + l.m) FROM d JOIN l0 l ON l.src=d.node LEFT JOIN recurring.d r ON r.start=d.start AND r.node=l.dst WHERE r.metres IS NULL OR d.metres + l.m < r.metres GROUP BY 1, 2, 3)
 SELECT start, floor, node, round(metres, 6) AS metres FROM d""", *_V, recursive=True)
-_ASKED = f"""{_LINKS}, r0 AS (SELECT a.building, a.node AS request, a.floor AS sf, a.node AS s, a.node % 3 = 0 AS acc, CASE WHEN a.node % 50 = 0 THEN -1 ELSE a.node * 7 % 150 + 3 END AS g FROM fx_node a),
+_ASKED = f"""{_LINKS}, r0 AS (SELECT a.building, a.node AS request, a.floor AS sf, a.node AS s, a.node % 3 = 0 AS acc, CASE WHEN a.node % 50 = 0 THEN -1 ELSE (a.node * 7 + 3) % (SELECT count(*) FROM fx_node) END AS g FROM fx_node a),
 rq AS (SELECT r0.*, b.building AS gb FROM r0 LEFT JOIN fx_node b ON b.node = r0.g), ask AS (SELECT DISTINCT building, s, acc FROM rq WHERE gb = building),
 l0 AS (SELECT src, dst, min(greatest(metres, 0.001)) AS m, FALSE AS acc FROM links GROUP BY 1, 2 UNION ALL SELECT src, dst, min(greatest(metres, 0.001)), TRUE FROM links WHERE accessible GROUP BY 1, 2),
 d(s, acc, node, metres) USING KEY (s, node) AS (SELECT s, acc, s, 0.0::DOUBLE FROM ask UNION
@@ -252,13 +252,16 @@ _ROUTES = duck(
 FROM rq LEFT JOIN d ON d.s=rq.s AND d.node=rq.g UNION ALL SELECT node + 1000000000, 'no map for the building', NULL FROM fx_node WHERE node % 97 = 1""", *_V, recursive=True)
 _COST = "CASE kind WHEN 'elevator' THEN 6.0 WHEN 'stairs' THEN 10.0 WHEN 'ramp' THEN 12.0 ELSE 10.0 END::DOUBLE"
 #: Steps of every route, walked back from its goal over the link into each node: the one from the node reached first, then the earliest.
-_STEPS = f"""{_ASKED}, ln AS (SELECT floor AS sf, from_node AS src, to_node AS dst, metres, accessible, floor AS f, 0 AS t, from_node AS a, to_node AS b, 0 AS r FROM lvl UNION ALL SELECT floor, to_node, from_node, metres, accessible, floor, 0, from_node, to_node, 1 FROM lvl
-  UNION ALL SELECT src_floor, src_node, dst_node, {_COST}, accessible, src_floor, 1, src_node, dst_node, 0 FROM fx_connector UNION ALL SELECT dst_floor, dst_node, src_node, {_COST}, accessible, src_floor, 1, src_node, dst_node, 1 FROM fx_connector WHERE bidirectional),
-into_ AS (SELECT v.s, v.node, min({{'d': u.metres, 'x': ln.sf || ':' || ln.src, 'f': f, 't': t, 'a': a, 'b': b, 'r': r, 'p': u.node}}) AS l FROM d v JOIN ln ON ln.dst = v.node JOIN d u ON u.s = v.s AND u.node = ln.src
+_STEPS = f"""{_ASKED}, ln AS (SELECT floor AS sf, from_node AS src, to_node AS dst, metres, accessible, floor AS f, 0 AS t, from_node AS a, to_node AS b, 0 AS r, 'corridor' AS kind FROM lvl UNION ALL SELECT floor, to_node, from_node, metres, accessible, floor, 0, from_node, to_node, 1, 'corridor' FROM lvl
+  UNION ALL SELECT src_floor, src_node, dst_node, {_COST}, accessible, src_floor, 1, src_node, dst_node, 0, kind FROM fx_connector UNION ALL SELECT dst_floor, dst_node, src_node, {_COST}, accessible, src_floor, 1, src_node, dst_node, 1, kind FROM fx_connector WHERE bidirectional),
+into_ AS (SELECT v.s, v.node, min({{'d': u.metres, 'x': ln.sf || ':' || ln.src, 'f': f, 't': t, 'a': a, 'b': b, 'r': r, 'p': u.node, 'm': ln.metres, 'k': ln.kind}}) AS l FROM d v JOIN ln ON ln.dst = v.node JOIN d u ON u.s = v.s AND u.node = ln.src
   WHERE (ln.accessible OR NOT v.acc) AND v.node <> v.s AND u.metres + greatest(ln.metres, 0.001) = v.metres GROUP BY 1, 2),
 way(request, s, node, back) AS (SELECT rq.request, rq.s, rq.g, 0 FROM rq JOIN d ON d.s = rq.s AND d.node = rq.g WHERE gb = building UNION ALL SELECT w.request, w.s, i.l.p, w.back + 1 FROM way w JOIN into_ i ON i.s = w.s AND i.node = w.node),
 st AS (SELECT w.request, w.node, n.floor, max(back) OVER (PARTITION BY w.request) - back AS pos FROM way w JOIN fx_node n ON n.node = w.node)"""
 
+#: A number with one decimal, halves away from nought.
+_DECIMAL = "printf('%.1f', floor({} * 10 + 0.5) / 10)"
+
 QUERIES = {
     "J02_placed_edges": placed_edges,
     "J03_wall_crossings": wall_crossings,
@@ -301,6 +304,12 @@ ORACLES = {
     "G02_batch_routes": _ROUTES,
     "G02_relaxed_routes": _ROUTES,
     "T07_route_steps": duck(f"WITH {_STEPS} SELECT request, pos, floor, node FROM st", *_V, recursive=True),
+    # A walk between vertical links is what lies between two of them: the number of vertical links before it tells which.
+    "W05_route_instructions": duck(f"""WITH {_STEPS}, mv AS (SELECT st.request, st.pos, n.label AS place, f.floor_label, i.l.m AS m, i.l.k AS k, i.l.t = 1 AS up FROM st JOIN rq ON rq.request = st.request JOIN fx_node n ON n.node = st.node JOIN fx_floor f ON f.floor = st.floor LEFT JOIN into_ i ON i.s = rq.s AND i.node = st.node AND st.pos > 0),
+c AS (SELECT *, count(*) FILTER (up) OVER (PARTITION BY request ORDER BY pos) AS n FROM mv WHERE pos > 0), w AS (SELECT request, max(pos) AS pos, sum(m) AS m, arg_max(place, pos) AS place FROM c WHERE NOT up GROUP BY request, n)
+SELECT request::BIGINT AS request, pos::INT AS pos, 'Avanza ' || {_DECIMAL.format("m")} || ' m' || CASE WHEN coalesce(place, '') <> '' THEN ' hasta ' || place ELSE '' END || '.' AS instruction FROM w WHERE m > 0
+UNION ALL SELECT request, pos, CASE k WHEN 'elevator' THEN 'Toma el ascensor' WHEN 'stairs' THEN 'Usa las escaleras' ELSE 'Usa la rampa' END || ' hacia ' || coalesce(floor_label, 'otro piso') || '.' FROM c WHERE up
+UNION ALL SELECT request, max(pos) + 1, 'Llegaste a ' || coalesce(arg_max(place, pos), 'tu destino') || '.' FROM mv GROUP BY request""", *_V, recursive=True),
     "A18_floors_of_routes": duck(f"WITH {_STEPS}, o AS (SELECT st.request, count(*) AS shown FROM st JOIN st h ON h.request = st.request AND h.pos = 0 AND h.floor = st.floor GROUP BY 1) SELECT st.request, st.floor::VARCHAR AS floor, min(pos) AS first_pos, any_value(shown) AS shown FROM st JOIN o USING (request) GROUP BY 1, 2", *_V, recursive=True),
     "G17_degrees": duck("SELECT n.floor, n.node, count(e.o) AS degree FROM fx_node n LEFT JOIN (SELECT floor, from_node AS o FROM fx_edge UNION ALL SELECT floor, to_node FROM fx_edge) e ON e.floor=n.floor AND e.o=n.node GROUP BY 1, 2", "fx_node", "fx_edge"),
     "G16_components": duck(f"WITH {_HIT}, oe AS (SELECT * FROM fx_edge e WHERE from_node % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.floor=e.floor AND h.from_node=e.from_node AND h.to_node=e.to_node)), both_ways AS (SELECT floor, from_node AS n, to_node AS o FROM oe UNION SELECT floor, to_node, from_node FROM oe), {_COMP} SELECT floor, node, component FROM lab", "fx_edge", "fx_wall", recursive=True),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from atriumq.queries import floors, kernels, models, routes
+from atriumq.queries import bitmaps, floors, kernels, models, routes
 
 FLAGSHIP = "G01_distances_from_node"
 
 
 def _modules() -> list:
-    return [routes, models, floors, kernels]
+    return [routes, models, floors, kernels, bitmaps]
 
 
 def queries() -> dict[str, Callable]:
