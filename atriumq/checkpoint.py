@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Tables that this process has written and not dropped.
+_WRITTEN: list[str] = []
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -22,13 +25,24 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Removes a table made by kept() whose rows are no longer read."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    some = df.inputFiles()[:1]
+    for path in [p for p in _WRITTEN if some and some[0].removeprefix("file://").startswith(p.removeprefix("file://"))]:
+        _remove(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that this process has written here; call it once results have been read."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.remove(path)

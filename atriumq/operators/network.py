@@ -1,9 +1,8 @@
 """The routing network: edges with coordinates, without those that pass through walls, both ways, and connectors.
 
-Edges and walls are cut into the grid cells of their floor that their boxes touch and meet by equality of
-(floor, cell); boxes are compared before the crossing itself. A pair that shares several cells is looked at
-in one of them only, the one that holds the corner where both boxes begin to overlap. Ids may be of any
-type that can be ordered.
+Edges and walls are dealt over the grid cells of their floor that they touch, as many as they are long, and
+meet by equality of (floor, cell); boxes are compared before the crossing itself. A pair that crosses in
+several cells counts once. Ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -38,22 +37,36 @@ def in_cells(df: DataFrame, ends: tuple[str, str, str, str], side: float = CELL)
     return known.withColumn("cx", F.explode(span(x0, x1))).withColumn("cy", F.explode(span(y0, y1)))
 
 
+def along_cells(df: DataFrame, ends: tuple[str, str, str, str], side: float = CELL) -> DataFrame:
+    """A row for each cell (cx, cy) that the segment between two points touches: as many as it is long, not as its box is large."""
+    known = df.where(" AND ".join(f"{c} IS NOT NULL" for c in ends))
+    x0, y0, x1, y1 = map(F.col, ends)
+    forth = x0 <= x1
+    ax, ay, bx, by = (F.when(forth, p).otherwise(q) for p, q in ((x0, x1), (y0, y1), (x1, x0), (y1, y0)))
+    slack = side * 1e-6
+
+    def column(i: Column) -> Column:
+        at = lambda x: F.when(bx > ax, ay + (x - ax) * (by - ay) / (bx - ax))
+        p, q = F.coalesce(at(F.greatest(ax, i * side)), ay), F.coalesce(at(F.least(bx, (i + 1) * side)), by)
+        rows = F.sequence(cell_of(F.least(p, q) - slack, side), cell_of(F.greatest(p, q) + slack, side))
+        return F.transform(rows, lambda j: F.struct(i.alias("cx"), j.alias("cy")))
+
+    cells = F.flatten(F.transform(F.sequence(cell_of(ax - slack, side), cell_of(bx + slack, side)), column))
+    return known.withColumn("_c", F.explode(cells)).select(*df.columns, "_c.cx", "_c.cy")
+
+
 def _met(placed: DataFrame, walls: DataFrame) -> DataFrame:
-    """(floor, from_node, to_node, wall...) of edges and the walls that they pass through, once a pair."""
-    e = in_cells(placed.select("floor", "from_node", "to_node", *_EDGE), _EDGE).alias("e")
-    w = in_cells(walls.select("floor", *(["wall"] if "wall" in walls.columns else []), *_WALL), _WALL).alias("w")
+    """(floor, from_node, to_node, wall...) of edges and the walls that they pass through, once for each cell that both touch there."""
+    e = along_cells(placed.select("floor", "from_node", "to_node", *_EDGE), _EDGE).alias("e")
+    w = along_cells(walls.select("floor", *(["wall"] if "wall" in walls.columns else []), *_WALL), _WALL).alias("w")
     at = [f"e.{c}" for c in _EDGE] + [f"w.{c}" for c in _WALL]
-    here = F.lit(True)
-    for k, c in ((0, "cx"), (1, "cy")):
-        low = F.greatest(F.least(at[k], at[k + 2]), F.least(at[k + 4], at[k + 6]))
-        here = here & (F.col(f"e.{c}") == cell_of(low))
     same = (F.col("e.floor") == F.col("w.floor")) & (F.col("e.cx") == F.col("w.cx")) & (F.col("e.cy") == F.col("w.cy"))
-    return e.join(w, same & g.boxes_meet(*at) & here & g.crosses(*at))
+    return e.join(w, same & g.boxes_meet(*at) & g.crosses(*at))
 
 
 def crossings(placed: DataFrame, walls: DataFrame) -> DataFrame:
     """(floor, from_node, to_node, wall) for every wall that an edge passes through."""
-    return _met(placed, walls).select("e.floor", "e.from_node", "e.to_node", "w.wall")
+    return _met(placed, walls).select("e.floor", "e.from_node", "e.to_node", "w.wall").distinct()
 
 
 def _hit(placed: DataFrame, walls: DataFrame) -> DataFrame:

@@ -117,3 +117,23 @@ def test_floors_from_the_catalog_with_ids_of_text(spark):
     issues = graphs.report(s["floors"], s["nodes"], s["edges"], s["walls"], None, None)
     found = {(r.code, r.subject) for r in issues.collect()}
     assert sum(c == "edge-crosses-wall" for c, _ in found) == 2
+
+
+def test_long_edges_and_walls_meet_in_the_cells_along_them(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from atriumq.functions import geometry as g
+    from atriumq.operators import network
+
+    rng = random.Random(4)
+    at = lambda: float(rng.randrange(-3000, 3000))
+    ends = [(at(), at(), at(), at()) for _ in range(60)] + [(0.0, 0.0, 0.0, 2000.0), (-500.0, 128.0, 900.0, 128.0), (128.0, -900.0, 128.0, 900.0), (-1000.0, -1000.0, 1000.0, 1000.0)]
+    edges = spark.createDataFrame([(0, k, k + 1000, *e) for k, e in enumerate(ends)], "floor int, from_node int, to_node int, ax double, ay double, bx double, by double")
+    walls = spark.createDataFrame([(0, k, at(), at(), at(), at()) for k in range(60)] + [(0, 90 + k, *e) for k, e in enumerate(ends[-4:])], "floor int, wall int, sx double, sy double, ex double, ey double")
+    got = sorted(map(tuple, network.crossings(edges, walls).collect()))
+    every = edges.join(walls, "floor").where(g.crosses(*(F.col(c) for c in ("ax", "ay", "bx", "by", "sx", "sy", "ex", "ey"))))
+    assert got == sorted(map(tuple, every.select("floor", "from_node", "to_node", "wall").collect())) and len(got) > 100
+    side = network.along_cells(edges, ("ax", "ay", "bx", "by")).groupBy("from_node").count().collect()
+    assert max(r["count"] for r in side) <= 2 * (6000 // 128 + 2)
