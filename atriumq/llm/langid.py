@@ -7,7 +7,7 @@ length. A prediction is rejected when the runner-up is within ``min_margin`` of
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with no
 labelled row at all everything is ``und``; equal sizes go to the language first in code point order and
 are rejected; every label is learned, however many there are; a text of any length is
-compressed piece by piece; repeated rows give repeated results; other columns of the input are ignored.
+compressed piece by piece; repeated rows give repeated results; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

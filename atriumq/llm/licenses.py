@@ -6,7 +6,8 @@ is an equality of digests: whole texts are joined to the known digests, whose nu
 broadcast; lines, as a finer unit, are looked up in the same few digests as a constant map.
 
 Defined results: a null text counts as empty; an empty canonical text matches nothing; a text of any length
-is hashed whole; repeated rows give repeated results; other columns of the input are ignored.
+is hashed whole; a digest that two known texts share goes to the smaller name; repeated rows give repeated results;
+an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

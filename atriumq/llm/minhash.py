@@ -17,7 +17,7 @@ that merely share bands never meet with their sets.
 Defined results: null texts and texts without words have empty sets and link with nothing; with
 fewer words than a shingle the whole sequence is one; equal sets are linked; repeated ids keep
 their rows, each with the class of its own text; rows without an id link with nothing; a text of any
-length is read in slices; other columns of the input are ignored. Shingles are compared by 64-bit
+length is read in slices; an empty table gives no rows; other columns of the input are ignored. Shingles are compared by 64-bit
 hashes, sets are told apart by 128 bits and their size.
 """
 

@@ -7,8 +7,9 @@ chunks are merged once. Short chunks run through the agenda together, one merge
 as numpy arrays; long ones use a heap. The agenda's ids are what is returned, and the text is read
 back from them; the sentencepiece library encodes every text too, only to tell whether it ``agrees``.
 
-Defined results: null counts as empty and gives no ids; repeated rows give repeated results; other
-columns of the input are ignored.
+Defined results: null counts as empty and gives no ids; repeated rows give repeated results; a text of any
+length is encoded whole, chunk by chunk; equal scores go to the leftmost pair; an empty table gives no rows;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations

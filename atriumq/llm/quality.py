@@ -5,7 +5,7 @@ like boilerplate (phrases that make up a third of its words), like shouting or l
 many words with them goes as a whole. Base counts of the whole text stand beside the verdict.
 
 Defined results: a null or empty text has no words, hence fails the base rule; ties do not arise; a text
-of any length is judged whole; repeated rows give repeated results; other columns of the input are ignored.
+of any length is judged whole; repeated rows give repeated results; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

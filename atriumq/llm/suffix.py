@@ -15,7 +15,7 @@ passage's very end fall apart into small groups or equal parts; that one is spli
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep all bytes; rows
 that are equal in id and text are copies of each other, hence both lose what they share; a text of
-any length is read in slices; other columns of the input are ignored. Segments are told apart by 64-bit
+any length is read in slices; an empty table gives no rows; other columns of the input are ignored. Segments are told apart by 64-bit
 hashes within an anchor, rows by 88 bits of id and text.
 """
 
