@@ -4,7 +4,8 @@ kept, as (spark, docs, sf_dir), and all but the last return the columns of ``doc
 
 A stage ignores rows it cannot read rather than failing: null texts have no language and go in the
 first stage; an empty table passes through all stages as an empty table; ties in near-duplicate groups go
-to the smallest id, then to the smallest row; texts of any length pass, the operators read long ones in slices.
+to the smallest id, then to the smallest row; equal rows are one from the second stage on; columns of any name pass
+through as they are; texts of any length pass, the operators read long ones in slices.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id: shingles of five words,
-    similarity 0.8. Rows are told apart by 96 bits of all their columns; equal rows stay once, rows without
-    words as they are, rows of one id only go if their texts are alike."""
+    similarity 0.8. Rows are told apart by 96 bits of all their columns; equal rows stay once, with or without
+    words; rows of one id only go if their texts are alike."""
     row = F.struct(*docs.columns)
     keyed = docs.select(row.alias("_doc"), F.xxhash64(row).alias("_one"), F.hash(row).alias("_two"))
     found = minhash.near_duplicates(keyed.select("_doc.doc_id", "_doc.text", "_one", "_two"), k=5, percent=80, carry=("_one", "_two"))
