@@ -27,14 +27,14 @@ VIEWS: dict[str, str] = {
   FROM (SELECT building, floor, MIN(node) AS n0, LEAD(floor) OVER (PARTITION BY building ORDER BY floor) AS nf FROM {fx_node} GROUP BY building, floor) f
   JOIN (SELECT floor, MIN(node) AS n0 FROM {fx_node} GROUP BY floor) g ON f.nf = g.floor""",
     "fx_poi": f"""SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS poi, CASE WHEN p_partkey % 41 = 0 THEN ' ' ELSE p_name END AS name, CASE WHEN p_partkey % 43 = 0 THEN '' ELSE p_type END AS category,
-  CAST((p_partkey * 331) % 1009 AS DOUBLE) AS x, CAST((p_partkey * 577) % 757 AS DOUBLE) AS y, p_partkey * 3 % 1600 AS node, {_LABEL} AS note FROM {{part}}""",
-    "fx_qr": """SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS qr, CASE WHEN p_partkey % 3 = 0 THEN ' Code-' ELSE 'CODE-' END || CAST(p_partkey % 150 AS STRING) AS code,
-  CASE WHEN p_partkey % 53 = 0 THEN '  ' ELSE p_name END AS label, p_partkey * 5 % 1600 AS node FROM {part}""",
+  CAST((p_partkey * 331) % 1009 AS DOUBLE) AS x, CAST((p_partkey * 577) % 757 AS DOUBLE) AS y, CAST(p_partkey * 3 % (SELECT COUNT(*) + 100 FROM {{customer}}) AS BIGINT) AS node, {_LABEL} AS note FROM {{part}}""",
+    "fx_qr": """SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS qr, CASE WHEN p_partkey % 3 = 0 THEN ' Code-' ELSE 'CODE-' END || CAST(p_partkey % (SELECT CAST(FLOOR(COUNT(*) * 2 / 5) AS BIGINT) FROM {part}) AS STRING) AS code,
+  CASE WHEN p_partkey % 53 = 0 THEN '  ' ELSE p_name END AS label, CAST(p_partkey * 5 % (SELECT COUNT(*) + 100 FROM {customer}) AS BIGINT) AS node FROM {part}""",
     "fx_space": f"""SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS space, ROW_NUMBER() OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) AS ord, {_LABEL} AS label,
   CAST(50 + (p_partkey * 37) % 400 AS DOUBLE) AS area, CAST((p_partkey * 17) % 50 AS DOUBLE) / 100 AS narrowness, 1 + CAST((p_partkey * 29) % 40 AS DOUBLE) / 10 AS elongation, p_partkey % 31 = 0 AS is_void
   FROM {{part}}""",
     "fx_opening": """SELECT CAST(p_partkey % 25 AS INT) AS floor, p_partkey AS opening, p_partkey AS space_a,
-  CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 25 + 25 * ((p_partkey * 11) % 24) END AS space_b, CASE WHEN p_partkey % 9 = 0 THEN 'entrance' ELSE 'door' END AS kind,
+  CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_partkey % 25 + 25 * ((p_partkey * 11) % (SELECT CAST(FLOOR(COUNT(*) / 25) AS BIGINT) FROM {part})) AS BIGINT) END AS space_b, CASE WHEN p_partkey % 9 = 0 THEN 'entrance' ELSE 'door' END AS kind,
   CAST((p_partkey * 13) % 10 AS DOUBLE) / 10 AS confidence, CAST(5 + (p_partkey * 19) % 60 AS DOUBLE) AS width FROM {part}""",
     "fx_pixel": """SELECT CAST(l_orderkey % 25 AS INT) AS floor, CAST((l_orderkey * 7 + l_linenumber * 31) % 200 AS INT) AS px, CAST((l_partkey * 3 + l_linenumber) % 150 AS INT) AS py,
   CAST(CASE WHEN l_suppkey % 3 = 0 THEN (l_partkey * 7) % 90 ELSE 140 + (l_partkey * 11) % 116 END AS INT) AS gray, CAST((l_partkey * 13) % 300 AS DOUBLE) / 10 AS thickness FROM {lineitem}""",
