@@ -43,6 +43,38 @@ def complement(rows: DataFrame, frames: DataFrame, keys: Sequence[str] = ("floor
     return gaps.where("x0 <= x1").join(frames.select(*keys), list(keys), "left_semi")
 
 
+def merged(rows: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
+    """Runs of the pixels that are in any of the runs, which may overlap."""
+    w = Window.partitionBy(*keys, "y").orderBy("x0", "x1")
+    before = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = (before.isNull() | (F.col("x0") > before + 1)).cast("int")
+    return rows.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w)).groupBy(*keys, "y", "_i").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_i")
+
+
+def dilated(rows: DataFrame, rx: int, ry: int, frames: DataFrame | None = None, keys: Sequence[str] = ("floor",)) -> DataFrame:
+    """Runs of the pixels within rx columns and ry rows of the runs, inside the frames if there are any."""
+    out = rows.select(*keys, F.explode(F.sequence(F.col("y") - ry, F.col("y") + ry)).alias("y"), (F.col("x0") - rx).alias("x0"), (F.col("x1") + rx).alias("x1"))
+    if frames is not None:
+        out = out.join(frames.select(*keys, "width", "height"), list(keys)).where((F.col("y") >= 0) & (F.col("y") < F.col("height")))
+        out = out.select(*keys, "y", F.greatest("x0", F.lit(0).cast("long")).alias("x0"), F.least("x1", F.col("width").cast("long") - 1).alias("x1")).where("x0 <= x1")
+    return merged(out, keys)
+
+
+def eroded(rows: DataFrame, rx: int, ry: int, frames: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
+    """Runs of the pixels whose neighbours within rx columns and ry rows are all in the runs; what lies outside the frame counts as in."""
+    return complement(dilated(complement(rows, frames, keys), rx, ry, frames, keys), frames, keys)
+
+
+def inked(boxes: DataFrame, pixels: DataFrame, of: Sequence[str], keys: Sequence[str] = ("floor",), side: int = 32) -> DataFrame:
+    """(keys, of, n): pixels in each box (keys, of, x0, y0, x1, y1) from x0, y0 up to x1, y1 exclusive; boxes meet them by tiles."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor((F.col(hi) - 1) / side)))
+    tiled = boxes.where("x0 < x1 AND y0 < y1").withColumn("_tx", span("x0", "x1")).withColumn("_ty", span("y0", "y1"))
+    dots = pixels.select(*keys, "px", "py", F.floor(F.col("px") / side).alias("_tx"), F.floor(F.col("py") / side).alias("_ty"))
+    inside = (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))
+    hits = tiled.join(dots, [*keys, "_tx", "_ty"]).where(inside).groupBy(*keys, *of).agg(F.count(F.lit(1)).alias("n"))
+    return boxes.select(*keys, *of).join(hits, [*keys, *of], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def run_id() -> Column:
     """A run's number on its bitmap: its row above its first pixel, so numbers follow the order of reading."""
     return F.shiftleft("y", 32) + F.col("x0")

@@ -1,89 +1,92 @@
-"""Bitmap kernels on masks made from pixel tables, with DuckDB twins that do the same pixel by pixel."""
+"""Bitmap operators on the pixel tables of all floors, with DuckDB twins that do the same pixel by pixel."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atriumq.bitmap import fields, rings, runs
+from atriumq.checkpoint import kept
 from atriumq.fixtures import duck, view
-from atriumq.raster import bitmaps as bm
-from atriumq.raster import structure
+from atriumq.operators import measures
 
 #: The frame that the pixels of fx_pixel lie in.
 WIDTH, HEIGHT = 200, 150
 
 
-def _mask(pixels: pd.DataFrame) -> np.ndarray:
-    out = np.zeros((HEIGHT, WIDTH), bool)
-    out[pixels["py"], pixels["px"]] = True
-    return out
-
-
-def _measured(df, kernels: dict):
-    """(floor, kernel, value): what every kernel says of a floor's pixels."""
+def _dark(spark, d, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pixels darker than ``most``, their runs, and the frames of their floors."""
+    px = kept(view(spark, d, "fx_pixel").where(F.col("gray") < most).select("floor", "px", "py").distinct(), "pixels")
+    return px, kept(runs.runs(px), "runs"), px.select("floor").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
 
-    def run(pixels: pd.DataFrame) -> pd.DataFrame:
-        values = [(name, float(kernel(pixels))) for name, kernel in kernels.items()]
-        return pd.DataFrame({"floor": int(pixels["floor"].iloc[0]), "kernel": [n for n, _ in values], "value": [v for _, v in values]})
 
-    return df.groupBy("floor").applyInPandas(run, "floor int, kernel string, value double")
+def _told(parts: dict[str, tuple[DataFrame, object]]) -> DataFrame:
+    """(floor, kernel, value): an aggregate of each table by floor."""
+    rows = [df.groupBy("floor").agg(value.cast("double").alias("value")).select("floor", F.lit(name).alias("kernel"), "value") for name, (df, value) in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def mask_kernels(spark, d):
     """Growing, closing, lines, groups, outlines and distances of the dark pixels of every floor."""
-    px = view(spark, d, "fx_pixel").where("gray < 60").select("floor", "px", "py").distinct()
-    return _measured(px, {
-        "dilated": lambda p: bm.box_dilate(_mask(p), 2).sum(),
-        "closed": lambda p: bm.box_erode(bm.box_dilate(_mask(p), 1), 1).sum(),
-        "lined": lambda p: bm.dilate(_mask(p), bm.line(7, 0)).sum(),
-        "upright": lambda p: bm.dilate(_mask(p), bm.line(9, 90)).sum(),
-        "groups": lambda p: bm.components(_mask(p))[1],
-        "largest": lambda p: np.bincount(bm.components(_mask(p))[0].ravel())[1:].max(),
-        "outlined": lambda p: sum(map(bm.signed_area, bm.outlines(_mask(p)))),
-        "filled": lambda p: bm.rasterized(bm.polygons(_mask(p), 0, 1), (HEIGHT, WIDTH)).sum(),
-        "distance": lambda p: round(bm.distances(~_mask(p)).sum(), 3),
+    px, rows, frames = _dark(spark, d, 60)
+    pixels = F.sum(F.col("x1") - F.col("x0") + 1)
+    groups = kept(runs.group_boxes(runs.labelled(rows)), "groups")
+    edges = rings.closed_edges(kept(rings.rings(px).withColumns({"x": F.col("x") - 0.5, "y": F.col("y") - 0.5}), "rings"))
+    free = fields.distances(runs.complement(rows, frames), frames)
+    return _told({
+        "dilated": (runs.dilated(rows, 2, 2, frames), pixels),
+        "closed": (runs.eroded(runs.dilated(rows, 1, 1, frames), 1, 1, frames), pixels),
+        "lined": (runs.dilated(rows, 3, 0, frames), pixels),
+        "upright": (runs.dilated(rows, 0, 4, frames), pixels),
+        "groups": (groups, F.count("*")),
+        "largest": (groups, F.max("area")),
+        "outlined": (rings.areas(edges), F.sum("area")),
+        "filled": (rings.filled(edges, width=WIDTH, height=HEIGHT), pixels),
+        "distance": (free, F.round(F.sum("distance"), 3)),
     })
 
 
 def gray_kernels(spark, d):
     """The threshold that parts a floor's grays, and the pixels that count as ink."""
     px = view(spark, d, "fx_pixel").select("floor", "gray")
-    return _measured(px, {"otsu": lambda p: bm.otsu(p["gray"].to_numpy()), "ink": lambda p: bm.dark(p["gray"].to_numpy()).sum()})
+    return _told({"otsu": (measures.otsu(px), F.max("threshold")), "ink": (measures.dark_pixels(px), F.count("*"))})
 
 
 def group_rules(spark, d):
     """Pixels of groups that are compact, that overlap another mask by a fifth, and what a percentile of each group says."""
-    px = view(spark, d, "fx_pixel").where("gray < 90").select("floor", "px", "py").distinct()
-    other = lambda shape: np.add.outer(np.arange(shape[0]), 2 * np.arange(shape[1])) % 3 == 0
-
-    def groups(p):
-        return structure._Groups(_mask(p))
-
-    return _measured(px, {
-        "compact": lambda p: groups(p).where(lambda g: g.compact(30)).sum(),
-        "overlapping": lambda p: groups(p).where(lambda g: g.total(other((HEIGHT, WIDTH))) >= 0.4 * g.size).sum(),
-        "widest": lambda p: groups(p).sides()[1:].max(),
-        "median": lambda p: round(structure.percentile((g := groups(p)).of, g.x.astype(float), g.n, 50)[1:].sum(), 4),
-        "low": lambda p: round(structure.percentile((g := groups(p)).of, g.y.astype(float), g.n, 2)[1:].sum(), 4),
+    _, rows, _ = _dark(spark, d, 90)
+    px = runs.pixels_of(runs.labelled(rows), "component")
+    g = px.groupBy("floor", "component").agg(
+        F.count("*").alias("n"), (F.max("px") - F.min("px") + 1).alias("w"), (F.max("py") - F.min("py") + 1).alias("h"),
+        F.count_if((F.col("py") + 2 * F.col("px")) % 3 == 0).alias("o"), F.percentile(F.col("px").cast("double"), 0.5).alias("median"), F.percentile(F.col("py").cast("double"), 0.02).alias("low"),
+    )
+    g = kept(g, "groups")
+    of = lambda rule: F.sum(F.when(rule, F.col("n")).otherwise(0))
+    return _told({
+        "compact": (g, of((F.col("n") <= 30) & (F.greatest("w", "h") <= 3 * F.least("w", "h")))),
+        "overlapping": (g, of(F.col("o") >= 0.4 * F.col("n"))),
+        "widest": (g, F.max(F.greatest("w", "h"))),
+        "median": (g, F.round(F.sum("median"), 4)),
+        "low": (g, F.round(F.sum("low"), 4)),
     })
 
 
 def drawn_swings(spark, d):
-    """Share of a door's arc drawn beside openings at the nodes of every floor."""
-    thin = view(spark, d, "fx_pixel").where("gray < 140").groupBy("floor").agg(F.collect_set(F.struct("px", "py")).alias("thin"))
-    nodes = view(spark, d, "fx_node").groupBy("floor").agg(F.collect_list(F.struct("node", "x", "y")).alias("nodes"))
-
-    def run(batches):
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                thin_, nodes_ = pd.DataFrame([dict(x) for x in r.thin]), pd.DataFrame([dict(x) for x in r.nodes])
-                at = np.stack([nodes_["x"] % WIDTH, nodes_["y"] % HEIGHT], 1)
-                wide = (nodes_["node"] % 9 * 2 + 6).to_numpy(float)
-                normal = np.where((nodes_["node"] % 2 == 0).to_numpy()[:, None], [[1.0, 0.0]], [[0.0, 1.0]])
-                yield pd.DataFrame({"floor": int(r.floor), "node": nodes_["node"].astype("int64"), "share": np.round(structure.swings(_mask(thin_), at, normal, wide, 10.0), 6)})
-
-    return thin.join(nodes, "floor").mapInPandas(run, "floor int, node long, share double")
+    """Share of a door's arc drawn beside openings at the nodes of every floor: pixels in a box on either side, over the arc's length."""
+    thin = view(spark, d, "fx_pixel").where("gray < 140").select("floor", "px", "py").distinct()
+    n = view(spark, d, "fx_node").join(thin.select("floor").distinct(), "floor")
+    wide, level = F.col("node") % 9 * 2.0 + 6, (F.col("node") % 2 == 0).cast("double")
+    at = n.select("floor", "node", (F.col("x") % WIDTH).alias("x"), (F.col("y") % HEIGHT).alias("y"), wide.alias("w"), level.alias("nx"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
+    far = F.col("w") / 2 + 1
+    at = at.withColumns({"cx": F.col("x") + F.col("side") * F.col("nx") * far, "cy": F.col("y") + F.col("side") * (1 - F.col("nx")) * far})
+    clip = lambda c, most: F.floor(F.greatest(F.lit(0.0), F.least(c, F.lit(float(most))))).cast("long")
+    half = F.col("w") / 2
+    box = at.select("floor", "node", "side", "w", clip(F.col("cx") - half, WIDTH).alias("x0"), clip(F.col("cx") + half, WIDTH).alias("x1"), clip(F.col("cy") - half, HEIGHT).alias("y0"), clip(F.col("cy") + half, HEIGHT).alias("y1"))
+    share = F.max(F.col("n") / (1.6 * F.col("w")))
+    out = runs.inked(box, thin, ("node", "side", "w")).groupBy("floor", "node").agg(share.alias("share"))
+    return out.select("floor", "node", F.when(F.col("share") >= 0.5, F.round("share", 6)).otherwise(0.0).alias("share"))
 
 
 _LAB = """lab(floor, x, y, c) USING KEY (floor, x, y) AS (SELECT floor, px, py, py * 200 + px FROM m UNION

@@ -301,3 +301,22 @@ def test_mutual_sight(spark):
     at = spark.createDataFrame([(0, 1, "a", 0, 0), (0, 2, "a", 10, 0), (0, 3, "a", 0, 10), (0, 4, "a", 90, 90), (0, 5, "b", 1, 1)], "floor int, point int, room string, x int, y int")
     wall = spark.createDataFrame([(0, 5, 0)], "floor int, px int, py int")
     assert sorted((r.a, r.b) for r in sight.mutual(at, wall, "room", 20.0).collect()) == [(1, 3), (2, 3)]
+
+
+@pytest.mark.parametrize("rx, ry", [(0, 0), (2, 1), (0, 3)])
+def test_dilated_and_eroded(spark, rx, ry):
+    m = noise(8, share=0.3)
+    frames = spark.createDataFrame([(0, 60, 40)], "floor int, width int, height int")
+    rows = runs.runs(pixels(spark, m))
+    offsets = [(y, x) for y in range(-ry, ry + 1) for x in range(-rx, rx + 1)]
+    for got, want in ((runs.dilated(rows, rx, ry, frames), bm.dilate(m, offsets)), (runs.eroded(rows, rx, ry, frames), bm.erode(m, offsets))):
+        assert {(r.px, r.py) for r in runs.pixels_of(got).collect()} == {(int(x), int(y)) for y, x in zip(*np.nonzero(want))}
+
+
+def test_inked_boxes(spark):
+    m = noise(9, share=0.5)
+    rng = random.Random(2)
+    cut = [(k, *sorted((rng.randrange(61), rng.randrange(61))), *sorted((rng.randrange(41), rng.randrange(41)))) for k in range(50)]
+    df = spark.createDataFrame([(0, k, x0, y0, x1, y1) for k, x0, x1, y0, y1 in cut], "floor int, box int, x0 long, y0 long, x1 long, y1 long")
+    got = {r.box: r.n for r in runs.inked(df, pixels(spark, m), ["box"], side=16).collect()}
+    assert got == {k: int(m[y0:y1, x0:x1].sum()) for k, x0, x1, y0, y1 in cut}
