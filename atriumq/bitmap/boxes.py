@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atriumq.checkpoint import kept
+
+#: Points that are dealt to a task, about; small groups share one.
+DEALT = 50_000
 #: Lines of a group whose ends are one block.
 BLOCK = 4096
 
@@ -33,27 +36,27 @@ def hulls(points: DataFrame, of: Sequence[str]) -> DataFrame:
     p = points.select(*of, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
     lines = p.groupBy(*of, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     ends = lines.select(*of, "y", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x")).withColumn("_block", F.floor(F.col("y") / BLOCK))
+    ends = kept(ends, "ends")
     kinds = {f.name: f.dataType.simpleString() for f in ends.schema}
-    shape = ", ".join(f"{k} {kinds[k]}" for k in of)
-
-    def corners(group: pa.Table) -> list[tuple[float, float]]:
-        pts = sorted(set(zip(group.column("x").to_pylist(), group.column("y").to_pylist())))
-        return pts if len(pts) < 3 else _chain(pts)[:-1] + _chain(pts[::-1])[:-1]
-
-    def first(group: pa.Table, pts: list, **more) -> pa.Table:
-        one = {k: pa.array([group.column(k)[0].as_py()] * len(pts), group.column(k).type) for k in of}
-        x, y = np.array(pts, float).reshape(-1, 2).T
-        return pa.table(one | {k: pa.array(v) for k, v in more.items()} | {"x": pa.array(x), "y": pa.array(y)})
-
-    def part(group: pa.Table) -> pa.Table:
-        return first(group, corners(group))
-
-    def whole(group: pa.Table) -> pa.Table:
-        pts = corners(group)
-        return first(group, pts, ord=np.arange(len(pts), dtype=np.int64))
-
-    parts = ends.groupBy(*of, "_block").applyInArrow(part, f"{shape}, x double, y double")
-    return parts.groupBy(*of).applyInArrow(whole, f"{shape}, ord long, x double, y double")
+    shape = lambda keys: ", ".join(f"{k} {kinds[k]}" for k in keys)
+    n = max(1, -(-ends.count() // DEALT))
+    dealt = lambda df, keys: df.withColumn("_deal", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_deal")
+
+    def cornered(table: pa.Table, keys: list[str]) -> pa.Table:
+        """The hulls of all groups of a table: keys, ord, x, y."""
+        groups: dict[tuple, set] = {}
+        for key, x, y in zip(zip(*(table.column(k).to_pylist() for k in keys)), table.column("x").to_pylist(), table.column("y").to_pylist()):
+            groups.setdefault(key, set()).add((x, y))
+        rows = []
+        for key, found in groups.items():
+            pts = sorted(found)
+            pts = pts if len(pts) < 3 else _chain(pts)[:-1] + _chain(pts[::-1])[:-1]
+            rows += [(*key, k, x, y) for k, (x, y) in enumerate(pts)]
+        types = [*(table.column(k).type for k in keys), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip([*keys, "ord", "x", "y"], types))})
+
+    parts = dealt(ends, [*of, "_block"]).applyInArrow(lambda t: cornered(t, [*of, "_block"]), f"{shape([*of, '_block'])}, ord long, x double, y double")
+    return dealt(parts.drop("_block", "ord"), of).applyInArrow(lambda t: cornered(t, of), f"{shape(of)}, ord long, x double, y double")
 
 
 def least_boxes(points: DataFrame, of: Sequence[str]) -> DataFrame:
