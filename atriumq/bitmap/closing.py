@@ -2,7 +2,7 @@
 
 For a direction every pixel lies on one digital line and has a place on it; along a line, stretches between
 pixels that are short enough are filled. Nothing is filled between a pixel and the frame, so margins stay free.
-All directions are looked at in one pass: a pixel is sent once for each, and a line is a small sorted group.
+All directions are looked at in one pass over tiles, which a pixel is sent to once, whatever the number of directions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,29 +38,57 @@ def longest_gap(length: int, k: int, orientations: int = 12) -> int:
     return 2 * max(abs(round(c * r)), abs(round(s * r)))
 
 
-def _half_up(c: Column) -> Column:
-    return F.floor(c + 0.5)
+#: Least side in pixels of the tiles that lines are looked at in.
+TILE = 256
+
+
+def _half_up(v: np.ndarray) -> np.ndarray:
+    return np.floor(v + 0.5).astype(np.int64)
+
+
+def _gaps(x: np.ndarray, y: np.ndarray, own: np.ndarray, length: np.ndarray, way: tuple[bool, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pixel before, px, py) of what closing in one direction fills behind the tile's own pixels."""
+    flat, step, c, s = way
+    at, other = (x, y) if flat else (y, x)
+    line = other - _half_up(at * step)
+    most = 2 * np.maximum(np.abs(np.rint(c * (length - 1) / 2)), np.abs(np.rint(s * (length - 1) / 2)))
+    order = np.lexsort((at, line))
+    gap = np.diff(at[order]) - 1
+    hit = np.flatnonzero((np.diff(line[order]) == 0) & (gap > 0) & (gap <= most[order[:-1]]) & own[order[:-1]])
+    n = gap[hit]
+    before = np.repeat(order[hit], n)
+    t = at[before] + np.arange(1, len(before) + 1) - np.repeat(np.cumsum(n) - n, n)
+    o = line[before] + _half_up(t * step)
+    return before, *((t, o) if flat else (o, t))
 
 
 def bridged(pixels: DataFrame, length: Column | int, orientations: int = 12, keys: Sequence[str] = ("floor",)) -> DataFrame:
     """(keys, angle, px, py): free pixels that closing by a line of ``length`` fills, for each direction.
 
-    length may be a column of the pixels, the same for all of a bitmap."""
+    length may be a column of the pixels, the same for all of a bitmap. A pixel goes to its tile and to those that
+    lie within a line's length; a gap is told by the tile of the pixel before it."""
+    keys = list(keys)
     p = pixels.select(*keys, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), (F.lit(length) if isinstance(length, int) else length).cast("double").alias("_len")).dropna()
-    ways = []
-    for k, (flat, step, c, s) in enumerate(slopes(orientations)):
-        at, other = ("px", "py") if flat else ("py", "px")
-        most = 2 * F.greatest(*(F.abs(F.bround(F.lit(x) * (F.col("_len") - 1) / 2)) for x in (c, s)))
-        ways.append(F.struct(F.lit(k).alias("angle"), (F.col(other) - _half_up(F.col(at) * step)).alias("line"), F.col(at).alias("t"), most.alias("most")))
-    p = p.select(*keys, F.explode(F.array(*ways)).alias("_way")).select(*keys, "_way.*")
-    after = F.lead("t").over(Window.partitionBy(*keys, "angle", "line").orderBy("t"))
-    gaps = p.withColumn("to", after).where((F.col("to") - F.col("t") > 1) & (F.col("to") - F.col("t") - 1 <= F.col("most")))
-    gaps = gaps.select(*keys, "angle", "line", F.explode(F.sequence(F.col("t") + 1, F.col("to") - 1)).alias("t"))
-    table = slopes(orientations)
-    pick = lambda f: F.element_at(F.array(*[F.lit(f(x)) for x in table]), F.col("angle") + 1)
-    other = F.col("line") + _half_up(F.col("t") * pick(lambda x: x[1]))
-    flat = pick(lambda x: x[0])
-    return gaps.select(*keys, "angle", F.when(flat, F.col("t")).otherwise(other).alias("px"), F.when(flat, other).otherwise(F.col("t")).alias("py"))
+    halo = F.greatest(F.ceil("_len"), F.lit(0)) + 2
+    side = F.greatest(F.lit(TILE), 4 * halo)
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side)))
+    p = p.withColumn("_tx", tiles("px")).withColumn("_ty", tiles("py"))
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema}
+    ways = slopes(orientations)
+
+    def run(tile: pa.Table) -> pa.Table:
+        x, y, n = (tile.column(c).to_numpy() for c in ("px", "py", "_len"))
+        wide = max(TILE, 4 * (max(math.ceil(n[0]), 0) + 2))
+        own = (x // wide == tile.column("_tx")[0].as_py()) & (y // wide == tile.column("_ty")[0].as_py())
+        found = [(k, *_gaps(x, y, own, n, way)) for k, way in enumerate(ways)]
+        angle = np.concatenate([np.full(len(f[1]), f[0], dtype=np.int32) for f in found])
+        before, px, py = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+        out = tile.select(keys).take(pa.array(before))
+        for name, values in (("angle", angle), ("px", px), ("py", py)):
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    return p.groupBy(*keys, "_tx", "_ty").applyInArrow(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, angle int, px long, py long")
 
 
 def sealed(pixels: DataFrame, length: Column | int, orientations: int = 12, keys: Sequence[str] = ("floor",)) -> DataFrame:

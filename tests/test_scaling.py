@@ -4,6 +4,7 @@ import math
 import random
 
 from atriumq import checkpoint
+from atriumq.bitmap import closing
 from atriumq.fixtures import view
 from atriumq.operators import proposals
 
@@ -41,3 +42,26 @@ def test_nearest_nodes_of_crowds_and_empty_quarters(spark):
     assert len(checkpoint._WRITTEN) == written  # no tables on the way, whatever is read of a proposal
     lost = n.union(spark.createDataFrame([(0, 9, 9, float("nan"), 3.0)], n.schema))
     assert {(r.floor, r.poi, r.node) for r in proposals.nearest_node(p, lost, "poi").collect()} == {t[:2] + t[3:4] for t in _nearest(points, nodes, 1)}
+
+
+def test_gaps_over_the_borders_of_tiles_are_closed_once(spark):
+    draw = random.Random(5)
+    dots = {(x0 + draw.randrange(-20, 20), y0 + draw.randrange(-20, 20)) for x0 in (-256, 0, 256) for y0 in (0, 256) for _ in range(60)}
+    pixels = spark.createDataFrame([("a", x, y) for x, y in dots] * 2 + [("b", 250, 0), ("b", 260, 0), ("c", 0, 0), ("c", 40, 0), (None, 1, 1)], "floor string, px int, py int")
+    out = closing.bridged(pixels, 15)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("angle" in line for line in plan.splitlines() if "Exchange" in line)  # a pixel is not sent once for every direction
+    want = {("b", 0, x, 0) for x in range(251, 260)}
+    for k, (flat, step, _, _) in enumerate(closing.slopes()):
+        lines = {}
+        for x, y in dots:
+            t, o = (x, y) if flat else (y, x)
+            lines.setdefault(o - math.floor(t * step + 0.5), []).append(t)
+        for line, places in lines.items():
+            places.sort()
+            for t, to in zip(places, places[1:]):
+                if 1 <= to - t - 1 <= closing.longest_gap(15, k):
+                    want |= {("a", k, *((u, o) if flat else (o, u))) for u in range(t + 1, to) for o in [line + math.floor(u * step + 0.5)]}
+    got = [(r.floor, r.angle, r.px, r.py) for r in out.collect()]
+    assert len(got) == len(set(got)) and {g for g in got if g[0] == "a" or g[1] == 0} == {w for w in want}
+    assert not [g for g in got if g[0] == "c"]
