@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,18 +93,63 @@ def touching(rows: DataFrame, keys: Sequence[str] = ("floor",), reach: int = 1)
     return met.where(F.col("tile") == F.floor(F.greatest(F.col("ax0") - reach, "x0") / TILE)).select(*keys, "a", "b")
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers below n that each is joined to by pairs a, b."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _groups(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """The first run that each of the runs, which are in the order of reading, is joined to."""
+    low, wide = x0.min() - reach - 1, x1.max() - x0.min() + 2 * reach + 4
+    row = (y - y.min()) * wide
+    begin, end = row + x0 - low, np.maximum.accumulate(row + x1 - low)
+    lo, hi = np.searchsorted(end, begin + wide - reach), np.searchsorted(begin, row + wide + x1 + reach - low, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.repeat(lo, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    hit = x1[b] >= x0[a] - reach
+    return _joined(len(y), a[hit], b[hit])
+
+
 def labelled(rows: DataFrame, keys: Sequence[str] = ("floor",), reach: int = 1) -> DataFrame:
     """Runs with ``component``, the number of the first run of their group: 8-connected, or 4-connected with ``reach`` 0.
 
-    Equal runs of rows that follow each other are one box to begin with, so that a straight wall is one node
-    however long it is; boxes that touch are joined."""
-    island = F.col("y") - F.row_number().over(Window.partitionBy(*keys, "x0", "x1").orderBy("y"))
-    rows = rows.withColumn("_i", island).withColumn("_run", F.min(run_id()).over(Window.partitionBy(*keys, "x0", "x1", "_i"))).drop("_i")
-    rows = kept(rows, "boxes")
-    of = lambda c: rows.select(*keys, run_id().alias(c), F.col("_run").alias(f"_{c}"))
-    met_ = touching(rows, keys, reach).join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"]).select(*keys, F.col("_a").alias("a"), F.col("_b").alias("b"))
-    found = contracted_labels(met_.where("a <> b"), keys).withColumnRenamed("node", "_run")
-    return rows.join(found, [*keys, "_run"], "left").withColumn("component", F.coalesce("component", "_run")).drop("_run")
+    Runs are cut at the tiles' sides, and a task joins the pieces of a tile. Only pieces at a side of their tile can touch
+    others' pieces: these meet by joins, so what is shuffled for the groups of a bitmap grows with the sides of its tiles."""
+    keys, side = list(keys), TILE
+    cut = rows.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1"))).withColumn("_ty", F.floor(F.col("y") / side))
+    cut = cut.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x0") / side), F.floor(F.col("x1") / side))))
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
+
+    def label(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by([("y", "ascending"), ("x0", "ascending")])
+        left, top = tile.column("_tx")[0].as_py() * side, tile.column("_ty")[0].as_py() * side
+        y, x0, x1 = (tile.column(c).to_numpy() for c in ("y", "x0", "x1"))
+        a, b = np.maximum(x0, left), np.minimum(x1, left + side - 1)
+        first = _groups(y, a, b, reach)
+        inner = (a > left) & (b < left + side - 1) & (y > top) & (y < top + side - 1)
+        out = tile.select([*keys, "y", "x0", "x1"]).append_column("_piece", pa.array((y[first] << 32) + a[first]))
+        return out.append_column("_a", pa.array(a, mask=inner)).append_column("_b", pa.array(b, mask=inner))
+
+    pieces = cut.groupBy(*keys, "_tx", "_ty").applyInArrow(label, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, y long, x0 long, x1 long, _piece long, _a long, _b long")
+    pieces = kept(pieces, "pieces")
+    outer = pieces.where("_a IS NOT NULL").select(*keys, "y", F.col("_a").alias("x0"), F.col("_b").alias("x1"), "_piece")
+    of = lambda c: outer.select(*keys, run_id().alias(c), F.col("_piece").alias(f"_{c}"))
+    beside = outer.where(F.pmod("x0", F.lit(side)) == 0).select(*keys, (F.shiftleft("y", 32) + F.col("x0") - 1).alias("b_end"), run_id().alias("b"))
+    along = outer.select(*keys, (F.shiftleft("y", 32) + F.col("x1")).alias("b_end"), run_id().alias("a")).join(beside, [*keys, "b_end"]).select(*keys, "a", "b")
+    pairs = touching(outer, keys, reach).unionByName(along).join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
+    found = contracted_labels(pairs.select(*keys, F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b"), keys).withColumnRenamed("node", "_piece")
+    whole = pieces.where("_a IS NULL OR _a = x0").select(*keys, "y", "x0", "x1", "_piece")
+    return whole.join(found, [*keys, "_piece"], "left").withColumn("component", F.coalesce("component", "_piece")).drop("_piece")
 
 
 def first_pixel(component: str = "component") -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atriumq.bitmap import boxes, closing, fields, rings, runs, sight
+from atriumq.checkpoint import kept
 from atriumq.fixtures import duck, view
 from atriumq.operators import chains, greedy
 
@@ -19,7 +20,7 @@ def _ink(spark, d):
 
 
 def _frames(spark, d):
-    return _ink(spark, d).select("floor").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+    return kept(_ink(spark, d).select("floor").distinct(), "frames").withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
 
 
 def ink_runs(spark, d):
@@ -42,7 +43,7 @@ def bridged_gaps(spark, d):
 
 def exterior_pixels(spark, d):
     """Free pixels that reach the frame once gaps are sealed."""
-    shut = runs.runs(closing.sealed(_ink(spark, d), LENGTH)).where(f"y >= 0 AND y < {HEIGHT}")
+    shut = closing.sealed_runs(_ink(spark, d), LENGTH).where(f"y >= 0 AND y < {HEIGHT}")
     shut = shut.withColumn("x0", F.greatest("x0", F.lit(0))).withColumn("x1", F.least("x1", F.lit(WIDTH - 1))).where("x0 <= x1")
     out = runs.pixels_of(runs.exterior(shut, _frames(spark, d)))
     return out.groupBy("floor").agg(F.count("*").alias("n"), F.sum("px").alias("sx"), F.sum("py").alias("sy"))

@@ -320,3 +320,25 @@ def test_inked_boxes(spark):
     df = spark.createDataFrame([(0, k, x0, y0, x1, y1) for k, x0, x1, y0, y1 in cut], "floor int, box int, x0 long, y0 long, x1 long, y1 long")
     got = {r.box: r.n for r in runs.inked(df, pixels(spark, m), ["box"], side=16).collect()}
     assert got == {k: int(m[y0:y1, x0:x1].sum()) for k, x0, x1, y0, y1 in cut}
+
+
+def test_groups_within_a_tile_are_left_to_its_task(spark, monkeypatch):
+    """No pair of runs of one tile comes to the joins, and tiles of any size give the same groups."""
+    seen, contracted = [], runs.contracted_labels
+    monkeypatch.setattr(runs, "contracted_labels", lambda e, keys: (seen.append(e.count()), contracted(e, keys))[1])
+    rows = runs.runs(pixels(spark, noise(8, share=0.6), noise(9)))
+    whole = [sorted(map(tuple, runs.labelled(rows, reach=r).collect())) for r in (0, 1)]
+    assert seen == [0, 0]
+    monkeypatch.setattr(runs, "TILE", 6)
+    assert [sorted(map(tuple, runs.labelled(rows, reach=r).collect())) for r in (0, 1)] == whole and min(seen[2:]) > 0
+
+
+def test_sealed_runs_come_as_runs(spark, monkeypatch):
+    """What several directions or tiles fill is told once, as runs of scan lines."""
+    p = pixels(spark, noise(10, share=0.1))
+    got = closing.sealed_runs(p, 9)
+    pix = [(r.px, r.py) for r in runs.pixels_of(got).collect()]
+    own = {(r.px, r.py) for r in p.collect()}
+    assert len(pix) == len(set(pix)) and set(pix) == own | {(r.px, r.py) for r in closing.bridged(p, 9).collect()} and got.count() < len(pix)
+    monkeypatch.setattr(closing, "TILE", 8)
+    assert sorted(map(tuple, closing.sealed_runs(p, 9).collect())) == sorted(map(tuple, got.collect()))
