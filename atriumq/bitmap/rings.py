@@ -1,9 +1,9 @@
 """Outlines of pixel groups as rings of corners, and rings filled again, as rows.
 
-The boundary of a bitmap is made of unit steps: the ends of its row runs are the upright ones, the ends of its
-column runs the level ones. Steps in a line are one segment; a segment's follower starts where it ends. Which ring
-a segment belongs to, and how far along it, comes from pointer doubling: every round a segment looks twice as
-far ahead, so a ring of n corners takes about log2 n rounds, all rings of all floors together.
+The boundary of a bitmap is made of unit steps along the sides of its pixels. Steps in a line are one segment; a
+segment's follower starts where it ends. Which ring a segment belongs to, and how far along it, comes from pointer
+doubling: every round a segment looks twice as far ahead, so a ring of n corners takes about log2 n rounds. Rings
+that lie in a tile are followed by a task, those that leave it by joins, all of all floors together.
 
 Defined results: as in ``runs``; a ring runs with the set pixels on its right, so outer rings have a positive
 area and holes a negative one; groups that meet at a corner only share one ring.
@@ -13,40 +13,115 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atriumq.bitmap.runs import runs
 from atriumq.checkpoint import dropped, kept
 
 #: Directions by number: right, down, left, up.
 STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))
 
 
-def segments(pixels: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
-    """(keys, way, sx, sy, ex, ey): straight stretches of the boundary along pixel edges, corner to corner."""
-    rows = runs(pixels, keys)
-    columns = runs(pixels.select(*keys, F.col("py").alias("px"), F.col("px").alias("py")), keys)
-    # (way, line, place): the line it lies on and where along the line, of unit steps.
-    upright = rows.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("way"), (F.col("x1") + 1).alias("line"), F.col("y").alias("at")), F.struct(F.lit(3).alias("way"), F.col("x0").alias("line"), F.col("y").alias("at")))).alias("_step"))
-    level = columns.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("x0").alias("line"), F.col("y").alias("at")), F.struct(F.lit(2).alias("way"), (F.col("x1") + 1).alias("line"), F.col("y").alias("at")))).alias("_step"))
-    unit = upright.unionByName(level).select(*keys, "_step.*")
-    island = F.col("at") - F.row_number().over(Window.partitionBy(*keys, "way", "line").orderBy("at"))
-    whole = unit.withColumn("_i", island).groupBy(*keys, "way", "line", "_i").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi"))
-    forth = F.col("way") < 2
+#: Width of a tile in pixels.
+TILE = 256
+#: Where a step along a pixel's side in each direction begins, from the pixel's first corner.
+_CORNER = ((0, 0), (1, 0), (1, 1), (0, 1))
+
+
+def _traced(px: np.ndarray, py: np.ndarray, tx: int, ty: int, side: int) -> dict[str, np.ndarray]:
+    """Segments of the boundary of a tile's own pixels: way, ring and ord (-1 where the ring leaves the tile), x, y, bx, by."""
+    lx, ly = px.min() - 1, py.min() - 1
+    on = np.zeros((py.max() - ly + 2, px.max() - lx + 2), dtype=bool)
+    on[py - ly, px - lx] = True
+    own = on.copy()
+    xs, ys = np.arange(on.shape[1]) + lx, np.arange(on.shape[0]) + ly
+    own[:, xs // side != tx] = False
+    own[ys // side != ty] = False
+    at = lambda m, v: np.roll(m, (-v[1], -v[0]), (0, 1))  # noqa: E731  (the outermost places are never set)
+    number, parts = np.full((4, *on.shape), -1, dtype=np.int64), []
+    n = 0
+    for way, ahead in enumerate(STEPS):
+        step = own & ~at(on, STEPS[(way + 3) % 4])
+        begin, end = step & ~at(step, (-ahead[0], -ahead[1])), step & ~at(step, ahead)
+        if way % 2:
+            (x0, y0), (x1, y1) = np.nonzero(begin.T), np.nonzero(end.T)
+        else:
+            (y0, x0), (y1, x1) = np.nonzero(begin), np.nonzero(end)
+        number[way, y0, x0] = np.arange(n, n + len(x0))
+        parts.append((np.full(len(x0), way), x0, y0, x1, y1))
+        n += len(x0)
+    way, x0, y0, x1, y1 = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    ahead, corner = np.array(STEPS), np.array(_CORNER)
+    fx, fy = x1 + ahead[way, 0], y1 + ahead[way, 1]
+    gx, gy = fx + ahead[(way + 3) % 4, 0], fy + ahead[(way + 3) % 4, 1]
+    # To the left where a pixel lies there, straight on only into another tile, else to the right around the same pixel.
+    left = on[gy, gx]
+    then = np.where(left, number[(way + 3) % 4, gy, gx], np.where(on[fy, fx], -1, number[(way + 1) % 4, y1, x1]))
+    leaves = then < 0
+    then = np.where(leaves, np.arange(n), then)
+    x, y = x0 + corner[way, 0] + lx, y0 + corner[way, 1] + ly
+    bx, by = x1 + corner[(way + 1) % 4, 0] + lx, y1 + corner[(way + 1) % 4, 1] + ly
+    id_ = (y << 33) + (x << 2) + way
+    ring, p = id_, then
+    while True:  # every round looks twice as far ahead
+        new, out = np.minimum(ring, ring[p]), leaves | leaves[p]
+        if (new == ring).all() and (out == leaves).all():
+            break
+        ring, leaves, p = new, out, p[p]
+    last = leaves | (ring == id_)
+    hops, p = (~last).astype(np.int64), np.where(last, np.arange(n), then)
+    while not last[p].all():
+        hops, p = hops + hops[p], p[p]
+    size = np.bincount(p, minlength=n)[p]
+    ring, ord_ = np.where(leaves, -1, ring), np.where(leaves, -1, (size - hops) % size)
+    return {"way": way, "ring": ring, "ord": ord_, "x": x, "y": y, "bx": bx, "by": by}
+
+
+def sides(pixels: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
+    """(keys, ring, ord, x, y, bx, by): every straight side of every ring, from a corner to the next.
+
+    A task follows the boundary of the pixels of a tile, and rings that lie in it are done. Of the others the tile tells the
+    segments; these are put together across tiles, and their order comes from pointer doubling."""
+    keys, side = list(keys), TILE
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / side), F.floor((F.col(c) + 1) / side)))
+    p = pixels.select(*keys, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py")).dropna()
+    p = p.withColumn("_tx", tiles("px")).withColumn("_ty", tiles("py"))
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema}
+
+    def trace(tile: pa.Table) -> pa.Table:
+        found = _traced(tile.column("px").to_numpy(), tile.column("py").to_numpy(), tile.column("_tx")[0].as_py(), tile.column("_ty")[0].as_py(), side)
+        out = tile.select(keys).take(pa.array(np.zeros(len(found["way"]), dtype=np.int64)))
+        for name, values in found.items():
+            out = out.append_column(name, pa.array(values.astype(np.int32 if name == "way" else np.int64)))
+        return out
+
+    told = p.groupBy(*keys, "_tx", "_ty").applyInArrow(trace, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, way int, ring long, ord long, x long, y long, bx long, by long")
+    told = kept(told, "sides")
+    done = told.where("ord >= 0").select(*keys, "ring", "ord", "x", "y", "bx", "by")
+    open_ = kept(_segments(told.where("ord < 0"), keys), "segments")
+    return done if open_.isEmpty() else done.unionByName(_ordered(open_, keys))
+
+
+def _segments(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, way, sx, sy, ex, ey): straight stretches of the boundary, put together of pieces that follow each other."""
+    flat, forth = F.col("way") % 2 == 0, F.col("way") < 2
+    line, a, b = F.when(flat, F.col("y")).otherwise(F.col("x")), F.when(flat, F.col("x")).otherwise(F.col("y")), F.when(flat, F.col("bx")).otherwise(F.col("by"))
+    p = pieces.select(*keys, "way", line.alias("line"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    w = Window.partitionBy(*keys, "way", "line").orderBy("lo")
+    new = (F.coalesce(F.lag("hi").over(w), F.col("lo") - 1) < F.col("lo")).cast("int")
+    whole = p.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w)).groupBy(*keys, "way", "line", "_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     begin, end = F.when(forth, F.col("lo")).otherwise(F.col("hi")), F.when(forth, F.col("hi")).otherwise(F.col("lo"))
-    flat = F.col("way") % 2 == 0
     point = lambda along: (F.when(flat, along).otherwise(F.col("line")), F.when(flat, F.col("line")).otherwise(along))
     (sx, sy), (ex, ey) = point(begin), point(end)
-    return whole.select(*keys, "way", sx.alias("sx"), sy.alias("sy"), ex.alias("ex"), ey.alias("ey"))
-
-
-def rings(pixels: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
-    """(keys, ring, ord, x, y): the corners of every ring in their order from 0; ring is the number of its first one."""
-    keys = list(keys)
     # A corner's number follows the order of reading; ways are told apart, as two rings may meet in a corner.
     number = F.shiftleft("sy", 33) + F.shiftleft("sx", 2) + F.col("way")
-    at = kept(segments(pixels, keys).select(*keys, number.alias("id"), "way", "sx", "sy", "ex", "ey"), "segments")
+    return whole.select(*keys, "way", sx.alias("sx"), sy.alias("sy"), ex.alias("ex"), ey.alias("ey")).select(*keys, number.alias("id"), "way", "sx", "sy", "ex", "ey")
+
+
+def _ordered(at: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ring, ord, x, y, bx, by) of rings given by their segments."""
     then = at.select(*keys, F.col("id").alias("next"), F.col("way").alias("_way"), F.col("sx").alias("ex"), F.col("sy").alias("ey"))
     left = (F.col("_way") - F.col("way") + 1) % 4  # 0 for a turn to the left, 2 for one to the right
     link = at.join(then, [*keys, "ex", "ey"]).groupBy(*keys, "id").agg(F.min_by("next", F.pmod(left, F.lit(4))).alias("next"))
@@ -64,7 +139,13 @@ def rings(pixels: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
     whole = state.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("n"))
     # hops lead to the ring's first corner, so the order from there runs the other way.
     out = state.join(whole, [*keys, "ring"]).withColumn("ord", F.pmod(F.col("n") - F.col("hops"), F.col("n")))
-    return out.join(at.select(*keys, "id", F.col("sx").alias("x"), F.col("sy").alias("y")), [*keys, "id"]).select(*keys, "ring", "ord", "x", "y")
+    ends = at.select(*keys, "id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
+    return out.join(ends, [*keys, "id"]).select(*keys, "ring", "ord", "x", "y", "bx", "by")
+
+
+def rings(pixels: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
+    """(keys, ring, ord, x, y): the corners of every ring in their order from 0; ring is the number of its first one."""
+    return sides(pixels, keys).select(*keys, "ring", "ord", "x", "y")
 
 
 def closed_edges(corners: DataFrame, keys: Sequence[str] = ("floor",), shape: str = "ring") -> DataFrame:
@@ -91,6 +172,7 @@ def filled(edges: DataFrame, keys: Sequence[str] = ("floor",), width: int | None
     if height is not None:
         first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(height - 1))
     cut = edges.where("y <> by").withColumn("_a", first).withColumn("_b", last).where("_a <= _b").withColumn("_y", F.explode(F.sequence("_a", "_b")))
+    cut = cut.repartition(*keys, "_y")  # serves both the count below and the window, so crossings move once
     column = F.ceil(F.col("x") + (F.col("_y") - F.col("y")) * (F.col("bx") - F.col("x")) / (F.col("by") - F.col("y")))
     if width is not None:
         column = F.least(F.greatest(column, F.lit(0)), F.lit(width))

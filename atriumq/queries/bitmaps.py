@@ -51,14 +51,14 @@ def exterior_pixels(spark, d):
 
 def outlines(spark, d):
     """Rings of every floor: outer ones and holes, their area and length."""
-    a = rings.areas(rings.closed_edges(rings.rings(_ink(spark, d))))
+    a = rings.areas(rings.sides(_ink(spark, d)))
     hole = F.col("area") < 0
     return a.groupBy("floor").agg(F.count_if(~hole).alias("outer_rings"), F.count_if(hole).alias("holes"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"))
 
 
 def refilled(spark, d):
     """Rings filled again against the pixels that they came from."""
-    edges = rings.closed_edges(rings.rings(_ink(spark, d)).withColumns({"x": F.col("x") - 0.5, "y": F.col("y") - 0.5}))
+    edges = rings.sides(_ink(spark, d)).withColumns({c: F.col(c) - 0.5 for c in ("x", "y", "bx", "by")})
     back = runs.pixels_of(rings.filled(edges, width=WIDTH, height=HEIGHT))
     both = _ink(spark, d).withColumn("a", F.lit(1)).join(back.withColumn("b", F.lit(1)), ["floor", "px", "py"], "full")
     return both.groupBy("floor").agg(F.count("a").alias("drawn"), F.count("b").alias("filled"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("different"))

@@ -342,3 +342,14 @@ def test_sealed_runs_come_as_runs(spark, monkeypatch):
     assert len(pix) == len(set(pix)) and set(pix) == own | {(r.px, r.py) for r in closing.bridged(p, 9).collect()} and got.count() < len(pix)
     monkeypatch.setattr(closing, "TILE", 8)
     assert sorted(map(tuple, closing.sealed_runs(p, 9).collect())) == sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize("tile", [5, 16])
+def test_rings_that_leave_their_tile_are_the_same(spark, monkeypatch, tile):
+    masks = [noise(3), noise(4, share=0.55), np.ones((20, 30), bool)]
+    p = pixels(spark, *masks).selectExpr("floor", "px + 3 AS px", "py + 2 AS py")
+    want = sorted(map(tuple, rings.sides(p).collect()))
+    assert sorted(r[:-2] for r in want) == sorted(map(tuple, rings.rings(p).collect()))
+    assert sorted(r[:2] + r[3:] for r in want) == sorted((f, ring, x, y, bx, by) for f, ring, x, y, bx, by in map(tuple, rings.closed_edges(rings.rings(p)).collect()))
+    monkeypatch.setattr(rings, "TILE", tile)
+    assert sorted(map(tuple, rings.sides(p).collect())) == want
