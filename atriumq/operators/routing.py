@@ -1,7 +1,9 @@
 """Shortest routes.
 
-Requests of a building are dealt over tasks by where they start, about REQUESTS starts a task, each with the
-building's links, and a heap does the rest, one search for all goals of a start; that holds for buildings of up to MOST_LINKS links. Networks that no task should hold
+Nodes that no links join, in whatever direction, have no route, so a request is searched only in the group of nodes
+that its start is joined to. Small groups share a task; a larger group's requests are dealt by where they start, about
+REQUESTS a task, each with the group's links. A heap does the rest, one search for all goals of a start; that holds for
+groups of up to MOST_LINKS links. Networks that no task should hold
 are relaxed by joins instead, all starting points together, a join and a group a round: distances first,
 then the link into every node, then the paths, walked back from all goals at once. Both ways give the same
 routes: ties go to the smaller "floor:node" text of the node before, then to the earlier link.
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 from atriumq.checkpoint import dropped, kept
 from atriumq.functions.geometry import LEAST_METERS
 from atriumq.functions.text import one_decimal
+from atriumq.operators.graphs import contracted_labels
 
-#: Requests of a building that a task answers, and the links of a building that a task may hold.
+#: Requests of a group of nodes that a task answers, and the links of a group that a task may hold.
 REQUESTS, MOST_LINKS = 500, 2_000_000
+#: Links of small groups that a task takes together, about.
+LINKS = 100_000
 _ENDS = ("src_floor", "src", "dst_floor", "dst")
 _START = ["start_floor", "start", "accessible_only"]
 
@@ -121,42 +126,49 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
     requests: (request, building, start_floor, start, goal_floor, goal, accessible_only). Ids may be of any
     type; they come out as text."""
     text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
-    net = kept(links.select("building", *text(*_ENDS), "metres", "kind", "label", "accessible", "ord.*"), "links").withColumn("what", F.lit(1))
-    known = nodes.select("building", F.col("floor").cast("string").alias("src_floor"), F.col("node").cast("string").alias("src")).withColumn("what", F.lit(0))
+    known = kept(nodes.select("building", *text("floor", "node")).distinct(), "nodes")
+    net = links.select("building", *text(*_ENDS), "metres", "kind", "label", "accessible", "ord.*")
+    for f, n in (_ENDS[:2], _ENDS[2:]):
+        net = net.join(known.select("building", F.col("floor").alias(f), F.col("node").alias(n)), ["building", f, n], "left_semi")
+    net = kept(net, "links")
+    name = lambda f, n: F.concat_ws(":", f, n)
+    labels = contracted_labels(net.select("building", name(*_ENDS[:2]).alias("a"), name(*_ENDS[2:]).alias("b")), ["building"])
+
+    def grouped(df: DataFrame, f: str, n: str, group: str) -> DataFrame:
+        out = df.withColumn("_name", name(f, n)).join(labels.select("building", F.col("node").alias("_name"), F.col("component").alias(group)), ["building", "_name"], "left")
+        return out.withColumn(group, F.coalesce(group, "_name")).drop("_name")
+
     # Named anew: requests may come from the same table as the nodes.
     asked = requests.select("request", F.col("building").alias("building"), *text("start_floor", "start", "goal_floor", "goal"), "accessible_only")
-    small, large = _by_size(net)
-
-    def solve(wanted: pd.DataFrame, building: pd.DataFrame) -> pd.DataFrame:
-        there = building[building["what"] == 0]
-        keys, floors = set(zip(there["src_floor"], there["src"])), set(there["src_floor"])
-        part = building[building["what"] == 1].sort_values(_ORDER, kind="stable")  # the order in which links are tried
+    asked = asked.join(known.select("building", F.lit(True).alias("mapped")).distinct(), "building", "left").join(known.select("building", F.col("floor").alias("goal_floor"), F.lit(True).alias("here")).distinct(), ["building", "goal_floor"], "left")
+    for c in ("start", "goal"):
+        asked = asked.join(known.select("building", F.col("floor").alias(f"{c}_floor"), F.col("node").alias(c), F.lit(True).alias(f"has_{c}")), ["building", f"{c}_floor", c], "left")
+    asked = grouped(grouped(asked, "start_floor", "start", "_group"), "goal_floor", "goal", "_goal")
+    wrong = F.when(F.col("mapped").isNull(), "no map for the building").when(F.col("here").isNull(), "goal in another building").when(F.col("has_start").isNull() | F.col("has_goal").isNull(), "unknown node")
+    wrong = wrong.when(F.col("_group") != F.col("_goal"), F.when(F.col("accessible_only"), "no accessible route").otherwise("no route"))
+    asked = kept(asked.select("request", "building", *_START, "goal_floor", "goal", "_group", wrong.alias("wrong")), "asked")
+    none = asked.where("wrong IS NOT NULL").select("request", F.col("wrong").alias("status"), F.lit(0).alias("pos"), *(F.lit(None).cast(t).alias(c) for c, t in (("floor", "string"), ("node", "string"), ("metres", "double"), ("link_metres", "double"), ("kind", "string"), ("label", "string"))))
+    some, group = asked.where("wrong IS NULL").drop("wrong"), ["building", "_group"]
+    net = kept(net.transform(grouped, "src_floor", "src", "_group").join(some.select(*group).distinct(), group, "left_semi"), "net")
+    large = kept(net.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > MOST_LINKS).select(*group), "large")
+
+    def solve(wanted: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        part = around.sort_values(_ORDER, kind="stable")  # the order in which links are tried
         nets: dict[bool, dict] = {False: defaultdict(list), True: defaultdict(list)}
         for sf, s, df, d, m, kind, label, free in zip(*(part[c].tolist() for c in (*_ENDS, "metres", "kind", "label", "accessible"))):
-            if (sf, s) in keys and (df, d) in keys:
-                for only in (False, True) if free else (False,):
-                    nets[only][sf, s].append(((df, d), m, kind, label))
+            for only in (False, True) if free else (False,):
+                nets[only][sf, s].append(((df, d), m, kind, label))
         goals: dict[tuple, set] = defaultdict(set)
         for r in wanted.itertuples(index=False):
             goals[r.start_floor, r.start, bool(r.accessible_only)].add((r.goal_floor, r.goal))
         rows, now, best, into = [], None, {}, {}
         for r in wanted.sort_values([*_START, "request"], kind="stable").itertuples(index=False):
             start, goal, only = (r.start_floor, r.start), (r.goal_floor, r.goal), bool(r.accessible_only)
-            fail = None
-            if not floors:
-                fail = "no map for the building"
-            elif r.goal_floor not in floors:
-                fail = "goal in another building"
-            elif start not in keys or goal not in keys:
-                fail = "unknown node"
-            if not fail:
-                if now != (*start, only):
-                    now = (*start, only)
-                    best, into = _search(nets[only], start, goals[now] & keys)
-                if goal not in best:
-                    fail = "no accessible route" if only else "no route"
-            if fail:
-                rows.append((r.request, fail, 0, None, None, None, None, None, None))
+            if now != (*start, only):
+                now = (*start, only)
+                best, into = _search(nets[only], start, goals[now])
+            if goal not in best:
+                rows.append((r.request, "no accessible route" if only else "no route", 0, None, None, None, None, None, None))
                 continue
             path, at = [], goal
             while at != start:
@@ -168,12 +180,20 @@ def routes(requests: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
                 rows.append((r.request, "ok", pos, at[0], at[1], best[at], link[1], link[2], link[3]))
         return pd.DataFrame(rows, columns=["request", "status", "pos", "floor", "node", "metres", "link_metres", "kind", "label"])
 
-    every = known.unionByName(net.join(large, "building", "left_anti"), allowMissingColumns=True)
-    found = _dealt(asked, every, large, solve, _ROUTE, F.xxhash64(*_START))
-    if small:
+    # Small groups share a task; the requests of a large one are dealt, each part with the links of the group.
+    few = some.join(large, group, "left_anti")
+    bins = 1 + few.count() // REQUESTS + net.count() // LINKS
+    parts = few.groupBy(*group).agg(F.ceil(F.count("*") / REQUESTS).cast("int").alias("parts"))
+    parts = kept(parts.withColumn("deal", F.when(F.col("parts") > 1, F.col("_group")).otherwise(F.pmod(F.xxhash64("_group"), F.lit(bins)).cast("string"))), "parts")
+    # Named anew, as both sides come from the same tables.
+    deal = [F.col(c).alias(c) for c in ("building", "deal")]
+    mine = few.join(parts, group).select("request", *_START, "goal_floor", "goal", *deal, F.pmod(F.xxhash64(*_START), F.col("parts")).cast("int").alias("part"))
+    every = net.join(parts, group).select(*_ENDS, "metres", "kind", "label", "accessible", *_ORDER, *deal, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    found = none.unionByName(mine.groupBy("building", "deal", "part").cogroup(every.groupBy("building", "deal", "part")).applyInPandas(solve, _ROUTE))
+    if large.isEmpty():
         return found
-    mine = lambda df: df.join(large, "building", "left_semi")
-    return found.unionByName(relaxed_routes(mine(asked), mine(known.select("building", F.col("src_floor").alias("floor"), F.col("src").alias("node"))), mine(net)))
+    of = lambda df: df.join(large, group, "left_semi").drop("_group")
+    return found.unionByName(relaxed_routes(of(some), known.join(large.select("building").distinct(), "building", "left_semi"), of(net)))
 
 
 def relaxed_routes(requests: DataFrame, nodes: DataFrame, net: DataFrame) -> DataFrame:

@@ -137,3 +137,18 @@ def test_long_edges_and_walls_meet_in_the_cells_along_them(spark):
     assert got == sorted(map(tuple, every.select("floor", "from_node", "to_node", "wall").collect())) and len(got) > 100
     side = network.along_cells(edges, ("ax", "ay", "bx", "by")).groupBy("from_node").count().collect()
     assert max(r["count"] for r in side) <= 2 * (6000 // 128 + 2)
+
+
+def test_requests_meet_only_the_links_that_their_start_is_joined_to(spark, monkeypatch):
+    """Pairs of nodes apart from each other: every request is searched in its own pair, whatever the number of requests of the building."""
+    n = 40
+    nodes = spark.createDataFrame([(1, 0, k) for k in range(2 * n)], "building int, floor int, node int")
+    links = spark.createDataFrame([(1, 0, 2 * k + i, 0, 2 * k + 1 - i, 2.0, "corridor", None, True, (0, 0, 2 * k, 2 * k + 1, i)) for k in range(n) for i in (0, 1)], "building int, src_floor int, src int, dst_floor int, dst int, metres double, kind string, label string, accessible boolean, ord struct<f: int, t: int, n: int, a: int, b: int>".replace("f: int, t: int, n: int, a: int, b: int", "f: int, t: int, n: int, a: int, r: int"))
+    links = links.withColumn("ord", F.expr("named_struct('f', 0, 't', 0, 'n', 0, 'a', ord.n, 'b', ord.a, 'r', ord.r)"))
+    asked = spark.createDataFrame([(k, 1, 0, k, 0, k ^ 1 if k % 4 else (k + 2) % (2 * n), k % 8 == 0) for k in range(2 * n)], "request long, building int, start_floor int, start int, goal_floor int, goal int, accessible_only boolean")
+    sent, real = [], routing.kept
+    monkeypatch.setattr(routing, "REQUESTS", 1)
+    monkeypatch.setattr(routing, "kept", lambda df, name: (sent.append(real(df, name)) or sent[-1]) if name == "parts" else real(df, name))
+    got = {r.request: (r.status, r.n) for r in routing.routes(asked, nodes, links).groupBy("request").agg(F.first("status").alias("status"), F.count("*").alias("n")).collect()}
+    assert got == {k: ("ok", 2) if k % 4 else ("no accessible route" if k % 8 == 0 else "no route", 1) for k in range(2 * n)}
+    assert sent[0].agg(F.max("parts")).first()[0] <= 2  # before: one part a request, each with all links of the building
