@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from atriumq.functions import geometry as g
 from atriumq.functions import text as t
@@ -16,17 +20,53 @@ def shape_features(spaces: DataFrame) -> DataFrame:
     return spaces.withColumn("narrowness", F.col("radius") / F.greatest(F.sqrt("area"), F.lit(1.0))).withColumn("elongation", F.col("long_side") / F.greatest("short_side", F.lit(1.0)))
 
 
+#: Labels of a cell that a task holds at once.
+MOST_LABELS = 50_000
+
+
+def _first(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The first ring that holds each point, of one cell: rings are tried in their order on the points that none has held yet."""
+    x, y = (left.column(c).to_numpy().astype(float) for c in ("x", "y"))
+    found, open_ = np.full(len(x), -1, np.int64), np.arange(len(x))
+    order = pc.sort_indices(right, sort_keys=[("ord", "ascending"), ("space", "ascending")], null_placement="at_start").to_numpy()
+    box = np.stack([right.column(c).to_numpy() for c in ("_x0", "_y0", "_x1", "_y1")], axis=1)
+    xs, ys = right.column("_xs").combine_chunks(), right.column("_ys").combine_chunks()
+    for k in order.tolist():
+        px, py, (x0, y0, x1, y1) = x[open_], y[open_], box[k]
+        near = np.flatnonzero((px >= x0) & (px <= x1) & (py >= y0) & (py <= y1))
+        if not len(near):
+            continue
+        px, py = px[near, None], py[near, None]
+        ax, ay = (c[k].values.to_numpy(zero_copy_only=False).astype(float) for c in (xs, ys))
+        bx, by = np.roll(ax, -1), np.roll(ay, -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            flips = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+        held = near[flips.sum(1) % 2 == 1]
+        found[open_[held]] = k
+        open_ = np.delete(open_, held)
+        if not len(open_):
+            break
+    hit = np.flatnonzero(found >= 0)
+    mine, of = left.take(pa.array(hit)), right.take(pa.array(found[hit]))
+    return pa.table([mine.column("floor"), mine.column("label_no"), of.column("ord"), of.column("space")], names=["floor", "label_no", "ord", "space"])
+
+
 def first_containing(labels: DataFrame, polygons: DataFrame) -> DataFrame:
     """(floor, label_no, space): the first space, in their order, whose ring holds the label's point.
 
-    Rings are dealt to the grid cells of their box, so a label meets the spaces around it alone."""
+    Rings are dealt to the grid cells of their box. A cell tries its rings in order and leaves off once every label has
+    one, so pairs of labels and rings are never rows; cells of many labels are dealt in parts of about MOST_LABELS."""
     ends = [F.array_min(F.transform("ring", lambda q: q["x"])), F.array_min(F.transform("ring", lambda q: q["y"])), F.array_max(F.transform("ring", lambda q: q["x"])), F.array_max(F.transform("ring", lambda q: q["y"]))]
-    boxed = polygons.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), ends)))
-    p = in_cells(boxed, ("_x0", "_y0", "_x1", "_y1")).alias("p")
-    at = labels.withColumn("cx", cell_of(F.col("x"))).withColumn("cy", cell_of(F.col("y"))).alias("l")
-    same = (F.col("l.floor") == F.col("p.floor")) & (F.col("l.cx") == F.col("p.cx")) & (F.col("l.cy") == F.col("p.cy"))
-    hit = at.join(p, same & g.contains(F.col("p.ring"), "l.x", "l.y"))
-    first = hit.groupBy("l.floor", "l.label_no").agg(F.min(F.struct("p.ord", "p.space")).alias("s"))
+    boxed = polygons.where("floor IS NOT NULL").withColumns({k: v.cast("double") for k, v in zip(("_x0", "_y0", "_x1", "_y1"), ends)})
+    boxed = boxed.withColumns({"_xs": F.transform("ring", lambda q: q["x"].cast("double")), "_ys": F.transform("ring", lambda q: q["y"].cast("double"))}).select("floor", "ord", "space", "_x0", "_y0", "_x1", "_y1", "_xs", "_ys")
+    at = labels.select("floor", "label_no", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), cell_of(F.col("x")).alias("cx"), cell_of(F.col("y")).alias("cy")).where("floor IS NOT NULL AND cx IS NOT NULL AND cy IS NOT NULL")
+    cell = ["floor", "cx", "cy"]
+    parts = at.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / MOST_LABELS).cast("int").alias("_parts"))
+    left = at.join(parts, cell).withColumn("_part", F.pmod(F.hash("label_no", "x", "y"), F.col("_parts"))).drop("_parts")
+    right = in_cells(boxed, ("_x0", "_y0", "_x1", "_y1")).join(parts, cell).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    out = [at.schema["floor"], at.schema["label_no"], boxed.schema["ord"], boxed.schema["space"]]
+    hit = left.groupBy(*cell, "_part").cogroup(right.groupBy(*cell, "_part")).applyInArrow(_first, StructType([StructField(f.name, f.dataType) for f in out]))
+    first = hit.groupBy("floor", "label_no").agg(F.min(F.struct("ord", "space")).alias("s"))
     return first.select("floor", "label_no", "s.space")
 
 

@@ -3,10 +3,12 @@
 import math
 import random
 
+import pytest
+
 from atriumq import checkpoint
 from atriumq.bitmap import closing
 from atriumq.fixtures import view
-from atriumq.operators import proposals
+from atriumq.operators import chains, inference, proposals
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +67,41 @@ def test_gaps_over_the_borders_of_tiles_are_closed_once(spark):
     got = [(r.floor, r.angle, r.px, r.py) for r in out.collect()]
     assert len(got) == len(set(got)) and {g for g in got if g[0] == "a" or g[1] == 0} == {w for w in want}
     assert not [g for g in got if g[0] == "c"]
+
+
+def test_labels_and_rings_never_meet_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(inference, "MOST_LABELS", 7)
+    draw = random.Random(11)
+    points = [(0, i, draw.uniform(-200, 300), draw.uniform(-200, 300)) for i in range(120)] + [(1, 5, 10.0, 10.0), (0, 500, None, 1.0), (None, 501, 10.0, 10.0), (0, 7, 40.0, 40.0)]
+    rings = [(0, i % 20, 100 - i, [(draw.uniform(-250, 350), draw.uniform(-250, 350)) for _ in range(3 + i % 3)]) for i in range(60)] + [(1, 3, 1, [(0.0, 0.0), (20.0, 0.0), (0.0, 40.0)]), (None, 1, 1, [(0.0, 0.0), (20.0, 0.0), (0.0, 40.0)]), (2, 1, 1, [(0.0, 0.0), (9.0, 0.0), (0.0, 9.0)])]
+
+    def holds(ring, x, y):
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    labels = spark.createDataFrame([(*p, f"t{p[1]}") for p in points], "floor int, label_no int, x double, y double, text string")
+    spaces = spark.createDataFrame(rings, "floor int, ord int, space int, ring array<struct<x:double,y:double>>")
+    out = inference.first_containing(labels, spaces)
+    want = {}
+    for floor, no, x, y in points:
+        held = [(o, s) for f, o, s, ring in rings if floor is not None and f == floor and x is not None and holds(ring, x, y)]
+        if held:
+            want[floor, no] = min([*held, *([want[floor, no]] if (floor, no) in want else [])])
+    assert {(r.floor, r.label_no, r.space) for r in out.collect()} == {(*k, s) for k, (_, s) in want.items()} and len(want) > 60
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "zip_with" not in plan
+
+
+def test_rounds_of_merging_send_no_tables_through_the_driver(spark):
+    nodes = spark.createDataFrame([(0, i, float(i % 6 * 10 + i // 6 % 2), float(i // 6 * 10)) for i in range(36)], "floor int, node int, x double, y double")
+    edges = spark.createDataFrame([(0, i, j, 1.0) for i in range(36) for j in (i + 1, i + 6) if j < 36 and (j == i + 6 or j % 6)], "floor int, a int, b int, length double")
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint.kept(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chains, "kept", seen)
+        n, e = chains.merged(nodes, edges, 10.5)
+        assert 1 < n.count() < 36 and e.count() > 0
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
