@@ -12,9 +12,7 @@ def box_dilate(mask: np.ndarray, r: int) -> np.ndarray:
     """Any pixel set within a square of side 2r + 1."""
     if r <= 0:
         return mask.copy()
-    p = np.pad(mask, ((r + 1, r), (r + 1, r))).astype(np.int32).cumsum(0).cumsum(1)
-    k = 2 * r + 1
-    return (p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]) > 0
+    return dilate(dilate(mask, [(0, d) for d in range(-r, r + 1)]), [(d, 0) for d in range(-r, r + 1)])
 
 
 def box_erode(mask: np.ndarray, r: int) -> np.ndarray:
@@ -40,23 +38,65 @@ def line(length: int, degrees: float) -> list[tuple[int, int]]:
     return list(dict.fromkeys((round(y * k / n), round(x * k / n)) for k in range(-n, n + 1)))
 
 
+def _runs(offsets: list[tuple[int, int]], level: bool) -> list[tuple[int, int, int]]:
+    """(dy, dx, length): offsets as runs along rows, or along columns."""
+    out: list[tuple[int, int, int]] = []
+    for a, b in sorted(set(offsets) if level else {(dx, dy) for dy, dx in offsets}):
+        if out and out[-1][0] == a and out[-1][1] + out[-1][2] == b:
+            out[-1] = (a, out[-1][1], out[-1][2] + 1)
+        else:
+            out.append((a, b, 1))
+    return out if level else [(b, a, n) for a, b, n in out]
+
+
 def dilate(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
-    """Any pixel set at one of the offsets. Rows are packed to bits, once for each shift within a byte, so that an
-    offset is a shift by whole bytes of an eighth of the size."""
+    """Any pixel set at one of the offsets. Rows are packed to bits and lie one behind the other with room between, so that
+    an offset is one shift of all bytes; runs of offsets are made by doubling."""
     h, w = mask.shape
-    wide = np.zeros((h, w + 15), bool)
-    shifted: dict[int, np.ndarray] = {}
-    for s in {dx % 8 for _, dx in offsets}:
-        wide[:] = False
-        wide[:, s : s + w] = mask
-        shifted[s] = np.packbits(wide[:, : (w + 15) // 8 * 8], axis=1)
-    out = np.zeros((h, (w + 15) // 8), np.uint8)
-    n = out.shape[1]
-    for dy, dx in offsets:
-        q, part = dx // 8, shifted[dx % 8]
-        if abs(dy) < h and abs(q) < n:
-            out[max(0, dy) : h + min(0, dy), max(0, q) : n + min(0, q)] |= part[max(0, -dy) : h + min(0, -dy), max(0, -q) : n + min(0, -q)]
-    return np.unpackbits(out, axis=1)[:, :w].astype(bool)
+    offsets = [(dy, dx) for dy, dx in offsets if abs(dy) < h and abs(dx) < w]
+    if not offsets:
+        return np.zeros((h, w), bool)
+    runs, along = _runs(offsets, True), _runs(offsets, False)
+    level = len(runs) <= len(along)
+    runs = runs if level else along
+    longest = max(n for _, _, n in runs)
+    dys, dxs = [dy for dy, _, _ in runs], [dx for _, dx, _ in runs]
+    left, right = max(0, -min(dxs)), max(0, max(dxs)) + level * longest
+    n = (w + 7) // 8
+    wide = (n + (max(left, right) + 7) // 8 + 9) // 8 * 8  # bytes of a row, the room is free
+    packed = np.zeros((h + (not level) * longest + 1, wide), np.uint8)
+    packed[:h, :n] = np.packbits(mask, axis=1, bitorder="little")
+    size = packed.size
+    made, shifted = {1: packed.ravel()}, {}
+
+    def by_bits(p: np.ndarray, s: int) -> np.ndarray:
+        if not s:
+            return p
+        words = p.view("<u8")  # pixels to the right are higher bits
+        out = words << np.uint64(s)
+        out[1:] |= words[:-1] >> np.uint64(64 - s)
+        return out.view(np.uint8)
+
+    def run(length: int) -> np.ndarray:
+        if length not in made:
+            half = (length + 1) // 2
+            q, s = divmod(length - half, 8) if level else ((length - half) * wide, 0)
+            p = run(half)
+            out = p.copy()
+            out[q:] |= by_bits(p, s)[: size - q]
+            made[length] = out
+        return made[length]
+
+    head = max(0, -min(dys)) * wide + left // 8 + 1
+    out = np.zeros(head + size + max(0, max(dys)) * wide + right // 8 + 1, np.uint8)
+    for dy, dx, length in runs:
+        key = length, dx % 8
+        if key not in shifted:
+            shifted[key] = by_bits(run(length), dx % 8)
+        at = head + dy * wide + dx // 8
+        part = out[at : at + size]
+        np.bitwise_or(part, shifted[key], out=part)
+    return np.unpackbits(out[head : head + h * wide].reshape(h, wide)[:, :n], axis=1, bitorder="little")[:, :w].view(bool)
 
 
 def erode(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
@@ -88,19 +128,26 @@ def close_lines(mask: np.ndarray, pixels: float, orientations: int = 12) -> np.n
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Labels from 1 of 8-connected groups in the order of their first pixel, and their number.
+    """Labels from 1 of 8-connected groups in the order of their first pixel, and their number."""
+    labels, n, _, _ = labelled(mask)
+    return labels, n
+
+
+def labelled(mask: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """What components() gives, and the places of all set pixels in reading order with their labels.
 
     Runs of a row are the vertices; runs of neighbouring rows that touch are joined until nothing changes."""
     h, w = mask.shape
-    flat = np.zeros((h, w + 2), np.int8)
-    flat[:, 1:-1] = mask
-    step = np.diff(flat, axis=1)
-    ys, starts = np.nonzero(step == 1)
-    _, ends = np.nonzero(step == -1)  # exclusive
+    flat = np.zeros((h, w + 1), bool)
+    flat[:, 1:] = mask  # a free column parts the rows
+    flat = np.append(flat.ravel(), False)
+    ends = np.flatnonzero(flat[1:] != flat[:-1])  # beginnings and ends by turns
+    ys, starts = np.divmod(ends[::2], w + 1)
+    ends = ends[1::2] - ys * (w + 1)  # exclusive
     labels = np.zeros((h, w), np.int32)
     n = len(ys)
     if not n:
-        return labels, 0
+        return labels, 0, np.zeros(0, np.int64), np.zeros(0, np.int32)
     row = np.searchsorted(ys, np.arange(h + 1))
     # Runs of the row above that touch [start - 1, end]: a range, as runs of a row are sorted.
     above_a, above_b = row[np.maximum(ys - 1, 0)], np.where(ys > 0, row[ys], row[np.maximum(ys - 1, 0)])
@@ -126,18 +173,18 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     _, label = np.unique(root, return_inverse=True)
     sizes = ends - starts
     at = np.repeat(ys * w + starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    labels.ravel()[at] = np.repeat(label + 1, sizes)
-    return labels, int(label.max()) + 1
+    of = np.repeat((label + 1).astype(np.int32), sizes)
+    labels.ravel()[at] = of
+    return labels, int(label.max()) + 1, at, of
 
 
 def groups(mask: np.ndarray, least: float = 1) -> list[tuple[np.ndarray, int, int]]:
     """(crop, x0, y0) of every group of at least ``least`` pixels."""
-    labels, n = components(mask)
+    _, n, at, of = labelled(mask)
     out = []
     if not n:
         return out
-    ys, xs = np.nonzero(labels)
-    of = labels[ys, xs]
+    ys, xs = np.divmod(at, mask.shape[1])
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(1, n + 2))
     for k in range(n):
@@ -152,6 +199,19 @@ def groups(mask: np.ndarray, least: float = 1) -> list[tuple[np.ndarray, int, in
     return out
 
 
+def _down(g: np.ndarray) -> np.ndarray:
+    """Least of g[y'] + (y - y')**2 over every column."""
+    best, other, k, most = g.copy(), np.empty_like(g), 1, int(g.max())
+    while k < len(g) and k * k < most:
+        for to, at in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+            np.add(g[at], g.dtype.type(k * k), out=other[at])
+            np.minimum(best[to], other[at], out=best[to])
+        if k % 4 == 0:
+            most = int(best.max())
+        k += 1
+    return best
+
+
 def distances(mask: np.ndarray) -> np.ndarray:
     """Euclidean distance of every set pixel to the nearest unset one; the image border is no obstacle."""
     out = np.zeros(mask.shape)
@@ -166,13 +226,13 @@ def distances(mask: np.ndarray) -> np.ndarray:
     far = h + w
     before = np.maximum.accumulate(np.where(mask, -far, x), axis=1)
     after = np.minimum.accumulate(np.where(mask, 2 * far, x)[:, ::-1], axis=1)[:, ::-1]
-    g = np.minimum(np.minimum(x - before, after - x), far).astype(np.float64) ** 2
-    best, k = g.copy(), 1
-    while k < h and k * k < best.max():
-        best[k:] = np.minimum(best[k:], g[:-k] + k * k)
-        best[:-k] = np.minimum(best[:-k], g[k:] + k * k)
-        k += 1
-    out[box] = np.sqrt(np.where(mask, best, 0))
+    g = np.minimum(np.minimum(x - before, after - x), far)
+    # Squares of up to 180 in half words, as few spaces are wider; where one is, all over again in whole ones.
+    near = np.minimum(g, 180).astype(np.uint16)
+    best = _down(near * near)
+    if best.max() >= 180 * 180:
+        best = _down(g.astype(np.int64) ** 2)
+    out[box] = np.sqrt(np.where(mask, best, 0).astype(np.float64))
     return out
 
 
@@ -211,41 +271,59 @@ def thin(mask: np.ndarray) -> np.ndarray:
             return p[1:-1, 1:-1].copy()
 
 
+#: Steps along a pixel's side, with the pixel on the right: right, down, left, up; where they begin, from the pixel's first corner.
+_STEPS, _BEGIN = ((1, 0), (0, 1), (-1, 0), (0, -1)), ((0, 0), (1, 0), (1, 1), (0, 1))
+
+
 def outlines(mask: np.ndarray) -> list[np.ndarray]:
-    """Closed rings along pixel edges with the set pixels on their right: areas are positive for outer rings, negative for holes."""
-    p = np.pad(mask, 1)
-    hops: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def add(ys: np.ndarray, xs: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> None:
-        for y, x in zip(ys.tolist(), xs.tolist()):
-            hops.setdefault((x + a[0], y + a[1]), []).append((x + b[0], y + b[1]))
-
-    c = p[1:-1, 1:-1]
-    add(*np.nonzero(c & ~p[:-2, 1:-1]), (0, 0), (1, 0))
-    add(*np.nonzero(c & ~p[1:-1, 2:]), (1, 0), (1, 1))
-    add(*np.nonzero(c & ~p[2:, 1:-1]), (1, 1), (0, 1))
-    add(*np.nonzero(c & ~p[1:-1, :-2]), (0, 1), (0, 0))
-    rings = []
-    while hops:
-        start = next(iter(hops))
-        at, came, ring = start, (0, 0), []
-        while True:
-            ways = hops[at]
-            if len(ways) > 1:  # where two corners meet, keep both sides one ring
-                left = (came[1], -came[0])
-                ways.sort(key=lambda q: (q[0] - at[0], q[1] - at[1]) != left)
-            to = ways.pop(0)
-            if not ways:
-                del hops[at]
-            step = (to[0] - at[0], to[1] - at[1])
-            if step != came:
+    """Closed rings along pixel edges with the set pixels on their right: areas are positive for outer rings, negative for holes.
+
+    Sides in a line are one segment, and what follows a segment is read from the pixels where it ends; where two
+    corners meet, both sides are one ring. Rings begin at their first corner in reading order."""
+    on = np.pad(mask.astype(bool), 2)
+    w = on.shape[1]
+    flat = on.ravel()
+    number, parts, n, pixels = [], [], 0, np.flatnonzero(on)
+    for way, (dx, dy) in enumerate(_STEPS):
+        ahead, out = dy * w + dx, -dx * w + dy  # what lies ahead, and to the left
+        inner = pixels[~flat[pixels + out]]
+        side = np.zeros(len(flat), bool)
+        side[inner] = True
+        begin, end = inner[~side[inner - ahead]], inner[~side[inner + ahead]]
+        if way % 2:  # segments run along columns, so both ends are in the order of those
+            begin, end = (p[np.argsort(p % w, kind="stable")] for p in (begin, end))
+        at = np.full(len(flat), -1, np.int64)
+        at[begin] = np.arange(n, n + len(begin))
+        number.append(at)
+        parts.append((np.full(len(begin), way), begin, end))
+        n += len(begin)
+    if not n:
+        return []
+    way, begin, end = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    step = np.array([dy * w + dx for dx, dy in _STEPS])
+    front = end + step[way]
+    left = flat[front + step[(way + 3) % 4]]  # to the left where a pixel lies there, else to the right around the same one
+    number = np.stack(number)
+    then = np.where(left, number[(way + 3) % 4, front + step[(way + 3) % 4]], number[(way + 1) % 4, end])
+    corner = np.array(_BEGIN)
+    x, y = begin % w - 2 + corner[way, 0], begin // w - 2 + corner[way, 1]
+    place = (y * (w + 1) + x).tolist()
+    # Where a level side begins, one that runs back may begin too.
+    first = range(len(parts[0][0]))
+    back = {place[k]: k for k in range(n) if way[k] == 2}
+    then, used, rings = then.tolist(), bytearray(n), []
+    for k in first:
+        for begins in (k, back.get(place[k])):
+            if begins is None or used[begins]:
+                continue
+            ring, at = [], begins
+            while True:
+                used[at] = 1
                 ring.append(at)
-            at, came = to, step
-            if at == start and start not in hops:
-                break
-            if at == start:
-                break
-        rings.append(np.array(ring, float) - 0.5)
+                at = then[at]
+                if place[at] == place[begins]:
+                    break
+            rings.append(np.stack([x[ring], y[ring]], 1).astype(float) - 0.5)
     return rings
 
 

@@ -1,5 +1,7 @@
 """Bitmap kernels on small masks: exact results where there is one, invariants elsewhere."""
 
+import time
+
 import numpy as np
 
 from atriumq.raster import bitmaps as bm
@@ -135,3 +137,40 @@ def test_dilation_in_packed_rows_against_plain_shifts():
                 if 0 <= y + dy < h and 0 <= x + dx < w:
                     want[y + dy, x + dx] = True
         assert (bm.dilate(m, offsets) == want).all()
+
+
+def test_long_lines_cost_little_more_than_short_ones():
+    draw = np.random.default_rng(4)
+    mask = draw.random((900, 1100)) < 0.02
+
+    def took(offsets):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            bm.dilate(mask, offsets)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    level = lambda n: [(0, d) for d in range(-n, n + 1)]
+    assert took(level(400)) < 15 * took(level(3))  # 114 times the offsets: runs are doubled, not laid on one by one
+
+
+def test_kernels_against_their_definitions():
+    draw = np.random.default_rng(8)
+    for k in range(60):
+        h, w = draw.integers(1, 30, 2)
+        mask = draw.random((h, w)) < (0.05, 0.4, 0.8)[k % 3]
+        offsets = bm.line(int(draw.integers(1, 40)) | 1, float(draw.integers(180))) if k % 2 else [(int(y), int(x)) for y, x in draw.integers(-35, 35, (6, 2))]
+        want = np.zeros((h, w), bool)
+        for y, x in np.argwhere(mask):
+            for dy, dx in offsets:
+                if 0 <= y + dy < h and 0 <= x + dx < w:
+                    want[y + dy, x + dx] = True
+        assert np.array_equal(bm.dilate(mask, offsets), want)
+        rings = bm.outlines(mask)
+        assert sum(bm.signed_area(r) for r in rings) == mask.sum()
+        firsts = [(r[0][1], r[0][0]) for r in rings]
+        assert all(any(np.all(r[0] + 0.5 == (x, y)) for y, x in np.argwhere(mask)) for r in rings) and firsts == sorted(firsts)
+    far = np.ones((3, 900), bool)
+    far[1, 450] = False
+    assert bm.distances(far)[1, 0] == 450 and bm.distances(far)[0, 0] == np.sqrt(450 * 450 + 1)
