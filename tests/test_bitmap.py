@@ -353,3 +353,19 @@ def test_rings_that_leave_their_tile_are_the_same(spark, monkeypatch, tile):
     assert sorted(r[:2] + r[3:] for r in want) == sorted((f, ring, x, y, bx, by) for f, ring, x, y, bx, by in map(tuple, rings.closed_edges(rings.rings(p)).collect()))
     monkeypatch.setattr(rings, "TILE", tile)
     assert sorted(map(tuple, rings.sides(p).collect())) == want
+
+
+def test_distances_send_runs_and_reach_over_strips(spark):
+    draw = np.random.default_rng(2)
+    mask = np.ones((40, 700), bool)
+    for y, x in zip(draw.integers(0, 40, 12), draw.integers(0, 700, 12)):
+        mask[y, x] = False
+    free = [("a", y, int(a), int(b) - 1) for y in range(40) for a, b in zip(*(np.flatnonzero(np.diff(np.pad(mask[y].astype(int), 1)) == s) for s in (1, -1)))]
+    rows = spark.createDataFrame([*free, ("b", 0, 0, 9)], "floor string, y long, x0 long, x1 long")
+    out = fields.distances(rows, spark.createDataFrame([("a", 700, 40), ("b", 10, 1)], "floor string, width int, height int"))
+    got = {(r.floor, r.px, r.py): r.distance for r in out.collect()}
+    ys, xs = np.nonzero(~mask)
+    want = {("a", int(x), int(y)): np.sqrt(((xs - x) ** 2 + (ys - y) ** 2).min()) for y, x in np.argwhere(mask)} | {("b", x, 0): np.inf for x in range(10)}
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(x0" not in plan  # pixels are made in the strips, not sent there
