@@ -17,6 +17,11 @@ from .graphs import contracted_labels
 from .greedy import independent
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A table of a round that joins do not send through the driver, however small it is."""
+    return kept(df, name).hint("merge")
+
+
 def _ends(edges: DataFrame, keys: Sequence[str], *also: str) -> DataFrame:
     """(keys, node, other, also): every edge from both of its ends."""
     return edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other"), *also).unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"), *also))
@@ -86,31 +91,32 @@ def merged(nodes: DataFrame, edges: DataFrame, near: float, protected: DataFrame
     """(nodes, edges) once junctions of degree three and more that an edge joins and that lie nearer than ``near`` are one, halfway.
 
     A round takes the pairs in which each is the other's nearest, ties by number, and rounds go on while there are any;
-    the smaller number stays. Of edges between the same nodes the shortest stays."""
+    the smaller number stays. Of edges between the same nodes the shortest stays. Tables of a round meet by sorted
+    joins: each would be small enough to broadcast, but over the rounds all of them would pass through the driver."""
     keys = list(keys)
-    n = kept(nodes.select(*keys, "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "nodes")
-    e = kept(_neat(edges.select(*keys, "a", "b", "length"), keys), "edges")
+    n = _kept(nodes.select(*keys, "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "nodes")
+    e = _kept(_neat(edges.select(*keys, "a", "b", "length"), keys), "edges")
     while True:
         both = _ends(e, keys)
         hub = both.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select(*keys, "node")
         if protected is not None:
             hub = hub.join(protected.select(*keys, "node"), [*keys, "node"], "left_anti")
-        hub = n.join(hub, [*keys, "node"], "left_semi")
+        hub = n.join(hub, [*keys, "node"], "left_semi").hint("merge")
         pair = both.join(hub, [*keys, "node"]).join(hub.select(*keys, F.col("node").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")), [*keys, "other"])
         far = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2)
         pair = pair.withColumn("far", far).where(F.col("far") < near)
         best = pair.groupBy(*keys, "node").agg(F.min(F.struct("far", F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"))).alias("m")).select(*keys, "node", "m.lo", "m.hi")
-        one = kept(best.groupBy(*keys, "lo", "hi").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select(*keys, "lo", "hi"), "pairs")
+        one = _kept(best.groupBy(*keys, "lo", "hi").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select(*keys, "lo", "hi"), "pairs")
         if one.isEmpty():
             return n, e
         xy = n.select(*keys, F.col("node").alias("lo"), F.col("x").alias("ax"), F.col("y").alias("ay"))
         mid = one.join(xy, [*keys, "lo"]).join(n.select(*keys, F.col("node").alias("hi"), F.col("x").alias("bx"), F.col("y").alias("by")), [*keys, "hi"])
         mid = mid.select(*keys, F.col("lo").alias("node"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
         gone = one.select(*keys, F.col("hi").alias("node"))
-        n = kept(n.join(gone, [*keys, "node"], "left_anti").join(mid.select(*keys, "node"), [*keys, "node"], "left_anti").unionByName(mid), "nodes")
+        n = _kept(n.join(gone, [*keys, "node"], "left_anti").join(mid.select(*keys, "node"), [*keys, "node"], "left_anti").unionByName(mid), "nodes")
         for c in ("a", "b"):
             e = e.join(one.select(*keys, F.col("hi").alias(c), "lo"), [*keys, c], "left").withColumn(c, F.coalesce("lo", c)).drop("lo")
-        e = kept(_neat(e, keys), "edges")
+        e = _kept(_neat(e, keys), "edges")
 
 
 def straightened(nodes: DataFrame, edges: DataFrame, barrier: DataFrame, cosine: float = -0.94, keys: Sequence[str] = ("floor",)) -> tuple[DataFrame, DataFrame]:
