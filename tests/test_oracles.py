@@ -48,3 +48,17 @@ def test_twin_without_some_keys(spark, tmp_path, name="M08_navigation_rules"):
             c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{tmp_path}/{f}'")
     got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), c.execute(registry.oracle_sql()[name]).df()
     assert len(got) and _text(got, cols := sorted(got.columns)) == _text(want, cols)
+
+
+@pytest.mark.parametrize("name", ["G20_proposal", "G20_proposal_edges", "G20_proposal_places"])
+def test_proposals_keep_all_walls_of_a_floor(spark, tmp_path, name):
+    c = duckdb.connect()
+    for t in ("nation", "customer", "part"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    c.execute("CREATE VIEW supplier AS SELECT i AS s_suppkey, CAST(i % 2 AS INT) AS s_nationkey FROM range(1, 3001) r(i)")
+    for t in ("nation", "customer", "part", "supplier"):
+        c.execute(f"COPY (FROM {t}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), c.execute(registry.oracle_sql()[name]).df()
+    assert len(got) and _text(got, cols := sorted(got.columns)) == _text(want, cols)
+    walls = registry.queries()["G20_proposal"](spark, str(tmp_path)).where("floor < 2").toPandas()["walls"]
+    assert (walls > 4000).all() and "4000" not in registry.oracle_sql()[name]
