@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from atriumq.checkpoint import dropped, kept
 
+from . import runs
+
 #: Directions by number: right, down, left, up.
 STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))
 
@@ -85,13 +87,20 @@ def sides(pixels: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
     A task follows the boundary of the pixels of a tile, and rings that lie in it are done. Of the others the tile tells the
     segments; these are put together across tiles, and their order comes from pointer doubling."""
     keys, side = list(keys), TILE
-    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / side), F.floor((F.col(c) + 1) / side)))
-    p = pixels.select(*keys, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py")).dropna()
-    p = p.withColumn("_tx", tiles("px")).withColumn("_ty", tiles("py"))
+    p = runs.words(pixels.select(*keys, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py")).dropna(), keys)
+    # A tile sees the pixels right beside it too, of a word what lies there.
+    first = F.col("word") * 64
+    p = p.withColumn("_tx", F.explode(F.sequence(F.floor((first - 1) / side), F.floor((first + 64) / side))))
+    left = F.col("_tx") * side - 1 - first
+    p = p.withColumn("bits", F.col("bits").bitwiseAND(runs.ones(F.greatest(left, F.lit(0)), F.least(left + side + 1, F.lit(63))))).where("bits <> 0")
+    p = p.withColumn("_ty", F.explode(F.sequence(F.floor((F.col("y") - 1) / side), F.floor((F.col("y") + 1) / side))))
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
 
     def trace(tile: pa.Table) -> pa.Table:
-        found = _traced(tile.column("px").to_numpy(), tile.column("py").to_numpy(), tile.column("_tx")[0].as_py(), tile.column("_ty")[0].as_py(), side)
+        bits = np.ascontiguousarray(tile.column("bits").to_numpy()).view(np.uint8).reshape(-1, 8)
+        row, bit = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+        px, py = tile.column("word").to_numpy()[row] * 64 + bit, tile.column("y").to_numpy()[row]
+        found = _traced(px, py, tile.column("_tx")[0].as_py(), tile.column("_ty")[0].as_py(), side)
         out = tile.select(keys).take(pa.array(np.zeros(len(found["way"]), dtype=np.int64)))
         for name, values in found.items():
             out = out.append_column(name, pa.array(values.astype(np.int32 if name == "way" else np.int64)))
@@ -172,11 +181,14 @@ def filled(edges: DataFrame, keys: Sequence[str] = ("floor",), width: int | None
     if height is not None:
         first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(height - 1))
     cut = edges.where("y <> by").withColumn("_a", first).withColumn("_b", last).where("_a <= _b").withColumn("_y", F.explode(F.sequence("_a", "_b")))
-    cut = cut.repartition(*keys, "_y")  # serves both the count below and the window, so crossings move once
     column = F.ceil(F.col("x") + (F.col("_y") - F.col("y")) * (F.col("bx") - F.col("x")) / (F.col("by") - F.col("y")))
     if width is not None:
         column = F.least(F.greatest(column, F.lit(0)), F.lit(width))
-    odd = cut.groupBy(*keys, F.col("_y").alias("y"), column.alias("x0")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    # Crossings are bits of their row, of which an even number at one place is none; only words of them move.
+    at, bit = runs.word(column)
+    odd = cut.groupBy(*keys, F.col("_y").alias("y"), at.alias("word")).agg(F.bit_xor(bit).alias("bits")).where("bits <> 0")
+    odd = odd.repartition(*keys, "y")  # as the window asks for, while they are words
+    odd = odd.withColumn("_i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1))).select(*keys, "y", (F.col("word") * 64 + F.col("_i")).alias("x0"))
     w = Window.partitionBy(*keys, "y").orderBy("x0")
     run = odd.withColumn("_n", F.row_number().over(w)).withColumn("x1", F.lead("x0").over(w) - 1).where("_n % 2 = 1")
     return run.where(F.col("x1") >= F.col("x0")).select(*keys, "y", "x0", "x1")

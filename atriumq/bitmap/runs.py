@@ -36,6 +36,32 @@ def pixels_of(rows: DataFrame, *also: str, keys: Sequence[str] = ("floor",)) ->
     return rows.select(*keys, *also, F.explode(F.sequence("x0", "x1")).alias("px"), F.col("y").alias("py"))
 
 
+def word(x: Column) -> tuple[Column, Column]:
+    """(word, bits): which 64 pixels of a row x is among, and x as one bit of them."""
+    return F.shiftright(x.cast("long"), 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+
+
+def ones(lo: Column, hi: Column) -> Column:
+    """A word with the bits from lo to hi set, both included."""
+    every = F.lit(-1).cast("long")
+    return F.call_function("shiftleft", every, lo.cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", every, (63 - hi).cast("int")))
+
+
+def words(pixels: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
+    """(keys, y, word, bits): pixels as bits, 64 of a row in one number. They are put together before they move, so of a
+    crowded bitmap a few bytes move instead of a row for every pixel. A pixel without a column is a word by itself, of one bit."""
+    at, bit = word(F.col("px"))
+    return pixels.groupBy(*keys, F.col("py").cast("long").alias("y"), at.alias("word")).agg(F.bit_or(F.coalesce(bit, F.lit(1).cast("long"))).alias("bits"))
+
+
+def words_of(rows: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
+    """(keys, y, word, bits): the pixels of runs as bits."""
+    first = F.col("word") * 64
+    bits = ones(F.greatest("x0", first) - first, F.least("x1", first + 63) - first)
+    cut = rows.select(*keys, "y", "x0", "x1", F.explode(F.sequence(F.shiftright("x0", 6), F.shiftright("x1", 6))).alias("word"))
+    return cut.groupBy(*keys, "y", "word").agg(F.bit_or(bits).alias("bits"))
+
+
 def complement(rows: DataFrame, frames: DataFrame, keys: Sequence[str] = ("floor",)) -> DataFrame:
     """Runs of a frame's pixels that are in no run; frames: (keys, width, height), runs inside it."""
     lines = frames.select(*keys, "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)).alias("y"))

@@ -19,6 +19,11 @@ def _ink(spark, d):
     return view(spark, d, "fx_ink")
 
 
+def _drawn(spark, d):
+    """Ink as it is drawn: pixels may repeat, which operators count once."""
+    return view(spark, d, "fx_ink", repeats=True)
+
+
 def _frames(spark, d):
     return kept(_ink(spark, d).select("floor").distinct(), "frames").withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
 
@@ -51,17 +56,19 @@ def exterior_pixels(spark, d):
 
 def outlines(spark, d):
     """Rings of every floor: outer ones and holes, their area and length."""
-    a = rings.areas(rings.sides(_ink(spark, d)))
+    a = rings.areas(rings.sides(_drawn(spark, d)))
     hole = F.col("area") < 0
     return a.groupBy("floor").agg(F.count_if(~hole).alias("outer_rings"), F.count_if(hole).alias("holes"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"))
 
 
 def refilled(spark, d):
     """Rings filled again against the pixels that they came from."""
-    edges = rings.sides(_ink(spark, d)).withColumns({c: F.col(c) - 0.5 for c in ("x", "y", "bx", "by")})
-    back = runs.pixels_of(rings.filled(edges, width=WIDTH, height=HEIGHT))
-    both = _ink(spark, d).withColumn("a", F.lit(1)).join(back.withColumn("b", F.lit(1)), ["floor", "px", "py"], "full")
-    return both.groupBy("floor").agg(F.count("a").alias("drawn"), F.count("b").alias("filled"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("different"))
+    edges = rings.sides(_drawn(spark, d)).withColumns({c: F.col(c) - 0.5 for c in ("x", "y", "bx", "by")})
+    back = runs.words_of(rings.filled(edges, width=WIDTH, height=HEIGHT)).withColumnRenamed("bits", "b")
+    both = runs.words(_drawn(spark, d)).withColumnRenamed("bits", "a").join(back, ["floor", "y", "word"], "full")
+    none, pixels = F.lit(0).cast("long"), lambda c: F.sum(F.bit_count(c)).cast("long")
+    both = both.select("floor", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    return both.groupBy("floor").agg(pixels(F.col("a")).alias("drawn"), pixels(F.col("b")).alias("filled"), pixels(F.col("a").bitwiseXOR(F.col("b"))).alias("different"))
 
 
 def gate_sides(spark, d):

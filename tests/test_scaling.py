@@ -6,9 +6,10 @@ import random
 import pytest
 
 from atriumq import checkpoint
-from atriumq.bitmap import closing
+from atriumq.bitmap import closing, rings, runs
 from atriumq.fixtures import view
 from atriumq.operators import chains, inference, proposals
+from atriumq.queries import bitmaps
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,3 +106,30 @@ def test_rounds_of_merging_send_no_tables_through_the_driver(spark):
         n, e = chains.merged(nodes, edges, 10.5)
         assert 1 < n.count() < 36 and e.count() > 0
     assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
+
+
+def test_pixels_move_as_words_and_fill_back(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint.kept(df, name)
+
+    monkeypatch.setattr(rings, "kept", seen)
+    out = bitmaps.refilled(spark, SF)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    moved = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("px" in line or "x0" in line for line in moved)  # no pixel or crossing is a row of a shuffle
+
+    draw = random.Random(17)
+    at = [x + d for x in (-512, -256, 0, 64, 256, 512) for d in (-2, -1, 0, 1)]
+    dots = {("a", draw.choice(at), draw.choice(at)) for _ in range(400)} | {("a", x, 90) for x in range(-300, 600)} | {("b", 63, -1), ("b", 64, 0), ("b", 255, 255), ("b", 256, 256)}
+    pixels = spark.createDataFrame([*dots, *list(dots)[:50], ("a", None, 3), (None, 3, 3)], "floor string, px int, py int")
+    edges = rings.sides(pixels)
+    for c in ("x", "y", "bx", "by"):
+        edges = edges.withColumn(c, edges[c] - 0.5)
+    back = runs.pixels_of(rings.filled(edges))
+    got = [(r.floor, r.px, r.py) for r in back.collect()]
+    assert len(got) == len(set(got)) and set(got) == dots
+    bits = {(r.floor, r.word * 64 + i, r.y) for r in runs.words_of(rings.filled(edges)).collect() for i in range(64) if r.bits >> i & 1}
+    assert bits == dots
