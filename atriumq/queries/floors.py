@@ -19,7 +19,7 @@ def _seeds(spark, d):
 
 def _clinics(spark, d):
     # A floor takes seconds, so floors are dealt one by one over the tasks.
-    return synthetic.clinics_of(_seeds(spark, d).repartitionByRange(64, "seed"))
+    return synthetic.clinics_of(_seeds(spark, d).repartitionByRange(480, "seed"))
 
 
 def clinics(spark, d):

@@ -5,6 +5,8 @@ Bitmaps are boolean arrays indexed [y, x]; points are (x, y) at pixel centres.
 
 from __future__ import annotations
 
+from functools import cached_property, lru_cache
+
 import numpy as np
 
 
@@ -12,7 +14,8 @@ def box_dilate(mask: np.ndarray, r: int) -> np.ndarray:
     """Any pixel set within a square of side 2r + 1."""
     if r <= 0:
         return mask.copy()
-    return dilate(dilate(mask, [(0, d) for d in range(-r, r + 1)]), [(d, 0) for d in range(-r, r + 1)])
+    p = Packed(mask, r + 1)
+    return p.mask(p.spread(p.spread(p.bits, True, ((0, -r, 2 * r + 1),)), False, ((-r, 0, 2 * r + 1),)))
 
 
 def box_erode(mask: np.ndarray, r: int) -> np.ndarray:
@@ -69,21 +72,13 @@ def dilate(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
     size = packed.size
     made, shifted = {1: packed.ravel()}, {}
 
-    def by_bits(p: np.ndarray, s: int) -> np.ndarray:
-        if not s:
-            return p
-        words = p.view("<u8")  # pixels to the right are higher bits
-        out = words << np.uint64(s)
-        out[1:] |= words[:-1] >> np.uint64(64 - s)
-        return out.view(np.uint8)
-
     def run(length: int) -> np.ndarray:
         if length not in made:
             half = (length + 1) // 2
             q, s = divmod(length - half, 8) if level else ((length - half) * wide, 0)
             p = run(half)
             out = p.copy()
-            out[q:] |= by_bits(p, s)[: size - q]
+            out[q:] |= _by_bits(p, s)[: size - q]
             made[length] = out
         return made[length]
 
@@ -92,7 +87,7 @@ def dilate(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
     for dy, dx, length in runs:
         key = length, dx % 8
         if key not in shifted:
-            shifted[key] = by_bits(run(length), dx % 8)
+            shifted[key] = _by_bits(run(length), dx % 8)
         at = head + dy * wide + dx // 8
         part = out[at : at + size]
         np.bitwise_or(part, shifted[key], out=part)
@@ -113,18 +108,111 @@ def odd_length(pixels: float) -> int:
     return max(3, int(round(pixels))) | 1
 
 
+class Packed:
+    """A mask as bits, its rows one behind the other with free room of ``margin`` pixels on all sides."""
+
+    def __init__(self, mask: np.ndarray, margin: int):
+        self.shape, self.margin, self.left = mask.shape, margin, (margin + 7) // 8
+        h, w = mask.shape
+        self.across = (w + 7) // 8  # bytes of a row's pixels
+        self.wide = (self.across + 2 * self.left + 7) // 8 * 8
+        rows = np.zeros((h + 2 * margin, self.wide), np.uint8)
+        rows[margin : margin + h, self.left : self.left + self.across] = np.packbits(mask, axis=1, bitorder="little")
+        self.bits = rows.ravel()
+
+    def mask(self, bits: np.ndarray) -> np.ndarray:
+        """The image of bits that lie as these do."""
+        h, w = self.shape
+        rows = bits.reshape(-1, self.wide)[self.margin : self.margin + h, self.left : self.left + self.across]
+        return np.unpackbits(rows, axis=1, bitorder="little")[:, :w].view(bool)
+
+    def spread(self, bits: np.ndarray, level: bool, runs: tuple) -> np.ndarray:
+        """Any bit set at one of the offsets, given as runs; they reach less far than the margin."""
+        wide, longest = self.wide, max(n for _, _, n in runs)
+        room = np.zeros((longest // 64 + 1) * 8 if level else longest * wide, np.uint8)  # runs are made to one side, then moved back
+        made, shifted = {1: np.concatenate([bits, room])}, {}
+        size = made[1].size
+
+        def run(length: int) -> np.ndarray:
+            if length not in made:
+                half = (length + 1) // 2
+                q, s = divmod(length - half, 8) if level else ((length - half) * wide, 0)
+                p = run(half)
+                out = p.copy()
+                out[q:] |= _by_bits(p, s)[: size - q]
+                made[length] = out
+            return made[length]
+
+        head = (max(abs(dy) * wide + abs(dx) // 8 for dy, dx, _ in runs) + 9) // 8 * 8
+        out = np.zeros(size + 2 * head, np.uint8)
+        for dy, dx, length in runs:
+            key = length, dx % 8
+            if key not in shifted:
+                shifted[key] = _by_bits(run(length), dx % 8)
+            at = head + dy * wide + dx // 8
+            out[at : at + size] |= shifted[key]
+        return out[head : head + bits.size]
+
+    @cached_property
+    def within(self) -> np.ndarray:
+        """The image's own pixels."""
+        return Packed(np.ones(self.shape, bool), self.margin).bits
+
+    def labels(self, bits: np.ndarray) -> Labels:
+        """Groups of bits that lie as these do and are all within the image."""
+        h = self.shape[0]
+        return Labels(None, bits.reshape(-1, self.wide)[self.margin : self.margin + h], 8 * self.left, self.shape)
+
+    def places(self, bits: np.ndarray) -> np.ndarray:
+        """Where bits that lie as these do are set in the image, in reading order."""
+        h, w = self.shape
+        y, x = np.divmod(_set_bits(bits.reshape(-1, self.wide)[self.margin : self.margin + h].ravel().view("<u8")), 8 * self.wide)
+        return y * w + x - 8 * self.left
+
+    def closed(self, length: int, degrees: float) -> np.ndarray:
+        """Bits of the closing by a line; the image lies in free space, so margins stay free."""
+        how = _line_runs(length, degrees)
+        return ~self.spread(~self.spread(self.bits, *how), *how)
+
+
+def _set_bits(words: np.ndarray) -> np.ndarray:
+    """Places of the set bits of 64-bit words, most of which are 0."""
+    some = np.flatnonzero(words != 0)
+    at = np.flatnonzero(np.unpackbits(words[some].view(np.uint8), bitorder="little").view(bool))
+    return some[at >> 6] * 64 + (at & 63)
+
+
+def _by_bits(p: np.ndarray, s: int) -> np.ndarray:
+    """Bytes that are whole words, shifted by s < 8 pixels to the right."""
+    if not s:
+        return p
+    words = p.view("<u8")  # pixels to the right are higher bits
+    out = words << np.uint64(s)
+    out[1:] |= words[:-1] >> np.uint64(64 - s)
+    return out.view(np.uint8)
+
+
+@lru_cache(maxsize=4096)
+def _line_runs(length: int, degrees: float) -> tuple[bool, tuple]:
+    """Whether a line's offsets are fewer runs along rows than along columns, and those runs."""
+    offsets = line(length, degrees)
+    runs, along = _runs(offsets, True), _runs(offsets, False)
+    return (True, tuple(runs)) if len(runs) <= len(along) else (False, tuple(along))
+
+
 def close_line(mask: np.ndarray, length: int, degrees: float) -> np.ndarray:
     """Closing by a line: bridges gaps in walls along it. The image lies in free space, so margins stay free."""
-    offsets = line(length, degrees)
-    big = np.pad(mask, length)
-    return erode(dilate(big, offsets), offsets)[length:-length, length:-length]
+    p = Packed(mask, length // 2 + 1)
+    return p.mask(p.closed(length, degrees))
 
 
 def close_lines(mask: np.ndarray, pixels: float, orientations: int = 12) -> np.ndarray:
-    out = mask.copy()
+    length = odd_length(pixels)
+    p = Packed(mask, length // 2 + 1)
+    out = p.bits.copy()
     for k in range(orientations):
-        out |= close_line(mask, odd_length(pixels), 180 * k / orientations)
-    return out
+        out |= p.closed(length, 180 * k / orientations)
+    return p.mask(out)
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
@@ -134,80 +222,131 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def labelled(mask: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """What components() gives, and the places of all set pixels in reading order with their labels.
-
-    Runs of a row are the vertices; runs of neighbouring rows that touch are joined until nothing changes."""
-    h, w = mask.shape
-    flat = np.zeros((h, w + 1), bool)
-    flat[:, 1:] = mask  # a free column parts the rows
-    flat = np.append(flat.ravel(), False)
-    ends = np.flatnonzero(flat[1:] != flat[:-1])  # beginnings and ends by turns
-    ys, starts = np.divmod(ends[::2], w + 1)
-    ends = ends[1::2] - ys * (w + 1)  # exclusive
-    labels = np.zeros((h, w), np.int32)
-    n = len(ys)
-    if not n:
-        return labels, 0, np.zeros(0, np.int64), np.zeros(0, np.int32)
-    row = np.searchsorted(ys, np.arange(h + 1))
-    # Runs of the row above that touch [start - 1, end]: a range, as runs of a row are sorted.
-    above_a, above_b = row[np.maximum(ys - 1, 0)], np.where(ys > 0, row[ys], row[np.maximum(ys - 1, 0)])
-    span = w + 4
-    lo = np.searchsorted(ys * span + ends, (ys - 1) * span + starts, side="left")
-    hi = np.searchsorted(ys * span + starts, (ys - 1) * span + ends, side="right")
-    lo, hi = np.maximum(lo, above_a), np.minimum(hi, above_b)
-    counts = np.maximum(0, hi - lo)
-    a = np.repeat(np.arange(n), counts)
-    b = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-    root = np.arange(n)
-    while True:
-        m = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], m)
-        np.minimum.at(new, root[b], m)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    while (root[root] != root).any():
-        root = root[root]
-    _, label = np.unique(root, return_inverse=True)
-    sizes = ends - starts
-    at = np.repeat(ys * w + starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    of = np.repeat((label + 1).astype(np.int32), sizes)
-    labels.ravel()[at] = of
-    return labels, int(label.max()) + 1, at, of
+    """What components() gives, and the places of all set pixels in reading order with their labels."""
+    r = Labels(mask)
+    return r.image, r.n, r.at, r.of
+
+
+class Labels:
+    """8-connected groups of a mask, numbered from 1 in the order of their first pixel.
+
+    Runs of a row are the vertices; runs of neighbouring rows that touch are joined until nothing changes. y, first and
+    last tell the runs in reading order, label their groups, at and of all set pixels and theirs."""
+
+    def __init__(self, mask: np.ndarray | None, bits: np.ndarray | None = None, left: int = 0, shape: tuple[int, int] | None = None):
+        """A mask, or bits of rows with at least a free one behind each, which begin ``left`` bits from their row's first."""
+        self.shape = h, w = shape or mask.shape
+        if bits is None:
+            bits = np.zeros((h, (w + 8) // 8), np.uint8)
+            bits[:, : (w + 7) // 8] = np.packbits(mask, axis=1, bitorder="little")
+        across = 8 * bits.shape[1]
+        words = np.append(bits.ravel(), np.zeros(8 + -bits.size % 8, np.uint8)).view("<u8")
+        change = words ^ (words << np.uint64(1))
+        change[1:] ^= words[:-1] >> np.uint64(63)
+        ends = _set_bits(change)  # beginnings and ends by turns
+        self.y = ys = ends[::2] // across
+        self.first = starts = ends[::2] - ys * across - left
+        ends = ends[1::2] - ys * across - left  # exclusive
+        self.last, self.sizes, n = ends - 1, ends - starts, len(ys)
+        if not n:
+            self.label, self.n = np.zeros(0, np.int32), 0
+            return
+        # Runs of the row above that touch [start - 1, end]: a range, as runs of a row are sorted.
+        span = w + 4
+        lo = np.searchsorted(ys * span + ends, (ys - 1) * span + starts, side="left")
+        hi = np.searchsorted(ys * span + starts, (ys - 1) * span + ends, side="right")
+        row = np.searchsorted(ys, np.arange(h + 1))
+        above = row[np.maximum(ys - 1, 0)]
+        lo, hi = np.maximum(lo, above), np.minimum(hi, np.where(ys > 0, row[ys], above))
+        counts = np.maximum(0, hi - lo)
+        a = np.repeat(np.arange(n), counts)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+        root = np.arange(n)
+        while True:
+            ra, rb = root[a], root[b]
+            apart = np.flatnonzero(ra != rb)
+            if not len(apart):
+                break
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while True:
+                new = root[root]
+                if (new == root).all():
+                    break
+                root = new
+        number = np.cumsum(root == np.arange(n), dtype=np.int32)  # roots are first runs
+        self.label, self.n = number[root], int(number[-1])
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        begin, before = self.y * self.shape[1] + self.first, np.cumsum(self.sizes) - self.sizes
+        return np.repeat(begin - before, self.sizes) + np.arange(int(self.sizes.sum()))
+
+    def label_at(self, at: np.ndarray) -> np.ndarray:
+        """Labels of set pixels by their places."""
+        return self.label[np.searchsorted(self.y * self.shape[1] + self.first, at, side="right") - 1]
+
+    @cached_property
+    def of(self) -> np.ndarray:
+        return np.repeat(self.label, self.sizes)
+
+    @cached_property
+    def image(self) -> np.ndarray:
+        return self.drawn(np.arange(self.n + 1, dtype=np.int32))
+
+    def drawn(self, values: np.ndarray) -> np.ndarray:
+        """An image of a value for each group, by its number; the first is that of free pixels."""
+        h, w = self.shape
+        # Free stretches and runs by turns.
+        begin = self.y * w + self.first
+        parts, of = np.zeros(2 * len(begin) + 1, np.int64), np.zeros(2 * len(begin) + 1, np.int32)
+        parts[1::2], of[1::2] = self.sizes, self.label
+        parts[0::2] = np.append(begin, h * w) - np.append(0, begin + self.sizes)
+        return np.repeat(values[of], parts).reshape(h, w)
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        """Pixels of the groups from 0, of which there are none, to n."""
+        return np.bincount(self.label, weights=self.sizes, minlength=self.n + 1).astype(np.int64)
+
+    @cached_property
+    def boxes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """x0, y0, x1, y1 of the groups from 1, both ends included, at k - 1."""
+        if not self.n:
+            return (np.zeros(0, np.int64),) * 4
+        order = np.argsort(self.label, kind="stable")
+        cuts = np.searchsorted(self.label[order], np.arange(1, self.n + 1))
+        return tuple(f.reduceat(v[order], cuts) for f, v in ((np.minimum, self.first), (np.minimum, self.y), (np.maximum, self.last), (np.maximum, self.y)))
+
+    def crop(self, k: int) -> tuple[np.ndarray, int, int]:
+        """(crop, x0, y0) of the group k."""
+        x0, y0, x1, y1 = (int(v[k - 1]) for v in self.boxes)
+        box = slice(y0, y1 + 1), slice(x0, x1 + 1)
+        return self.image[box] == k, x0, y0
 
 
 def groups(mask: np.ndarray, least: float = 1) -> list[tuple[np.ndarray, int, int]]:
     """(crop, x0, y0) of every group of at least ``least`` pixels."""
-    _, n, at, of = labelled(mask)
-    out = []
-    if not n:
-        return out
-    ys, xs = np.divmod(at, mask.shape[1])
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(1, n + 2))
-    for k in range(n):
-        at = order[cuts[k] : cuts[k + 1]]
-        if len(at) < least:
-            continue
-        y, x = ys[at], xs[at]
-        y0, x0 = int(y.min()), int(x.min())
-        crop = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), bool)
-        crop[y - y0, x - x0] = True
-        out.append((crop, x0, y0))
-    return out
+    g = Labels(mask)
+    return [g.crop(int(k)) for k in np.flatnonzero(g.size >= least) if k]
 
 
 def _down(g: np.ndarray) -> np.ndarray:
     """Least of g[y'] + (y - y')**2 over every column."""
-    best, other, k, most = g.copy(), np.empty_like(g), 1, int(g.max())
-    while k < len(g) and k * k < most:
-        for to, at in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
-            np.add(g[at], g.dtype.type(k * k), out=other[at])
-            np.minimum(best[to], other[at], out=best[to])
+    best, other, k, most, n = g.copy(), np.empty_like(g), 1, int(g.max()), len(g)
+    lo, hi = 0, n  # rows beyond have nothing over k * k
+    while k < n and k * k < most:
+        for a, b, d in ((lo, min(hi, n - k), k), (max(lo, k), hi, -k)):
+            if a < b:
+                np.add(g[a + d : b + d], g.dtype.type(k * k), out=other[a:b])
+                np.minimum(best[a:b], other[a:b], out=best[a:b])
         if k % 4 == 0:
-            most = int(best.max())
+            rows = best[lo:hi].max(1)
+            most = int(rows.max())
+            open_ = np.flatnonzero(rows > k * k)
+            if not len(open_):
+                break
+            lo, hi = lo + int(open_[0]), lo + int(open_[-1]) + 1
         k += 1
     return best
 
@@ -222,8 +361,8 @@ def distances(mask: np.ndarray) -> np.ndarray:
     box = slice(max(0, ys[0] - 1), ys[-1] + 2), slice(max(0, xs[0] - 1), xs[-1] + 2)
     mask = mask[box]
     h, w = mask.shape
-    x = np.arange(w)
-    far = h + w
+    x = np.arange(w, dtype=np.int32)
+    far = np.int32(h + w)
     before = np.maximum.accumulate(np.where(mask, -far, x), axis=1)
     after = np.minimum.accumulate(np.where(mask, 2 * far, x)[:, ::-1], axis=1)[:, ::-1]
     g = np.minimum(np.minimum(x - before, after - x), far)
@@ -256,17 +395,24 @@ def thin(mask: np.ndarray) -> np.ndarray:
     p = np.pad(mask, 1)
     flat, w = p.ravel(), p.shape[1]
     around = (-w, -w + 1, 1, w + 1, w, w - 1, -1, -w - 1)
-    live = np.flatnonzero(flat)
+    inner = flat.copy()
+    for d in around:
+        inner[w + 1 : -w - 1] &= flat[w + 1 + d : len(flat) - w - 1 + d]
+    rim = np.flatnonzero(flat & ~inner)  # only these may go; what lies beside one that goes is at the rim next
     while True:
         gone = 0
         for table in _THIN:
-            code = np.zeros(len(live), np.int64)
+            code = np.zeros(len(rim), np.uint8)
             for k, d in enumerate(around):
-                code |= flat[live + d].astype(np.int64) << k
+                code |= flat[rim + d].view(np.uint8) << np.uint8(k)
             drop = table[code]
-            flat[live[drop]] = False
-            live = live[~drop]
-            gone += int(drop.sum())
+            out = rim[drop]
+            if len(out):
+                flat[out] = False
+                next_ = (out[:, None] + np.array(around)).ravel()
+                rim = np.sort(np.concatenate([rim[~drop], next_[flat[next_]]]))
+                rim = rim[np.append(True, rim[1:] != rim[:-1])] if len(rim) else rim
+            gone += len(out)
         if not gone:
             return p[1:-1, 1:-1].copy()
 
@@ -280,21 +426,38 @@ def outlines(mask: np.ndarray) -> list[np.ndarray]:
 
     Sides in a line are one segment, and what follows a segment is read from the pixels where it ends; where two
     corners meet, both sides are one ring. Rings begin at their first corner in reading order."""
-    on = np.pad(mask.astype(bool), 2)
-    w = on.shape[1]
-    flat = on.ravel()
-    number, parts, n, pixels = [], [], 0, np.flatnonzero(on)
+    h, w = mask.shape
+    wide = (w + 4 + 63) // 64 * 8
+    rows = np.zeros((h + 4, wide), np.uint8)
+    rows[2:-2, : (w + 9) // 8] = np.packbits(np.pad(mask.astype(bool), ((0, 0), (2, 0))), axis=1, bitorder="little")
+    on, w = rows.view("<u8"), 8 * wide
+    flat, ones, most = on.ravel(), np.uint64(1), np.uint64(63)
+    starts, parts, n = [], [], 0
+
+    def beside(m: np.ndarray, dx: int, dy: int) -> np.ndarray:
+        """Bits of what lies a step on; the margin is free, so nothing is seen around the ends."""
+        out = np.zeros_like(m)
+        if dy:
+            out[max(0, -dy) : len(m) - max(0, dy)] = m[max(0, dy) : len(m) - max(0, -dy)]
+        elif dx > 0:
+            out = m >> ones
+            out[:, :-1] |= m[:, 1:] << most
+        else:
+            out = m << ones
+            out[:, 1:] |= m[:, :-1] >> most
+        return out
+
+    def lies(at: np.ndarray) -> np.ndarray:
+        return (flat[at >> 6] >> (at & 63).astype(np.uint64) & ones).astype(bool)
+
     for way, (dx, dy) in enumerate(_STEPS):
-        ahead, out = dy * w + dx, -dx * w + dy  # what lies ahead, and to the left
-        inner = pixels[~flat[pixels + out]]
-        side = np.zeros(len(flat), bool)
-        side[inner] = True
-        begin, end = inner[~side[inner - ahead]], inner[~side[inner + ahead]]
+        side = on & ~beside(on, dy, -dx)  # nothing lies to the left
+        begin, end = _set_bits((side & ~beside(side, -dx, -dy)).ravel()), _set_bits((side & ~beside(side, dx, dy)).ravel())
+        starts.append((begin, n + np.arange(len(begin))))
         if way % 2:  # segments run along columns, so both ends are in the order of those
-            begin, end = (p[np.argsort(p % w, kind="stable")] for p in (begin, end))
-        at = np.full(len(flat), -1, np.int64)
-        at[begin] = np.arange(n, n + len(begin))
-        number.append(at)
+            order = np.argsort(begin % w, kind="stable")
+            starts[-1][1][order] = n + np.arange(len(begin))
+            begin, end = begin[order], end[np.argsort(end % w, kind="stable")]
         parts.append((np.full(len(begin), way), begin, end))
         n += len(begin)
     if not n:
@@ -302,9 +465,12 @@ def outlines(mask: np.ndarray) -> list[np.ndarray]:
     way, begin, end = (np.concatenate([p[i] for p in parts]) for i in range(3))
     step = np.array([dy * w + dx for dx, dy in _STEPS])
     front = end + step[way]
-    left = flat[front + step[(way + 3) % 4]]  # to the left where a pixel lies there, else to the right around the same one
-    number = np.stack(number)
-    then = np.where(left, number[(way + 3) % 4, front + step[(way + 3) % 4]], number[(way + 1) % 4, end])
+    left = lies(front + step[(way + 3) % 4])  # to the left where a pixel lies there, else to the right around the same one
+    turn, at = np.where(left, (way + 3) % 4, (way + 1) % 4), np.where(left, front + step[(way + 3) % 4], end)
+    then = np.empty(n, np.int64)
+    for k, (places, numbers) in enumerate(starts):
+        mine = np.flatnonzero(turn == k)
+        then[mine] = numbers[np.searchsorted(places, at[mine])]
     corner = np.array(_BEGIN)
     x, y = begin % w - 2 + corner[way, 0], begin // w - 2 + corner[way, 1]
     place = (y * (w + 1) + x).tolist()
@@ -367,17 +533,27 @@ def polygons(mask: np.ndarray, tolerance: float = 1.0, least: float = 4.0) -> li
 def fill(rings: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
     """Pixels whose centres lie inside an odd number of rings."""
     h, w = shape
-    flips = np.zeros((h, w + 1), np.int32)
-    for ring in rings:
-        a, b = np.asarray(ring, float), np.roll(np.asarray(ring, float), -1, axis=0)
-        for (ax, ay), (bx, by) in zip(a, b):
+    out = np.zeros(shape, bool)
+    every = [np.asarray(r, float) for r in rings if len(r)]
+    if not every:
+        return out
+    low, high = np.min([r.min(0) for r in every], axis=0), np.max([r.max(0) for r in every], axis=0)
+    # Only the box around the rings: there and beyond it nothing is inside.
+    x0, x1 = (int(np.clip(np.ceil(v), 0, w)) for v in (low[0], high[0]))
+    y0, y1 = (int(np.clip(np.ceil(v), 0, h)) for v in (low[1], high[1]))
+    if x0 >= x1 or y0 >= y1:
+        return out
+    flips = np.zeros((y1 - y0, x1 - x0 + 1), np.int32)
+    for a in every:
+        for (ax, ay), (bx, by) in zip(a, np.roll(a, -1, axis=0)):
             if ay == by:
                 continue
             lo, hi = min(ay, by), max(ay, by)
             ys = np.arange(max(0, int(np.ceil(lo))), min(h, int(np.ceil(hi))))
             xs = ax + (ys - ay) * (bx - ax) / (by - ay)
-            np.add.at(flips, (ys, np.clip(np.ceil(xs), 0, w).astype(int)), 1)
-    return (flips.cumsum(1)[:, :w] & 1).astype(bool)
+            np.add.at(flips, (ys - y0, np.clip(np.ceil(xs), x0, x1).astype(int) - x0), 1)
+    out[y0:y1, x0:x1] = flips.cumsum(1)[:, :-1] & 1
+    return out
 
 
 def rasterized(shapes: list[dict], shape: tuple[int, int], grow: int = 0) -> np.ndarray:
@@ -396,7 +572,7 @@ def stroke(mask: np.ndarray, points: np.ndarray, width: float, value: bool = Tru
         y0, y1 = max(0, int(min(ay, by) - r - 1)), min(h, int(max(ay, by) + r + 2))
         if x0 >= x1 or y0 >= y1:
             continue
-        y, x = np.mgrid[y0:y1, x0:x1]
+        y, x = np.ogrid[y0:y1, x0:x1]
         dx, dy = bx - ax, by - ay
         n = dx * dx + dy * dy
         t = np.clip(((x - ax) * dx + (y - ay) * dy) / n, 0, 1) if n else np.zeros(x.shape)

@@ -174,3 +174,36 @@ def test_kernels_against_their_definitions():
     far = np.ones((3, 900), bool)
     far[1, 450] = False
     assert bm.distances(far)[1, 0] == 450 and bm.distances(far)[0, 0] == np.sqrt(450 * 450 + 1)
+
+
+def test_kernels_hold_little_beside_their_image():
+    """Outlines, fillings and groups look at bits, boxes and runs: no numbers for every pixel of an image."""
+    import tracemalloc
+
+    mask = np.zeros((2000, 2000), bool)
+    mask[10:1990, 10:1990] = True
+    mask[40:60, 40:60] = mask[500:1500, 700:701] = False
+    ring = np.array([[100.0, 100.0], [140.0, 100.0], [140.0, 130.0], [100.0, 130.0]])
+    for most, call in ((20e6, lambda: bm.outlines(mask)), (6e6, lambda: bm.fill([ring], mask.shape)), (20e6, lambda: bm.close_line(mask, 85, 15.0)), (6e6, lambda: bm.Labels(mask).boxes)):
+        tracemalloc.start()
+        call()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    assert sorted(bm.signed_area(r) for r in bm.outlines(mask)) == [-1000.0, -400.0, 1980.0**2]
+    assert bm.fill([ring], mask.shape).sum() == 1200 and bm.fill([ring], mask.shape)[100:130, 100:140].all()
+
+
+def test_bits_and_runs_are_the_pixels():
+    draw = np.random.default_rng(7)
+    for h, w in ((1, 1), (7, 63), (9, 64), (30, 65), (41, 130)):
+        mask = draw.random((h, w)) < 0.4
+        r, p = bm.Labels(mask), bm.Packed(mask, 5)
+        assert (r.at == np.flatnonzero(mask)).all() and (r.label_at(r.at) == r.of).all() and (r.image.ravel()[r.at] == r.of).all() and ((r.image > 0) == mask).all()
+        assert (p.mask(p.bits) == mask).all() and (p.places(p.bits) == r.at).all() and (p.labels(p.bits).image == r.image).all()
+        for k, (crop, x, y) in enumerate(bm.groups(mask), 1):
+            at = np.argwhere(r.image == k)
+            assert (at.min(0) == (y, x)).all() and (np.argwhere(crop) + (y, x) == at).all()
+        at = np.argwhere(~mask)
+        far = [min(((at - q) ** 2).sum(1)) ** 0.5 for q in np.argwhere(mask)] if len(at) else []
+        assert not len(far) or np.allclose(bm.distances(mask)[mask], far)
